@@ -160,10 +160,13 @@ def phase_totals(records: DataFrame) -> DataFrame:
 # ---- package metrics --------------------------------------------------------------------
 
 
+_POSITION_BITS = 48
+
+
 def _root_rank(crate: Column, crate_path: Column) -> Column:
     """Tier and position as one number, so that its minimum needs no sort; null for no root."""
     tier = L.package_tier(F.col("name"), F.col("source_path"), crate, crate_path)
-    return F.shiftleft(tier.cast("bigint"), 32) + F.col("pos")
+    return F.shiftleft(tier.cast("bigint"), _POSITION_BITS) + F.col("pos")
 
 
 def package_root(packages: DataFrame, crate: Column, crate_path: Column) -> DataFrame:
@@ -171,8 +174,8 @@ def package_root(packages: DataFrame, crate: Column, crate_path: Column) -> Data
     best = packages.groupBy("report_id").agg(F.min(_root_rank(crate, crate_path)).alias("rank"))
     return best.filter("rank IS NOT NULL").select(
         "report_id",
-        (F.col("rank") % (1 << 32)).cast("int").alias("pos"),
-        F.shiftright("rank", 32).cast("int").alias("tier"),
+        (F.col("rank") % (1 << _POSITION_BITS)).alias("pos"),
+        F.shiftright("rank", _POSITION_BITS).cast("int").alias("tier"),
     )
 
 

@@ -104,7 +104,7 @@ def scan_sql(view: str, rules: list[S.Rule], body: str, *more: str, views: list[
     return with_views(views or [view], body, *_scan_ctes(view, rules), *more)
 
 
-# Sites of each code snippet: (snippet, line within it, kind, pattern).
+# Sites of each code snippet in text order: (snippet, line within it, kind, pattern).
 SNIPPET_SITES = [
     (1, 1, "unsafe_fn", None),
     (1, 2, "operation", "ptr_op"),
@@ -123,24 +123,25 @@ SNIPPET_SITES = [
 ]
 
 
-def _code_sites_cte() -> str:
+def code_sites_cte(crate: str = "p_brand") -> str:
     n = len(V.CODE_SNIPPETS)
     heights = "[" + ", ".join(str(s.count("\n") + 1) for s in V.CODE_SNIPPETS) + "]"
     known = ", ".join(
-        f"({s}, {line}, {literal(kind)}, {literal(p) if p else 'NULL'})" for s, line, kind, p in SNIPPET_SITES
+        f"({i}, {s}, {line}, {literal(kind)}, {literal(p) if p else 'NULL'})"
+        for i, (s, line, kind, p) in enumerate(SNIPPET_SITES)
     )
-    return f"""chosen AS (SELECT p_brand AS crate, concat('src/', CAST(p_partkey AS VARCHAR), '.rs') AS file,
+    return f"""chosen AS (SELECT {crate} AS crate, concat('src/', CAST(p_partkey AS VARCHAR), '.rs') AS file,
   p_partkey % {n} AS a, p_size % {n} AS b, (p_partkey // {n}) % {n} AS c, {heights} AS h FROM part),
 placed AS (
   SELECT crate, file, a AS snippet, 0 AS above FROM chosen
   UNION ALL SELECT crate, file, b, h[a + 1] FROM chosen
   UNION ALL SELECT crate, file, c, h[a + 1] + h[b + 1] FROM chosen),
-known(snippet, row_no, kind, pattern) AS (VALUES {known}),
-sites AS (SELECT crate, file, CAST(above + row_no AS INTEGER) AS line, kind, pattern
+known(seq, snippet, row_no, kind, pattern) AS (VALUES {known}),
+sites AS (SELECT crate, file, CAST(above + row_no AS INTEGER) AS line, seq, kind, pattern
   FROM placed JOIN known USING (snippet))"""
 
 
-def _counters(by_kind: dict[str, str], by_pattern: dict[str, str]) -> str:
+def counters_sql(by_kind: dict[str, str], by_pattern: dict[str, str]) -> str:
     kinds = ", ".join(literal(k) for k in by_kind)
     patterns = ", ".join(literal(p) for p in by_pattern)
     parts = [f"count(*) FILTER (kind = {literal(k)}) AS {name}" for k, name in by_kind.items()]
@@ -181,11 +182,11 @@ ORACLES = {
     "text_site_scan": scan_sql(
         "text_files", S.TEXT_RULES, "SELECT crate, file, line, seq, kind, pattern FROM sites"
     ),
-    "code_site_scan": f"WITH {_code_sites_cte()}\nSELECT crate, file, line, kind, pattern FROM sites",
-    "block_pattern": f"""WITH {_code_sites_cte()}
+    "code_site_scan": f"WITH {code_sites_cte()}\nSELECT crate, file, line, kind, pattern FROM sites",
+    "block_pattern": f"""WITH {code_sites_cte()}
 SELECT crate, file, line, pattern FROM sites WHERE kind = 'unsafe_block'""",
-    "code_pattern_summary": f"WITH {_code_sites_cte()}\n"
-    + _counters(R.CODE_COUNTERS_BY_KIND, R.CODE_COUNTERS_BY_PATTERN),
+    "code_pattern_summary": f"WITH {code_sites_cte()}\n"
+    + counters_sql(R.CODE_COUNTERS_BY_KIND, R.CODE_COUNTERS_BY_PATTERN),
     "site_ids": scan_sql(
         "corpus_files",
         S.HTML_RULES,
@@ -193,7 +194,7 @@ SELECT crate, file, line, pattern FROM sites WHERE kind = 'unsafe_block'""",
         NUMBERED,
     ),
     "pattern_summary": scan_sql(
-        "corpus_files", S.HTML_RULES, _counters(R.HTML_COUNTERS_BY_KIND, R.HTML_COUNTERS_BY_PATTERN)
+        "corpus_files", S.HTML_RULES, counters_sql(R.HTML_COUNTERS_BY_KIND, R.HTML_COUNTERS_BY_PATTERN)
     ),
     "site_counts": scan_sql(
         "text_files",

@@ -57,18 +57,21 @@ CASE_RUN_COLUMNS = {
 GROUP_COLUMNS = {
     "group_id": "o_orderkey",
     "crate_id": "o_custkey",
-    "harness_dir": "CASE WHEN o_orderstatus = 'F' THEN 'h' END",
+    "harness_dir": "CASE WHEN o_orderstatus = 'F' OR o_custkey % 4 = 0 THEN 'h' END",
     "time_s": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(round(o_totalprice) AS bigint) % 4000 END",
 }
 
 PACKAGE_COLUMNS = {
     "report_id": "l_orderkey",
-    "pos": "l_linenumber",
+    "pos": "cast(l_linenumber AS bigint) * 1000000000000 + l_partkey * 100000 + l_suppkey % 1000 * 100 + cast(l_quantity AS bigint)",
     "name": "concat('p', cast(l_partkey % 5 AS string))",
     "source_path": "CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'file:///w/root%230.1.0' ELSE 'file:///w/other' END",
     "unsafe_exprs": "cast(l_quantity AS bigint)",
 }
 
+# Parts as sources of the crates that occur in the run logs, and of one that does not.
+REPORT_CRATE = "concat('c', cast(p_partkey % 13 AS string))"
+
 # Snippets of source code, chosen per part, and the sites each of them holds.
 CODE_SNIPPETS = [
     'pub fn plain(a: &[u8]) -> usize { a.len() }',
@@ -119,13 +122,13 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file of three snippets per part."""
+def code_files(spark: SparkSession, sf_dir: str, crate: str = "p_brand") -> DataFrame:
+    """One source file of three snippets per part; ``crate`` is an expression."""
     snippets = F.array(*[F.lit(s) for s in CODE_SNIPPETS])
     n = len(CODE_SNIPPETS)
     chosen = [F.col("p_partkey") % n, F.col("p_size") % n, F.floor(F.col("p_partkey") / n) % n]
     return table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("crate"),
+        F.expr(crate).alias("crate"),
         F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("file"),
         F.concat_ws("\n", *[F.element_at(snippets, (c + 1).cast("int")) for c in chosen]).alias("content"),
     )
