@@ -26,21 +26,19 @@ def case_records(strict: DataFrame, baseline: DataFrame, triage: bool = True) ->
     undefined behaviour, so only those cases take part in the join; logs of the others
     are classified where they are.
     """
-    marked = strict.withColumn("strict_ub", L.has_ub(F.col("combined_output")))
-    no_baseline = [
-        F.lit(None).cast("string").alias("baseline_output"),
-        F.lit(None).cast("bigint").alias("baseline_ms"),
-    ]
+    shows_ub = L.has_ub(F.col("combined_output"))
+    none = {"baseline_output": F.lit(None).cast("string"), "baseline_ms": F.lit(None).cast("bigint")}
     if triage:
         runs = baseline.select(
             *CASE_KEY,
             F.col("combined_output").alias("baseline_output"),
             F.col("duration_ms").alias("baseline_ms"),
         )
-        paired = marked.filter("strict_ub").join(runs, CASE_KEY, "left")
-        cases = paired.unionByName(marked.filter("NOT strict_ub").select("*", *no_baseline))
+        with_ub = strict.filter(shows_ub).withColumn("strict_ub", F.lit(True))
+        without = strict.filter(~shows_ub).withColumn("strict_ub", F.lit(False)).withColumns(none)
+        cases = with_ub.join(runs, CASE_KEY, "left").unionByName(without)
     else:
-        cases = marked.select("*", *no_baseline)
+        cases = strict.withColumn("strict_ub", shows_ub).withColumns(none)
 
     verdict = L.interpreter_verdict(
         F.col("success"), F.col("strict_ub"), L.has_ub(F.col("baseline_output"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimill.functions.text import package_key, trim_space
+from evimill.operators.rows import explode_once
 
 TARGET_KEY = ["group_id", "target"]
 
@@ -20,7 +21,7 @@ def discovered_targets(listings: DataFrame, key: str, text: Column) -> DataFrame
         F.transform(F.split(text, "\n"), trim_space),
         lambda line: (line != "") & ~F.startswith(line, F.lit("warning:")),
     )
-    return listings.select(key, F.posexplode(names).alias("pos", "target"))
+    return explode_once(listings, [key], names, "pos", "target")
 
 
 def targets_available(groups: DataFrame, configured: DataFrame, discovered: DataFrame) -> DataFrame:

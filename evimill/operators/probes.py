@@ -11,8 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimill.functions.text import json_valid, trim_space
-from evimill.functions.vocabulary import WHITESPACE
+from evimill.functions.text import NON_SPACE, json_valid, trim_space
+from evimill.operators.rows import explode_once
 
 # Verdicts from least to most severe.
 VERDICTS = ["skipped", "ok", "error"]
@@ -80,7 +80,7 @@ def line_count(text: Column) -> Column:
 
 def field_count(text: Column) -> Column:
     """Runs of characters other than white space."""
-    return F.size(F.regexp_extract_all(text, F.lit(f"[^{WHITESPACE}]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(f"{NON_SPACE}+"), F.lit(0)))
 
 
 def word_count(text: Column) -> Column:
@@ -149,19 +149,17 @@ def leading_json_lines(text: Column) -> Column:
 def tag_counts(pages: DataFrame, html: str) -> DataFrame:
     """Start tags by name."""
     names = F.regexp_extract_all(F.col(html), F.lit(r"<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))
-    return pages.select(F.explode(names).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return explode_once(pages, [], names, "pos", "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def attribute_counts(pages: DataFrame, html: str) -> DataFrame:
     """Attributes of start tags by name."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"<[A-Za-z][A-Za-z0-9]*( [^<>]*)>"), F.lit(1))
     names = F.regexp_extract_all(F.col("inside"), F.lit(r' ([A-Za-z-]+)="[^"]*"'), F.lit(1))
-    return (
-        pages.select(F.explode(tags).alias("inside"))
-        .select(F.explode(names).alias("attribute"))
-        .groupBy("attribute")
-        .agg(F.count(F.lit(1)).alias("n"))
+    attributes = explode_once(
+        explode_once(pages, [], tags, "tag", "inside"), [], names, "pos", "attribute"
     )
+    return attributes.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
 
 
 def event_counts(html: Column) -> dict[str, Column]:
@@ -204,23 +202,44 @@ def probe_rollup(results: DataFrame) -> DataFrame:
     return rolled.select("probe", worst.alias("status"), *[f"n_{v}" for v in VERDICTS], "total")
 
 
-def text_probes(text: Column) -> dict[str, Column]:
-    """Probes of plain text."""
-    found = first_offset(text, "the")
-    return {
-        "find": verdict(found.isNotNull(), F.coalesce(found, F.lit(0))),
-        "count": verdict(F.lit(True), occurrences(text, "the")),
-        "fields": verdict(field_count(text) > 0, field_count(text)),
-        "lines": verdict(F.lit(True), line_count(text)),
-        "json": verdict(json_valid(text), F.length(text), skipped=~F.startswith(text, F.lit("{"))),
-    }
+def probe_texts(items: DataFrame, key: str, text: Column) -> DataFrame:
+    """Probes of plain text; what more than one of them needs is computed once per item."""
+    looks_like_json = F.startswith(text, F.lit("{"))
+    measured = items.select(
+        key,
+        first_offset(text, "the").alias("at"),
+        occurrences(text, "the").alias("occurrences"),
+        field_count(text).alias("fields"),
+        line_count(text).alias("lines"),
+        F.when(looks_like_json, json_valid(text)).alias("json"),
+        F.length(text).alias("length"),
+    )
+    return run_probes(
+        measured,
+        key,
+        {
+            "find": verdict(F.col("at").isNotNull(), F.coalesce("at", F.lit(0))),
+            "count": verdict(F.lit(True), F.col("occurrences")),
+            "fields": verdict(F.col("fields") > 0, F.col("fields")),
+            "lines": verdict(F.lit(True), F.col("lines")),
+            "json": verdict(F.col("json"), F.col("length"), skipped=F.col("json").isNull()),
+        },
+    )
 
 
-def json_probes(text: Column) -> dict[str, Column]:
+def probe_json_texts(items: DataFrame, key: str, text: Column) -> DataFrame:
     """Probes of texts that should be JSON."""
-    return {
-        "json_whole": verdict(json_valid(text), F.length(text), skipped=text == ""),
-        "json_field": verdict(
-            F.get_json_object(text, "$.k").isNotNull(), F.length(text), skipped=~json_valid(text)
-        ),
-    }
+    measured = items.select(
+        key,
+        json_valid(text).alias("valid"),
+        F.get_json_object(text, "$.k").isNotNull().alias("has_field"),
+        F.length(text).alias("length"),
+    )
+    return run_probes(
+        measured,
+        key,
+        {
+            "json_whole": verdict(F.col("valid"), F.col("length"), skipped=F.col("length") == 0),
+            "json_field": verdict(F.col("has_field"), F.col("length"), skipped=~F.col("valid")),
+        },
+    )

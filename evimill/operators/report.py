@@ -69,6 +69,14 @@ def site_counts(crates: DataFrame, scanned: DataFrame) -> DataFrame:
     )
 
 
+def summary_counts(crates: DataFrame, summary: DataFrame) -> DataFrame:
+    """Crates with all counters of their summary, and their sum ``n_sites``; 0 where there is none."""
+    counters = [c for c in summary.columns if c != "crate"]
+    filled = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counters]
+    joined = crates.select("crate").join(summary, "crate", "left").select("crate", *filled)
+    return joined.withColumn("n_sites", sum((F.col(c) for c in counters), F.lit(0).cast("bigint")))
+
+
 def review_priority(sites: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """The ten sites per crate to look at first.
 
@@ -151,14 +159,13 @@ def markdown_evidence(records: DataFrame) -> DataFrame:
     return records.withColumn("text", row)
 
 
-def markdown_inventory(summary: DataFrame, counts: DataFrame) -> DataFrame:
-    """(crate, ordinal, text): the counter lines of every crate, zeros included."""
-    joined = counts.join(summary, "crate", "left")
-    lines = [F.concat(F.lit("- sites: "), F.col("n_sites").cast("string"))] + [
-        F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(name), F.lit(0)).cast("string"))
-        for label, name in INVENTORY_LINES
+def markdown_inventory(counts: DataFrame) -> DataFrame:
+    """(crate, ordinal, text): the counter lines of every crate of :func:`summary_counts`."""
+    lines = [
+        F.concat(F.lit(f"- {label}: "), F.col(name).cast("string"))
+        for label, name in [("sites", "n_sites"), *INVENTORY_LINES]
     ]
-    return joined.select("crate", F.posexplode(F.array(*lines)).alias("ordinal", "text"))
+    return counts.select("crate", F.posexplode(F.array(*lines)).alias("ordinal", "text"))
 
 
 def markdown_review(review: DataFrame) -> DataFrame:
@@ -176,16 +183,16 @@ def markdown_execution(settings: dict[str, str], title: str) -> list[str]:
 
 
 def markdown_report(
-    overview_table: DataFrame, inventory: DataFrame, evidence: DataFrame, review: DataFrame, order: list[str]
+    inventory: DataFrame, evidence: DataFrame, review: DataFrame, order: list[str]
 ) -> DataFrame:
-    """(crate, section, ordinal, text) of a whole report, headings included, unsorted.
+    """(crate, section, ordinal, text) of the part of a report below its overview, unsorted.
 
-    ``order`` names the columns of ``evidence`` that order the records of a crate.
+    ``inventory`` names the crates, ``order`` the columns of ``evidence`` that order the
+    records of a crate. Headings have negative ordinals.
     """
     numbered = with_offset(evidence, "crate", order, F.lit(1), "ordinal")
-    crates = overview_table.select("crate")
 
-    def heading(section: int, *lines: Column) -> DataFrame:
+    def heading(section: int, crates: DataFrame, *lines: Column) -> DataFrame:
         return crates.select(
             "crate", F.lit(section).alias("section"), F.posexplode(F.array(*lines)).alias("n", "text")
         ).select("crate", "section", (F.col("n") - len(lines)).cast("bigint").alias("ordinal"), "text")
@@ -196,22 +203,19 @@ def markdown_report(
         )
 
     title = F.concat(F.lit("## Crate `"), F.col("crate"), F.lit("`"))
-    with_review = review.select("crate").distinct()
-    review_heading = heading(3, F.lit(""), F.lit("### Review priority"), F.lit("")).join(
-        with_review, "crate", "left_semi"
-    )
+    blank = F.lit("")
+    table_head = [
+        F.lit("| phase | name | status | summary | detail | log |"),
+        F.lit("| --- | --- | --- | --- | --- | --- |"),
+    ]
+    every_crate = inventory.filter("ordinal = 0")
+    reviewed = review.filter("ordinal = 1")
     return (
-        heading(1, F.lit(""), title, F.lit(""), F.lit("### Unsafe inventory"), F.lit(""))
+        heading(1, every_crate, blank, title, blank, F.lit("### Unsafe inventory"), blank)
         .unionByName(body(1, inventory))
-        .unionByName(
-            heading(
-                2, F.lit(""), F.lit("### Dynamic evidence"), F.lit(""),
-                F.lit("| phase | name | status | summary | detail | log |"),
-                F.lit("| --- | --- | --- | --- | --- | --- |"),
-            )
-        )
+        .unionByName(heading(2, every_crate, blank, F.lit("### Dynamic evidence"), blank, *table_head))
         .unionByName(body(2, numbered))
-        .unionByName(review_heading)
+        .unionByName(heading(3, reviewed, blank, F.lit("### Review priority"), blank))
         .unionByName(body(3, review))
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimill.operators.numbering import with_offset
+from evimill.operators.rows import explode_once
 
 
 @dataclass(frozen=True)
@@ -229,7 +230,7 @@ def _rule_column(rules: list[Rule], attribute: str) -> Column:
 def site_rows(scanned: DataFrame, rules: list[Rule], *extra: str) -> DataFrame:
     """One row per site: (crate, file, pos, line, seq, rule_id, kind, pattern)."""
     return (
-        scanned.select("crate", "file", *extra, F.posexplode("sites").alias("pos", "site"))
+        explode_once(scanned, ["crate", "file", *extra], F.col("sites"), "pos", "site")
         .select("crate", "file", *extra, "pos", "site.*")
         .withColumn("kind", _rule_column(rules, "kind"))
         .withColumn("pattern", _rule_column(rules, "pattern"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PROFILE_CAPS
+from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PHASE_KINDS, PROFILE_CAPS
 from evimill.operators.numbering import with_offset
+from evimill.operators.rows import explode_once
 
 # Fixed values of an entry added by default.
 DEFAULT_CASE = {"name": "upstream_full", "scope": "full_suite"}
@@ -16,7 +17,7 @@ DEFAULT_GROUP = {"name": "existing_targets", "take_all": True}
 def study_cases(crates: DataFrame) -> DataFrame:
     """Interpreter cases of a nested study, one row each, defaults filled in."""
     return (
-        crates.select(F.col("name").alias("crate"), F.posexplode("miri_case").alias("ordinal", "c"))
+        explode_once(crates, [F.col("name").alias("crate")], F.col("miri_case"), "ordinal", "c")
         .select(
             "crate",
             "ordinal",
@@ -34,7 +35,7 @@ def study_cases(crates: DataFrame) -> DataFrame:
 def study_groups(crates: DataFrame) -> DataFrame:
     """Fuzz groups of a nested study, one row each, defaults filled in."""
     return (
-        crates.select(F.col("name").alias("crate"), F.posexplode("fuzz_group").alias("ordinal", "g"))
+        explode_once(crates, [F.col("name").alias("crate")], F.col("fuzz_group"), "ordinal", "g")
         .select(
             "crate",
             "ordinal",
@@ -77,9 +78,8 @@ def study_entries(crates: DataFrame) -> DataFrame:
 
 def group_targets(groups: DataFrame) -> DataFrame:
     """Configured targets of groups, in configured order."""
-    return groups.select(
-        "crate", F.col("name").alias("group_name"), F.posexplode("targets").alias("ordinal", "target")
-    )
+    keep = ["crate", F.col("name").alias("group_name")]
+    return explode_once(groups, keep, F.col("targets"), "ordinal", "target")
 
 
 def select_phases(records: DataFrame, phases: list[str]) -> DataFrame:
@@ -93,8 +93,6 @@ def site_count_label(scan_selected: bool, count: Column) -> Column:
 
 def phase_label(phases: list[str]) -> str:
     """Selected phases for display, in report order."""
-    from evimill.functions.vocabulary import PHASE_KINDS
-
     return ", ".join(kind for kind in PHASE_KINDS if kind in phases) or "-"
 
 

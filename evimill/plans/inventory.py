@@ -26,7 +26,7 @@ def discovered_targets(spark, sf_dir):
 
 def discovered_lines(spark, sf_dir):
     """The same over whole documents, as listings of many lines."""
-    documents = V.table(spark, sf_dir, "documents")
+    documents = V.text_table(spark, sf_dir, "documents", "doc_id")
     return I.discovered_targets(documents, "doc_id", F.col("text"))
 
 

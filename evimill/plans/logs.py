@@ -94,12 +94,12 @@ def log_path_names(spark, sf_dir):
 
 
 def log_excerpt(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+    return V.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 def duration_label(spark, sf_dir):
     """Log durations, and the event number times 50 for every possible tie of tenths."""
-    events = V.table(spark, sf_dir, "events")
+    events = V.text_table(spark, sf_dir, "events", "event_id")
     ms = F.expr("cast(round(value * 1000) AS bigint)")
     return events.select(
         "event_id",
@@ -110,7 +110,7 @@ def duration_label(spark, sf_dir):
 
 def utf8_repair(spark, sf_dir):
     """Documents with one invalid byte put in after the first twenty characters."""
-    documents = V.table(spark, sf_dir, "documents")
+    documents = V.text_table(spark, sf_dir, "documents", "doc_id")
     broken = F.concat(
         F.encode(F.left("text", F.lit(20)), "utf-8"),
         F.unhex(F.lit("FF")),

@@ -12,11 +12,11 @@ from evimill.sources import views as V
 
 
 def _documents(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents")
+    return V.text_table(spark, sf_dir, "documents", "doc_id")
 
 
 def _events(spark, sf_dir):
-    return V.table(spark, sf_dir, "events")
+    return V.text_table(spark, sf_dir, "events", "event_id")
 
 
 def _broken_json():
@@ -113,16 +113,16 @@ def probe_json_lines(spark, sf_dir):
 
 
 def probe_markup_tags(spark, sf_dir):
-    return P.tag_counts(V.table(spark, sf_dir, "pages"), "html")
+    return P.tag_counts(V.text_table(spark, sf_dir, "pages", "page_id"), "html")
 
 
 def probe_markup_attrs(spark, sf_dir):
-    return P.attribute_counts(V.table(spark, sf_dir, "pages"), "html")
+    return P.attribute_counts(V.text_table(spark, sf_dir, "pages", "page_id"), "html")
 
 
 def probe_markup_events(spark, sf_dir):
     counts = P.event_counts(F.col("html"))
-    return V.table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in counts.items()])
+    return V.text_table(spark, sf_dir, "pages", "page_id").select("page_id", *[c.alias(n) for n, c in counts.items()])
 
 
 def probe_prefix(spark, sf_dir):
@@ -150,9 +150,10 @@ def probe_magic(spark, sf_dir):
 
 def probe_verdicts(spark, sf_dir):
     """Verdicts of all probes, documents and events each read once."""
-    documents = P.run_probes(_documents(spark, sf_dir), "doc_id", P.text_probes(F.col("text")))
-    events = _events(spark, sf_dir).select("event_id", _broken_json().alias("candidate"))
-    return documents.unionByName(P.run_probes(events, "event_id", P.json_probes(F.col("candidate"))))
+    documents = P.probe_texts(_documents(spark, sf_dir), "doc_id", F.col("text"))
+    return documents.unionByName(
+        P.probe_json_texts(_events(spark, sf_dir), "event_id", _broken_json())
+    )
 
 
 QUERIES = {

@@ -13,6 +13,7 @@ from evimill.plans.corpus import NUMBERED, code_sites_cte, counters_sql, scan_sq
 from evimill.plans.dialect import literal, with_views
 from evimill.plans.logs import RECORDS_CTE, SEVERITY_SQL, excerpt_sql
 from evimill.sources import views as V
+from evimill.sources.shared import written_once
 
 KIND_ORDER = "array_position(array('geiger', 'miri', 'fuzz'), kind)"
 
@@ -49,7 +50,7 @@ def _overview(spark, sf_dir):
 
 def overview_without_scan(spark, sf_dir):
     """The overview when the scan was not selected: ``-``, not 0."""
-    counts = R.site_counts(_crates(spark, sf_dir), _scanned(spark, sf_dir))
+    counts = _crates(spark, sf_dir).withColumn("n_sites", F.lit(None).cast("bigint"))
     return R.overview(counts, logs.records(spark, sf_dir), scan_selected=False)
 
 
@@ -61,33 +62,39 @@ def markdown_evidence(spark, sf_dir):
     return R.markdown_evidence(logs.records(spark, sf_dir)).select("crate", "run_id", "text")
 
 
-def _inventory(spark, sf_dir):
-    scanned = _scanned(spark, sf_dir)
-    summary = R.pattern_summary(S.site_rows(scanned, S.CODE_RULES))
-    return R.markdown_inventory(summary, R.site_counts(_crates(spark, sf_dir), scanned))
+def markdown_inventory(spark, sf_dir):
+    summary = R.pattern_summary(S.site_rows(_scanned(spark, sf_dir), S.CODE_RULES))
+    return R.markdown_inventory(R.summary_counts(_crates(spark, sf_dir), summary))
 
 
 def markdown_review(spark, sf_dir):
     return R.markdown_review(code_review_priority(spark, sf_dir))
 
 
+def _shared(spark, sf_dir):
+    """Sites and records, each computed once for all the tables of a report."""
+    sites = S.numbered_sites(_scanned(spark, sf_dir), S.CODE_RULES)
+    records = logs.records(spark, sf_dir).withColumn("kind_ord", F.expr(KIND_ORDER))
+    return written_once(sites, "sites"), written_once(records, "records")
+
+
 def markdown_report(spark, sf_dir):
     """Every line of the report; sorted only by the sink."""
-    evidence = R.markdown_evidence(logs.records(spark, sf_dir)).withColumn("kind_ord", F.expr(KIND_ORDER))
+    sites, records = _shared(spark, sf_dir)
+    counts = R.summary_counts(_crates(spark, sf_dir), R.pattern_summary(sites))
+    evidence = R.markdown_evidence(records).select("crate", "kind_ord", "run_id", "text")
     return R.markdown_report(
-        _overview(spark, sf_dir),
-        _inventory(spark, sf_dir),
-        evidence.select("crate", "kind_ord", "run_id", "text"),
-        markdown_review(spark, sf_dir),
+        R.markdown_inventory(counts),
+        evidence,
+        R.markdown_review(R.review_priority(sites, records)),
         ["kind_ord", "run_id"],
     )
 
 
 def report_nested(spark, sf_dir):
-    scanned = _scanned(spark, sf_dir)
-    sites = S.numbered_sites(scanned, S.CODE_RULES)
-    records = logs.records(spark, sf_dir).withColumn("kind_ord", F.expr(KIND_ORDER))
-    heads = R.site_counts(_crates(spark, sf_dir), scanned).select(
+    sites, records = _shared(spark, sf_dir)
+    counts = R.summary_counts(_crates(spark, sf_dir), R.pattern_summary(sites))
+    heads = counts.select(
         "crate",
         F.concat(F.lit("targets/"), F.col("crate")).alias("path"),
         F.lit(None).cast("string").alias("cohort"),
@@ -106,7 +113,7 @@ QUERIES = {
     "overview_without_scan": overview_without_scan,
     "markdown_overview": markdown_overview,
     "markdown_evidence": markdown_evidence,
-    "markdown_inventory": _inventory,
+    "markdown_inventory": markdown_inventory,
     "markdown_review": markdown_review,
     "markdown_report": markdown_report,
     "report_nested": report_nested,

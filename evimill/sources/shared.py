@@ -1,0 +1,37 @@
+"""Intermediate results that more than one part of a report reads."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+_SETTING = "spark.checkpoint.dir"
+
+
+def _shared_folder(df: DataFrame) -> str | None:
+    """The folder the cluster names; a temporary one only where everything is one machine."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
+    if folder:
+        return folder
+    if context.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="evimill-")
+    return None
+
+
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    A report has several tables that start from the sites and the records. Written once
+    they are neither computed again for each of them nor lost with an executor, and every
+    reader takes only the columns it needs. Without a shared folder the rows are computed
+    where they are used.
+    """
+    folder = _shared_folder(df)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

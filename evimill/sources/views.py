@@ -90,13 +90,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows cost much more to work on than to move.
+
+    A file of a single row group is a single task however many cores there are. If the scan
+    has fewer splits than the cluster has cores, its rows are spread over all of them by
+    key; a scan of many splits, as any large table is, stays without a shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(e).alias(name) for name, e in columns.items()])
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a source tree: one crate per host."""
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages", "page_id").select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("crate"),
         F.col("url").alias("file"),
         F.col("page_id").alias("file_id"),
@@ -106,7 +118,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the sources of the crates that occur in the run logs."""
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages", "page_id").select(
         F.expr("concat('c', cast(page_id % 13 AS string))").alias("crate"),
         F.col("url").alias("file"),
         F.col("html").alias("content"),
@@ -115,7 +127,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a source tree: one crate per source, one directory per language."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("source").alias("crate"),
         F.expr("concat(lang, '/', cast(doc_id AS string))").alias("file"),
         F.col("text").alias("content"),
@@ -127,7 +139,7 @@ def code_files(spark: SparkSession, sf_dir: str, crate: str = "p_brand") -> Data
     snippets = F.array(*[F.lit(s) for s in CODE_SNIPPETS])
     n = len(CODE_SNIPPETS)
     chosen = [F.col("p_partkey") % n, F.col("p_size") % n, F.floor(F.col("p_partkey") / n) % n]
-    return table(spark, sf_dir, "part").select(
+    return text_table(spark, sf_dir, "part", "p_partkey").select(
         F.expr(crate).alias("crate"),
         F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("file"),
         F.concat_ws("\n", *[F.element_at(snippets, (c + 1).cast("int")) for c in chosen]).alias("content"),
@@ -149,7 +161,7 @@ def baseline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn(
+    return text_table(spark, sf_dir, "events", "event_id").withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
 
