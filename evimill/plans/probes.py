@@ -67,7 +67,7 @@ def probe_tokens(spark, sf_dir):
 def probe_trim(spark, sf_dir):
     """Every line of the documents, trimmed at both ends and at either."""
     lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    padded = F.concat(F.lit(" \t"), F.col("line"), F.lit("　 "))
+    padded = F.concat(F.lit(" \t"), F.col("line"), F.lit("\u3000 "))
     return lines.select(
         "doc_id",
         "pos",

@@ -1,0 +1,30 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from evimill.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("8", memory="6g")
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def evaluate(spark):
+    """Values of a column expression over rows given as tuples."""
+
+    def run(rows, schema, expression):
+        numbered = spark.createDataFrame(
+            [(i, *row) for i, row in enumerate(rows)], f"_i int, {schema}"
+        )
+        return [r["v"] for r in numbered.select("_i", expression.alias("v")).orderBy("_i").collect()]
+
+    return run
