@@ -277,3 +277,16 @@ def package_counts(report_line: Column, crate: Column, crate_path: Column) -> Co
     root = F.array_min(F.filter(packages, lambda p: p["tier"].isNotNull()))
     total = F.aggregate(packages, F.lit(0).cast("bigint"), lambda s, p: s + p["n"])
     return F.struct(root["n"].alias("root_unsafe"), (total - root["n"]).alias("dependency_unsafe"))
+
+
+# ---- any tool ---------------------------------------------------------------------------
+
+
+def run_status(kind: Column, success: Column, text: Column) -> Column:
+    """Status of one run of any tool; an interpreter run counts as strict, without baseline."""
+    verdict = interpreter_verdict(success, has_ub(text), F.lit(None).cast("boolean"))
+    return (
+        F.when(kind == "geiger", counter_status(success, text))
+        .when(kind == "miri", verdict_status(verdict))
+        .when(kind == "fuzz", fuzz_status(success, text))
+    )

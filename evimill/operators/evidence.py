@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evimill.functions import logs as L
 from evimill.functions.text import excerpt, log_path
-from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS
+from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PHASE_KINDS
+from evimill.operators.numbering import with_offset
 
 CASE_KEY = ["crate", "case_name"]
 
@@ -71,24 +72,17 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
     is_counter, is_interpreter, is_fuzzer = kind == "geiger", kind == "miri", kind == "fuzz"
     extra = [c for c in runs.columns if c not in {*RECORD_COLUMNS, "success", "combined_output"}]
 
-    counted = (
-        runs.withColumn("_line", F.when(is_counter, L.last_report_line(text)))
-        .withColumn("_counts", L.package_counts(F.col("_line"), F.col("crate"), crate_path))
-        .withColumn(
-            "verdict",
-            F.when(
-                is_interpreter,
-                L.interpreter_verdict(success, L.has_ub(text), F.lit(None).cast("boolean")),
+    no_baseline = F.lit(None).cast("boolean")
+    counted = runs.withColumns(
+        {
+            "_line": F.when(is_counter, L.last_report_line(text)),
+            "verdict": F.when(
+                is_interpreter, L.interpreter_verdict(success, L.has_ub(text), no_baseline)
             ),
-        )
-        .withColumn("runs", F.when(is_fuzzer, L.fuzz_runs(text)))
-        .withColumn(
-            "status",
-            F.when(is_counter, L.counter_status(success, text))
-            .when(is_interpreter, L.verdict_status(F.col("verdict")))
-            .when(is_fuzzer, L.fuzz_status(success, text)),
-        )
-    )
+            "runs": F.when(is_fuzzer, L.fuzz_runs(text)),
+            "status": L.run_status(kind, success, text),
+        }
+    ).withColumn("_counts", L.package_counts(F.col("_line"), F.col("crate"), crate_path))
     status = F.col("status")
     summary = (
         F.when(
@@ -115,6 +109,34 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
     )
 
 
+def run_statuses(runs: DataFrame) -> DataFrame:
+    """(crate, kind, status) alone, for the roll-ups that need no more of a record."""
+    status = L.run_status(F.col("kind"), F.col("success"), F.col("combined_output"))
+    return runs.select("crate", "kind", status.alias("status"))
+
+
+# Stages of the records of a fuzz group, in report order.
+GROUP_STAGES = ["missing", "build", "run"]
+
+
+def record_positions(records: DataFrame, target_order: str) -> DataFrame:
+    """Records with their 1-based position in the report of their crate.
+
+    Kinds come in report order, then groups by name, then the stages of a group, then
+    ``target_order``, which must be unique within all that.
+    """
+    kinds, stages = (F.array(*[F.lit(v) for v in values]) for values in (PHASE_KINDS, GROUP_STAGES))
+    keyed = records.withColumns(
+        {
+            "_kind": F.array_position(kinds, F.col("kind")),
+            "_stage": F.array_position(stages, F.col("stage")),
+        }
+    )
+    order = ["_kind", "group_name", "_stage", target_order]
+    placed = with_offset(keyed, "crate", order, F.lit(1), "position")
+    return placed.withColumn("position", F.col("position") + 1).drop("_kind", "_stage")
+
+
 def union_records(*parts: DataFrame) -> DataFrame:
     """Records of several sources; evidence fields a source does not know are null."""
     union = parts[0]

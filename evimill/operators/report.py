@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from evimill.functions.text import escape_bars, excerpt, table_cell
 from evimill.functions.vocabulary import REVIEW_ROWS, REVIEW_SUFFIX, REVIEW_WORDS
 from evimill.operators.evidence import finding_flags, status_columns
 from evimill.operators.numbering import with_offset
+from evimill.operators.study_plan import RunSettings, phase_label
 
 # Counters of source-code sites: a kind listed here counts as that kind whatever its
 # pattern, other sites count by pattern.
@@ -177,31 +180,54 @@ def markdown_review(review: DataFrame) -> DataFrame:
     return review.select("crate", F.col("rank").alias("ordinal"), item.alias("text"))
 
 
-def markdown_execution(settings: dict[str, str], title: str) -> list[str]:
-    """Lines before the first table; settings are names and display values."""
-    return [f"# {title}", "", "## Execution", ""] + [f"- {k}: `{v}`" for k, v in settings.items()]
+def markdown_head(settings: RunSettings, title: str) -> list[str]:
+    """Lines before the rows of the overview table."""
+    facts = settings.as_document()["execution"]
+    selected = [kind for kind, on in facts["phases"].items() if on]
+    shown = {
+        "profile": facts["profile"],
+        "jobs": facts["jobs"],
+        "fuzz_jobs": facts["fuzz_jobs"],
+        "phases": phase_label(selected),
+        "miri_triage": str(facts["miri_triage"]).lower(),
+        "default_fuzz_time": "-" if facts["fuzz_time"] is None else f"{facts['fuzz_time']}s",
+        "fuzz_env": ", ".join(f"{k}={v}" for k, v in facts["fuzz_env"].items()) or "-",
+    }
+    return [
+        f"# {title}", "", "Schema version: `1`", "", f"Study: `{settings.study_name}`", "",
+        "## Execution", "", *[f"- {name}: `{value}`" for name, value in shown.items()], "",
+        "## Study overview", "",
+        "| crate | unsafe sites | geiger | miri | fuzz |",
+        "| --- | ---: | --- | --- | --- |",
+    ]
+
+
+# Order of the lines of a report.
+REPORT_ORDER = ["part", "crate", "section", "ordinal"]
 
 
 def markdown_report(
-    inventory: DataFrame, evidence: DataFrame, review: DataFrame, order: list[str]
+    head: list[str], overview_lines: DataFrame, inventory: DataFrame, evidence: DataFrame,
+    review: DataFrame, order: list[str],
 ) -> DataFrame:
-    """(crate, section, ordinal, text) of the part of a report below its overview, unsorted.
+    """All lines of a report with the columns that order them, unsorted.
 
+    Part 0 is the head, part 1 the overview with a row per crate, part 2 the crates.
     ``inventory`` names the crates, ``order`` the columns of ``evidence`` that order the
     records of a crate. Headings have negative ordinals.
     """
     numbered = with_offset(evidence, "crate", order, F.lit(1), "ordinal")
 
-    def heading(section: int, crates: DataFrame, *lines: Column) -> DataFrame:
-        return crates.select(
-            "crate", F.lit(section).alias("section"), F.posexplode(F.array(*lines)).alias("n", "text")
-        ).select("crate", "section", (F.col("n") - len(lines)).cast("bigint").alias("ordinal"), "text")
-
-    def body(section: int, df: DataFrame) -> DataFrame:
+    def lines(part: int, section: int, df: DataFrame, ordinal: Column) -> DataFrame:
         return df.select(
-            "crate", F.lit(section).alias("section"), F.col("ordinal").cast("bigint").alias("ordinal"), "text"
+            F.lit(part).alias("part"), "crate", F.lit(section).alias("section"),
+            ordinal.cast("bigint").alias("ordinal"), "text",
         )
 
+    def heading(section: int, crates: DataFrame, *texts: Column) -> DataFrame:
+        exploded = crates.select("crate", F.posexplode(F.array(*texts)).alias("n", "text"))
+        return lines(2, section, exploded, F.col("n") - len(texts))
+
     title = F.concat(F.lit("## Crate `"), F.col("crate"), F.lit("`"))
     blank = F.lit("")
     table_head = [
@@ -210,13 +236,18 @@ def markdown_report(
     ]
     every_crate = inventory.filter("ordinal = 0")
     reviewed = review.filter("ordinal = 1")
+    head_rows = inventory.sparkSession.createDataFrame(
+        [("", i, text) for i, text in enumerate(head)], "crate string, ordinal int, text string"
+    )
     return (
-        heading(1, every_crate, blank, title, blank, F.lit("### Unsafe inventory"), blank)
-        .unionByName(body(1, inventory))
+        lines(0, 0, head_rows, F.col("ordinal"))
+        .unionByName(lines(1, 0, overview_lines, F.lit(0)))
+        .unionByName(heading(1, every_crate, blank, title, blank, F.lit("### Unsafe inventory"), blank))
+        .unionByName(lines(2, 1, inventory, F.col("ordinal")))
         .unionByName(heading(2, every_crate, blank, F.lit("### Dynamic evidence"), blank, *table_head))
-        .unionByName(body(2, numbered))
+        .unionByName(lines(2, 2, numbered, F.col("ordinal")))
         .unionByName(heading(3, reviewed, blank, F.lit("### Review priority"), blank))
-        .unionByName(body(3, review))
+        .unionByName(lines(2, 3, review, F.col("ordinal")))
     )
 
 
@@ -224,13 +255,13 @@ def markdown_report(
 
 
 def nested_report(
-    crates: DataFrame, sites: DataFrame, records: DataFrame, review: DataFrame,
+    settings: RunSettings, crates: DataFrame, sites: DataFrame, records: DataFrame, review: DataFrame,
     record_order: list[str], chunk_rows: int = 500,
 ) -> DataFrame:
     """(crate, section, chunk, document): the report as JSON documents of bounded size.
 
-    A crate has one head with its review rows, and its sites and records in chunks of
-    ``chunk_rows``, numbered in order. A crate of any size is a number of documents, never
+    One document states the settings. A crate has one head with its review rows, and its
+    sites and records in chunks of ``chunk_rows``, numbered in order. A crate of any size is a number of documents, never
     one row; :func:`evimill.sources.reports.read_report` puts the tables together again.
 
     ``crates`` holds one row per crate with the columns of its head, ``sites`` carries
@@ -262,8 +293,13 @@ def nested_report(
         F.to_json(head, keep_nulls).alias("document"),
     )
     record_fields = [c for c in records.columns if c not in {"crate", *record_order}]
+    study = crates.sparkSession.createDataFrame(
+        [(None, "study", 0, json.dumps(settings.as_document(), separators=(",", ":")))],
+        "crate string, section string, chunk bigint, document string",
+    )
     return (
-        heads.unionByName(
+        study.unionByName(heads)
+        .unionByName(
             documents("sites", sites, F.col("number"), ["site_id", "file", "line", "kind", "pattern"])
         )
         .unionByName(documents("phases", numbered, F.col("_offset") + 1, record_fields))

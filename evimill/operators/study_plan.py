@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,38 @@ from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PHASE_KINDS, PR
 from evimill.operators.numbering import with_offset
 from evimill.operators.rows import explode_once
 
+FORMATS = ["json", "markdown"]
+
+
+@dataclass(frozen=True)
+class RunSettings:
+    """Settings of a run, as a report states them."""
+
+    study_name: str = "study"
+    profile: str = "full"
+    jobs: int = 1
+    fuzz_jobs: int = 1
+    phases: tuple[str, ...] = tuple(PHASE_KINDS)
+    miri_triage: bool = False
+    fuzz_time: int | None = None
+    fuzz_env: dict[str, str] = field(default_factory=dict)
+
+    def as_document(self) -> dict:
+        return {
+            "schema_version": 1,
+            "study_name": self.study_name,
+            "execution": {
+                "profile": self.profile,
+                "jobs": max(self.jobs, 1),
+                "fuzz_jobs": max(self.fuzz_jobs, 1),
+                "phases": {kind: kind in self.phases for kind in PHASE_KINDS},
+                "miri_triage": self.miri_triage,
+                "fuzz_time": self.fuzz_time,
+                "fuzz_env": dict(sorted(self.fuzz_env.items())),
+            },
+        }
+
+
 # Fixed values of an entry added by default.
 DEFAULT_CASE = {"name": "upstream_full", "scope": "full_suite"}
 DEFAULT_GROUP = {"name": "existing_targets", "take_all": True}
@@ -102,7 +136,8 @@ def select_crates(df: DataFrame, names: DataFrame | list[str], column: str = "cr
     A list is a filter that reaches the scan, a DataFrame is a semi join.
     """
     if isinstance(names, DataFrame):
-        return df.join(names.select(F.col(names.columns[0]).alias(column)), column, "left_semi")
+        wanted = names.select(F.col(names.columns[0]).alias(column)).distinct()
+        return df.join(wanted, column, "left_semi")
     return df.filter(F.col(column).isin(names))
 
 

@@ -70,6 +70,29 @@ def records(spark, sf_dir):
     return E.phase_records(V.run_logs(spark, sf_dir), _crate_path())
 
 
+def statuses(spark, sf_dir):
+    return E.run_statuses(V.run_logs(spark, sf_dir))
+
+
+def argv_display(spark, sf_dir):
+    """Command lines of the runs: program, arguments of the tool, then the target."""
+    args = F.array(F.col("kind"), F.when(F.col("kind") == "fuzz", F.lit("run")).otherwise(F.lit("test")), F.col("name"))
+    return V.run_logs(spark, sf_dir).select("run_id", T.argv_text(F.lit("cargo"), args).alias("command"))
+
+
+def record_order(spark, sf_dir):
+    """Positions of fuzz records: targets that are missing, that did not build, that ran."""
+    runs = V.run_logs(spark, sf_dir).filter("kind = 'fuzz'")
+    stage = F.when(L.missing_source(_text()).isNotNull(), F.lit("missing")).when(
+        _text().contains("failed to execute"), F.lit("build")
+    )
+    staged = runs.select(
+        "run_id", "crate", "kind", F.col("name").alias("group_name"),
+        F.coalesce(stage, F.lit("run")).alias("stage"),
+    )
+    return E.record_positions(staged, "run_id").select("run_id", "crate", "stage", "position")
+
+
 def phase_totals(spark, sf_dir):
     """Durations of interpreter cases: strict and baseline milliseconds."""
     return E.phase_totals(strict_baseline_verdict(spark, sf_dir))
@@ -141,7 +164,9 @@ QUERIES = {
     "phase_records": records,
     "heterogeneous_records": heterogeneous_records,
     "phase_totals": phase_totals,
-    "status_rollup": lambda spark, sf_dir: E.status_rollup(records(spark, sf_dir)),
+    "record_order": record_order,
+    "argv_display": argv_display,
+    "status_rollup": lambda spark, sf_dir: E.status_rollup(statuses(spark, sf_dir)),
 }
 
 
@@ -320,6 +345,18 @@ UNION ALL SELECT crate, kind, name, status, duration_ms, {FUZZ_SUMMARY_SQL}, NUL
 FROM case_records GROUP BY crate""",
         CASES_CTE,
     ),
+    "record_order": with_views(
+        ["run_logs"],
+        """SELECT run_id, crate, stage, row_number() OVER (PARTITION BY crate
+  ORDER BY name, list_position(['missing', 'build', 'run'], stage), run_id) AS position
+FROM (SELECT *, CASE WHEN contains(combined_output, 'can''t find bin') THEN 'missing'
+  WHEN contains(combined_output, 'failed to execute') THEN 'build' ELSE 'run' END AS stage FROM run_logs WHERE kind = 'fuzz')""",
+    ),
+    "argv_display": with_views(
+        ["run_logs"],
+        """SELECT run_id, concat('cargo ', kind, CASE kind WHEN 'fuzz' THEN ' run ' ELSE ' test ' END, name) AS command
+FROM run_logs""",
+    ),
     "status_rollup": with_views(
         ["run_logs"],
         f"SELECT crate, kind, arg_max(status, {SEVERITY_SQL}) AS status FROM records GROUP BY crate, kind",

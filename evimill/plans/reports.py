@@ -8,6 +8,7 @@ from evimill.functions import vocabulary as W
 from evimill.operators import evidence as E
 from evimill.operators import report as R
 from evimill.operators import site_scan as S
+from evimill.operators.study_plan import RunSettings
 from evimill.plans import logs
 from evimill.plans.corpus import NUMBERED, code_sites_cte, counters_sql, scan_sql
 from evimill.plans.dialect import literal, with_views
@@ -15,6 +16,9 @@ from evimill.plans.logs import RECORDS_CTE, SEVERITY_SQL, excerpt_sql
 from evimill.sources import views as V
 from evimill.sources.shared import written_once
 
+SETTINGS = RunSettings(study_name="logs", miri_triage=True, fuzz_time=60, fuzz_env={"B": "2", "A": "1"})
+TITLE = "evidence report"
+
 KIND_ORDER = "array_position(array('geiger', 'miri', 'fuzz'), kind)"
 
 
@@ -35,23 +39,23 @@ def _crates(spark, sf_dir):
 def review_priority(spark, sf_dir):
     """Sites of the pages, the ten to look at first per crate, with the findings of its logs."""
     scanned = S.scan_files(V.report_files(spark, sf_dir), S.HTML_RULES)
-    return R.review_priority(S.numbered_sites(scanned, S.HTML_RULES), logs.records(spark, sf_dir))
+    return R.review_priority(S.numbered_sites(scanned, S.HTML_RULES), logs.statuses(spark, sf_dir))
 
 
 def code_review_priority(spark, sf_dir):
     sites = S.numbered_sites(_scanned(spark, sf_dir), S.CODE_RULES)
-    return R.review_priority(sites, logs.records(spark, sf_dir))
+    return R.review_priority(sites, logs.statuses(spark, sf_dir))
 
 
 def _overview(spark, sf_dir):
     counts = R.site_counts(_crates(spark, sf_dir), _scanned(spark, sf_dir))
-    return R.overview(counts, logs.records(spark, sf_dir))
+    return R.overview(counts, logs.statuses(spark, sf_dir))
 
 
 def overview_without_scan(spark, sf_dir):
     """The overview when the scan was not selected: ``-``, not 0."""
     counts = _crates(spark, sf_dir).withColumn("n_sites", F.lit(None).cast("bigint"))
-    return R.overview(counts, logs.records(spark, sf_dir), scan_selected=False)
+    return R.overview(counts, logs.statuses(spark, sf_dir), scan_selected=False)
 
 
 def markdown_overview(spark, sf_dir):
@@ -84,6 +88,8 @@ def markdown_report(spark, sf_dir):
     counts = R.summary_counts(_crates(spark, sf_dir), R.pattern_summary(sites))
     evidence = R.markdown_evidence(records).select("crate", "kind_ord", "run_id", "text")
     return R.markdown_report(
+        R.markdown_head(SETTINGS, TITLE),
+        R.markdown_overview(R.overview(counts, records)),
         R.markdown_inventory(counts),
         evidence,
         R.markdown_review(R.review_priority(sites, records)),
@@ -102,7 +108,7 @@ def report_nested(spark, sf_dir):
     )
     numbered = sites.withColumn("number", F.substring("site_id", 2, 20).cast("bigint"))
     return R.nested_report(
-        heads, numbered, records, R.review_priority(sites, records), ["kind_ord", "run_id"]
+        SETTINGS, heads, numbered, records, R.review_priority(sites, records), ["kind_ord", "run_id"]
     )
 
 
@@ -172,7 +178,14 @@ def _struct(fields: list[str]) -> str:
     return "{" + ", ".join(f"'{f}': {f}" for f in fields) + "}"
 
 
-_NESTED = f"""SELECT crate, 'head' AS section, CAST(0 AS BIGINT) AS chunk,
+_STUDY = (
+    '{"schema_version":1,"study_name":"logs","execution":{"profile":"full","jobs":1,"fuzz_jobs":1,'
+    '"phases":{"scan":true,"geiger":true,"miri":true,"fuzz":true},"miri_triage":true,"fuzz_time":60,'
+    '"fuzz_env":{"A":"1","B":"2"}}}'
+)
+_NESTED = f"""SELECT CAST(NULL AS VARCHAR) AS crate, 'study' AS section, CAST(0 AS BIGINT) AS chunk, {literal(_STUDY)} AS document
+UNION ALL
+SELECT crate, 'head' AS section, CAST(0 AS BIGINT) AS chunk,
   CAST(to_json({{'crate': crate, 'path': 'targets/' || crate, 'cohort': NULL, 'n_sites': n_sites,
     'review': (SELECT list({_struct(['rank', 'site_id', 'file', 'line', 'reason'])} ORDER BY rank) FROM review r
       WHERE r.crate = c.crate)}}) AS VARCHAR) AS document FROM counts c
@@ -193,13 +206,36 @@ _HEADINGS = """headings(section, ordinal, text) AS (VALUES
   (2, -5, ''), (2, -4, '### Dynamic evidence'), (2, -3, ''),
   (2, -2, '| phase | name | status | summary | detail | log |'), (2, -1, '| --- | --- | --- | --- | --- | --- |'),
   (3, -3, ''), (3, -2, '### Review priority'), (3, -1, ''))"""
-_REPORT = """SELECT crate, CAST(section AS INTEGER) AS section, CAST(ordinal AS BIGINT) AS ordinal,
-  coalesce(text, concat('## Crate `', crate, '`')) AS text FROM crates, headings
+_HEAD = """# evidence report
+
+Schema version: `1`
+
+Study: `logs`
+
+## Execution
+
+- profile: `full`
+- jobs: `1`
+- fuzz_jobs: `1`
+- phases: `scan, geiger, miri, fuzz`
+- miri_triage: `true`
+- default_fuzz_time: `60s`
+- fuzz_env: `A=1, B=2`
+
+## Study overview
+
+| crate | unsafe sites | geiger | miri | fuzz |
+| --- | ---: | --- | --- | --- |"""
+_REPORT = f"""SELECT CAST(0 AS INTEGER) AS part, '' AS crate, CAST(0 AS INTEGER) AS section,
+  CAST(generate_subscripts(string_split({literal(_HEAD)}, chr(10)), 1) - 1 AS BIGINT) AS ordinal,
+  unnest(string_split({literal(_HEAD)}, chr(10))) AS text
+UNION ALL SELECT 1, crate, 0, 0, concat('| ', concat_ws(' | ', crate, sites, geiger, miri, fuzz), ' |') FROM overview
+UNION ALL SELECT 2, crate, section, ordinal, coalesce(text, concat('## Crate `', crate, '`')) FROM crates, headings
 WHERE section < 3 OR crate IN (SELECT crate FROM review)
-UNION ALL SELECT crate, 1, ordinal, text FROM inventory
-UNION ALL SELECT crate, 2, row_number() OVER (PARTITION BY crate
+UNION ALL SELECT 2, crate, 1, ordinal, text FROM inventory
+UNION ALL SELECT 2, crate, 2, row_number() OVER (PARTITION BY crate
   ORDER BY list_position(['geiger', 'miri', 'fuzz'], kind), run_id) - 1, text FROM evidence
-UNION ALL SELECT crate, 3, ordinal, text FROM review_lines"""
+UNION ALL SELECT 2, crate, 3, ordinal, text FROM review_lines"""
 
 
 def _code(body: str, *more: str) -> str:

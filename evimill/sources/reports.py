@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evimill.operators.report import REPORT_ORDER
+from evimill.operators.study_plan import FORMATS
+
+STUDY_SCHEMA = (
+    "schema_version int, study_name string, execution struct<profile:string,jobs:bigint,fuzz_jobs:bigint,"
+    "phases:struct<scan:boolean,geiger:boolean,miri:boolean,fuzz:boolean>,miri_triage:boolean,"
+    "fuzz_time:bigint,fuzz_env:map<string,string>>"
+)
 HEAD_SCHEMA = (
     "crate string, path string, cohort string, n_sites bigint, "
     "review array<struct<rank:int,site_id:string,file:string,line:int,reason:string>>"
@@ -21,13 +29,26 @@ PHASES_SCHEMA = (
 )
 
 
+def write_reports(
+    documents: DataFrame, lines: DataFrame, path: str, formats: list[str] | None = None
+) -> None:
+    """A report in the formats asked for, in all of them if none is named."""
+    for name in formats or FORMATS:
+        if name == "json":
+            write_report(documents, f"{path}/report.json")
+        elif name == "markdown":
+            write_markdown(lines, f"{path}/report.md")
+        else:
+            raise ValueError(f"unknown report format: {name}")
+
+
 def write_report(documents: DataFrame, path: str) -> None:
     """One JSON document per line, files grouped by section."""
     documents.select("section", F.col("document").alias("value")).write.partitionBy("section").text(path)
 
 
 def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a written report: crates, review, sites, phases."""
+    """The tables of a written report: study, crates, review, sites, phases."""
 
     def section(name: str, schema: str) -> DataFrame:
         lines = spark.read.text(path).filter(F.col("section") == name)
@@ -35,6 +56,7 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     heads = section("head", HEAD_SCHEMA)
     return {
+        "study": section("study", STUDY_SCHEMA),
         "crates": heads.drop("review"),
         "review": heads.select("crate", F.inline("review")),
         "sites": section("sites", SITES_SCHEMA).select("crate", F.inline("sites")),
@@ -43,6 +65,6 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_markdown(rows: DataFrame, path: str) -> None:
-    """Lines of (crate, section, ordinal, text) in order; file names sort in report order."""
-    keys = ["crate", "section", "ordinal"]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("text").write.text(path)
+    """Lines in report order; the names of the files sort in that order too."""
+    spread = rows.repartitionByRange(*REPORT_ORDER)
+    spread.sortWithinPartitions(*REPORT_ORDER).select("text").write.text(path)

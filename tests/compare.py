@@ -54,7 +54,7 @@ def _bag(arrow_table) -> tuple[list[str], dict[str, str], Counter]:
 
 def differences(spark_df, con, sql: str) -> tuple[int, list[str]]:
     """Row count of the query, and what differs from the SQL."""
-    left, right = _bag(spark_df.toArrow()), _bag(con.execute(sql).to_arrow_table())
+    left, right = _bag(spark_df.toArrow()), _bag(con.sql(sql).to_arrow_table())
     rows = sum(left[2].values())
     if left[0] != right[0]:
         return rows, [f"columns {left[0]} != {right[0]}"]

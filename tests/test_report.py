@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evimill.functions.vocabulary import REVIEW_SUFFIX
 from evimill.operators import evidence as E
 from evimill.operators import report as R
+from evimill.operators.study_plan import RunSettings
 from evimill.plans import reports
 from evimill.sources import files as SF
 from evimill.sources import reports as SR
@@ -117,6 +118,8 @@ def test_report_can_be_read_back(spark, tmp_path):
     SR.write_report(documents, path)
     tables = SR.read_report(spark, path)
     records = reports.logs.records(spark, "/root/testdata/sf0.001")
+    study = tables["study"].first()
+    assert study["study_name"] == "logs" and study["execution"]["fuzz_env"] == {"A": "1", "B": "2"}
     wanted = [c for c in records.columns if c != "run_id"]
     assert tables["phases"].select(wanted).exceptAll(records.select(wanted)).isEmpty()
     assert tables["phases"].count() == records.count()
@@ -132,9 +135,11 @@ def test_markdown_is_written_in_order(spark, tmp_path):
     path = tmp_path / "md"
     SR.write_markdown(rows, str(path))
     lines = [line for part in sorted(path.glob("part-*")) for line in part.read_text().split("\n")[:-1]]
-    expected = [r["text"] for r in rows.orderBy("crate", "section", "ordinal").collect()]
+    expected = [r["text"] for r in rows.orderBy(*R.REPORT_ORDER).collect()]
     assert lines == expected
-    assert lines[:4] == ["", "## Crate `c0`", "", "### Unsafe inventory"] and lines[5].startswith("- sites: ")
+    start = lines.index("## Crate `c0`")
+    assert lines[start + 1 : start + 3] == ["", "### Unsafe inventory"] and lines[start + 4].startswith("- sites: ")
+    assert lines[0] == "# evidence report" and lines[start - 2].startswith("| c9 |")
 
 
 def test_detail_lists_known_fields_in_order(spark):
@@ -150,5 +155,16 @@ def test_detail_lists_known_fields_in_order(spark):
     ]
 
 
-def test_execution_lines():
-    assert R.markdown_execution({"profile": "full"}, "evidence report") == ["# evidence report", "", "## Execution", "", "- profile: `full`"]
+def test_head_states_the_settings():
+    lines = R.markdown_head(RunSettings(profile="smoke", jobs=0, phases=("miri",)), "evidence report")
+    assert lines[0] == "# evidence report" and "- profile: `smoke`" in lines and "- jobs: `1`" in lines
+    assert "- phases: `miri`" in lines and "- default_fuzz_time: `-`" in lines and "- fuzz_env: `-`" in lines
+
+
+def test_formats(spark, tmp_path):
+    documents = spark.createDataFrame([("head", "{}")], "section string, document string")
+    lines = spark.createDataFrame([(0, "", 0, 0, "x")], "part int, crate string, section int, ordinal int, text string")
+    SR.write_reports(documents, lines, str(tmp_path / "both"))
+    assert sorted(p.name for p in (tmp_path / "both").iterdir()) == ["report.json", "report.md"]
+    SR.write_reports(documents, lines, str(tmp_path / "one"), ["markdown"])
+    assert [p.name for p in (tmp_path / "one").iterdir()] == ["report.md"]
