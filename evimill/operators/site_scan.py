@@ -23,6 +23,10 @@ class Rule:
     ``rx`` finds candidates; ``tag``, tested on the text a candidate matched, tells apart
     rules that share it (default: ``rx`` matches the whole of that text). The first rule
     whose tag fits takes the match, a match no rule takes is no site.
+
+    ``starts`` (the inside of a character class) says what a match begins with, and
+    ``not_after`` what it never follows. They spare the matcher most positions, and a rule
+    that begins with a run of characters is tried once per run, not once per character.
     """
 
     rule_id: int
@@ -30,27 +34,30 @@ class Rule:
     pattern: str | None
     rx: str
     tag: str | None = None
+    starts: str | None = None
+    not_after: str | None = None
 
     def takes(self, text: Column) -> Column:
         return text.rlike(self.tag or f"^(?:{self.rx})$")
 
 
 HTML_RULES = [
-    Rule(1, "block", "script", "<script"),
-    Rule(2, "block", "style", "<style"),
-    Rule(3, "comment", None, "<!--"),
-    Rule(4, "operation", "link", 'href="'),
-    Rule(5, "operation", "entity", "&[a-z]+;"),
-    Rule(6, "element", None, "<(?:div|nav|table)"),
+    Rule(1, "block", "script", "<script", starts="<"),
+    Rule(2, "block", "style", "<style", starts="<"),
+    Rule(3, "comment", None, "<!--", starts="<"),
+    Rule(4, "operation", "link", 'href="', starts="h"),
+    Rule(5, "operation", "entity", "&[a-z]+;", starts="&"),
+    Rule(6, "element", None, "<(?:div|nav|table)", starts="<"),
 ]
 
+_NAME = "A-Za-z0-9._-"
 TEXT_RULES = [
-    Rule(1, "reference", "link", r"https?://[^ \t\n]+"),
-    Rule(2, "reference", "address", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+"),
-    Rule(3, "number", "long", r"[0-9][0-9-]{6,}"),
-    Rule(4, "number", None, r"[0-9]+"),
-    Rule(5, "notice", "license", r"[Ll]icen[sc]e[ds]?"),
-    Rule(6, "markup", None, r"[*_#|]{2,}"),
+    Rule(1, "reference", "link", r"https?://[^ \t\n]+", starts="h"),
+    Rule(2, "reference", "address", rf"[{_NAME}]+@[A-Za-z0-9-]+\.[A-Za-z.]+", starts=_NAME, not_after=_NAME),
+    Rule(3, "number", "long", r"[0-9][0-9-]{6,}", starts="0-9"),
+    Rule(4, "number", None, r"[0-9]+", starts="0-9"),
+    Rule(5, "notice", "license", r"[Ll]icen[sc]e[ds]?", starts="Ll"),
+    Rule(6, "markup", None, r"[*_#|]{2,}", starts="*_#|"),
 ]
 
 # ---- source code ------------------------------------------------------------------------
@@ -81,22 +88,24 @@ _TRANSMUTE_CALL = rf"^[^.].*transmute{_GENERICS}\($|^transmute{_GENERICS}\($"
 _UNCHECKED_CALL = r"^(?!\.)[^<]*unchecked"
 _POINTER_CALL = rf"^(?!\.).*(?:read|write){_GENERICS}\($"
 
+_WORD = {"starts": r"\w", "not_after": r"\w"}
+
 CODE_RULES = [
-    Rule(1, "extern_block", None, r"\bextern\s*\{"),
-    Rule(2, "unsafe_fn", None, r"\bunsafe\s+(?:extern\s+)?fn\s+\w++"),
-    Rule(3, "unsafe_impl", None, r"\bunsafe\s+impl\b"),
-    Rule(4, "unsafe_block", "ptr_op", _BLOCK, r"^unsafe\{#ptr_op#"),
-    Rule(5, "unsafe_block", "transmute", _BLOCK, r"^unsafe\{#transmute#"),
-    Rule(6, "unsafe_block", "unchecked_op", _BLOCK, r"^unsafe\{#unchecked_op#"),
-    Rule(7, "unsafe_block", None, _BLOCK, r"^unsafe\{##"),
-    Rule(8, "operation", "ptr_op", _DEREF, r"^\*$"),
-    Rule(9, "operation", "unchecked_op", _METHOD, _UNCHECKED_METHOD),
-    Rule(10, "operation", "ptr_op", _METHOD, _POINTER_METHOD),
-    Rule(11, "operation", "unchecked_op", _INDEX, r"^\[$"),
-    Rule(12, "operation", "inline_asm", r"(?<![\w:])(?:(?:core|std)::arch::)?asm!"),
-    Rule(13, "operation", "transmute", _CALL, _TRANSMUTE_CALL),
-    Rule(14, "operation", "unchecked_op", _CALL, _UNCHECKED_CALL),
-    Rule(15, "operation", "ptr_op", _CALL, _POINTER_CALL),
+    Rule(1, "extern_block", None, r"\bextern\s*\{", **_WORD),
+    Rule(2, "unsafe_fn", None, r"\bunsafe\s+(?:extern\s+)?fn\s+\w++", **_WORD),
+    Rule(3, "unsafe_impl", None, r"\bunsafe\s+impl\b", **_WORD),
+    Rule(4, "unsafe_block", "ptr_op", _BLOCK, r"^unsafe\{#ptr_op#", **_WORD),
+    Rule(5, "unsafe_block", "transmute", _BLOCK, r"^unsafe\{#transmute#", **_WORD),
+    Rule(6, "unsafe_block", "unchecked_op", _BLOCK, r"^unsafe\{#unchecked_op#", **_WORD),
+    Rule(7, "unsafe_block", None, _BLOCK, r"^unsafe\{##", **_WORD),
+    Rule(8, "operation", "ptr_op", _DEREF, r"^\*$", starts="*"),
+    Rule(9, "operation", "unchecked_op", _METHOD, _UNCHECKED_METHOD, starts="."),
+    Rule(10, "operation", "ptr_op", _METHOD, _POINTER_METHOD, starts="."),
+    Rule(11, "operation", "unchecked_op", _INDEX, r"^\[$", starts=r"\["),
+    Rule(12, "operation", "inline_asm", r"(?<![\w:])(?:(?:core|std)::arch::)?asm!", **_WORD),
+    Rule(13, "operation", "transmute", _CALL, _TRANSMUTE_CALL, starts=r"\w:", not_after=r"\w:"),
+    Rule(14, "operation", "unchecked_op", _CALL, _UNCHECKED_CALL, starts=r"\w:", not_after=r"\w:"),
+    Rule(15, "operation", "ptr_op", _CALL, _POINTER_CALL, starts=r"\w:", not_after=r"\w:"),
 ]
 
 
@@ -191,9 +200,24 @@ def code_text(source: Column) -> Column:
 # ---- the scan ---------------------------------------------------------------------------
 
 
+def _candidates(rules: list[Rule]) -> str:
+    """One pattern that finds the candidates of all rules."""
+    alternatives = {}
+    for rule in rules:
+        guard = f"(?<![{rule.not_after}])" if rule.not_after else ""
+        alternatives[f"{guard}(?:{rule.rx})"] = None
+    found = "|".join(alternatives)
+    if any(rule.starts is None for rule in rules):
+        return found
+    anywhere = "".join(dict.fromkeys(r.starts for r in rules if not r.not_after))
+    after = dict.fromkeys(f"(?<![{r.not_after}])[{r.starts}]" for r in rules if r.not_after)
+    positions = "|".join([*([f"[{anywhere}]"] if anywhere else []), *after])
+    return f"(?={positions})(?:{found})"
+
+
 def sites_in(text: Column, rules: list[Rule]) -> Column:
     """Array of ``struct(line, seq, rule_id)`` in text order; seq counts within the line."""
-    candidates = F.lit("|".join(dict.fromkeys(f"(?:{rule.rx})" for rule in rules)))
+    candidates = F.lit(_candidates(rules))
 
     def rule_of(match: Column) -> Column:
         ladder = F.when(rules[0].takes(match), F.lit(rules[0].rule_id))
