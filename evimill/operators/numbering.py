@@ -16,7 +16,8 @@ _FINE = 32  # cut points searched per step of the two-step lookup
 
 def range_count(df: DataFrame) -> int:
     """Number of ranges: as many as the session shuffles into, within bounds of the lookup."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    partitions = int(setting) if setting.isdigit() else 200
     return max(2, min(partitions, _FINE * _FINE))
 
 
@@ -33,8 +34,10 @@ def _cut_points(keys: DataFrame, ranges: int) -> Column:
     return per_slot.agg(F.array_sort(F.collect_list("drawn.key"))).scalar()
 
 
-def _range_of(key: Column, cuts: Column) -> Column:
-    """Number of cut points not above the key, found in two steps of at most ``_FINE`` tests."""
+def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
+    """Number of cut points not above the key, found in steps of at most ``_FINE`` tests."""
+    if ranges <= _FINE:
+        return F.size(F.filter(cuts, lambda cut: cut <= key))
     blocks = F.filter(cuts, lambda _, i: i % _FINE == 0)
     block = F.size(F.filter(blocks, lambda cut: cut <= key))
     start = F.greatest(block - 1, F.lit(0)) * _FINE
@@ -53,7 +56,7 @@ def with_offset(
     keys = [group, *order]
     ranges = ranges or range_count(df)
     cuts = _cut_points(df.select(*keys), ranges)
-    range_no = _range_of(F.struct(*keys), F.col("_cuts"))
+    range_no = _range_of(F.struct(*keys), F.col("_cuts"), ranges)
     # One struct as the key of shuffle and join: a struct is never null, so the optimizer
     # adds no null test to either side, and the two sides read the same exchange.
     placed = (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evimill.functions import text as T
 from evimill.operators import probes as P
+from evimill.operators.rows import explode_once
 from evimill.plans.dialect import SPACE, trim
 from evimill.functions.vocabulary import WHITESPACE
 from evimill.sources import views as V
@@ -66,7 +67,7 @@ def probe_tokens(spark, sf_dir):
 
 def probe_trim(spark, sf_dir):
     """Every line of the documents, trimmed at both ends and at either."""
-    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = explode_once(_documents(spark, sf_dir), ["doc_id"], F.split("text", "\n"), "pos", "line")
     padded = F.concat(F.lit(" \t"), F.col("line"), F.lit("\u3000 "))
     return lines.select(
         "doc_id",

@@ -45,7 +45,7 @@ def manifests(spark, sf_dir):
         cases.alias("miri_case"),
         groups.alias("fuzz_group"),
     )
-    return V.table(spark, sf_dir, "part").select(F.to_json(document).alias("manifest"))
+    return V.text_table(spark, sf_dir, "part", "p_partkey").select(F.to_json(document).alias("manifest"))
 
 
 def _study(spark, sf_dir):
@@ -104,7 +104,7 @@ def _env_layers():
 
 
 def env_overlay(spark, sf_dir):
-    orders = V.table(spark, sf_dir, "orders")
+    orders = V.text_table(spark, sf_dir, "orders", "o_orderkey")
     return orders.select("o_orderkey", T.env_text(T.env_overlay(*_env_layers())).alias("env"))
 
 

@@ -41,7 +41,7 @@ def test_hot_group_is_worked_on_in_many_ranges(spark):
     from evimill.operators import numbering
 
     cuts = numbering._cut_points(df.select("g", "k"), 64)
-    keys = df.withColumn("c", cuts).withColumn("r", numbering._range_of(F.struct("g", "k"), F.col("c")))
+    keys = df.withColumn("c", cuts).withColumn("r", numbering._range_of(F.struct("g", "k"), F.col("c"), 64))
     sizes = [r["count"] for r in keys.groupBy("g", "r").count().collect()]
     assert max(sizes) < 20000 / 10
 
