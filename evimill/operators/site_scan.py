@@ -84,7 +84,7 @@ _BLOCK = r"\bunsafe\{#\w*#"
 
 _UNCHECKED_METHOD = r"^\.\s*\w*unchecked"
 _POINTER_METHOD = r"^\.\s*(?:read|write|copy_to|copy_from)\b"
-_TRANSMUTE_CALL = rf"^[^.].*transmute{_GENERICS}\($|^transmute{_GENERICS}\($"
+_TRANSMUTE_CALL = rf"^(?!\.).*transmute{_GENERICS}\($"
 _UNCHECKED_CALL = r"^(?!\.)[^<]*unchecked"
 _POINTER_CALL = rf"^(?!\.).*(?:read|write){_GENERICS}\($"
 

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evimill.functions.text import env_overlay
 from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PHASE_KINDS, PROFILE_CAPS
+from evimill.operators.inventory import harness_attach
 from evimill.operators.numbering import with_offset
 from evimill.operators.rows import explode_once
 
@@ -45,7 +47,10 @@ class RunSettings:
 
 # Fixed values of an entry added by default.
 DEFAULT_CASE = {"name": "upstream_full", "scope": "full_suite"}
-DEFAULT_GROUP = {"name": "existing_targets", "take_all": True}
+DEFAULT_GROUP = {"name": "existing_targets", "take_all": True, "budget_label": "default"}
+HARNESS_GROUP = {"name": "harness_targets", "take_all": True, "budget_label": "harness"}
+SINGLE_CRATE_LABEL = "single_crate"
+SINGLE_CRATE_ENV = {"ASAN_OPTIONS": "detect_leaks=0"}
 
 
 def study_cases(crates: DataFrame) -> DataFrame:
@@ -188,6 +193,38 @@ def inject_defaults(
     return entries.withColumn("injected", F.lit(False)).unionByName(added, allowMissingColumns=True)
 
 
+def attach_harness_groups(crates: DataFrame, groups: DataFrame, harnesses: DataFrame) -> DataFrame:
+    """Groups, and one of all targets for each crate that has a harness directory but no harness group.
+
+    ``crates`` is (crate_id, name), ``harnesses`` (name, path), names compared as package names.
+    """
+    with_harness = groups.filter("harness_dir IS NOT NULL").select("crate_id").distinct()
+    lacking = crates.join(with_harness, "crate_id", "left_anti").select("crate_id", "name")
+    added = (
+        harness_attach(lacking, harnesses)
+        .filter("harness_dir IS NOT NULL")
+        .select("crate_id", "harness_dir", *[F.lit(v).alias(c) for c, v in HARNESS_GROUP.items()])
+    )
+    return groups.unionByName(added, allowMissingColumns=True)
+
+
+def single_crate_entries(crates: DataFrame, seconds: Column, env: Column) -> tuple[DataFrame, DataFrame]:
+    """Cases and groups of crates that come without a study: one of each.
+
+    ``env`` lies over the built-in setting of such groups, as it does everywhere else.
+    """
+    cases = crates.select("crate_id", *[F.lit(v).alias(c) for c, v in DEFAULT_CASE.items()])
+    built_in = F.create_map(*[F.lit(part) for pair in SINGLE_CRATE_ENV.items() for part in pair])
+    group = {**DEFAULT_GROUP, "budget_label": SINGLE_CRATE_LABEL}
+    groups = crates.select(
+        "crate_id",
+        *[F.lit(v).alias(c) for c, v in group.items()],
+        seconds.alias("time_s"),
+        env_overlay(built_in, env).alias("env"),
+    )
+    return cases, groups
+
+
 def plan_order(entries: DataFrame) -> DataFrame:
     """Entries with their 1-based position in the plan of their crate.
 

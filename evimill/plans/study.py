@@ -139,10 +139,34 @@ def default_injection_groups(spark, sf_dir):
     )
     groups = V.groups(spark, sf_dir).filter("crate_id % 9 <> 4").select(
         "crate_id", F.concat(F.lit("o"), F.col("group_id")).alias("name"), "harness_dir", F.lit(False).alias("take_all"),
+        F.lit(None).cast("string").alias("budget_label"),
     )
     return P.inject_defaults(crates, groups, P.DEFAULT_GROUP, F.col("has_workspace"))
 
 
+def harness_groups(spark, sf_dir):
+    """Orders as groups of customers; suppliers name the harness directories."""
+    crates = V.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("crate_id"), F.concat(F.lit("pkg_"), F.col("c_custkey")).alias("name")
+    )
+    groups = V.groups(spark, sf_dir).filter("group_id % 4 = 1").select(
+        "crate_id", F.concat(F.lit("o"), F.col("group_id")).alias("name"), "harness_dir"
+    )
+    harnesses = V.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("pkg-"), F.col("s_suppkey") * 3).alias("name"), F.concat(F.lit("harnesses/"), F.col("s_name")).alias("path")
+    )
+    return P.attach_harness_groups(crates, groups, harnesses)
+
+
+def single_crate_plan(spark, sf_dir):
+    """Groups of customers taken as crates without a study."""
+    crates = V.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "crate_id")
+    env = F.when(F.col("c_nationkey") % 2 == 0, F.create_map(F.lit("ASAN_OPTIONS"), F.col("c_mktsegment")))
+    seconds = P.capped_budget(F.col("c_nationkey").cast("bigint") * 20, "baseline")
+    _, groups = P.single_crate_entries(crates, seconds, env)
+    return groups.withColumn("env", T.env_text(F.col("env")))
+
+
 def plan_order(spark, sf_dir):
     entries = V.groups(spark, sf_dir).select("crate_id", F.col("group_id").alias("ordinal"), "harness_dir")
     return P.plan_order(entries).select("crate_id", "position", "ordinal", "stage")
@@ -172,6 +196,8 @@ QUERIES = {
     "env_parse": env_parse,
     "default_injection": default_injection,
     "default_injection_groups": default_injection_groups,
+    "harness_groups": harness_groups,
+    "single_crate_plan": single_crate_plan,
     "plan_order": plan_order,
     "phase_select": phase_select,
     "crate_select": crate_select,
@@ -240,14 +266,27 @@ UNION ALL SELECT crate_id, 'upstream_full', 'full_suite', NULL, true FROM added"
     ),
     "default_injection_groups": with_views(
         ["groups"],
-        """SELECT crate_id, concat('o', group_id) AS name, harness_dir, false AS take_all, false AS injected FROM entries
-UNION ALL SELECT crate_id, 'existing_targets', NULL, true, true FROM added""",
+        """SELECT crate_id, concat('o', group_id) AS name, harness_dir, false AS take_all,
+  CAST(NULL AS VARCHAR) AS budget_label, false AS injected FROM entries
+UNION ALL SELECT crate_id, 'existing_targets', NULL, true, 'default', true FROM added""",
         _ENTRIES,
         _INJECTED.format(
             also="""
   AND (c_custkey % 2 = 0 OR NOT EXISTS (SELECT 1 FROM entries e WHERE e.crate_id = c.c_custkey))"""
         ),
     ),
+    "harness_groups": with_views(
+        ["groups"],
+        """SELECT crate_id, name, harness_dir, CAST(NULL AS BOOLEAN) AS take_all, CAST(NULL AS VARCHAR) AS budget_label FROM own
+UNION ALL
+SELECT c_custkey, 'harness_targets', min(concat('harnesses/', s_name)), true, 'harness'
+FROM customer JOIN supplier ON s_suppkey * 3 = c_custkey
+WHERE c_custkey NOT IN (SELECT crate_id FROM own WHERE harness_dir IS NOT NULL) GROUP BY c_custkey""",
+        """own AS (SELECT crate_id, concat('o', group_id) AS name, harness_dir FROM groups WHERE group_id % 4 = 1)""",
+    ),
+    "single_crate_plan": """SELECT c_custkey AS crate_id, 'existing_targets' AS name, true AS take_all, 'single_crate' AS budget_label,
+  CAST(least(c_nationkey * 20, 300) AS BIGINT) AS time_s,
+  concat('ASAN_OPTIONS=', CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'detect_leaks=0' END) AS env FROM customer""",
     "plan_order": with_views(
         ["groups"],
         """SELECT crate_id, row_number() OVER (PARTITION BY crate_id ORDER BY harness_dir IS NOT NULL, group_id) AS position,

@@ -20,20 +20,25 @@ def kinds(spark, source):
 
 
 def test_core_shapes(spark):
-    source = (
-        "\npub unsafe fn f(p: *const u8, xs: &[u8]) {\n    unsafe { *p };\n"
-        "    let _ = unsafe { std::mem::transmute::<u8, i8>(1) };\n    let _ = xs.get_unchecked(0);\n}\n"
-        'unsafe impl Send for T {}\nstruct T;\nextern "C" { fn c(); }\n'
-    )
-    assert kinds(spark, source) == [
+    lines = [
+        "mod raw {",
+        "    pub(crate) unsafe fn first(base: *const u16) -> u16 {",
+        "        unsafe { *base }",
+        "    }",
+        "    pub fn bits(v: f32) -> u32 { unsafe { core::mem::transmute::<f32, u32>(v) } }",
+        "    pub fn pick(v: &Vec<u8>) -> &u8 { unsafe { v.get_unchecked(3) } }",
+        "}",
+        "struct Cell;",
+        "unsafe impl Sync for Cell {}",
+        'extern "system" { fn tick(); }',
+    ]
+    assert kinds(spark, "\n".join(lines)) == [
         (2, "unsafe_fn", None),
-        (3, "unsafe_block", "ptr_op"),
-        (3, "operation", "ptr_op"),
-        (4, "unsafe_block", "transmute"),
-        (4, "operation", "transmute"),
-        (5, "operation", "unchecked_op"),
-        (7, "unsafe_impl", None),
-        (9, "extern_block", None),
+        (3, "unsafe_block", "ptr_op"), (3, "operation", "ptr_op"),
+        (5, "unsafe_block", "transmute"), (5, "operation", "transmute"),
+        (6, "unsafe_block", "unchecked_op"), (6, "operation", "unchecked_op"),
+        (9, "unsafe_impl", None),
+        (10, "extern_block", None),
     ]
 
 

@@ -76,6 +76,22 @@ def test_injection(spark):
     assert sorted(r["crate_id"] for r in local.collect()) == [2, 4]
 
 
+def test_harness_groups(spark):
+    crates = spark.createDataFrame([(1, "serde_json"), (2, "memchr"), (3, "none")], "crate_id int, name string")
+    groups = spark.createDataFrame([(1, "g", None), (2, "own", "h")], "crate_id int, name string, harness_dir string")
+    dirs = spark.createDataFrame([("serde-json", "d/s"), ("memchr", "d/m")], "name string, path string")
+    got = P.attach_harness_groups(crates, groups, dirs).filter("name = 'harness_targets'").collect()
+    assert [(r["crate_id"], r["harness_dir"], r["take_all"]) for r in got] == [(1, "d/s", True)]
+
+
+def test_single_crate(spark):
+    crates = spark.createDataFrame([(1, None), (2, {"ASAN_OPTIONS": "x", "B": "1"})], "crate_id int, env map<string,string>")
+    cases, groups = P.single_crate_entries(crates, F.lit(30), F.col("env"))
+    assert [r["name"] for r in cases.collect()] == ["upstream_full"] * 2
+    got = {r["crate_id"]: r["env"] for r in groups.collect()}
+    assert got == {1: {"ASAN_OPTIONS": "detect_leaks=0"}, 2: {"ASAN_OPTIONS": "x", "B": "1"}}
+
+
 def test_plan_order(spark):
     entries = spark.createDataFrame([(1, 0, "h"), (1, 1, None), (1, 2, None), (1, 3, "h"), (2, 0, "h")], "crate_id int, ordinal int, harness_dir string")
     got = P.plan_order(entries).orderBy("crate_id", "position").collect()
