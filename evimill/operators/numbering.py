@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FINE = 32  # cut points searched per step of the two-step lookup
+_FINE = 64  # cut points searched per step of the two-step lookup
 
 
 def range_count(df: DataFrame) -> int:

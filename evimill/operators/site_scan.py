@@ -142,17 +142,15 @@ def _nested(opening: str, closing: str, depth: int) -> str:
     return group
 
 
-_PATH = rf"(?:::)?(?:\w+::)*\w+{_GENERICS}"
-_OPERAND = rf"(?:{_PATH}|\(\))(?:\(\)|\[\]|\?|\.\w+{_GENERICS})*"
+_PATH = rf"(?:::)?(?:\w++::(?!<))*+\w++{_GENERICS}"
+_OPERAND = rf"(?:{_PATH}|\(\))(?:\(\)|\[\]|\?|\.\w++{_GENERICS})*+"
 
 
 def _statement_pattern(statement: Column) -> Column:
     """Pattern of a statement that as a whole is one operation (brackets emptied)."""
     call = F.when(statement.rlike(rf"^{_PATH}\(\)$"), F.regexp_replace(statement, r"\)$", ""))
-    method = F.when(
-        statement.rlike(rf"^{_OPERAND}\.\w+{_GENERICS}\(\)$"),
-        F.regexp_extract(statement, rf"(\.\w+{_GENERICS}\()\)$", 1),
-    )
+    is_operand = statement.rlike(rf"^{_OPERAND}$")
+    method = F.when(is_operand, F.regexp_extract(statement, rf"(\.\w++{_GENERICS}\()\)$", 1))
     return (
         F.when(statement.rlike(rf"^\*[*&]*{_OPERAND}$"), F.lit("ptr_op"))
         .when(call.rlike(_TRANSMUTE_CALL), F.lit("transmute"))
@@ -160,7 +158,7 @@ def _statement_pattern(statement: Column) -> Column:
         .when(call.rlike(_POINTER_CALL), F.lit("ptr_op"))
         .when(method.rlike(_UNCHECKED_METHOD), F.lit("unchecked_op"))
         .when(method.rlike(_POINTER_METHOD), F.lit("ptr_op"))
-        .when(statement.rlike(rf"^{_OPERAND}\[\]$"), F.lit("unchecked_op"))
+        .when(is_operand & F.endswith(statement, F.lit("[]")), F.lit("unchecked_op"))
     )
 
 
@@ -171,7 +169,8 @@ def block_pattern(after_brace: Column) -> Column:
     flat = F.regexp_replace(body, braces, ";")
     flat = F.regexp_replace(flat, _nested(r"\(", r"\)", 6), "()")
     flat = F.regexp_replace(flat, _nested(r"\[", r"\]", 3), "[]")
-    statements = F.transform(F.split(flat, ";"), lambda s: F.regexp_replace(s, r"^\s+|\s+$|\n\s*", ""))
+    flat = F.regexp_replace(F.regexp_replace(flat, r"\s++", " "), r" (?=\.)", "")
+    statements = F.transform(F.split(flat, ";"), lambda s: F.trim(s))
     found = F.filter(F.transform(statements, _statement_pattern), lambda p: p.isNotNull())
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 

@@ -23,7 +23,7 @@ def skewed_rows(seed, n=3000):
     return [(rng.choice(groups), f"f{rng.random():.12f}", rng.choice([0, 0, 1, 1, 2, 30])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 100])
+@pytest.mark.parametrize("ranges", [2, 7, 100, 500])
 def test_offsets_do_not_depend_on_the_cuts(spark, ranges):
     rows = skewed_rows(ranges)
     df = spark.createDataFrame(rows, "g string, k string, w int")

@@ -1,5 +1,7 @@
 """Corpus scan: source code, rule sets, site numbers."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from evimill.operators import report as R
@@ -64,6 +66,15 @@ def test_long_literals_do_not_exhaust_the_matcher(spark):
     assert kinds(spark, source) == [(100003, "unsafe_fn", None)]
 
 
+def test_long_statements_do_not_exhaust_the_matcher(spark):
+    chain = "a" + ".b(c)[0]" * 20000 + ".read()"
+    comment = "/*" + " x" * 100000 + "*/"
+    got = Counter(kinds(spark, f"fn f() {{ unsafe {{ {comment} {chain} {comment}; }} }}"))
+    assert got == {
+        (1, "unsafe_block", "ptr_op"): 1, (1, "operation", "unchecked_op"): 20000, (1, "operation", "ptr_op"): 1,
+    }
+
+
 def test_operations(spark):
     source = "\n".join(
         [
@@ -105,6 +116,8 @@ def test_block_pattern_is_that_of_the_first_whole_statement(spark):
         "unsafe { { *p } }": None,
         "unsafe { a.b().c[0].read() }": "ptr_op",
         "unsafe {}": None,
+        "unsafe { a\n    .b()\n    .read() }": "ptr_op",
+        "unsafe { a // why\n ; c\n[0] }": None,
         "unsafe { { a { b } }; q::read(p) }": "ptr_op",
     }
     for source, pattern in blocks.items():
