@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evimill.functions.text import package_key, trim_space
 from evimill.operators.rows import explode_once
+from evimill.operators.skew import lookup_keys, unique_keys
 
 TARGET_KEY = ["group_id", "target"]
 
@@ -30,17 +31,17 @@ def targets_available(groups: DataFrame, configured: DataFrame, discovered: Data
     ``groups`` is (group_id, take_all). Rows of the configuration are kept as they are,
     repeated ones included.
     """
-    named = configured.join(groups.filter("NOT take_all"), "group_id", "left_semi")
-    found = discovered.dropDuplicates(TARGET_KEY)
-    every = found.join(groups.filter("take_all"), "group_id", "left_semi")
-    return named.join(found, TARGET_KEY, "left_semi").select(TARGET_KEY).unionByName(
-        every.select(TARGET_KEY)
-    )
+    found = lookup_keys(discovered, TARGET_KEY)
+    by_name = lookup_keys(groups.filter("NOT take_all"), ["group_id"])
+    in_full = lookup_keys(groups.filter("take_all"), ["group_id"])
+    named = configured.join(by_name, "group_id", "left_semi").join(found, TARGET_KEY, "left_semi")
+    every = found.join(in_full, "group_id", "left_semi")
+    return named.select(TARGET_KEY).unionByName(every.select(TARGET_KEY))
 
 
 def targets_missing(configured: DataFrame, discovered: DataFrame) -> DataFrame:
     """One skipped record per configured target that does not exist."""
-    missing = configured.join(discovered.select(TARGET_KEY).distinct(), TARGET_KEY, "left_anti")
+    missing = configured.join(lookup_keys(discovered, TARGET_KEY), TARGET_KEY, "left_anti")
     return missing.select(*TARGET_KEY, *_missing_record())
 
 
@@ -62,7 +63,7 @@ def group_collapse(groups: DataFrame, configured: DataFrame, discovered: DataFra
     is the cause given when it found nothing. Counts per group come from partial
     aggregations; only groups, never their targets, are joined on the group key.
     """
-    found = discovered.select(TARGET_KEY).distinct()
+    found = lookup_keys(discovered, TARGET_KEY)
     marked = configured.join(found.withColumn("present", F.lit(True)), TARGET_KEY, "left")
     counts = (
         marked.select(
@@ -92,7 +93,7 @@ def group_collapse(groups: DataFrame, configured: DataFrame, discovered: DataFra
         F.lit("skipped").alias("status"),
         F.concat(F.lit("no fuzz targets available: "), cause).alias("summary"),
     )
-    running = judged.filter("to_run > 0 AND NOT take_all").select("group_id")
+    running = unique_keys(judged.filter("to_run > 0 AND NOT take_all"), ["group_id"])
     missing = (
         marked.filter("present IS NULL")
         .join(running, "group_id", "left_semi")
@@ -115,7 +116,7 @@ def harness_attach(crates: DataFrame, harnesses: DataFrame) -> DataFrame:
 
 def seed_backfill(corpus: DataFrame, seeds: DataFrame) -> DataFrame:
     """Corpus files; a target without any takes its seeds, the others are left alone."""
-    filled = corpus.select("crate", "target").distinct()
+    filled = lookup_keys(corpus, ["crate", "target"])
     return corpus.unionByName(seeds.join(filled, ["crate", "target"], "left_anti"))
 
 

@@ -12,6 +12,7 @@ from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PHASE_KINDS, PR
 from evimill.operators.inventory import harness_attach
 from evimill.operators.numbering import with_offset
 from evimill.operators.rows import explode_once
+from evimill.operators.skew import lookup_keys
 
 FORMATS = ["json", "markdown"]
 
@@ -141,7 +142,7 @@ def select_crates(df: DataFrame, names: DataFrame | list[str], column: str = "cr
     A list is a filter that reaches the scan, a DataFrame is a semi join.
     """
     if isinstance(names, DataFrame):
-        wanted = names.select(F.col(names.columns[0]).alias(column)).distinct()
+        wanted = lookup_keys(names.select(F.col(names.columns[0]).alias(column)), [column])
         return df.join(wanted, column, "left_semi")
     return df.filter(F.col(column).isin(names))
 
