@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,12 @@ from pyspark.sql import DataFrame
 _SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _temporary_folder() -> tempfile.TemporaryDirectory:
+    """One folder per process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="evimill-")
+
+
 def _shared_folder(df: DataFrame) -> str | None:
     """The folder the cluster names; a temporary one only where everything is one machine."""
     context = df.sparkSession.sparkContext
@@ -17,7 +24,7 @@ def _shared_folder(df: DataFrame) -> str | None:
     if folder:
         return folder
     if context.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="evimill-")
+        return _temporary_folder().name
     return None
 
 

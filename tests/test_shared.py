@@ -1,0 +1,21 @@
+"""Tables written once for several readers."""
+
+from evimill.sources import shared
+
+
+def test_rows_come_back_with_their_schema(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    got = shared.written_once(df, "rows")
+    assert got.schema == df.schema and sorted(tuple(r) for r in got.collect()) == [(1, None), (2, "x")]
+    assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_is_written_without_a_folder(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_shared_folder", lambda df: None)
+    df = spark.range(2)
+    assert shared.written_once(df, "rows") is df
+
+
+def test_the_folder_of_the_session_comes_first(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "_SETTING", "spark.app.name")
+    assert shared._shared_folder(spark.range(1)) == spark.sparkContext.appName
