@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import data_dir, differences, duck
+from evimill.plans import catalog
 
 SF_DIR = data_dir("0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
