@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimill.llm import mixing, packing, secrets, simhash, toxicity
+from evimill.llm import decision_lists, mixing, packing, secrets, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(files(spark, sf_dir)).withColumnRenamed("file_id", "doc_id")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(files(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumnRenamed("file_id", "doc_id")
+
+
+@query
+def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = files(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("file_id"), "quality")
+    rules = decision_lists.learn(tree, labels.where(~toxicity.held_out(F.col("file_id"))))
+    return decision_lists.judge_files(tree, rules).withColumnRenamed("file_id", "doc_id")
