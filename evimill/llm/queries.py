@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimill.llm import decision_lists, mixing, packing, secrets, simhash, token_counts, toxicity
+from evimill.llm import decision_lists, licenses, mixing, packing, pseudonyms, secrets, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("file_id", "doc_id")
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(files(spark, sf_dir)).withColumnRenamed("file_id", "doc_id")
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_files(files(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -76,6 +81,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("file_id", "doc_id")
 
 
+@query
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.evimill.pseudonyms.key", "a key for tests")
+    changed = pseudonyms.pseudonymise_files(files(spark, sf_dir), key)
+    return changed.withColumnsRenamed({"file_id": "doc_id", "content": "text"})
+
+
 @query
 def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = files(spark, sf_dir)
