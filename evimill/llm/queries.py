@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimill.llm import decision_lists, licenses, mixing, packing, pseudonyms, secrets, simhash, token_counts, toxicity
+from evimill.llm import decision_lists, licenses, mixing, neighbours, packing, pseudonyms, secrets, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(files(spark, sf_dir)).taken().withColumnRenamed("file_id", "doc_id")
 
 
+@query
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(files(spark, sf_dir)).withColumnRenamed("file_id", "doc_id")
