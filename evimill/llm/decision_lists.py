@@ -217,9 +217,13 @@ def learn(files: DataFrame, labels: DataFrame, max_rows: int = 20_000, **setting
         .groupBy("file_id")
         .agg(F.min("content").alias("content"), F.min("quality").alias("quality"))
         .select("file_id", "quality", counted(F.col("content")).alias("counts"))
-        .select("file_id", "quality", *(feature(F.col("counts"), name).alias(name) for name in FEATURES))
-    )
-    rows = sorted(sample.collect(), key=lambda row: row["file_id"])
+        .select(
+            F.xxhash64("file_id").alias("order"), "file_id", "quality",
+            *(feature(F.col("counts"), name).alias(name) for name in FEATURES),
+        )
+    )
+    # by hash, so that what grows and what prunes does not hang on how ids were given
+    rows = sorted(sample.collect(), key=lambda row: (row["order"], row["file_id"]))
     if not rows:
         return []
     x = np.array([[row[name] for name in FEATURES] for row in rows], dtype=float)

@@ -205,7 +205,7 @@ def nearest(
     k: int = 5,
     trees: int = 4,
     depth: int = 7,
-    share: float = 1.5,
+    share: float = 1.75,
     sample_rows: int = 20_000,
     leaf_rows: int = 1 << 15,
     seed: int = 7,
@@ -219,7 +219,7 @@ def nearest(
 
     Planes are fitted to at most ``sample_rows`` vectors, drawn by hash of vec_id; all rows are
     indexed. A search ends once its leaves hold ``share`` times all rows, rows counted in each tree:
-    1.5 finds over nine in ten neighbours even among vectors without any structure, a few hundredths
+    1.75 finds over nine in ten neighbours even among vectors without any structure, a few hundredths
     do where there are clusters. Of equal vectors the k+1 of smallest vec_id are indexed, as no query
     can be nearer to another one. Leaves are split above ``leaf_rows``.
     """
