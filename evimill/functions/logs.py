@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evimill.functions.text import contains_all, contains_any, file_url_path, trim_space
+from evimill.functions.text import (
+    STRICT_JSON,
+    contains_all,
+    contains_any,
+    file_url_path,
+    json_valid,
+    trim_space,
+)
 from evimill.functions.vocabulary import (
     BASELINE_SEPARATOR,
     COUNTER_PANIC_MARKERS,
@@ -98,7 +105,7 @@ def budget_reached(text: Column) -> Column:
 
     def closing_line(line: Column) -> Column:
         line = trim_space(line)
-        rest = F.substring(line, 6, 1 << 30)
+        rest = F.substring(line, F.lit(6), F.length(line))
         return (
             F.startswith(line, F.lit("Done "))
             & F.contains(rest, F.lit(" runs in "))
@@ -144,7 +151,7 @@ def fuzz_runs(text: Column) -> Column:
 
     def step(state: Column, token: Column) -> Column:
         digits = F.when(state["expecting"], token).when(
-            F.startswith(token, F.lit("runs:")), F.substring(token, 6, 1 << 30)
+            F.startswith(token, F.lit("runs:")), F.substring(token, F.lit(6), F.length(token))
         )
         return F.struct(
             F.coalesce(state["found"], _run_count(digits)).alias("found"),
@@ -230,28 +237,33 @@ def counter_summary(status: Column, success: Column, root: Column, dependency: C
 
 
 def _package_report(line: Column) -> Column:
-    """Parsed report, null where a required field is missing."""
-    report = F.from_json(line, PACKAGE_REPORT_SCHEMA)
+    """Parsed report; null where the line is no JSON to its end or lacks a required field."""
+    report = F.from_json(line, PACKAGE_REPORT_SCHEMA, STRICT_JSON)
     complete = F.forall(
         report["packages"],
         lambda p: p["package"]["id"]["name"].isNotNull()
         & (p["unsafety"]["used"]["exprs"]["unsafe_"] >= 0),
     )
-    return F.when(F.coalesce(complete, F.lit(False)), report)
+    return F.when(F.coalesce(complete, F.lit(False)) & json_valid(line), report)
+
+
+def last_report(text: Column) -> Column:
+    """``struct(line, report)`` of the last line that is a readable package report, else null.
+
+    Each line is parsed once; what follows works on the parsed report.
+    """
+    lines = F.filter(
+        F.transform(F.split(text, "\n"), trim_space),
+        lambda line: F.startswith(line, F.lit("{")) & F.contains(line, F.lit('"packages"')),
+    )
+    parsed = F.transform(lines, lambda line: F.struct(line.alias("line"), _package_report(line).alias("report")))
+    readable = F.filter(parsed, lambda x: x["report"].isNotNull())
+    return F.when(F.contains(text, F.lit('"packages"')), F.try_element_at(readable, F.lit(-1)))
 
 
 def last_report_line(text: Column) -> Column:
     """Last line that is a readable package report, null without one."""
-    lines = F.transform(F.split(text, "\n"), trim_space)
-    reports = F.filter(
-        lines,
-        lambda line: F.startswith(line, F.lit("{"))
-        & F.contains(line, F.lit('"packages"'))
-        & _package_report(line).isNotNull(),
-    )
-    return F.when(
-        F.contains(text, F.lit('"packages"')), F.try_element_at(reports, F.lit(-1))
-    )
+    return last_report(text)["line"]
 
 
 def package_tier(name: Column, source_path: Column, crate: Column, crate_path: Column) -> Column:
@@ -262,10 +274,10 @@ def package_tier(name: Column, source_path: Column, crate: Column, crate_path: C
     )
 
 
-def package_counts(report_line: Column, crate: Column, crate_path: Column) -> Column:
-    """``struct(root_unsafe, dependency_unsafe)`` of one report line; nulls without a root."""
+def package_counts(report: Column, crate: Column, crate_path: Column) -> Column:
+    """``struct(root_unsafe, dependency_unsafe)`` of one parsed report; nulls without a root."""
     packages = F.transform(
-        F.from_json(report_line, PACKAGE_REPORT_SCHEMA)["packages"],
+        report["packages"],
         lambda p, pos: F.struct(
             package_tier(
                 p["package"]["id"]["name"], p["package"]["id"]["source"]["Path"], crate, crate_path

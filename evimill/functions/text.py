@@ -124,7 +124,7 @@ def file_url_path(url: Column) -> Column:
 
     ``+`` stays a plus sign, and a ``%`` too close to the end for two digits stays as it is.
     """
-    encoded = F.regexp_replace(F.substring(url, 8, 1 << 30), r"%(?=[\x00-\x7F]?$)", "%25")
+    encoded = F.regexp_replace(F.substring(url, F.lit(8), F.length(url)), r"%(?=[\x00-\x7F]?$)", "%25")
     decoded = F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
     return F.when(F.startswith(url, F.lit("file://")), F.substring_index(decoded, "#", 1))
 
@@ -186,15 +186,18 @@ def table_cell(text: Column) -> Column:
     return F.replace(escape_bars(text), F.lit("\n"), F.lit(" "))
 
 
+#: Options under which Spark's JSON reader takes no more than the standard allows.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def json_valid(text: Column) -> Column:
     """True if the whole text is one JSON value.
 
     A JSON reader stops after the first value, so trailing text is caught by wrapping: the
     text must be the only element of an array and the only value of an object.
     """
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    as_element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
-    as_value = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", strict)
+    as_element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT_JSON)
+    as_value = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", STRICT_JSON)
     # Only a bracket in the text can close the array early.
     stays_inside = ~F.contains(text, F.lit("]")) | as_value.isNotNull()
     return F.coalesce((F.size(as_element) == 1) & stays_inside, F.lit(False))

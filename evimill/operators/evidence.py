@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimill.functions import logs as L
@@ -25,15 +25,29 @@ def case_records(strict: DataFrame, baseline: DataFrame, triage: bool = True) ->
 
     The baseline run of a case counts only if triage is on and the strict run shows
     undefined behaviour, so only those cases take part in the join; logs of the others
-    are classified where they are.
+    are classified where they are. A run without a log shows nothing. Of several baseline
+    runs of a case one that shows undefined behaviour is taken before one that does not,
+    then the shortest, then the first by its log.
     """
-    shows_ub = L.has_ub(F.col("combined_output"))
-    none = {"baseline_output": F.lit(None).cast("string"), "baseline_ms": F.lit(None).cast("bigint")}
+    shows_ub = F.coalesce(L.has_ub(F.col("combined_output")), F.lit(False))
+    none = {
+        "baseline_output": F.lit(None).cast("string"),
+        "baseline_ms": F.lit(None).cast("bigint"),
+        "baseline_ub": F.lit(None).cast("boolean"),
+    }
     if triage:
-        runs = baseline.select(
-            *CASE_KEY,
-            F.col("combined_output").alias("baseline_output"),
-            F.col("duration_ms").alias("baseline_ms"),
+        preferred = Window.partitionBy(*CASE_KEY).orderBy(
+            shows_ub.desc(), F.col("duration_ms").asc_nulls_last(), "combined_output"
+        )
+        runs = (
+            baseline.withColumn("_nth", F.row_number().over(preferred))
+            .filter("_nth = 1")
+            .select(
+                *CASE_KEY,
+                F.col("combined_output").alias("baseline_output"),
+                F.col("duration_ms").alias("baseline_ms"),
+                shows_ub.alias("baseline_ub"),
+            )
         )
         with_ub = strict.filter(shows_ub).withColumn("strict_ub", F.lit(True))
         without = strict.filter(~shows_ub).withColumn("strict_ub", F.lit(False)).withColumns(none)
@@ -41,9 +55,7 @@ def case_records(strict: DataFrame, baseline: DataFrame, triage: bool = True) ->
     else:
         cases = strict.withColumn("strict_ub", shows_ub).withColumns(none)
 
-    verdict = L.interpreter_verdict(
-        F.col("success"), F.col("strict_ub"), L.has_ub(F.col("baseline_output"))
-    )
+    verdict = L.interpreter_verdict(F.col("success"), F.col("strict_ub"), F.col("baseline_ub"))
     log = L.combined_log(F.col("combined_output"), F.col("baseline_output"))
     return (
         cases.withColumn("verdict", verdict)
@@ -67,7 +79,7 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
     ``runs`` is (crate, kind, name, success, duration_ms, combined_output). Interpreter
     runs are taken as strict runs without a baseline. Other columns are carried along.
     """
-    text, success, kind = F.col("combined_output"), F.col("success"), F.col("kind")
+    text, success, kind = F.coalesce("combined_output", F.lit("")), F.col("success"), F.col("kind")
     budget = F.lit(DEFAULT_BUDGET_SECONDS).cast("bigint") if budget is None else budget
     is_counter, is_interpreter, is_fuzzer = kind == "geiger", kind == "miri", kind == "fuzz"
     extra = [c for c in runs.columns if c not in {*RECORD_COLUMNS, "success", "combined_output"}]
@@ -75,14 +87,14 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
     no_baseline = F.lit(None).cast("boolean")
     counted = runs.withColumns(
         {
-            "_line": F.when(is_counter, L.last_report_line(text)),
+            "_report": F.when(is_counter, L.last_report(text)["report"]),
             "verdict": F.when(
                 is_interpreter, L.interpreter_verdict(success, L.has_ub(text), no_baseline)
             ),
             "runs": F.when(is_fuzzer, L.fuzz_runs(text)),
             "status": L.run_status(kind, success, text),
         }
-    ).withColumn("_counts", L.package_counts(F.col("_line"), F.col("crate"), crate_path))
+    ).withColumn("_counts", L.package_counts(F.col("_report"), F.col("crate"), crate_path))
     status = F.col("status")
     summary = (
         F.when(
@@ -111,7 +123,8 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
 
 def run_statuses(runs: DataFrame) -> DataFrame:
     """(crate, kind, status) alone, for the roll-ups that need no more of a record."""
-    status = L.run_status(F.col("kind"), F.col("success"), F.col("combined_output"))
+    text = F.coalesce("combined_output", F.lit(""))
+    status = L.run_status(F.col("kind"), F.col("success"), text)
     return runs.select("crate", "kind", status.alias("status"))
 
 
@@ -122,8 +135,8 @@ GROUP_STAGES = ["missing", "build", "run"]
 def record_positions(records: DataFrame, target_order: str) -> DataFrame:
     """Records with their 1-based position in the report of their crate.
 
-    Kinds come in report order, then groups by name, then the stages of a group, then
-    ``target_order``, which must be unique within all that.
+    Kinds come in report order, then groups by ``group_ord``, their place in the plan, then the
+    stages of a group, then ``target_order``, which must be unique within all that.
     """
     kinds, stages = (F.array(*[F.lit(v) for v in values]) for values in (PHASE_KINDS, GROUP_STAGES))
     keyed = records.withColumns(
@@ -132,7 +145,7 @@ def record_positions(records: DataFrame, target_order: str) -> DataFrame:
             "_stage": F.array_position(stages, F.col("stage")),
         }
     )
-    order = ["_kind", "group_name", "_stage", target_order]
+    order = ["_kind", "group_ord", "_stage", target_order]
     placed = with_offset(keyed, "crate", order, F.lit(1), "position")
     return placed.withColumn("position", F.col("position") + 1).drop("_kind", "_stage")
 
@@ -180,22 +193,20 @@ def phase_totals(records: DataFrame) -> DataFrame:
 # ---- package metrics --------------------------------------------------------------------
 
 
-_POSITION_BITS = 48
-
-
-def _root_rank(crate: Column, crate_path: Column) -> Column:
-    """Tier and position as one number, so that its minimum needs no sort; null for no root."""
+def _firsts(crate: Column, crate_path: Column) -> list[Column]:
+    """Position where the package is a root of tier 1, and of tier 2; else null."""
     tier = L.package_tier(F.col("name"), F.col("source_path"), crate, crate_path)
-    return F.shiftleft(tier.cast("bigint"), _POSITION_BITS) + F.col("pos")
+    return [F.when(tier == n, F.col("pos")) for n in (1, 2)]
 
 
 def package_root(packages: DataFrame, crate: Column, crate_path: Column) -> DataFrame:
     """Position of the root package per report: best tier, then first; reports without one drop out."""
-    best = packages.groupBy("report_id").agg(F.min(_root_rank(crate, crate_path)).alias("rank"))
-    return best.filter("rank IS NOT NULL").select(
+    exact, by_name = _firsts(crate, crate_path)
+    best = packages.groupBy("report_id").agg(F.min(exact).alias("exact"), F.min(by_name).alias("by_name"))
+    return best.filter("exact IS NOT NULL OR by_name IS NOT NULL").select(
         "report_id",
-        (F.col("rank") % (1 << _POSITION_BITS)).alias("pos"),
-        F.shiftright("rank", _POSITION_BITS).cast("int").alias("tier"),
+        F.coalesce("exact", "by_name").alias("pos"),
+        F.when(F.col("exact").isNotNull(), F.lit(1)).otherwise(F.lit(2)).alias("tier"),
     )
 
 
@@ -204,10 +215,12 @@ def package_metrics(packages: DataFrame, crate: Column, crate_path: Column) -> D
 
     The others are the total less the root, so one aggregation does for both.
     """
+    exact, by_name = _firsts(crate, crate_path)
     sums = packages.groupBy("report_id").agg(
-        F.min_by("unsafe_exprs", _root_rank(crate, crate_path)).alias("root_unsafe"),
+        F.count(exact).alias("n_exact"),
+        F.min_by("unsafe_exprs", exact).alias("exact"),
+        F.min_by("unsafe_exprs", by_name).alias("by_name"),
         F.sum("unsafe_exprs").alias("total"),
     )
-    return sums.select(
-        "report_id", "root_unsafe", (F.col("total") - F.col("root_unsafe")).alias("dependency_unsafe")
-    )
+    root = F.when(F.col("n_exact") > 0, F.col("exact")).otherwise(F.col("by_name"))
+    return sums.select("report_id", root.alias("root_unsafe"), (F.col("total") - root).alias("dependency_unsafe"))

@@ -28,11 +28,11 @@ def discovered_targets(listings: DataFrame, key: str, text: Column) -> DataFrame
 def targets_available(groups: DataFrame, configured: DataFrame, discovered: DataFrame) -> DataFrame:
     """Targets to run: the configured ones that exist, or all that exist where a group says so.
 
-    ``groups`` is (group_id, take_all). Rows of the configuration are kept as they are,
-    repeated ones included.
+    ``groups`` is (group_id, take_all), a null meaning no. Rows of the configuration are kept
+    as they are, repeated ones included.
     """
     found = lookup_keys(discovered, TARGET_KEY)
-    by_name = lookup_keys(groups.filter("NOT take_all"), ["group_id"])
+    by_name = lookup_keys(groups.filter("NOT coalesce(take_all, false)"), ["group_id"])
     in_full = lookup_keys(groups.filter("take_all"), ["group_id"])
     named = configured.join(by_name, "group_id", "left_semi").join(found, TARGET_KEY, "left_semi")
     every = found.join(in_full, "group_id", "left_semi")
@@ -60,28 +60,22 @@ def group_collapse(groups: DataFrame, configured: DataFrame, discovered: DataFra
     """Skipped records of all groups; a group with nothing to run has exactly one.
 
     ``groups`` is (group_id, take_all, listing_summary): the last is what discovery said and
-    is the cause given when it found nothing. Counts per group come from partial
-    aggregations; only groups, never their targets, are joined on the group key.
+    is the cause given when it found nothing. One pass over both lists counts per target
+    how often it is configured and whether it exists; the targets left to report are those
+    sums again, so neither list is read a second time for them.
     """
-    found = lookup_keys(discovered, TARGET_KEY)
-    marked = configured.join(found.withColumn("present", F.lit(True)), TARGET_KEY, "left")
-    counts = (
-        marked.select(
-            "group_id",
-            F.col("present").isNotNull().cast("bigint").alias("available"),
-            F.lit(0).cast("bigint").alias("discovered"),
-        )
-        .unionByName(
-            found.select(
-                "group_id", F.lit(0).cast("bigint").alias("available"), F.lit(1).cast("bigint").alias("discovered")
-            )
-        )
-        .groupBy("group_id")
-        .agg(F.sum("available").alias("available"), F.sum("discovered").alias("discovered"))
+    none = F.lit(0).cast("bigint")
+    seen = (
+        configured.select(*TARGET_KEY, F.lit(1).cast("bigint").alias("configured"), none.alias("found"))
+        .unionByName(discovered.select(*TARGET_KEY, none.alias("configured"), F.lit(1).cast("bigint").alias("found")))
+        .groupBy(*TARGET_KEY)
+        .agg(F.sum("configured").alias("configured"), F.max("found").alias("found"))
     )
-    to_run = F.coalesce(
-        F.when(F.col("take_all"), F.col("discovered")).otherwise(F.col("available")), F.lit(0)
+    counts = seen.groupBy("group_id").agg(
+        F.sum(F.col("configured") * F.col("found")).alias("available"), F.sum("found").alias("discovered")
     )
+    take_all = F.coalesce("take_all", F.lit(False))
+    to_run = F.coalesce(F.when(take_all, F.col("discovered")).otherwise(F.col("available")), F.lit(0))
     judged = groups.join(counts, "group_id", "left").withColumn("to_run", to_run)
     cause = F.when(
         F.coalesce(F.col("discovered"), F.lit(0)) == 0,
@@ -93,10 +87,11 @@ def group_collapse(groups: DataFrame, configured: DataFrame, discovered: DataFra
         F.lit("skipped").alias("status"),
         F.concat(F.lit("no fuzz targets available: "), cause).alias("summary"),
     )
-    running = unique_keys(judged.filter("to_run > 0 AND NOT take_all"), ["group_id"])
+    running = unique_keys(judged.filter((F.col("to_run") > 0) & ~take_all), ["group_id"])
     missing = (
-        marked.filter("present IS NULL")
+        seen.filter("found = 0")
         .join(running, "group_id", "left_semi")
+        .select(*TARGET_KEY, F.explode(F.sequence(F.lit(1).cast("bigint"), "configured")).alias("nth"))
         .select(*TARGET_KEY, *_missing_record())
     )
     return collapsed.unionByName(missing)
@@ -107,8 +102,10 @@ def harness_attach(crates: DataFrame, harnesses: DataFrame) -> DataFrame:
 
     Where several directories fit, the first in path order is taken.
     """
-    first = harnesses.groupBy(package_key(F.col("name")).alias("key")).agg(
-        F.min("path").alias("harness_dir")
+    first = (
+        harnesses.groupBy(package_key(F.col("name")).alias("key"))
+        .agg(F.min("path").alias("harness_dir"))
+        .repartition(F.xxhash64("key"))  # so that a name many crates share can be split in the join
     )
     keyed = crates.withColumn("key", package_key(F.col("name")))
     return keyed.join(first, "key", "left").drop("key")
@@ -132,5 +129,6 @@ def artifacts_changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def artifact_newest(changed: DataFrame) -> DataFrame:
     """Newest changed entry per directory; of equally new ones the last in path order."""
-    newest = F.max(F.struct("modified", "path"))
-    return changed.groupBy("dir").agg(newest.alias("newest")).select("dir", "newest.path")
+    newest = changed.groupBy("dir").agg(F.max("modified").alias("modified"))
+    tied = changed.join(unique_keys(newest, ["dir", "modified"]), ["dir", "modified"], "left_semi")
+    return tied.groupBy("dir").agg(F.max("path").alias("path"))

@@ -26,9 +26,6 @@ MAGIC_BYTES = [
     ("te", ["565A"]),
 ]
 
-# Concatenated values read from one stream at most.
-STREAM_VALUES = 8
-
 
 def verdict(passed: Column, n: Column, skipped: Column | None = None) -> Column:
     label = F.when(passed, F.lit("ok")).otherwise(F.lit("error"))
@@ -137,8 +134,8 @@ def json_mutations(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def leading_json_lines(text: Column) -> Column:
-    """Number of valid values at the start of newline-delimited JSON, at most eight."""
-    lines = F.slice(F.filter(F.split(text, "\n"), lambda s: trim_space(s) != ""), 1, STREAM_VALUES)
+    """Number of valid values at the start of newline-delimited JSON."""
+    lines = F.filter(F.split(text, "\n"), lambda s: trim_space(s) != "")
     first_bad = F.array_position(F.transform(lines, json_valid), False)
     return F.when(first_bad > 0, first_bad - 1).otherwise(F.size(lines)).cast("bigint")
 
@@ -146,19 +143,23 @@ def leading_json_lines(text: Column) -> Column:
 # ---- markup -----------------------------------------------------------------------------
 
 
+_MARKUP_NAME = r"[A-Za-z_:][-A-Za-z0-9_:.]*+"
+#: What follows the name in a start tag: values in either kind of quotes may hold any sign.
+_INSIDE_TAG = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++))?+"""
+
+
 def tag_counts(pages: DataFrame, html: str) -> DataFrame:
-    """Start tags by name."""
-    names = F.regexp_extract_all(F.col(html), F.lit(r"<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))
+    """Start tags by their full name."""
+    names = F.regexp_extract_all(F.col(html), F.lit(f"<({_MARKUP_NAME})"), F.lit(1))
     return explode_once(pages, [], names, "pos", "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def attribute_counts(pages: DataFrame, html: str) -> DataFrame:
-    """Attributes of start tags by name."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"<[A-Za-z][A-Za-z0-9]*( [^<>]*)>"), F.lit(1))
-    names = F.regexp_extract_all(F.col("inside"), F.lit(r' ([A-Za-z-]+)="[^"]*"'), F.lit(1))
-    attributes = explode_once(
-        explode_once(pages, [], tags, "tag", "inside"), [], names, "pos", "attribute"
-    )
+    """Attributes of start tags by name: quoted either way, unquoted, or without a value."""
+    tags = F.regexp_extract_all(F.col(html), F.lit(rf"<{_MARKUP_NAME}(?=[\s/>])({_INSIDE_TAG})>"), F.lit(1))
+    names = F.flatten(F.transform(tags, lambda inside: F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(1))))
+    attributes = explode_once(pages, [], names, "pos", "attribute")
     return attributes.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
 
 

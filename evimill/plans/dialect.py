@@ -43,22 +43,18 @@ VIEWS = {
     "text_files": """SELECT source AS crate, concat(lang, '/', CAST(doc_id AS VARCHAR)) AS file,
   text AS content FROM documents""",
     "run_logs": f"SELECT {columns(V.RUN_LOG_COLUMNS)} FROM {EVENTS}",
-    "strict_runs": f"SELECT {columns(V.CASE_RUN_COLUMNS)} FROM {EVENTS} WHERE event_id % 6 = 1",
-    "baseline_runs": f"""SELECT {columns(V.CASE_RUN_COLUMNS)} FROM {EVENTS}
-  WHERE event_id % 6 = 4 AND event_type <> 'view'""",
-    "configured": """SELECT l_orderkey % 50 AS group_id, l_partkey AS target, l_orderkey AS ordinal
-  FROM lineitem WHERE l_linenumber = 1""",
-    "discovered": """SELECT DISTINCT l_orderkey % 50 AS group_id,
-  CASE WHEN l_orderkey % 50 = 7 THEN -1 - l_partkey ELSE l_partkey END AS target
-  FROM lineitem WHERE l_linenumber > 1 AND l_orderkey % 50 % 10 <> 0""",
+    "strict_runs": f"SELECT {columns(V.CASE_RUN_COLUMNS)} FROM {EVENTS} WHERE event_id % 2 = 0",
+    "baseline_runs": f"SELECT {columns(V.CASE_RUN_COLUMNS)} FROM {EVENTS} WHERE event_id % 2 = 1",
+    "configured": f"SELECT {columns(V.CONFIGURED_COLUMNS)} FROM lineitem",
+    "discovered": f"SELECT DISTINCT {columns(V.DISCOVERED_COLUMNS)} FROM lineitem",
     "inventory_groups": """SELECT DISTINCT l_orderkey % 50 AS group_id, l_orderkey % 50 % 8 = 3 AS take_all
   FROM lineitem""",
     "groups": f"SELECT {columns(V.GROUP_COLUMNS)} FROM orders",
     "packages": f"SELECT {columns(V.PACKAGE_COLUMNS)} FROM lineitem",
-    "artifacts_before": """SELECT user_id AS dir, event_type AS path, max(ts) AS modified FROM events
-  WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type <> 'signup' GROUP BY ALL""",
-    "artifacts_after": """SELECT user_id AS dir, event_type AS path, max(ts) AS modified FROM events
-  WHERE user_id % 3 <> 0 OR ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY ALL""",
+    "artifacts_before": f"""SELECT user_id AS dir, CASE WHEN event_type = 'signup' THEN 'invitation' ELSE event_type END AS path,
+  max(least(ts, {V.SNAPSHOT_TIME})) AS modified FROM events GROUP BY ALL""",
+    "artifacts_after": f"""SELECT user_id AS dir, event_type AS path,
+  max(CASE WHEN user_id % 3 = 0 THEN least(ts, {V.SNAPSHOT_TIME}) ELSE ts END) AS modified FROM events GROUP BY ALL""",
 }
 
 

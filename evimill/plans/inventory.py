@@ -26,7 +26,7 @@ def discovered_targets(spark, sf_dir):
 
 def discovered_lines(spark, sf_dir):
     """The same over whole documents, as listings of many lines."""
-    documents = V.text_table(spark, sf_dir, "documents", "doc_id")
+    documents = V.table(spark, sf_dir, "documents")
     return I.discovered_targets(documents, "doc_id", F.col("text"))
 
 
@@ -46,24 +46,26 @@ def group_collapse(spark, sf_dir):
     return I.group_collapse(groups, V.configured(spark, sf_dir), V.discovered(spark, sf_dir))
 
 
+# Pending orders are harnesses of other packages.
+_HARNESS_PREFIX = "CASE WHEN o_orderstatus = 'P' THEN 'tool-' WHEN o_orderkey % 3 = 0 THEN 'pkg_' ELSE 'pkg-' END"
+
+
 def harness_attach(spark, sf_dir):
-    """Customers as crates, orders as harness directories that do have a build file."""
+    """Customers as crates, orders as harness directories."""
     crates = V.table(spark, sf_dir, "customer").select(
         F.expr("concat(CASE c_custkey % 2 WHEN 0 THEN 'pkg_' ELSE 'pkg-' END, cast(c_custkey AS string))").alias("name")
     )
-    harnesses = (
-        V.table(spark, sf_dir, "orders")
-        .filter("o_orderstatus <> 'P'")
-        .select(
-            F.expr("concat(CASE o_orderkey % 3 WHEN 0 THEN 'pkg_' ELSE 'pkg-' END, cast(o_custkey * 2 AS string))").alias("name"),
-            F.expr("concat('harnesses/', cast(o_orderkey AS string))").alias("path"),
-        )
+    harnesses = V.table(spark, sf_dir, "orders").select(
+        F.expr(f"concat({_HARNESS_PREFIX}, cast(o_custkey * 2 AS string))").alias("name"),
+        F.expr("concat('harnesses/', cast(o_orderkey AS string))").alias("path"),
     )
     return I.harness_attach(crates, harnesses)
 
 
-def _corpus_files(spark, sf_dir, flag):
-    return V.table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).select(
+def _corpus_files(spark, sf_dir, seeds):
+    """Lines of orders as files: the accepted returns are seeds, all others lie in the corpus."""
+    flag = F.col("l_returnflag") == "A"
+    return V.table(spark, sf_dir, "lineitem").filter(flag if seeds else ~flag).select(
         F.expr("l_suppkey").alias("crate"),
         F.expr("l_partkey").alias("target"),
         F.expr("concat(l_returnflag, '-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string))").alias("file"),
@@ -71,7 +73,7 @@ def _corpus_files(spark, sf_dir, flag):
 
 
 def seed_backfill(spark, sf_dir):
-    return I.seed_backfill(_corpus_files(spark, sf_dir, "R"), _corpus_files(spark, sf_dir, "A"))
+    return I.seed_backfill(_corpus_files(spark, sf_dir, False), _corpus_files(spark, sf_dir, True))
 
 
 def artifact_changed(spark, sf_dir):
@@ -112,10 +114,10 @@ def _listing(key: str, text: str, source: str) -> str:
     )
 
 
-def _files(flag: str) -> str:
+def _files(test: str) -> str:
     return f"""SELECT l_suppkey AS crate, l_partkey AS target,
   concat(l_returnflag, '-', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS file
-  FROM lineitem WHERE l_returnflag = '{flag}'"""
+  FROM lineitem WHERE l_returnflag {test}"""
 
 
 CHANGED = """changed AS (SELECT a.dir, a.path, a.modified FROM artifacts_after a
@@ -158,11 +160,11 @@ WHERE n_run > 0 AND NOT take_all AND NOT present""",
     "harness_attach": """WITH crates AS (
   SELECT concat(CASE c_custkey % 2 WHEN 0 THEN 'pkg_' ELSE 'pkg-' END, CAST(c_custkey AS VARCHAR)) AS name FROM customer),
 harnesses AS (
-  SELECT concat(CASE o_orderkey % 3 WHEN 0 THEN 'pkg_' ELSE 'pkg-' END, CAST(o_custkey * 2 AS VARCHAR)) AS name,
-    concat('harnesses/', CAST(o_orderkey AS VARCHAR)) AS path FROM orders WHERE o_orderstatus <> 'P')
+  SELECT concat({prefix}, CAST(o_custkey * 2 AS VARCHAR)) AS name,
+    concat('harnesses/', CAST(o_orderkey AS VARCHAR)) AS path FROM orders)
 SELECT c.name, min(h.path) AS harness_dir FROM crates c
-LEFT JOIN harnesses h ON replace(h.name, '_', '-') = replace(c.name, '_', '-') GROUP BY c.name""",
-    "seed_backfill": f"""WITH corpus AS ({_files('R')}), seeds AS ({_files('A')})
+LEFT JOIN harnesses h ON replace(h.name, '_', '-') = replace(c.name, '_', '-') GROUP BY c.name""".format(prefix=_HARNESS_PREFIX),
+    "seed_backfill": f"""WITH corpus AS ({_files("<> 'A'")}), seeds AS ({_files("= 'A'")})
 SELECT * FROM corpus UNION ALL SELECT * FROM seeds s
 WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.crate = s.crate AND c.target = s.target)""",
     "artifact_changed": with_views(

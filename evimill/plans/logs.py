@@ -80,14 +80,17 @@ def argv_display(spark, sf_dir):
     return V.run_logs(spark, sf_dir).select("run_id", T.argv_text(F.lit("cargo"), args).alias("command"))
 
 
+# Place of a group in the plan of its crate, by the number in its name.
+_PLANNED = "CAST(substr(name, 2) AS INT) * 3 % 5"
+
+
 def record_order(spark, sf_dir):
-    """Positions of fuzz records: targets that are missing, that did not build, that ran."""
-    runs = V.run_logs(spark, sf_dir).filter("kind = 'fuzz'")
+    """Positions of all records; of fuzz groups missing targets, then failed builds, then runs."""
     stage = F.when(L.missing_source(_text()).isNotNull(), F.lit("missing")).when(
-        _text().contains("failed to execute"), F.lit("build")
+        (F.col("kind") == "fuzz") & _text().contains("failed to execute"), F.lit("build")
     )
-    staged = runs.select(
-        "run_id", "crate", "kind", F.col("name").alias("group_name"),
+    staged = V.run_logs(spark, sf_dir).select(
+        "run_id", "crate", "kind", F.expr(_PLANNED).alias("group_ord"),
         F.coalesce(stage, F.lit("run")).alias("stage"),
     )
     return E.record_positions(staged, "run_id").select("run_id", "crate", "stage", "position")
@@ -99,15 +102,18 @@ def phase_totals(spark, sf_dir):
 
 
 def heterogeneous_records(spark, sf_dir):
-    """Records of cases and of fuzz runs, which carry different evidence fields."""
+    """Records of cases and of the runs of the other tools, which carry different evidence fields."""
     cases = strict_baseline_verdict(spark, sf_dir).select(
         "crate", F.lit("miri").alias("kind"), F.col("case_name").alias("name"),
         "status", "duration_ms", "summary", "verdict", "ub_category",
     )
-    fuzz = E.phase_records(_runs("fuzz")(spark, sf_dir), _crate_path()).select(
-        "crate", "kind", "name", "status", "duration_ms", "summary", "target", "error_kind",
+    others = V.run_logs(spark, sf_dir).filter("kind <> 'miri'")
+    return E.union_records(
+        cases,
+        E.phase_records(others, _crate_path()).select(
+            "crate", "kind", "name", "status", "duration_ms", "summary", "target", "error_kind", "root_unsafe",
+        ),
     )
-    return E.union_records(cases, fuzz)
 
 
 def log_path_names(spark, sf_dir):
@@ -117,12 +123,12 @@ def log_path_names(spark, sf_dir):
 
 
 def log_excerpt(spark, sf_dir):
-    return V.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 def duration_label(spark, sf_dir):
     """Log durations, and the event number times 50 for every possible tie of tenths."""
-    events = V.text_table(spark, sf_dir, "events", "event_id")
+    events = V.table(spark, sf_dir, "events")
     ms = F.expr("cast(round(value * 1000) AS bigint)")
     return events.select(
         "event_id",
@@ -133,11 +139,11 @@ def duration_label(spark, sf_dir):
 
 def utf8_repair(spark, sf_dir):
     """Documents with one invalid byte put in after the first twenty characters."""
-    documents = V.text_table(spark, sf_dir, "documents", "doc_id")
+    documents = V.table(spark, sf_dir, "documents")
     broken = F.concat(
         F.encode(F.left("text", F.lit(20)), "utf-8"),
         F.unhex(F.lit("FF")),
-        F.encode(F.substring("text", 21, 1 << 30), "utf-8"),
+        F.encode(F.substring(F.col("text"), F.lit(21), F.length("text")), "utf-8"),
     )
     return documents.select("doc_id", T.lossy_text(broken).alias("text"))
 
@@ -208,7 +214,8 @@ ERROR_KIND_SQL = """CASE WHEN status = 'finding' THEN 'finding' WHEN status <> '
   WHEN lsan THEN 'environment_error' ELSE 'tool_error' END"""
 
 REPORT_SQL = f"""list_last(list_filter(list_transform(string_split({O}, chr(10)), lambda x: {trim('x')}),
-  lambda x: starts_with(x, '{{') AND contains(x, '"packages"') AND json_valid(x)))"""
+  lambda x: CASE WHEN starts_with(x, '{{') AND contains(x, '"packages"') AND json_valid(x)
+    THEN json_type(x, '$.packages') = 'ARRAY' ELSE false END))"""
 ROOT_SQL = "CAST(json_extract(report, '$.packages[1].unsafety.used.exprs.unsafe_') AS BIGINT)"
 DEP_SQL = "CAST(json_extract(report, '$.packages[0].unsafety.used.exprs.unsafe_') AS BIGINT)"
 PANIC_SQL = " AND ".join(f"contains({O}, {literal(m)})" for m in W.COUNTER_PANIC_MARKERS)
@@ -334,10 +341,12 @@ SELECT event_id, {a} AS label, {b} AS tie_label FROM t""".format(
     "heterogeneous_records": with_views(
         ["run_logs", *CASE_VIEWS],
         f"""SELECT crate, 'miri' AS kind, case_name AS name, status, duration_ms, summary, verdict, ub_category,
-  CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS error_kind FROM case_records
-UNION ALL SELECT crate, kind, name, status, duration_ms, {FUZZ_SUMMARY_SQL}, NULL, NULL, name, {ERROR_KIND_SQL} FROM fuzz""",
+  CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS BIGINT) AS root_unsafe FROM case_records
+UNION ALL SELECT crate, kind, name, status, duration_ms, {FUZZ_SUMMARY_SQL}, NULL, NULL, name, {ERROR_KIND_SQL}, NULL FROM fuzz
+UNION ALL SELECT crate, kind, name, status, duration_ms, {COUNTER_SUMMARY_SQL}, NULL, NULL, NULL, NULL, root_unsafe FROM counter""",
         CASES_CTE,
         FUZZ_CTE,
+        COUNTER_CTE,
     ),
     "phase_totals": with_views(
         CASE_VIEWS,
@@ -347,10 +356,10 @@ FROM case_records GROUP BY crate""",
     ),
     "record_order": with_views(
         ["run_logs"],
-        """SELECT run_id, crate, stage, row_number() OVER (PARTITION BY crate
-  ORDER BY name, list_position(['missing', 'build', 'run'], stage), run_id) AS position
+        f"""SELECT run_id, crate, stage, row_number() OVER (PARTITION BY crate
+  ORDER BY list_position(['geiger', 'miri', 'fuzz'], kind), {_PLANNED}, list_position(['missing', 'build', 'run'], stage), run_id) AS position
 FROM (SELECT *, CASE WHEN contains(combined_output, 'can''t find bin') THEN 'missing'
-  WHEN contains(combined_output, 'failed to execute') THEN 'build' ELSE 'run' END AS stage FROM run_logs WHERE kind = 'fuzz')""",
+  WHEN kind = 'fuzz' AND contains(combined_output, 'failed to execute') THEN 'build' ELSE 'run' END AS stage FROM run_logs)""",
     ),
     "argv_display": with_views(
         ["run_logs"],

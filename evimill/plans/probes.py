@@ -13,11 +13,11 @@ from evimill.sources import views as V
 
 
 def _documents(spark, sf_dir):
-    return V.text_table(spark, sf_dir, "documents", "doc_id")
+    return V.table(spark, sf_dir, "documents")
 
 
 def _events(spark, sf_dir):
-    return V.text_table(spark, sf_dir, "events", "event_id")
+    return V.table(spark, sf_dir, "events")
 
 
 def _broken_json():
@@ -114,16 +114,16 @@ def probe_json_lines(spark, sf_dir):
 
 
 def probe_markup_tags(spark, sf_dir):
-    return P.tag_counts(V.text_table(spark, sf_dir, "pages", "page_id"), "html")
+    return P.tag_counts(V.table(spark, sf_dir, "pages"), "html")
 
 
 def probe_markup_attrs(spark, sf_dir):
-    return P.attribute_counts(V.text_table(spark, sf_dir, "pages", "page_id"), "html")
+    return P.attribute_counts(V.table(spark, sf_dir, "pages"), "html")
 
 
 def probe_markup_events(spark, sf_dir):
     counts = P.event_counts(F.col("html"))
-    return V.text_table(spark, sf_dir, "pages", "page_id").select("page_id", *[c.alias(n) for n, c in counts.items()])
+    return V.table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in counts.items()])
 
 
 def probe_prefix(spark, sf_dir):
@@ -206,6 +206,10 @@ def _n_matches(pattern: str) -> str:
     return f"CAST(len(regexp_extract_all(html, '{pattern}')) AS BIGINT)"
 
 
+# Markup cut at every opening bracket, each piece with the name it begins with.
+_PIECES = """pieces AS (SELECT piece, regexp_extract(piece, '^[A-Za-z_:][A-Za-z0-9_:.-]*') AS tag
+  FROM (SELECT unnest(string_split(html, '<')[2:]) AS piece FROM pages))"""
+
 _VERDICTS = f"""verdicts AS (
   SELECT doc_id AS item_id, 'find' AS probe, CASE WHEN contains(text, 'the') THEN 'ok' ELSE 'error' END AS verdict,
     CAST(coalesce({_first('the')}, 0) AS BIGINT) AS n FROM documents
@@ -250,12 +254,15 @@ SELECT variant, count(*) AS n, count(*) FILTER (json_valid(c)) AS n_valid FROM v
     "probe_json_fields": f"""WITH b AS (SELECT event_id, CASE WHEN json_valid({_BROKEN}) THEN {_BROKEN} ELSE 'null' END AS c FROM events)
 SELECT event_id, TRY_CAST(json_extract_string(c, '$.k') AS BIGINT) AS k, json_extract_string(c, '$.absent') AS absent FROM b""",
     "probe_json_lines": """SELECT event_id,
-  CAST(least(event_id % 12 + 1, event_id % 7 + 1, 8) AS BIGINT) AS values FROM events""",
-    "probe_markup_tags": """SELECT tag, count(*) AS n FROM (
-  SELECT unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag""",
-    "probe_markup_attrs": """SELECT attribute, count(*) AS n FROM (
-  SELECT unnest(regexp_extract_all(inside, ' ([A-Za-z-]+)="[^"]*"', 1)) AS attribute FROM (
-    SELECT unnest(regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9]*( [^<>]*)>', 1)) AS inside FROM pages)) GROUP BY attribute""",
+  CAST(least(event_id % 12 + 1, event_id % 7 + 1) AS BIGINT) AS values FROM events""",
+    "probe_markup_tags": f"""WITH {_PIECES}
+SELECT tag, count(*) AS n FROM pieces WHERE tag <> '' GROUP BY tag""",
+    "probe_markup_attrs": f"""WITH {_PIECES},
+insides AS (SELECT split_part(regexp_replace(substr(piece, length(tag) + 1), '"[^"]*"|''[^'']*''', '""', 'g'), '>', 1) AS inside
+  FROM pieces WHERE tag <> '' AND contains(piece, '>')),
+names AS (SELECT unnest(string_split_regex(
+  regexp_replace(inside, '\\s*=\\s*(""|[^\\s"<>=]+)', ' ', 'g'), '[\\s/]+')) AS attribute FROM insides)
+SELECT attribute, count(*) AS n FROM names WHERE attribute <> '' GROUP BY attribute""",
     "probe_markup_events": f"""SELECT page_id, {_n_matches('<[A-Za-z]')} AS start_tags, {_n_matches('</[A-Za-z]')} AS end_tags,
   {_n_matches('<!--')} AS comments, {_n_matches('<![A-Za-z]|<[?][A-Za-z]')} AS declarations,
   {_n_matches('>[ \\t\\r\\n]*[^<> \\t\\r\\n]')} AS texts FROM pages""",

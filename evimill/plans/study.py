@@ -45,7 +45,7 @@ def manifests(spark, sf_dir):
         cases.alias("miri_case"),
         groups.alias("fuzz_group"),
     )
-    return V.text_table(spark, sf_dir, "part", "p_partkey").select(F.to_json(document).alias("manifest"))
+    return V.table(spark, sf_dir, "part").select(F.to_json(document).alias("manifest"))
 
 
 def _study(spark, sf_dir):
@@ -104,7 +104,7 @@ def _env_layers():
 
 
 def env_overlay(spark, sf_dir):
-    orders = V.text_table(spark, sf_dir, "orders", "o_orderkey")
+    orders = V.table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", T.env_text(T.env_overlay(*_env_layers())).alias("env"))
 
 
@@ -123,10 +123,16 @@ def env_parse(spark, sf_dir):
     )
 
 
+def _entries(spark, sf_dir):
+    """Orders as entries of customers; those of every ninth customer name a crate there is not."""
+    owner = F.expr("CASE WHEN crate_id % 9 = 4 THEN -crate_id ELSE crate_id END")
+    return V.groups(spark, sf_dir).withColumn("crate_id", owner)
+
+
 def default_injection(spark, sf_dir):
     """Customers as crates, orders as their cases; every ninth crate has none."""
     crates = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("crate_id"))
-    cases = V.groups(spark, sf_dir).filter("crate_id % 9 <> 4").select(
+    cases = _entries(spark, sf_dir).select(
         "crate_id", F.concat(F.lit("o"), F.col("group_id")).alias("name"), F.lit("targeted").alias("scope"), "harness_dir",
     )
     return P.inject_defaults(crates, cases, P.DEFAULT_CASE)
@@ -137,20 +143,25 @@ def default_injection_groups(spark, sf_dir):
     crates = V.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("crate_id"), (F.col("c_custkey") % 2 == 0).alias("has_workspace")
     )
-    groups = V.groups(spark, sf_dir).filter("crate_id % 9 <> 4").select(
+    groups = _entries(spark, sf_dir).select(
         "crate_id", F.concat(F.lit("o"), F.col("group_id")).alias("name"), "harness_dir", F.lit(False).alias("take_all"),
         F.lit(None).cast("string").alias("budget_label"),
     )
     return P.inject_defaults(crates, groups, P.DEFAULT_GROUP, F.col("has_workspace"))
 
 
+# Two of three customers have no harness of their own.
+_OWN_HARNESS = "CASE WHEN crate_id % 3 = 0 THEN harness_dir END"
+
+
 def harness_groups(spark, sf_dir):
     """Orders as groups of customers; suppliers name the harness directories."""
     crates = V.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("crate_id"), F.concat(F.lit("pkg_"), F.col("c_custkey")).alias("name")
     )
-    groups = V.groups(spark, sf_dir).filter("group_id % 4 = 1").select(
-        "crate_id", F.concat(F.lit("o"), F.col("group_id")).alias("name"), "harness_dir"
+    groups = V.groups(spark, sf_dir).select(
+        "crate_id", F.concat(F.lit("o"), F.col("group_id")).alias("name"),
+        F.expr(_OWN_HARNESS).alias("harness_dir"),
     )
     harnesses = V.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("pkg-"), F.col("s_suppkey") * 3).alias("name"), F.concat(F.lit("harnesses/"), F.col("s_name")).alias("path")
@@ -217,7 +228,7 @@ def _cap(expr: str, profile: str) -> str:
 _EFFECTIVE = """coalesce(CASE WHEN group_id % 3 = 0 THEN time_s END, CASE WHEN group_id % 5 = 0 THEN 7 END,
   CASE WHEN group_id % 2 = 0 THEN time_s + 1 END, 60)"""
 
-_ENTRIES = """entries AS (SELECT * FROM groups WHERE crate_id % 9 <> 4)"""
+_ENTRIES = """entries AS (SELECT * REPLACE (CASE WHEN crate_id % 9 = 4 THEN -crate_id ELSE crate_id END AS crate_id) FROM groups)"""
 _INJECTED = """added AS (SELECT c_custkey AS crate_id FROM customer c
   WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.crate_id = c.c_custkey AND e.harness_dir IS NULL){also})"""
 
@@ -282,7 +293,7 @@ UNION ALL
 SELECT c_custkey, 'harness_targets', min(concat('harnesses/', s_name)), true, 'harness'
 FROM customer JOIN supplier ON s_suppkey * 3 = c_custkey
 WHERE c_custkey NOT IN (SELECT crate_id FROM own WHERE harness_dir IS NOT NULL) GROUP BY c_custkey""",
-        """own AS (SELECT crate_id, concat('o', group_id) AS name, harness_dir FROM groups WHERE group_id % 4 = 1)""",
+        f"""own AS (SELECT crate_id, concat('o', group_id) AS name, {_OWN_HARNESS} AS harness_dir FROM groups)""",
     ),
     "single_crate_plan": """SELECT c_custkey AS crate_id, 'existing_targets' AS name, true AS take_all, 'single_crate' AS budget_label,
   CAST(least(c_nationkey * 20, 300) AS BIGINT) AS time_s,

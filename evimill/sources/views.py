@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Expressions valid in both dialects; k is the integer in events.props.
+INTERPRETER_OUTPUT = """CASE k % 6
+        WHEN 0 THEN 'test result: ok. 1 passed; 0 failed'
+        WHEN 1 THEN 'error: Undefined Behavior: Stacked Borrows retag'
+        WHEN 2 THEN 'error: Undefined Behavior: alignment 1, but 8 is required'
+        WHEN 3 THEN 'memory access out-of-bounds'
+        WHEN 4 THEN 'using uninitialized data'
+        ELSE 'test failed: assertion' END"""
+
 RUN_LOG_COLUMNS = {
     "run_id": "event_id",
     "crate": "concat('c', cast(user_id % 12 AS string))",
@@ -18,21 +26,18 @@ RUN_LOG_COLUMNS = {
     "name": "concat('n', cast(k % 5 AS string))",
     "success": "event_type NOT IN ('error', 'signup')",
     "duration_ms": "cast(round(value * 1000) AS bigint)",
-    "combined_output": """CASE event_id % 3
+    "combined_output": f"""CASE event_id % 3
       WHEN 0 THEN CASE k % 3
         WHEN 0 THEN concat('warning: x', chr(10),
-          '{"packages":[{"package":{"id":{"name":"dep","source":null}},"unsafety":{"used":{"exprs":{"unsafe_":', cast(k % 7 AS string),
-          '}}}},{"package":{"id":{"name":"c', cast(user_id % 12 AS string), '","source":{"Path":"file:///w/c', cast(user_id % 12 AS string),
-          '%230.1.0"}}},"unsafety":{"used":{"exprs":{"unsafe_":', cast(k AS string), '}}}}]}')
+          '{{"packages":[{{"package":{{"id":{{"name":"dep","source":null}}}},"unsafety":{{"used":{{"exprs":{{"unsafe_":', cast(k % 7 AS string),
+          '}}}}}}}},{{"package":{{"id":{{"name":"c', cast(user_id % 12 AS string), '","source":{{"Path":"file:///w/c', cast(user_id % 12 AS string),
+          '%230.1.0"}}}}}},"unsafety":{{"used":{{"exprs":{{"unsafe_":', cast(k AS string), '}}}}}}}}]}}',
+          CASE k % 4 WHEN 0 THEN concat(chr(10), '{{"packages":[]}} trailing')
+            WHEN 1 THEN concat(chr(10), '{{"packages":5}}')
+            WHEN 2 THEN concat(chr(10), '{{"packages":[],''x'':1}}') ELSE '' END)
         WHEN 1 THEN concat('thread ''main'' panicked', chr(10), 'assertion failed: self.pending_ids.insert(id)')
         ELSE 'error: failed' END
-      WHEN 1 THEN CASE k % 6
-        WHEN 0 THEN 'test result: ok. 1 passed; 0 failed'
-        WHEN 1 THEN 'error: Undefined Behavior: Stacked Borrows retag'
-        WHEN 2 THEN 'error: Undefined Behavior: alignment 1, but 8 is required'
-        WHEN 3 THEN 'memory access out-of-bounds'
-        WHEN 4 THEN 'using uninitialized data'
-        ELSE 'test failed: assertion' END
+      WHEN 1 THEN {INTERPRETER_OUTPUT}
       ELSE CASE k % 7
         WHEN 0 THEN concat('INFO: seed', chr(10), 'Done ', cast(event_id AS string), ' runs in ', cast(k AS string), ' second(s)')
         WHEN 1 THEN concat('#1 runs: ', cast(event_id AS string), ' cov: 4')
@@ -44,16 +49,31 @@ RUN_LOG_COLUMNS = {
       END""",
 }
 
-# Strict and baseline runs of the same case: case e comes from the events 6e+1 and 6e+4.
+# Interpreter runs of cases: of two events in a row the first is the strict run of a case and the
+# second its baseline run, or if it is a view the baseline run of a case without a strict one.
 CASE_RUN_COLUMNS = {
-    "crate": "concat('c', cast((event_id - event_id % 6) % 72 AS string))",
-    "case_name": "concat('case_', cast(event_id - event_id % 6 AS string))",
-    "scope": "CASE event_id % 2 WHEN 0 THEN 'targeted' ELSE 'full_suite' END",
+    "is_baseline": "event_id % 2 = 1",
+    "crate": "concat('c', cast((event_id - event_id % 2) % 24 AS string))",
+    "case_name": """concat(CASE WHEN event_id % 2 = 1 AND event_type = 'view' THEN 'other_' ELSE 'case_' END,
+      cast(event_id - event_id % 2 AS string))""",
+    "scope": "CASE event_id % 4 WHEN 0 THEN 'targeted' ELSE 'full_suite' END",
     "success": RUN_LOG_COLUMNS["success"],
     "duration_ms": RUN_LOG_COLUMNS["duration_ms"],
-    "combined_output": RUN_LOG_COLUMNS["combined_output"],
+    "combined_output": INTERPRETER_OUTPUT,
 }
 
+# Lines of orders as configured targets of fifty groups, and as what discovery finds: nothing of
+# every tenth group, other targets in group 7, every third one elsewhere.
+CONFIGURED_COLUMNS = {"group_id": "l_orderkey % 50", "target": "l_partkey", "ordinal": "l_orderkey"}
+DISCOVERED_COLUMNS = {
+    "group_id": "CASE WHEN l_orderkey % 10 = 0 THEN -1 - l_orderkey % 50 ELSE l_orderkey % 50 END",
+    "target": "CASE WHEN l_orderkey % 50 = 7 OR l_suppkey % 3 = 0 THEN -1 - l_partkey ELSE l_partkey END",
+}
+
+# Snapshots of artifacts by user and event type. The later one has a new type, and of every third
+# user nothing has changed since.
+SNAPSHOT_TIME = "TIMESTAMP '2024-01-20 00:00:00'"
+
 GROUP_COLUMNS = {
     "group_id": "o_orderkey",
     "crate_id": "o_custkey",
@@ -63,7 +83,7 @@ GROUP_COLUMNS = {
 
 PACKAGE_COLUMNS = {
     "report_id": "l_orderkey",
-    "pos": "cast(l_linenumber AS bigint) * 1000000000000 + l_partkey * 100000 + l_suppkey % 1000 * 100 + cast(l_quantity AS bigint)",
+    "pos": "cast(l_linenumber AS bigint) * 1000000000000000000 + l_partkey * 100000 + l_suppkey % 1000 * 100 + cast(l_quantity AS bigint)",
     "name": "concat('p', cast(l_partkey % 5 AS string))",
     "source_path": "CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'file:///w/root%230.1.0' ELSE 'file:///w/other' END",
     "unsafe_exprs": "cast(l_quantity AS bigint)",
@@ -90,25 +110,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table whose rows cost much more to work on than to move.
-
-    A file of a single row group is a single task however many cores there are. If the scan
-    has fewer splits than the cluster has cores, its rows are spread over all of them by
-    key; a scan of many splits, as any large table is, stays without a shuffle.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(e).alias(name) for name, e in columns.items()])
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a source tree: one crate per host."""
-    return text_table(spark, sf_dir, "pages", "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("crate"),
         F.col("url").alias("file"),
         F.col("page_id").alias("file_id"),
@@ -118,7 +126,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the sources of the crates that occur in the run logs."""
-    return text_table(spark, sf_dir, "pages", "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.expr("concat('c', cast(page_id % 13 AS string))").alias("crate"),
         F.col("url").alias("file"),
         F.col("html").alias("content"),
@@ -127,7 +135,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a source tree: one crate per source, one directory per language."""
-    return text_table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("crate"),
         F.expr("concat(lang, '/', cast(doc_id AS string))").alias("file"),
         F.col("text").alias("content"),
@@ -139,7 +147,7 @@ def code_files(spark: SparkSession, sf_dir: str, crate: str = "p_brand") -> Data
     snippets = F.array(*[F.lit(s) for s in CODE_SNIPPETS])
     n = len(CODE_SNIPPETS)
     chosen = [F.col("p_partkey") % n, F.col("p_size") % n, F.floor(F.col("p_partkey") / n) % n]
-    return text_table(spark, sf_dir, "part", "p_partkey").select(
+    return table(spark, sf_dir, "part").select(
         F.expr(crate).alias("crate"),
         F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("file"),
         F.concat_ws("\n", *[F.element_at(snippets, (c + 1).cast("int")) for c in chosen]).alias("content"),
@@ -151,38 +159,25 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strict_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(_events(spark, sf_dir).filter("event_id % 6 = 1"), CASE_RUN_COLUMNS)
+    return _select(_events(spark, sf_dir), CASE_RUN_COLUMNS).filter("NOT is_baseline").drop("is_baseline")
 
 
 def baseline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not every case has one: baselines were not run for views."""
-    events = _events(spark, sf_dir).filter("event_id % 6 = 4 AND event_type <> 'view'")
-    return _select(events, CASE_RUN_COLUMNS)
+    return _select(_events(spark, sf_dir), CASE_RUN_COLUMNS).filter("is_baseline").drop("is_baseline")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_table(spark, sf_dir, "events", "event_id").withColumn(
+    return table(spark, sf_dir, "events").withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
 
 
 def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").selectExpr(
-        "l_orderkey % 50 AS group_id", "l_partkey AS target", "l_orderkey AS ordinal"
-    )
+    return _select(table(spark, sf_dir, "lineitem"), CONFIGURED_COLUMNS)
 
 
 def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups 0, 10, .. 40 discover nothing; targets of group 7 are none of the configured."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber > 1 AND l_orderkey % 50 % 10 <> 0")
-        .selectExpr(
-            "l_orderkey % 50 AS group_id",
-            "CASE WHEN l_orderkey % 50 = 7 THEN -1 - l_partkey ELSE l_partkey END AS target",
-        )
-        .distinct()
-    )
+    return _select(table(spark, sf_dir, "lineitem"), DISCOVERED_COLUMNS).distinct()
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,16 +189,23 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifacts_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return _snapshot(events.filter("ts < TIMESTAMP_NTZ'2024-01-20 00:00:00' AND event_type <> 'signup'"))
+    return _snapshot(
+        table(spark, sf_dir, "events"),
+        "CASE WHEN event_type = 'signup' THEN 'invitation' ELSE event_type END",
+        f"least(ts, {SNAPSHOT_TIME})",
+    )
 
 
 def artifacts_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return _snapshot(events.filter("user_id % 3 <> 0 OR ts < TIMESTAMP_NTZ'2024-01-20 00:00:00'"))
+    return _snapshot(
+        table(spark, sf_dir, "events"),
+        "event_type",
+        f"CASE WHEN user_id % 3 = 0 THEN least(ts, {SNAPSHOT_TIME}) ELSE ts END",
+    )
 
 
-def _snapshot(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.col("user_id").alias("dir"), F.col("event_type").alias("path")).agg(
-        F.max("ts").alias("modified")
+def _snapshot(events: DataFrame, path: str, modified: str) -> DataFrame:
+    modified = modified.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
+    return events.groupBy(F.col("user_id").alias("dir"), F.expr(path).alias("path")).agg(
+        F.max(F.expr(modified)).alias("modified")
     )
