@@ -133,13 +133,34 @@ def _occurrences(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
-def _nested(opening: str, closing: str, depth: int) -> str:
-    """Pattern of a bracketed group with groups inside it, ``depth`` levels deep."""
-    plain = f"[^{opening}{closing}]"
-    group = f"{opening}{plain}*+{closing}"
-    for _ in range(depth):
-        group = f"{opening}(?:{plain}++|{group})*+{closing}"
-    return group
+def _passes(text: Column, opening: str, closing: str) -> Column:
+    """A list as long as the brackets of one kind nest deep, counted in one pass over them."""
+    brackets = F.regexp_extract_all(text, F.lit(rf"[\{opening}\{closing}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def step(state: Column, bracket: Column) -> Column:
+        opened = state["depth"] + 1
+        closed = F.greatest(state["depth"] - 1, F.lit(0))
+        depth = F.when(bracket == opening, opened).otherwise(closed)
+        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda state: F.array_repeat(F.lit(0), state["most"]))
+
+
+def _innermost_first(text: Column, opening: str, closing: str, replace) -> Column:
+    """``replace`` applied as often as brackets nest; it takes away the innermost level."""
+    return F.aggregate(_passes(text, opening, closing), text, lambda rest, _: replace(rest))
+
+
+def _emptied(text: Column, opening: str, closing: str, filler: str) -> Column:
+    """Bracketed groups of any depth replaced by ``filler``; unmatched brackets stay."""
+    group = rf"\{opening}[^\{opening}\{closing}]*+\{closing}"
+    mark = "\ue000"
+    return F.replace(
+        _innermost_first(text, opening, closing, lambda rest: F.regexp_replace(rest, group, mark)),
+        F.lit(mark),
+        F.lit(filler),
+    )
 
 
 _PATH = rf"(?:::)?(?:\w++::(?!<))*+\w++{_GENERICS}"
@@ -164,24 +185,61 @@ def _statement_pattern(statement: Column) -> Column:
 
 def block_pattern(after_brace: Column) -> Column:
     """Pattern of the first statement at the top level of a block that has one, else ''."""
-    braces = _nested(r"\{", r"\}", 4)
-    body = F.regexp_extract(after_brace, rf"^((?:[^{{}}]++|{braces})*+)", 1)
-    flat = F.regexp_replace(body, braces, ";")
-    flat = F.regexp_replace(flat, _nested(r"\(", r"\)", 6), "()")
-    flat = F.regexp_replace(flat, _nested(r"\[", r"\]", 3), "[]")
+    body = F.regexp_extract(_emptied(after_brace, "{", "}", ";"), r"^[^{}]*+", 0)
+    flat = _emptied(_emptied(body, "(", ")", "()"), "[", "]", "[]")
     flat = F.regexp_replace(F.regexp_replace(flat, r"\s++", " "), r" (?=\.)", "")
     statements = F.transform(F.split(flat, ";"), lambda s: F.trim(s))
     found = F.filter(F.transform(statements, _statement_pattern), lambda p: p.isNotNull())
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 
 
+_TRAIT_BLOCK = r"\btrait\b[^{};]*+\{[^{}]*+\}"
+_BLOCK_OR_TEXT = rf"{_TRAIT_BLOCK}|\{{[^{{}}]*+\}}|(?:(?!\btrait\b)[^{{}}])++|[\s\S]"
+_UNSAFE_FN = r"\bunsafe(\s+(?:extern\s+)?fn\b)"
+
+
+def without_trait_functions(blanked: Column) -> Column:
+    """Text in which functions a trait declares itself are no longer marked ``unsafe``.
+
+    Innermost blocks first: in any other block the marks are put out of reach, so that what a
+    trait block still shows when its turn comes belongs to the trait. Places do not move.
+    """
+
+    def level(rest: Column) -> Column:
+        def piece(p: Column) -> Column:
+            inside = F.when(p.rlike(r"^trait\b"), F.regexp_replace(p, _UNSAFE_FN, "\ue004     $1")).otherwise(
+                F.regexp_replace(p, _UNSAFE_FN, "\ue003$1")
+            )
+            return F.when(F.endswith(p, F.lit("}")) & (F.length(p) > 1), F.translate(inside, "{}", "\ue001\ue002")).otherwise(p)
+
+        return F.array_join(F.transform(F.regexp_extract_all(rest, F.lit(_BLOCK_OR_TEXT), F.lit(0)), piece), "")
+
+    marked = _innermost_first(blanked, "{", "}", level)
+    plain = F.replace(F.translate(marked, "\ue001\ue002\ue004", "{} "), F.lit("\ue003"), F.lit("unsafe"))
+    return F.when(blanked.rlike(r"\btrait\b"), plain).otherwise(blanked)
+
+
+def code_sites(source: Column, rules: list[Rule]) -> Column:
+    """Sites of one source file; none where its brackets do not even out, as no compiler took it."""
+    found = F.transform(
+        F.array(blank_literals(source)),  # blanked once, for the test and for the scan
+        lambda blanked: F.when(brackets_balance(blanked), sites_in(marked_code(blanked), rules)),
+    )
+    return F.coalesce(F.element_at(found, 1), F.array().cast(SITES))
+
+
 def code_text(source: Column) -> Column:
-    """Source in the form the code rules expect.
+    """Source in the form the code rules expect."""
+    return marked_code(blank_literals(source))
+
+
+def marked_code(blanked: Column) -> Column:
+    """Blanked source in the form the code rules expect.
 
-    Literals are blanked, a construct split over lines is drawn together on the line its
-    site is reported for, and every block carries its pattern as ``unsafe{#pattern#``.
+    A construct split over lines is drawn together on the line its site is reported for, and
+    every block carries its pattern as ``unsafe{#pattern#``.
     """
-    text = blank_literals(source)
+    text = without_trait_functions(blanked)
     text = F.regexp_replace(text, r"\b(unsafe|extern)(\s++)\{", "$1{$2")
     text = F.regexp_replace(text, r"\bunsafe([^\S\n]*\n\s*)(?=(?:extern|fn|impl)\b)", "$1unsafe ")
     pieces = F.split(text, r"\bunsafe\{")
@@ -236,6 +294,20 @@ def sites_in(text: Column, rules: list[Rule]) -> Column:
     return F.filter(found, lambda site: site["rule_id"].isNotNull())
 
 
+SITES = "array<struct<line: int, seq: int, rule_id: int>>"
+
+
+def scan_code(files: DataFrame) -> DataFrame:
+    """(crate, file, sites) of source files."""
+    return files.select("crate", "file", code_sites(F.col("content"), CODE_RULES).alias("sites"))
+
+
+def code_rejects(files: DataFrame) -> DataFrame:
+    """Files the code scan leaves out, with the reason."""
+    balanced = brackets_balance(blank_literals(F.col("content")))
+    return rejected_files(files, F.when(~balanced, F.lit("unbalanced brackets")))
+
+
 def scan_files(files: DataFrame, rules: list[Rule], text: Column | None = None) -> DataFrame:
     """(crate, file, sites) with all sites of a file in one array."""
     text = F.col("content") if text is None else text

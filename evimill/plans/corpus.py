@@ -33,16 +33,17 @@ def _site_columns(sites):
 
 
 def _code_sites(spark, sf_dir):
-    files = V.code_files(spark, sf_dir)
-    return S.site_rows(
-        S.scan_files(files, S.CODE_RULES, S.code_text(F.col("content"))), S.CODE_RULES
-    )
+    return S.site_rows(S.scan_code(V.code_files(spark, sf_dir)), S.CODE_RULES)
 
 
 def code_site_scan(spark, sf_dir):
     return _code_sites(spark, sf_dir).select("crate", "file", "line", "kind", "pattern")
 
 
+def code_rejects(spark, sf_dir):
+    return S.code_rejects(V.code_files(spark, sf_dir))
+
+
 def block_pattern(spark, sf_dir):
     blocks = _code_sites(spark, sf_dir).filter("kind = 'unsafe_block'")
     return blocks.select("crate", "file", "line", "pattern")
@@ -120,22 +121,25 @@ SNIPPET_SITES = [
     (7, 1, "operation", "inline_asm"),
     (8, 2, "unsafe_block", "ptr_op"),
     (8, 3, "operation", "ptr_op"),
+    (10, 2, "unsafe_block", "ptr_op"),
+    (10, 2, "operation", "ptr_op"),
 ]
 
 
-def code_sites_cte(crate: str = "p_brand") -> str:
+def code_sites_cte(crate: str = "source") -> str:
     n = len(V.CODE_SNIPPETS)
     heights = "[" + ", ".join(str(s.count("\n") + 1) for s in V.CODE_SNIPPETS) + "]"
     known = ", ".join(
         f"({i}, {s}, {line}, {literal(kind)}, {literal(p) if p else 'NULL'})"
         for i, (s, line, kind, p) in enumerate(SNIPPET_SITES)
     )
-    return f"""chosen AS (SELECT {crate} AS crate, concat('src/', CAST(p_partkey AS VARCHAR), '.rs') AS file,
-  p_partkey % {n} AS a, p_size % {n} AS b, (p_partkey // {n}) % {n} AS c, {heights} AS h FROM part),
+    return f"""chosen AS (SELECT {crate} AS crate, concat('src/', CAST(doc_id AS VARCHAR), '.rs') AS file, {V.BROKEN_CODE} AS broken,
+  doc_id % {n} AS a, doc_id * 7 % {n} AS b, (doc_id // 11) % {n} AS c, {heights} AS h,
+  len(string_split(text, chr(10))) AS text_lines FROM documents),
 placed AS (
-  SELECT crate, file, a AS snippet, 0 AS above FROM chosen
-  UNION ALL SELECT crate, file, b, h[a + 1] FROM chosen
-  UNION ALL SELECT crate, file, c, h[a + 1] + h[b + 1] FROM chosen),
+  SELECT crate, file, a AS snippet, 1 AS above FROM chosen WHERE NOT broken
+  UNION ALL SELECT crate, file, b, 1 + h[a + 1] + text_lines FROM chosen WHERE NOT broken
+  UNION ALL SELECT crate, file, c, 1 + h[a + 1] + text_lines + h[b + 1] FROM chosen WHERE NOT broken),
 known(seq, snippet, row_no, kind, pattern) AS (VALUES {known}),
 sites AS (SELECT crate, file, CAST(above + row_no AS INTEGER) AS line, seq, kind, pattern
   FROM placed JOIN known USING (snippet))"""
@@ -160,6 +164,7 @@ QUERIES = {
     "site_scan": site_scan,
     "text_site_scan": text_site_scan,
     "code_site_scan": code_site_scan,
+    "code_rejects": code_rejects,
     "block_pattern": block_pattern,
     "code_pattern_summary": code_pattern_summary,
     "site_ids": site_ids,
@@ -182,6 +187,7 @@ ORACLES = {
     "text_site_scan": scan_sql(
         "text_files", S.TEXT_RULES, "SELECT crate, file, line, seq, kind, pattern FROM sites"
     ),
+    "code_rejects": f"WITH {code_sites_cte()}\nSELECT crate, file, 'unbalanced brackets' AS reason FROM chosen WHERE broken",
     "code_site_scan": f"WITH {code_sites_cte()}\nSELECT crate, file, line, kind, pattern FROM sites",
     "block_pattern": f"""WITH {code_sites_cte()}
 SELECT crate, file, line, pattern FROM sites WHERE kind = 'unsafe_block'""",

@@ -24,8 +24,7 @@ KIND_ORDER = "array_position(array('geiger', 'miri', 'fuzz'), kind)"
 
 def _scanned(spark, sf_dir):
     """Code of the crates of the run logs."""
-    files = V.code_files(spark, sf_dir, V.REPORT_CRATE)
-    return S.scan_files(files, S.CODE_RULES, S.code_text(F.col("content")))
+    return S.scan_code(V.code_files(spark, sf_dir, V.REPORT_CRATE))
 
 
 def _crates(spark, sf_dir):

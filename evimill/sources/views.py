@@ -89,10 +89,10 @@ PACKAGE_COLUMNS = {
     "unsafe_exprs": "cast(l_quantity AS bigint)",
 }
 
-# Parts as sources of the crates that occur in the run logs, and of one that does not.
-REPORT_CRATE = "concat('c', cast(p_partkey % 13 AS string))"
+# Documents as sources of the crates that occur in the run logs, and of one that does not.
+REPORT_CRATE = "concat('c', cast(doc_id % 13 AS string))"
 
-# Snippets of source code, chosen per part, and the sites each of them holds.
+# Snippets of source code, chosen per document, which is their comment or text constant.
 CODE_SNIPPETS = [
     'pub fn plain(a: &[u8]) -> usize { a.len() }',
     'pub unsafe fn f(p: *const u8) -> u8 {\n    *p\n}',
@@ -103,7 +103,11 @@ CODE_SNIPPETS = [
     'fn h(xs: &[u8], i: usize) -> u8 {\n    let a = xs[i];\n    unsafe { *xs.get_unchecked(i) + a }\n}',
     'fn k() { unsafe { core::arch::asm!("nop") } }',
     'const R: &str = r#"unsafe { "x" }"#;\nfn w(p: *mut u8) { unsafe\n    { let q = p; if q.is_null() { return; } q.write(1); } }',
+    'unsafe trait Q {\n    unsafe fn m(&self);\n    unsafe fn d(&self) { let _x = 1; }\n}',
+    'fn deep(p: *mut u8) {\n    unsafe { ' + '{ ' * 9 + '} ' * 9 + '*p; }\n}',
 ]
+# Documents whose file ends in the middle of a function.
+BROKEN_CODE = "doc_id % 17 = 5"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,15 +146,29 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str, crate: str = "p_brand") -> DataFrame:
-    """One source file of three snippets per part; ``crate`` is an expression."""
-    snippets = F.array(*[F.lit(s) for s in CODE_SNIPPETS])
-    n = len(CODE_SNIPPETS)
-    chosen = [F.col("p_partkey") % n, F.col("p_size") % n, F.floor(F.col("p_partkey") / n) % n]
-    return table(spark, sf_dir, "part").select(
+def code_files(spark: SparkSession, sf_dir: str, crate: str = "source") -> DataFrame:
+    """One source file per document: three snippets, and its text in the middle of them.
+
+    The text is a comment, a string or a raw string; its first line is a comment on top.
+    ``crate`` is an expression.
+    """
+    snippets, n = F.array(*[F.lit(s) for s in CODE_SNIPPETS]), len(CODE_SNIPPETS)
+    chosen = [
+        F.element_at(snippets, (F.expr(e) % n + 1).cast("int")) for e in ("doc_id", "doc_id * 7", "doc_id div 11")
+    ]
+    text, quote = F.coalesce("text", F.lit("")), F.lit('"')
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), quote, F.lit('\\"'))
+    carrier = (
+        F.when(F.expr("doc_id % 3 = 0"), F.concat(F.lit("/* "), F.replace(text, F.lit("*/"), F.lit("")), F.lit(" */")))
+        .when(F.expr("doc_id % 3 = 1"), F.concat(F.lit('const T: &str = "'), escaped, F.lit('";')))
+        .otherwise(F.concat(F.lit('const U: &str = r##"'), F.replace(text, F.lit('"##'), F.lit("")), F.lit('"##;')))
+    )
+    top = F.concat(F.lit("// "), F.substring_index(text, "\n", 1))
+    end = F.when(F.expr(BROKEN_CODE), F.lit("fn broken() {"))
+    return table(spark, sf_dir, "documents").select(
         F.expr(crate).alias("crate"),
-        F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("file"),
-        F.concat_ws("\n", *[F.element_at(snippets, (c + 1).cast("int")) for c in chosen]).alias("content"),
+        F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file"),
+        F.concat_ws("\n", top, chosen[0], carrier, chosen[1], chosen[2], end).alias("content"),
     )
 
 
