@@ -11,37 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FINE = 64  # cut points searched per step of the two-step lookup
+#: Keys drawn per range, so that ranges come out about even.
+_DRAWS = 8
 
 
 def range_count(df: DataFrame) -> int:
-    """Number of ranges: as many as the session shuffles into, within bounds of the lookup."""
+    """Number of ranges: as many as the session shuffles into."""
     setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    partitions = int(setting) if setting.isdigit() else 200
-    return max(2, min(partitions, _FINE * _FINE))
+    return max(2, int(setting) if setting.isdigit() else 200)
 
 
 def _cut_points(keys: DataFrame, ranges: int) -> Column:
-    """Sorted array of at most ``ranges`` keys, drawn evenly by hash and always the same.
+    """Sorted array of keys drawn by hash, ``ranges`` or somewhat more or less, always the same.
 
-    One key per hash slot is kept by a partial aggregation, so every task contributes
-    at most ``ranges`` rows; the array is a scalar subquery of that bounded size.
+    Every key is drawn with the same chance, which follows from the number of rows, so about
+    ``_DRAWS`` times ``ranges`` are collected whatever the size of the input. The array is a
+    scalar subquery.
     """
-    key = F.struct(*keys.columns)
-    per_slot = keys.groupBy(F.pmod(F.xxhash64(*keys.columns), F.lit(ranges)).alias("slot")).agg(
-        F.min(F.struct(F.hash(*keys.columns).alias("h"), key.alias("key"))).alias("drawn")
+    rows = keys.agg(F.count(F.lit(1))).scalar()
+    one_in = F.greatest(F.lit(1), F.ceil(rows / (ranges * _DRAWS)))
+    drawn = keys.filter(F.pmod(F.xxhash64(*keys.columns), one_in) == 0)
+    step = F.greatest(F.lit(1), F.floor(F.size("s") / ranges))
+    return (
+        drawn.agg(F.collect_list(F.struct(*keys.columns)).alias("s"))
+        .select(F.array_sort("s").alias("s"))
+        .select(F.filter("s", lambda _, i: i % step == step - 1))
+        .scalar()
     )
-    return per_slot.agg(F.array_sort(F.collect_list("drawn.key"))).scalar()
 
 
 def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
-    """Number of cut points not above the key, found in steps of at most ``_FINE`` tests."""
-    if ranges <= _FINE:
-        return F.size(F.filter(cuts, lambda cut: cut <= key))
-    blocks = F.filter(cuts, lambda _, i: i % _FINE == 0)
+    """Number of cut points not above the key: first among every k-th of them, then in between."""
+    k = max(2, round(ranges**0.5))
+    blocks = F.filter(cuts, lambda _, i: i % k == 0)
     block = F.size(F.filter(blocks, lambda cut: cut <= key))
-    start = F.greatest(block - 1, F.lit(0)) * _FINE
-    within = F.size(F.filter(F.slice(cuts, start + 1, F.lit(_FINE)), lambda cut: cut <= key))
+    start = F.greatest(block - 1, F.lit(0)) * k
+    within = F.size(F.filter(F.slice(cuts, start + 1, F.lit(k)), lambda cut: cut <= key))
     return (start + within).cast("int")
 
 
@@ -51,7 +56,8 @@ def with_offset(
     """Add the sum of ``weight`` over the rows of the same group that come earlier in order.
 
     ``group`` and ``order`` together must be unique. The range sums read the same shuffle
-    as the rows themselves (a reused exchange), so the input is computed once.
+    as the rows themselves (a reused exchange), so the input is computed once. That holds if
+    no column of ``df`` is dropped afterwards; leave out before what is not needed.
     """
     keys = [group, *order]
     ranges = ranges or range_count(df)
@@ -65,13 +71,13 @@ def with_offset(
         .drop("_cuts")
         .repartition("_slot")
     )
-    # The filter is always true. It keeps the other columns from being pruned out of this
-    # branch, again so that the exchange is the same one.
-    counts = [F.count(c) for c in df.columns]
+    # The filter is always true. It reads every column, so that none is pruned out of this branch
+    # and the exchange is the same one; counts would not do, as the optimizer drops columns that
+    # cannot be null from them.
     sums = (
         placed.groupBy("_slot")
-        .agg(F.sum(weight).alias("_sum"), F.greatest(*counts).alias("_rows"))
-        .filter(F.col("_rows") >= 0)
+        .agg(F.sum(weight).alias("_sum"), F.max(F.xxhash64(*df.columns)).alias("_read"))
+        .filter(F.col("_read").isNotNull())
     )
     earlier = (
         Window.partitionBy("_slot.group")

@@ -93,7 +93,7 @@ def record_order(spark, sf_dir):
         "run_id", "crate", "kind", F.expr(_PLANNED).alias("group_ord"),
         F.coalesce(stage, F.lit("run")).alias("stage"),
     )
-    return E.record_positions(staged, "run_id").select("run_id", "crate", "stage", "position")
+    return E.record_positions(staged, "run_id")
 
 
 def phase_totals(spark, sf_dir):
@@ -356,7 +356,7 @@ FROM case_records GROUP BY crate""",
     ),
     "record_order": with_views(
         ["run_logs"],
-        f"""SELECT run_id, crate, stage, row_number() OVER (PARTITION BY crate
+        f"""SELECT run_id, crate, kind, {_PLANNED} AS group_ord, stage, row_number() OVER (PARTITION BY crate
   ORDER BY list_position(['geiger', 'miri', 'fuzz'], kind), {_PLANNED}, list_position(['missing', 'build', 'run'], stage), run_id) AS position
 FROM (SELECT *, CASE WHEN contains(combined_output, 'can''t find bin') THEN 'missing'
   WHEN kind = 'fuzz' AND contains(combined_output, 'failed to execute') THEN 'build' ELSE 'run' END AS stage FROM run_logs)""",

@@ -180,7 +180,7 @@ def single_crate_plan(spark, sf_dir):
 
 def plan_order(spark, sf_dir):
     entries = V.groups(spark, sf_dir).select("crate_id", F.col("group_id").alias("ordinal"), "harness_dir")
-    return P.plan_order(entries).select("crate_id", "position", "ordinal", "stage")
+    return P.plan_order(entries)
 
 
 def phase_select(spark, sf_dir):
@@ -301,7 +301,7 @@ WHERE c_custkey NOT IN (SELECT crate_id FROM own WHERE harness_dir IS NOT NULL)
     "plan_order": with_views(
         ["groups"],
         """SELECT crate_id, row_number() OVER (PARTITION BY crate_id ORDER BY harness_dir IS NOT NULL, group_id) AS position,
-  group_id AS ordinal, CAST(harness_dir IS NOT NULL AS INTEGER) AS stage FROM groups""",
+  group_id AS ordinal, harness_dir, CAST(harness_dir IS NOT NULL AS INTEGER) AS stage FROM groups""",
     ),
     "phase_select": with_views(
         ["run_logs"], "SELECT run_id, crate, kind FROM run_logs WHERE kind IN ('miri', 'fuzz')"
