@@ -294,11 +294,12 @@ def package_counts(report: Column, crate: Column, crate_path: Column) -> Column:
 # ---- any tool ---------------------------------------------------------------------------
 
 
-def run_status(kind: Column, success: Column, text: Column) -> Column:
+def run_status(kind: Column, success: Column, text: Column, failed_build: Column) -> Column:
     """Status of one run of any tool; an interpreter run counts as strict, without baseline."""
     verdict = interpreter_verdict(success, has_ub(text), F.lit(None).cast("boolean"))
     return (
-        F.when(kind == "geiger", counter_status(success, text))
+        F.when(failed_build, F.when(missing_source(text).isNull(), F.lit("error")).otherwise(F.lit("skipped")))
+        .when(kind == "geiger", counter_status(success, text))
         .when(kind == "miri", verdict_status(verdict))
         .when(kind == "fuzz", fuzz_status(success, text))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimill.functions import logs as L
-from evimill.functions.text import excerpt, log_path
+from evimill.functions.text import argv_text, excerpt, log_path
 from evimill.functions.vocabulary import DEFAULT_BUDGET_SECONDS, PHASE_KINDS
 from evimill.operators.numbering import with_offset
 
@@ -17,6 +17,7 @@ RECORD_COLUMNS = [
     "crate", "kind", "name", "status", "duration_ms", "log_path", "summary",
     "root_unsafe", "dependency_unsafe", "verdict", "ub_category",
     "target", "budget_secs", "artifact", "error_kind", "runs", "excerpt",
+    "group_name", "group_ord", "stage", "command",
 ]
 
 
@@ -73,16 +74,47 @@ def case_records(strict: DataFrame, baseline: DataFrame, triage: bool = True) ->
     )
 
 
+# What a table of runs may say about them besides, with its meaning where it does not.
+RUN_DEFAULTS = {
+    "stage": ("string", "run"),
+    "group_name": ("string", None),
+    "group_ord": ("int", None),
+    "budget": ("bigint", None),
+    "scope": ("string", "full_suite"),
+    "artifact": ("string", None),
+}
+
+
+def _given(runs: DataFrame, name: str) -> Column:
+    kind, default = RUN_DEFAULTS[name]
+    return F.col(name) if name in runs.columns else F.lit(default).cast(kind)
+
+
+def _failed_build(runs: DataFrame) -> Column:
+    failed = (F.col("kind") == "fuzz") & (_given(runs, "stage") == "build") & ~F.col("success")
+    return F.coalesce(failed, F.lit(False))
+
+
+def run_command(kind: Column, name: Column) -> Column:
+    """Command line of a run: program, arguments of the tool, then the target."""
+    verb = F.when(kind == "fuzz", F.lit("run")).otherwise(F.lit("test"))
+    return argv_text(F.lit("cargo"), F.array(kind, verb, name))
+
+
 def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = None) -> DataFrame:
     """Records of a table that holds the runs of all tools, classified in one pass.
 
-    ``runs`` is (crate, kind, name, success, duration_ms, combined_output). Interpreter
-    runs are taken as strict runs without a baseline. Other columns are carried along.
+    ``runs`` is (crate, kind, name, success, duration_ms, combined_output) and any of
+    RUN_DEFAULTS: a fuzz log of stage ``build`` tells how building the target ended, ``budget``
+    goes before the argument of that name. Interpreter runs are taken as strict runs without a
+    baseline. A null log is an empty one. Other columns are carried along.
     """
     text, success, kind = F.coalesce("combined_output", F.lit("")), F.col("success"), F.col("kind")
-    budget = F.lit(DEFAULT_BUDGET_SECONDS).cast("bigint") if budget is None else budget
+    fallback = F.lit(DEFAULT_BUDGET_SECONDS).cast("bigint") if budget is None else budget
+    budget = F.coalesce(_given(runs, "budget"), fallback)
     is_counter, is_interpreter, is_fuzzer = kind == "geiger", kind == "miri", kind == "fuzz"
-    extra = [c for c in runs.columns if c not in {*RECORD_COLUMNS, "success", "combined_output"}]
+    failed_build = _failed_build(runs)
+    extra = [c for c in runs.columns if c not in {*RECORD_COLUMNS, *RUN_DEFAULTS, "success", "combined_output"}]
 
     no_baseline = F.lit(None).cast("boolean")
     counted = runs.withColumns(
@@ -91,17 +123,19 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
             "verdict": F.when(
                 is_interpreter, L.interpreter_verdict(success, L.has_ub(text), no_baseline)
             ),
-            "runs": F.when(is_fuzzer, L.fuzz_runs(text)),
-            "status": L.run_status(kind, success, text),
+            "runs": F.when(is_fuzzer & ~failed_build, L.fuzz_runs(text)),
+            "status": L.run_status(kind, success, text, failed_build),
+            "_build": F.when(failed_build, L.build_failure(F.col("name"), budget, text)),
         }
     ).withColumn("_counts", L.package_counts(F.col("_report"), F.col("crate"), crate_path))
     status = F.col("status")
     summary = (
-        F.when(
+        F.when(failed_build, F.col("_build.summary"))
+        .when(
             is_counter,
             L.counter_summary(status, success, F.col("_counts.root_unsafe"), F.col("_counts.dependency_unsafe")),
         )
-        .when(is_interpreter, F.concat(F.lit("full_suite scope, verdict "), F.col("verdict")))
+        .when(is_interpreter, F.concat(_given(runs, "scope"), F.lit(" scope, verdict "), F.col("verdict")))
         .when(is_fuzzer, L.fuzz_summary(F.col("name"), budget, status, F.col("runs"), text))
     )
     columns = {
@@ -112,19 +146,48 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
         "ub_category": F.when(is_interpreter & (status == "finding"), L.ub_category(text)),
         "target": F.when(is_fuzzer, F.col("name")),
         "budget_secs": F.when(is_fuzzer, budget),
-        "artifact": F.lit(None).cast("string"),
-        "error_kind": F.when(is_fuzzer, L.fuzz_error_kind(status, text)),
-        "excerpt": excerpt(text),
+        "artifact": F.when(is_fuzzer & ~failed_build, _given(runs, "artifact")),
+        "error_kind": F.when(failed_build, F.col("_build.error_kind")).when(
+            is_fuzzer, L.fuzz_error_kind(status, text)
+        ),
+        "excerpt": excerpt(F.coalesce("_build.detail", text)),
+        "group_name": _given(runs, "group_name"),
+        "group_ord": _given(runs, "group_ord"),
+        "stage": _given(runs, "stage"),
+        "command": run_command(kind, F.col("name")),
     }
     return counted.select(
         *extra, *[columns[c].alias(c) if c in columns else F.col(c) for c in RECORD_COLUMNS]
     )
 
 
+def missing_records(skipped: DataFrame, plan: DataFrame) -> DataFrame:
+    """Records of targets that could not be run.
+
+    ``skipped`` is what :func:`evimill.operators.inventory.group_collapse` returns, ``plan``
+    the groups: (group_id, crate, group_name, group_ord, budget). A group without any target is
+    one record under its own name.
+    """
+    target = F.col("target").cast("string")
+    return skipped.join(plan, "group_id").select(
+        "crate",
+        F.lit("fuzz").alias("kind"),
+        F.coalesce(target, F.col("group_name")).alias("name"),
+        "status",
+        F.lit(0).cast("bigint").alias("duration_ms"),
+        "summary",
+        target.alias("target"),
+        F.coalesce(F.col("budget"), F.lit(DEFAULT_BUDGET_SECONDS)).cast("bigint").alias("budget_secs"),
+        "group_name",
+        "group_ord",
+        F.lit("missing").alias("stage"),
+    )
+
+
 def run_statuses(runs: DataFrame) -> DataFrame:
     """(crate, kind, status) alone, for the roll-ups that need no more of a record."""
     text = F.coalesce("combined_output", F.lit(""))
-    status = L.run_status(F.col("kind"), F.col("success"), text)
+    status = L.run_status(F.col("kind"), F.col("success"), text, _failed_build(runs))
     return runs.select("crate", "kind", status.alias("status"))
 
 

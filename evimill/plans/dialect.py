@@ -45,10 +45,14 @@ VIEWS = {
     "run_logs": f"SELECT {columns(V.RUN_LOG_COLUMNS)} FROM {EVENTS}",
     "strict_runs": f"SELECT {columns(V.CASE_RUN_COLUMNS)} FROM {EVENTS} WHERE event_id % 2 = 0",
     "baseline_runs": f"SELECT {columns(V.CASE_RUN_COLUMNS)} FROM {EVENTS} WHERE event_id % 2 = 1",
+    "configured_once": f"""SELECT DISTINCT group_id, target FROM (SELECT {columns(V.CONFIGURED_COLUMNS)} FROM lineitem)""",
     "configured": f"SELECT {columns(V.CONFIGURED_COLUMNS)} FROM lineitem",
     "discovered": f"SELECT DISTINCT {columns(V.DISCOVERED_COLUMNS)} FROM lineitem",
     "inventory_groups": """SELECT DISTINCT l_orderkey % 50 AS group_id, l_orderkey % 50 % 8 = 3 AS take_all
   FROM lineitem""",
+    "study": f"SELECT {columns(V.STUDY_COLUMNS)} FROM nation",
+    "planned_groups": f"""SELECT {columns(V.PLANNED_GROUP_COLUMNS)}
+  FROM (SELECT DISTINCT l_orderkey % 50 AS group_id FROM lineitem)""",
     "groups": f"SELECT {columns(V.GROUP_COLUMNS)} FROM orders",
     "packages": f"SELECT {columns(V.PACKAGE_COLUMNS)} FROM lineitem",
     "artifacts_before": f"""SELECT user_id AS dir, CASE WHEN event_type = 'signup' THEN 'invitation' ELSE event_type END AS path,

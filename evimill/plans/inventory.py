@@ -11,12 +11,7 @@ from evimill.sources import views as V
 
 def _groups(spark, sf_dir):
     """Groups of the inventory; some take every target there is."""
-    return (
-        V.table(spark, sf_dir, "lineitem")
-        .select(F.expr("l_orderkey % 50").alias("group_id"))
-        .distinct()
-        .withColumn("take_all", F.expr("group_id % 8 = 3"))
-    )
+    return V.planned_groups(spark, sf_dir).select("group_id", "take_all", "listing_summary")
 
 
 def discovered_targets(spark, sf_dir):
@@ -41,9 +36,7 @@ def targets_missing(spark, sf_dir):
 
 
 def group_collapse(spark, sf_dir):
-    said = F.when(F.col("group_id") == 10, F.lit("cargo fuzz list failed"))
-    groups = _groups(spark, sf_dir).withColumn("listing_summary", said)
-    return I.group_collapse(groups, V.configured(spark, sf_dir), V.discovered(spark, sf_dir))
+    return I.group_collapse(_groups(spark, sf_dir), V.configured(spark, sf_dir), V.discovered(spark, sf_dir))
 
 
 # Pending orders are harnesses of other packages.
@@ -120,6 +113,24 @@ def _files(test: str) -> str:
   FROM lineitem WHERE l_returnflag {test}"""
 
 
+COLLAPSED = f"""SELECT group_id, CAST(NULL AS BIGINT) AS target, 'skipped' AS status,
+  concat('no fuzz targets available: ', CASE WHEN n_discovered > 0
+    THEN 'configured fuzz targets not present in local workspace'
+    WHEN group_id = 10 THEN 'cargo fuzz list failed' ELSE 'no fuzz targets discovered' END) AS summary
+FROM judged WHERE n_run = 0
+UNION ALL
+SELECT group_id, target, 'skipped', {MISSING} FROM marked JOIN judged USING (group_id)
+WHERE n_run > 0 AND NOT take_all AND NOT present"""
+COLLAPSE_CTES = [
+        """marked AS (SELECT c.group_id, c.target, (c.group_id, c.target) IN (SELECT (group_id, target) FROM discovered) AS present
+  FROM configured c)""",
+        """judged AS (SELECT group_id, take_all, n_discovered, CASE WHEN take_all THEN n_discovered ELSE n_available END AS n_run
+  FROM (SELECT group_id, take_all,
+    (SELECT count(*) FROM discovered d WHERE d.group_id = g.group_id) AS n_discovered,
+    (SELECT count(*) FROM marked m WHERE m.group_id = g.group_id AND m.present) AS n_available
+    FROM inventory_groups g))""",
+]
+
 CHANGED = """changed AS (SELECT a.dir, a.path, a.modified FROM artifacts_after a
   LEFT JOIN artifacts_before b ON b.dir = a.dir AND b.path = a.path
   WHERE b.path IS NULL OR a.modified > b.modified)"""
@@ -141,21 +152,8 @@ WHERE NOT EXISTS (SELECT 1 FROM discovered d WHERE d.group_id = c.group_id AND d
     ),
     "group_collapse": with_views(
         INVENTORY,
-        f"""SELECT group_id, CAST(NULL AS BIGINT) AS target, 'skipped' AS status,
-  concat('no fuzz targets available: ', CASE WHEN n_discovered > 0
-    THEN 'configured fuzz targets not present in local workspace'
-    WHEN group_id = 10 THEN 'cargo fuzz list failed' ELSE 'no fuzz targets discovered' END) AS summary
-FROM judged WHERE n_run = 0
-UNION ALL
-SELECT group_id, target, 'skipped', {MISSING} FROM marked JOIN judged USING (group_id)
-WHERE n_run > 0 AND NOT take_all AND NOT present""",
-        """marked AS (SELECT c.group_id, c.target, (c.group_id, c.target) IN (SELECT (group_id, target) FROM discovered) AS present
-  FROM configured c)""",
-        """judged AS (SELECT group_id, take_all, n_discovered, CASE WHEN take_all THEN n_discovered ELSE n_available END AS n_run
-  FROM (SELECT group_id, take_all,
-    (SELECT count(*) FROM discovered d WHERE d.group_id = g.group_id) AS n_discovered,
-    (SELECT count(*) FROM marked m WHERE m.group_id = g.group_id AND m.present) AS n_available
-    FROM inventory_groups g))""",
+        COLLAPSED,
+        *COLLAPSE_CTES,
     ),
     "harness_attach": """WITH crates AS (
   SELECT concat(CASE c_custkey % 2 WHEN 0 THEN 'pkg_' ELSE 'pkg-' END, CAST(c_custkey AS VARCHAR)) AS name FROM customer),

@@ -8,6 +8,8 @@ from evimill.functions import logs as L
 from evimill.functions import text as T
 from evimill.functions import vocabulary as W
 from evimill.operators import evidence as E
+from evimill.operators import inventory as I
+from evimill.plans import inventory
 from evimill.plans.dialect import SPACE, VIEWS, contains_all, contains_any, literal, trim, with_views
 from evimill.sources import views as V
 
@@ -50,9 +52,10 @@ def strict_baseline_verdict(spark, sf_dir):
 
 
 def build_outcome(spark, sf_dir):
-    failed = V.run_logs(spark, sf_dir).filter("kind = 'fuzz' AND NOT success")
+    failed = V.run_logs(spark, sf_dir).filter("kind = 'fuzz' AND stage = 'build' AND NOT success")
+    budget = F.coalesce("budget", _budget())
     return failed.select(
-        "run_id", L.build_failure(F.col("name"), _budget(), _text()).alias("r")
+        "run_id", L.build_failure(F.col("name"), budget, _text()).alias("r")
     ).select("run_id", "r.*")
 
 
@@ -70,30 +73,52 @@ def records(spark, sf_dir):
     return E.phase_records(V.run_logs(spark, sf_dir), _crate_path())
 
 
-def statuses(spark, sf_dir):
-    return E.run_statuses(V.run_logs(spark, sf_dir))
+def crate_records(spark, sf_dir):
+    """All records of a study: targets that are missing, builds, runs, cases; ``record_no`` orders them.
+
+    The plan says what there is to run. What is not there becomes a record at once, what ran is
+    read off its log, and a run that left an artifact names the newest one.
+    """
+    planned = V.planned_groups(spark, sf_dir)
+    configured = V.configured(spark, sf_dir).select("group_id", "target").distinct()
+    skipped = I.group_collapse(
+        planned.select("group_id", "take_all", "listing_summary"), configured, V.discovered(spark, sf_dir)
+    )
+    missing = E.missing_records(skipped, planned).withColumn(
+        "record_no", F.coalesce(F.col("target").cast("bigint"), F.lit(0))
+    )
+    artifacts = inventory.artifact_newest(spark, sf_dir).withColumnRenamed("path", "artifact")
+    runs = V.run_logs(spark, sf_dir).join(artifacts, "dir", "left").drop("dir")
+    ran = E.phase_records(runs, _crate_path()).withColumnRenamed("run_id", "record_no")
+    cases = strict_baseline_verdict(spark, sf_dir).select(
+        "crate", F.lit("miri").alias("kind"), F.col("case_name").alias("name"), "status", "duration_ms",
+        F.expr(_CASE_LOG_PATH).alias("log_path"), "summary", "verdict", "ub_category", "excerpt",
+        F.lit(-1).alias("group_ord"), F.lit("run").alias("stage"),
+        E.run_command(F.lit("miri"), F.col("case_name")).alias("command"),
+        F.expr("CAST(substr(case_name, 6) AS bigint)").alias("record_no"),
+    )
+    return E.union_records(ran, cases, missing)
 
 
-def argv_display(spark, sf_dir):
-    """Command lines of the runs: program, arguments of the tool, then the target."""
-    args = F.array(F.col("kind"), F.when(F.col("kind") == "fuzz", F.lit("run")).otherwise(F.lit("test")), F.col("name"))
-    return V.run_logs(spark, sf_dir).select("run_id", T.argv_text(F.lit("cargo"), args).alias("command"))
+_CASE_LOG_PATH = "concat('crates/', crate, '/logs/miri.', case_name, '.log')"
 
 
-# Place of a group in the plan of its crate, by the number in its name.
-_PLANNED = "CAST(substr(name, 2) AS INT) * 3 % 5"
+def statuses(spark, sf_dir):
+    """(crate, kind, status) of all records of the study."""
+    return crate_records(spark, sf_dir).select("crate", "kind", "status")
 
 
-def record_order(spark, sf_dir):
-    """Positions of all records; of fuzz groups missing targets, then failed builds, then runs."""
-    stage = F.when(L.missing_source(_text()).isNotNull(), F.lit("missing")).when(
-        (F.col("kind") == "fuzz") & _text().contains("failed to execute"), F.lit("build")
-    )
-    staged = V.run_logs(spark, sf_dir).select(
-        "run_id", "crate", "kind", F.expr(_PLANNED).alias("group_ord"),
-        F.coalesce(stage, F.lit("run")).alias("stage"),
+def argv_display(spark, sf_dir):
+    """Command lines of the runs."""
+    return V.run_logs(spark, sf_dir).select(
+        "run_id", E.run_command(F.col("kind"), F.col("name")).alias("command")
     )
-    return E.record_positions(staged, "run_id")
+
+
+def record_order(spark, sf_dir):
+    """Positions of all records of the study; of fuzz groups missing targets, then builds, then runs."""
+    records = crate_records(spark, sf_dir).select("crate", "kind", "group_ord", "stage", "record_no")
+    return E.record_positions(records, "record_no")
 
 
 def phase_totals(spark, sf_dir):
@@ -168,6 +193,7 @@ QUERIES = {
     "duration_label": duration_label,
     "utf8_repair": utf8_repair,
     "phase_records": records,
+    "crate_records": crate_records,
     "heterogeneous_records": heterogeneous_records,
     "phase_totals": phase_totals,
     "record_order": record_order,
@@ -205,11 +231,16 @@ MISSING_SQL = f"""CASE WHEN regexp_matches({O}, 'error: can''t find bin `[^`]*`(
 
 FUZZ_CTE = f"""fuzz AS (SELECT *, {FUZZ_STATUS_SQL} AS status, {RUNS_SQL} AS runs, {LSAN} AS lsan
   FROM run_logs WHERE kind = 'fuzz')"""
-FUZZ_SUMMARY_SQL = """concat('target ', name, ', budget 60s, ',
+BUDGET_SQL = "coalesce(budget, 60)"
+BUILD_SQL = "(stage = 'build' AND NOT success)"
+FUZZ_LABEL_SQL = f"""concat('target ', name, ', budget 60s, ',
   CASE WHEN runs IS NULL THEN '' ELSE concat(CAST(runs AS VARCHAR), ' runs, ') END,
   CASE WHEN status = 'pass' THEN 'pass (reached budget limit without findings)'
     WHEN status = 'error' AND lsan THEN 'environment error: LeakSanitizer unsupported under ptrace'
     ELSE status END)"""
+FUZZ_SUMMARY_SQL = FUZZ_LABEL_SQL.replace("budget 60s, '", f"budget ', {BUDGET_SQL}, 's, '")
+BUILD_SUMMARY_SQL = f"""concat('target ', name, ', budget ', {BUDGET_SQL}, 's, ', CASE WHEN path IS NULL THEN 'build error'
+    ELSE concat('declared source missing at ', path) END)"""
 ERROR_KIND_SQL = """CASE WHEN status = 'finding' THEN 'finding' WHEN status <> 'error' THEN NULL
   WHEN lsan THEN 'environment_error' ELSE 'tool_error' END"""
 
@@ -231,7 +262,7 @@ CASES_CTE = f"""cases AS (SELECT s.crate, s.case_name, s.scope, s.success, {cont
     s.duration_ms AS strict_ms, b.duration_ms AS baseline_ms, s.combined_output AS strict_output, b.combined_output AS baseline_output
   FROM strict_runs s LEFT JOIN baseline_runs b ON b.crate = s.crate AND b.case_name = s.case_name),
 triaged AS (SELECT *, strict_ub AND has_baseline AS used FROM cases),
-judged AS (SELECT *,
+judged_cases AS (SELECT *,
     CASE WHEN success AND NOT strict_ub THEN 'clean' WHEN strict_ub AND (NOT used OR baseline_ub) THEN 'ub_observed'
       WHEN strict_ub THEN 'strict_only_ub' ELSE 'failed_no_ub' END AS verdict,
     CASE WHEN used THEN concat(strict_output, chr(10), chr(10), '--- baseline ---', chr(10), baseline_output)
@@ -242,7 +273,7 @@ case_records AS (SELECT crate, case_name, status, verdict,
     strict_ms + CASE WHEN used THEN baseline_ms ELSE 0 END AS duration_ms,
     concat(scope, ' scope, verdict ', verdict) AS summary, {{excerpt}} AS excerpt
   FROM (SELECT *, CASE WHEN verdict = 'clean' THEN 'clean' WHEN verdict IN ('ub_observed', 'strict_only_ub')
-    THEN 'finding' ELSE 'error' END AS status FROM judged))"""
+    THEN 'finding' ELSE 'error' END AS status FROM judged_cases))"""
 
 
 def excerpt_sql(expr: str) -> str:
@@ -263,25 +294,55 @@ def log_path_sql(crate: str, kind: str, name: str) -> str:
     return f"concat('crates/', {SAFE.format(crate)}, '/logs/', {SAFE.format(kind)}, '.', {SAFE.format(name)}, '.log')"
 
 
-RECORDS_CTE = f"""{FUZZ_CTE}, {COUNTER_CTE},
+_PLAN = "group_name, group_ord, stage, concat('cargo ', kind, CASE kind WHEN 'fuzz' THEN ' run ' ELSE ' test ' END, name) AS command"
+RUN_RECORDS_CTE = f"""{FUZZ_CTE}, {COUNTER_CTE},
 interpreter AS (SELECT *, {HAS_UB} AS ub,
     CASE WHEN success AND NOT {HAS_UB} THEN 'clean' WHEN {HAS_UB} THEN 'ub_observed' ELSE 'failed_no_ub' END AS verdict
   FROM run_logs WHERE kind = 'miri'),
+builds AS (SELECT *, {MISSING_SQL} AS path FROM fuzz WHERE {BUILD_SQL}),
 parts AS (
   SELECT run_id, crate, kind, name, status, duration_ms, {O}, {COUNTER_SUMMARY_SQL} AS summary, root_unsafe, dependency_unsafe,
-    NULL AS verdict, NULL AS ub_category, NULL AS target, NULL AS budget_secs, NULL AS error_kind, NULL AS runs FROM counter
-  UNION ALL
-  SELECT run_id, crate, kind, name, CASE verdict WHEN 'clean' THEN 'clean' WHEN 'ub_observed' THEN 'finding' ELSE 'error' END,
-    duration_ms, {O}, concat('full_suite scope, verdict ', verdict), NULL, NULL, verdict,
-    CASE WHEN verdict = 'ub_observed' THEN {ub_category_sql(O)} END, NULL, NULL, NULL, NULL FROM interpreter
-  UNION ALL
-  SELECT run_id, crate, kind, name, status, duration_ms, {O}, {FUZZ_SUMMARY_SQL}, NULL, NULL, NULL, NULL,
-    name, CAST(60 AS BIGINT), {ERROR_KIND_SQL}, runs FROM fuzz),
-records AS (SELECT run_id, crate, kind, name, status, duration_ms, {log_path_sql('crate', 'kind', 'name')} AS log_path,
+    {_PLAN}, dir FROM counter
+  UNION ALL BY NAME
+  SELECT run_id, crate, kind, name, CASE verdict WHEN 'clean' THEN 'clean' WHEN 'ub_observed' THEN 'finding' ELSE 'error' END AS status,
+    duration_ms, {O}, concat(scope, ' scope, verdict ', verdict) AS summary, verdict,
+    CASE WHEN verdict = 'ub_observed' THEN {ub_category_sql(O)} END AS ub_category, {_PLAN}, dir FROM interpreter
+  UNION ALL BY NAME
+  SELECT run_id, crate, kind, name, status, duration_ms, {O}, {FUZZ_SUMMARY_SQL} AS summary,
+    name AS target, CAST({BUDGET_SQL} AS BIGINT) AS budget_secs, {ERROR_KIND_SQL} AS error_kind, runs, {_PLAN}, dir
+  FROM fuzz WHERE NOT {BUILD_SQL}
+  UNION ALL BY NAME
+  SELECT run_id, crate, kind, name, CASE WHEN path IS NULL THEN 'error' ELSE 'skipped' END AS status, duration_ms, {O},
+    {BUILD_SUMMARY_SQL} AS summary, name AS target, CAST({BUDGET_SQL} AS BIGINT) AS budget_secs,
+    CASE WHEN path IS NULL THEN 'tool_error' END AS error_kind, {_PLAN}, dir FROM builds),
+run_records AS (SELECT run_id, crate, kind, name, status, duration_ms, {log_path_sql('crate', 'kind', 'name')} AS log_path,
     summary, CAST(root_unsafe AS BIGINT) AS root_unsafe, CAST(dependency_unsafe AS BIGINT) AS dependency_unsafe,
     CAST(verdict AS VARCHAR) AS verdict, CAST(ub_category AS VARCHAR) AS ub_category, CAST(target AS VARCHAR) AS target,
-    CAST(budget_secs AS BIGINT) AS budget_secs, CAST(NULL AS VARCHAR) AS artifact, CAST(error_kind AS VARCHAR) AS error_kind,
-    CAST(runs AS DECIMAL(20, 0)) AS runs, {excerpt_sql(O)} AS excerpt FROM parts)"""
+    CAST(budget_secs AS BIGINT) AS budget_secs, CAST(error_kind AS VARCHAR) AS error_kind,
+    CAST(runs AS DECIMAL(20, 0)) AS runs, {excerpt_sql(O)} AS excerpt, group_name, CAST(group_ord AS INTEGER) AS group_ord,
+    stage, command, dir FROM parts)"""
+
+#: Views that the records of the whole study need.
+RECORD_VIEWS = [
+    "run_logs", "strict_runs", "baseline_runs", "configured_once", "discovered", "inventory_groups", "planned_groups",
+    "artifacts_before", "artifacts_after",
+]
+RECORDS_CTE = f"""{RUN_RECORDS_CTE}, {CASES_CTE}, {inventory.CHANGED}, {', '.join(inventory.COLLAPSE_CTES).replace('FROM configured c', 'FROM configured_once c')},
+newest AS (SELECT dir, path FROM changed QUALIFY row_number() OVER (PARTITION BY dir ORDER BY modified DESC, path DESC) = 1),
+collapsed AS ({inventory.COLLAPSED}),
+records AS (
+  SELECT r.* EXCLUDE (run_id, dir), CASE WHEN kind = 'fuzz' AND stage = 'run' THEN path END AS artifact, run_id AS record_no
+    FROM run_records r LEFT JOIN newest n ON n.dir = r.dir
+  UNION ALL BY NAME
+  SELECT crate, 'miri' AS kind, case_name AS name, status, duration_ms, {_CASE_LOG_PATH} AS log_path, summary, verdict, ub_category, excerpt,
+    -1 AS group_ord, 'run' AS stage, concat('cargo miri test ', case_name) AS command, CAST(substr(case_name, 6) AS BIGINT) AS record_no
+    FROM case_records
+  UNION ALL BY NAME
+  SELECT p.crate, 'fuzz' AS kind, coalesce(CAST(target AS VARCHAR), group_name) AS name, status, CAST(0 AS BIGINT) AS duration_ms, summary,
+    CAST(target AS VARCHAR) AS target, CAST(coalesce(budget, 60) AS BIGINT) AS budget_secs, group_name, group_ord,
+    'missing' AS stage, coalesce(target, 0) AS record_no FROM collapsed JOIN planned_groups p USING (group_id))"""
+#: Order of the records of a crate in its report.
+RECORD_ORDER_SQL = """list_position(['geiger', 'miri', 'fuzz'], kind), group_ord, list_position(['missing', 'build', 'run'], stage), record_no"""
 
 SEVERITY_SQL = "CASE status " + " ".join(
     f"WHEN {literal(s)} THEN {i}" for i, s in enumerate(W.STATUS_BY_SEVERITY, 1)
@@ -308,15 +369,13 @@ ORACLES = {
     "fuzz_error_kind": _fuzz(f"SELECT run_id, {ERROR_KIND_SQL} AS error_kind FROM fuzz"),
     "budget_reached": _fuzz(f"SELECT run_id, {REACHED} AS reached FROM fuzz"),
     "fuzz_runs": _fuzz("SELECT run_id, runs FROM fuzz"),
-    "fuzz_summary": _fuzz(f"SELECT run_id, {FUZZ_SUMMARY_SQL} AS summary FROM fuzz"),
+    "fuzz_summary": _fuzz(f"SELECT run_id, {FUZZ_LABEL_SQL} AS summary FROM fuzz"),
     "missing_bin": _fuzz(f"SELECT run_id, {MISSING_SQL} AS path FROM fuzz"),
     "build_outcome": _fuzz(
         f"""SELECT run_id, CASE WHEN path IS NULL THEN 'error' ELSE 'skipped' END AS status,
-  CASE WHEN path IS NULL THEN 'tool_error' END AS error_kind,
-  concat('target ', name, ', budget 60s, ', CASE WHEN path IS NULL THEN 'build error'
-    ELSE concat('declared source missing at ', path) END) AS summary,
+  CASE WHEN path IS NULL THEN 'tool_error' END AS error_kind, {BUILD_SUMMARY_SQL} AS summary,
   CASE WHEN {trim(O)} = '' THEN concat('cargo fuzz build failed for ', name) ELSE {O} END AS detail
-FROM (SELECT *, {MISSING_SQL} AS path FROM fuzz WHERE NOT success)"""
+FROM (SELECT *, {MISSING_SQL} AS path FROM fuzz WHERE {BUILD_SQL})"""
     ),
     "package_tool_status": with_views(
         ["run_logs"],
@@ -337,16 +396,18 @@ SELECT event_id, {a} AS label, {b} AS tie_label FROM t""".format(
         }
     ),
     "utf8_repair": "SELECT doc_id, concat(text[:20], chr(65533), text[21:]) AS text FROM documents",
-    "phase_records": with_views(["run_logs"], "SELECT * FROM records", RECORDS_CTE),
+    "phase_records": with_views(
+        ["run_logs"], "SELECT *, CAST(NULL AS VARCHAR) AS artifact FROM run_records", RUN_RECORDS_CTE
+    ),
+    "crate_records": with_views(RECORD_VIEWS, "SELECT * FROM records", RECORDS_CTE),
     "heterogeneous_records": with_views(
         ["run_logs", *CASE_VIEWS],
         f"""SELECT crate, 'miri' AS kind, case_name AS name, status, duration_ms, summary, verdict, ub_category,
   CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS BIGINT) AS root_unsafe FROM case_records
-UNION ALL SELECT crate, kind, name, status, duration_ms, {FUZZ_SUMMARY_SQL}, NULL, NULL, name, {ERROR_KIND_SQL}, NULL FROM fuzz
+UNION ALL SELECT crate, kind, name, status, duration_ms, summary, NULL, NULL, target, error_kind, NULL FROM run_records WHERE kind = 'fuzz'
 UNION ALL SELECT crate, kind, name, status, duration_ms, {COUNTER_SUMMARY_SQL}, NULL, NULL, NULL, NULL, root_unsafe FROM counter""",
         CASES_CTE,
-        FUZZ_CTE,
-        COUNTER_CTE,
+        RUN_RECORDS_CTE,
     ),
     "phase_totals": with_views(
         CASE_VIEWS,
@@ -355,11 +416,10 @@ FROM case_records GROUP BY crate""",
         CASES_CTE,
     ),
     "record_order": with_views(
-        ["run_logs"],
-        f"""SELECT run_id, crate, kind, {_PLANNED} AS group_ord, stage, row_number() OVER (PARTITION BY crate
-  ORDER BY list_position(['geiger', 'miri', 'fuzz'], kind), {_PLANNED}, list_position(['missing', 'build', 'run'], stage), run_id) AS position
-FROM (SELECT *, CASE WHEN contains(combined_output, 'can''t find bin') THEN 'missing'
-  WHEN kind = 'fuzz' AND contains(combined_output, 'failed to execute') THEN 'build' ELSE 'run' END AS stage FROM run_logs)""",
+        RECORD_VIEWS,
+        f"""SELECT crate, kind, group_ord, stage, record_no,
+  row_number() OVER (PARTITION BY crate ORDER BY {RECORD_ORDER_SQL}) AS position FROM records""",
+        RECORDS_CTE,
     ),
     "argv_display": with_views(
         ["run_logs"],
@@ -367,7 +427,7 @@ FROM (SELECT *, CASE WHEN contains(combined_output, 'can''t find bin') THEN 'mis
 FROM run_logs""",
     ),
     "status_rollup": with_views(
-        ["run_logs"],
+        RECORD_VIEWS,
         f"SELECT crate, kind, arg_max(status, {SEVERITY_SQL}) AS status FROM records GROUP BY crate, kind",
         RECORDS_CTE,
     ),

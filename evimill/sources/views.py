@@ -47,6 +47,33 @@ RUN_LOG_COLUMNS = {
         WHEN 5 THEN 'error: can''t find bin `t` at path `/tmp/x/fuzz_targets/t.rs`'
         ELSE concat('ERROR: libFuzzer: timeout after ', cast(k AS string), ' seconds') END
       END""",
+    # what the study says about the run
+    "stage": """CASE WHEN event_id % 3 = 2 AND event_type IN ('error', 'signup') AND k % 7 IN (4, 5)
+      THEN 'build' ELSE 'run' END""",
+    "group_name": "concat('g', cast(k % 3 AS string))",
+    "group_ord": "k % 3 * 2 % 3",
+    "budget": "CASE k % 4 WHEN 0 THEN cast(30 AS bigint) WHEN 1 THEN cast(300 AS bigint) END",
+    "scope": "CASE k % 2 WHEN 0 THEN 'targeted' ELSE 'full_suite' END",
+    "dir": "user_id",
+}
+
+# Nations as the crates of the study, in an order of their own.
+STUDY_COLUMNS = {
+    "crate": "concat('c', cast(n_nationkey AS string))",
+    "crate_ord": "cast(n_nationkey * 7 % 25 AS bigint)",
+    "path": "concat('targets/', lower(n_name))",
+    "cohort": "CASE WHEN n_regionkey > 0 THEN concat('cohort', cast(n_regionkey AS string)) END",
+}
+
+# The fuzz groups of the study, of which the inventory speaks by number.
+PLANNED_GROUP_COLUMNS = {
+    "group_id": "group_id",
+    "crate": "concat('c', cast(group_id % 12 AS string))",
+    "group_name": "concat('planned', cast(group_id AS string))",
+    "group_ord": "cast(group_id * 3 % 50 + 10 AS int)",
+    "budget": "CASE WHEN group_id % 2 = 0 THEN cast(30 AS bigint) END",
+    "take_all": "group_id % 8 = 3",
+    "listing_summary": "CASE WHEN group_id = 10 THEN 'cargo fuzz list failed' END",
 }
 
 # Interpreter runs of cases: of two events in a row the first is the strict run of a case and the
@@ -198,6 +225,15 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "lineitem"), DISCOVERED_COLUMNS).distinct()
 
 
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(table(spark, sf_dir, "nation"), STUDY_COLUMNS)
+
+
+def planned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 50 AS group_id").distinct()
+    return _select(numbers, PLANNED_GROUP_COLUMNS)
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "orders"), GROUP_COLUMNS)
 
