@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimill.llm.storage import kept
+from evimill.llm.storage import kept, shuffled
 from evimill.llm.texts import per_text
 
 #: Draws are exact up to so many slots of a range; larger ranges are halved in proportion.
@@ -182,7 +182,7 @@ class Mix:
         inside = Window.partitionBy("source_no", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
         return (
             dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .join(bases, ["source_no", "bucket"])
+            .join(shuffled(bases), ["source_no", "bucket"])
             .select(
                 "row", "file_id", "size", "source_no", "source_size", "target",
                 (F.col("base") + F.col("inside")).alias("start"),
@@ -208,11 +208,11 @@ class Mix:
         times = self.drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
         took = (
             self.parts()
-            .join(times, ["source_no", "block"])
+            .join(shuffled(times), ["source_no", "block"])
             .groupBy("row")
             .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         )
-        return self.placed.join(took, "row", "left").select(
+        return self.placed.join(shuffled(took), "row", "left").select(
             "file_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
         )
 

@@ -23,6 +23,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def shuffled(frame: DataFrame) -> DataFrame:
+    """One side of a join that is not to be broadcast: what Spark estimates behind Python code,
+    checkpoints or a short range is a guess, and here the rows grow with the input."""
+    return frame.hint("merge")
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """The rows of ``frame``, computed once and read from the shared folder afterwards.
 
