@@ -109,14 +109,17 @@ def review_priority(sites: DataFrame, records: DataFrame | None = None) -> DataF
 # ---- overview ---------------------------------------------------------------------------
 
 
-def overview(counts: DataFrame, records: DataFrame, scan_selected: bool = True) -> DataFrame:
-    """(crate, sites, geiger, miri, fuzz) for every crate of ``counts``."""
+def overview(
+    counts: DataFrame, records: DataFrame, scan_selected: bool = True, with_counters: bool = False
+) -> DataFrame:
+    """(crate, sites, geiger, miri, fuzz) for every crate of ``counts``, then its counters if wanted."""
     statuses = status_columns(records, EVIDENCE_KINDS)
     sites = F.col("n_sites").cast("string") if scan_selected else F.lit("-")
     return counts.join(statuses, "crate", "left").select(
         "crate",
         sites.alias("sites"),
         *[F.coalesce(kind, F.lit("-")).alias(kind) for kind in EVIDENCE_KINDS],
+        *[c for c in counts.columns if with_counters and c != "crate"],
     )
 
 
@@ -128,7 +131,8 @@ def _table_row(*cells: Column) -> Column:
 
 
 def markdown_overview(table: DataFrame) -> DataFrame:
-    return table.select("crate", _table_row(*[F.col(c) for c in table.columns]).alias("text"))
+    cells = [F.col(c) for c in ("crate", "sites", *EVIDENCE_KINDS)]
+    return table.select("crate", _table_row(*cells).alias("text"))
 
 
 def evidence_detail() -> Column:
@@ -162,13 +166,19 @@ def markdown_evidence(records: DataFrame) -> DataFrame:
     return records.withColumn("text", row)
 
 
-def markdown_inventory(counts: DataFrame) -> DataFrame:
-    """(crate, ordinal, text): the counter lines of every crate of :func:`summary_counts`."""
-    lines = [
+def inventory_lines(scan_selected: bool = True) -> list[Column]:
+    """The counter lines of a crate, from a row of :func:`summary_counts`."""
+    if not scan_selected:
+        return [F.lit("- scan: skipped"), F.lit("- sites: -")]
+    return [
         F.concat(F.lit(f"- {label}: "), F.col(name).cast("string"))
         for label, name in [("sites", "n_sites"), *INVENTORY_LINES]
     ]
-    return counts.select("crate", F.posexplode(F.array(*lines)).alias("ordinal", "text"))
+
+
+def markdown_inventory(counts: DataFrame, scan_selected: bool = True) -> DataFrame:
+    """(crate, ordinal, text): the counter lines of every crate of :func:`summary_counts`."""
+    return counts.select("crate", F.posexplode(F.array(*inventory_lines(scan_selected))).alias("ordinal", "text"))
 
 
 def markdown_review(review: DataFrame) -> DataFrame:
@@ -203,51 +213,61 @@ def markdown_head(settings: RunSettings, title: str) -> list[str]:
 
 
 # Order of the lines of a report.
-REPORT_ORDER = ["part", "crate", "section", "ordinal"]
+REPORT_ORDER = ["part", "crate_ord", "section", "ordinal"]
+REPORT_COLUMNS = [*REPORT_ORDER[:2], "crate", *REPORT_ORDER[2:], "text"]
 
 
 def markdown_report(
-    head: list[str], overview_lines: DataFrame, inventory: DataFrame, evidence: DataFrame,
-    review: DataFrame, order: list[str],
+    head: list[str], crates: DataFrame, overview_rows: DataFrame, evidence: DataFrame,
+    review: DataFrame, order: list[str], scan_selected: bool = True,
 ) -> DataFrame:
     """All lines of a report with the columns that order them, unsorted.
 
-    Part 0 is the head, part 1 the overview with a row per crate, part 2 the crates.
-    ``inventory`` names the crates, ``order`` the columns of ``evidence`` that order the
-    records of a crate. Headings have negative ordinals.
+    Part 0 is the head, part 1 the overview with a row per crate, part 2 the crates in plan
+    order. ``crates`` is the plan: (crate, crate_ord, path). ``overview_rows`` holds a row per crate
+    with its counters and the cells of the overview; its line there and all lines of its head come
+    from that row. ``order`` names the columns of ``evidence`` that order the records of a crate.
     """
-    numbered = with_offset(evidence, "crate", order, F.lit(1), "ordinal")
-
-    def lines(part: int, section: int, df: DataFrame, ordinal: Column) -> DataFrame:
-        return df.select(
-            F.lit(part).alias("part"), "crate", F.lit(section).alias("section"),
-            ordinal.cast("bigint").alias("ordinal"), "text",
-        )
-
-    def heading(section: int, crates: DataFrame, *texts: Column) -> DataFrame:
-        exploded = crates.select("crate", F.posexplode(F.array(*texts)).alias("n", "text"))
-        return lines(2, section, exploded, F.col("n") - len(texts))
-
-    title = F.concat(F.lit("## Crate `"), F.col("crate"), F.lit("`"))
     blank = F.lit("")
-    table_head = [
+    top = [
+        blank, F.concat(F.lit("## Crate `"), F.col("crate"), F.lit("`")), blank,
+        F.concat(F.lit("Path: `"), F.col("path"), F.lit("`")), blank, F.lit("### Unsafe inventory"), blank,
+        *inventory_lines(scan_selected),
+        blank, F.lit("### Dynamic evidence"), blank,
         F.lit("| phase | name | status | summary | detail | log |"),
         F.lit("| --- | --- | --- | --- | --- | --- |"),
-    ]
-    every_crate = inventory.filter("ordinal = 0")
-    reviewed = review.filter("ordinal = 1")
-    head_rows = inventory.sparkSession.createDataFrame(
-        [("", i, text) for i, text in enumerate(head)], "crate string, ordinal int, text string"
+    ]
+
+    def line(part: int, section: int, ordinal: int, text: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), F.lit(section).alias("section"),
+            F.lit(ordinal).cast("bigint").alias("ordinal"), text.alias("text"),
+        )
+
+    cells = _table_row(*[F.col(c) for c in ("crate", "sites", *EVIDENCE_KINDS)])
+    of_crate = F.array(line(1, 0, 0, cells), *[line(2, 1, k, text) for k, text in enumerate(top)])
+    per_crate = overview_rows.join(crates, "crate").select("crate", "crate_ord", F.inline(of_crate))
+
+    def rows(section: int, df: DataFrame, ordinal: Column) -> DataFrame:
+        return df.join(crates.select("crate", "crate_ord"), "crate").select(
+            "crate", "crate_ord", F.lit(2).alias("part"), F.lit(section).alias("section"),
+            ordinal.cast("bigint").alias("ordinal"), "text",
+        )
+
+    numbered = with_offset(evidence, "crate", order, F.lit(1), "number")
+    heading = F.when(F.col("ordinal") == 1, F.array(blank, F.lit("### Review priority"), blank))
+    reviewed = review.select(
+        "crate", "ordinal", F.posexplode(F.concat(F.coalesce(heading, F.array()), F.array("text"))).alias("n", "text")
+    )
+    head_rows = crates.sparkSession.createDataFrame(
+        [("", -1, 0, 0, k, text) for k, text in enumerate(head)],
+        "crate string, crate_ord bigint, part int, section int, ordinal bigint, text string",
     )
     return (
-        lines(0, 0, head_rows, F.col("ordinal"))
-        .unionByName(lines(1, 0, overview_lines, F.lit(0)))
-        .unionByName(heading(1, every_crate, blank, title, blank, F.lit("### Unsafe inventory"), blank))
-        .unionByName(lines(2, 1, inventory, F.col("ordinal")))
-        .unionByName(heading(2, every_crate, blank, F.lit("### Dynamic evidence"), blank, *table_head))
-        .unionByName(lines(2, 2, numbered, F.col("ordinal")))
-        .unionByName(heading(3, reviewed, blank, F.lit("### Review priority"), blank))
-        .unionByName(lines(2, 3, review, F.col("ordinal")))
+        head_rows.unionByName(per_crate)
+        .unionByName(rows(2, numbered, F.col("number")))
+        .unionByName(rows(3, reviewed, F.col("ordinal") * 4 + F.col("n")))
+        .select(*REPORT_COLUMNS)
     )
 
 
@@ -260,9 +280,10 @@ def nested_report(
 ) -> DataFrame:
     """(crate, section, chunk, document): the report as JSON documents of bounded size.
 
-    One document states the settings. A crate has one head with its review rows, and its
-    sites and records in chunks of ``chunk_rows``, numbered in order. A crate of any size is a number of documents, never
-    one row; :func:`evimill.sources.reports.read_report` puts the tables together again.
+    One document states the settings. A crate has one head with its review rows, and its sites
+    and records in chunks of ``chunk_rows``, numbered in order. A crate of any size is a number of
+    documents, never one row; :func:`evimill.sources.reports.read_report` puts the tables together
+    again.
 
     ``crates`` holds one row per crate with the columns of its head, ``sites`` carries
     ``number`` (1-based in its crate).

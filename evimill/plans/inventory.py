@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evimill.operators import inventory as I
 from evimill.plans.dialect import trim, with_views
+from evimill.sources import files
 from evimill.sources import views as V
 
 
@@ -69,6 +70,14 @@ def seed_backfill(spark, sf_dir):
     return I.seed_backfill(_corpus_files(spark, sf_dir, False), _corpus_files(spark, sf_dir, True))
 
 
+def seed_files(spark, sf_dir):
+    """Documents as files below a root: two of three lie in the seed corpus of their source."""
+    folder = F.when(F.expr("doc_id % 3 = 1"), F.lit("/src/")).otherwise(F.lit("/corpus/"))
+    relative = F.concat("source", folder, "lang", F.when(F.expr("doc_id % 5 = 0"), F.lit("")).otherwise(F.lit("/a b")), F.lit("/"), F.col("doc_id"))
+    seeds = files.seed_files(V.table(spark, sf_dir, "documents").withColumn("content", F.encode("text", "utf-8")), relative)
+    return seeds.select("crate", "target", "file", F.octet_length("content").alias("n_bytes"))
+
+
 def artifact_changed(spark, sf_dir):
     changed = I.artifacts_changed(V.artifacts_before(spark, sf_dir), V.artifacts_after(spark, sf_dir))
     return changed.select("dir", "path", F.unix_micros(F.col("modified").cast("timestamp")).alias("modified_us"))
@@ -88,6 +97,7 @@ QUERIES = {
     "group_collapse": group_collapse,
     "harness_attach": harness_attach,
     "seed_backfill": seed_backfill,
+    "seed_files": seed_files,
     "artifact_changed": artifact_changed,
     "artifact_newest": artifact_newest,
 }
@@ -165,6 +175,9 @@ LEFT JOIN harnesses h ON replace(h.name, '_', '-') = replace(c.name, '_', '-') G
     "seed_backfill": f"""WITH corpus AS ({_files("<> 'A'")}), seeds AS ({_files("= 'A'")})
 SELECT * FROM corpus UNION ALL SELECT * FROM seeds s
 WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.crate = s.crate AND c.target = s.target)""",
+    "seed_files": """SELECT source AS crate, lang AS target,
+  concat(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'a b/' END, CAST(doc_id AS VARCHAR)) AS file, CAST(strlen(text) AS INTEGER) AS n_bytes
+FROM documents WHERE doc_id % 3 <> 1""",
     "artifact_changed": with_views(
         ["artifacts_before", "artifacts_after"],
         "SELECT dir, path, epoch_us(modified) AS modified_us FROM changed",

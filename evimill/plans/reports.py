@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from evimill.functions import vocabulary as W
@@ -12,14 +14,16 @@ from evimill.operators.study_plan import RunSettings
 from evimill.plans import logs
 from evimill.plans.corpus import NUMBERED, code_sites_cte, counters_sql, scan_sql
 from evimill.plans.dialect import literal, with_views
-from evimill.plans.logs import RECORDS_CTE, SEVERITY_SQL, excerpt_sql
+from evimill.plans.logs import RECORD_ORDER_SQL, RECORD_VIEWS, RECORDS_CTE, SEVERITY_SQL, excerpt_sql
 from evimill.sources import views as V
-from evimill.sources.shared import written_once
 
 SETTINGS = RunSettings(study_name="logs", miri_triage=True, fuzz_time=60, fuzz_env={"B": "2", "A": "1"})
 TITLE = "evidence report"
 
-KIND_ORDER = "array_position(array('geiger', 'miri', 'fuzz'), kind)"
+# Columns that order the records of a crate.
+RECORD_ORDER = ["kind_ord", "group_ord", "stage_ord", "record_no"]
+_KIND_ORD = "array_position(array('geiger', 'miri', 'fuzz'), kind)"
+_STAGE_ORD = "array_position(array('missing', 'build', 'run'), stage)"
 
 
 def _scanned(spark, sf_dir):
@@ -28,11 +32,13 @@ def _scanned(spark, sf_dir):
 
 
 def _crates(spark, sf_dir):
-    """All crates, from logs or code."""
-    names = V.code_files(spark, sf_dir, V.REPORT_CRATE).select("crate").unionByName(
-        V.run_logs(spark, sf_dir).select("crate")
-    )
-    return names.distinct()
+    """The plan: all crates of the study."""
+    return V.study(spark, sf_dir)
+
+
+def _records(spark, sf_dir):
+    records = logs.crate_records(spark, sf_dir)
+    return records.withColumns({"kind_ord": F.expr(_KIND_ORD), "stage_ord": F.expr(_STAGE_ORD)})
 
 
 def review_priority(spark, sf_dir):
@@ -46,15 +52,25 @@ def code_review_priority(spark, sf_dir):
     return R.review_priority(sites, logs.statuses(spark, sf_dir))
 
 
+def _counts(spark, sf_dir):
+    """Counters of every crate of the plan."""
+    summary = R.pattern_summary(S.site_rows(_scanned(spark, sf_dir), S.CODE_RULES))
+    return R.summary_counts(_crates(spark, sf_dir), summary)
+
+
 def _overview(spark, sf_dir):
     counts = R.site_counts(_crates(spark, sf_dir), _scanned(spark, sf_dir))
     return R.overview(counts, logs.statuses(spark, sf_dir))
 
 
+def _without_scan(spark, sf_dir):
+    counts = _crates(spark, sf_dir).select("crate")
+    return R.overview(counts, logs.statuses(spark, sf_dir), scan_selected=False)
+
+
 def overview_without_scan(spark, sf_dir):
     """The overview when the scan was not selected: ``-``, not 0."""
-    counts = _crates(spark, sf_dir).withColumn("n_sites", F.lit(None).cast("bigint"))
-    return R.overview(counts, logs.statuses(spark, sf_dir), scan_selected=False)
+    return _without_scan(spark, sf_dir)
 
 
 def markdown_overview(spark, sf_dir):
@@ -62,52 +78,58 @@ def markdown_overview(spark, sf_dir):
 
 
 def markdown_evidence(spark, sf_dir):
-    return R.markdown_evidence(logs.records(spark, sf_dir)).select("crate", "run_id", "text")
+    return R.markdown_evidence(logs.crate_records(spark, sf_dir)).select("crate", "kind", "record_no", "text")
 
 
 def markdown_inventory(spark, sf_dir):
-    summary = R.pattern_summary(S.site_rows(_scanned(spark, sf_dir), S.CODE_RULES))
-    return R.markdown_inventory(R.summary_counts(_crates(spark, sf_dir), summary))
+    return R.markdown_inventory(_counts(spark, sf_dir))
 
 
 def markdown_review(spark, sf_dir):
     return R.markdown_review(code_review_priority(spark, sf_dir))
 
 
-def _shared(spark, sf_dir):
-    """Sites and records, each computed once for all the tables of a report."""
-    sites = S.numbered_sites(_scanned(spark, sf_dir), S.CODE_RULES)
-    records = logs.records(spark, sf_dir).withColumn("kind_ord", F.expr(KIND_ORDER))
-    return written_once(sites, "sites"), written_once(records, "records")
+def _evidence(spark, sf_dir):
+    return R.markdown_evidence(_records(spark, sf_dir)).select("crate", *RECORD_ORDER, "text")
 
 
 def markdown_report(spark, sf_dir):
     """Every line of the report; sorted only by the sink."""
-    sites, records = _shared(spark, sf_dir)
-    counts = R.summary_counts(_crates(spark, sf_dir), R.pattern_summary(sites))
-    evidence = R.markdown_evidence(records).select("crate", "kind_ord", "run_id", "text")
     return R.markdown_report(
         R.markdown_head(SETTINGS, TITLE),
-        R.markdown_overview(R.overview(counts, records)),
-        R.markdown_inventory(counts),
-        evidence,
-        R.markdown_review(R.review_priority(sites, records)),
-        ["kind_ord", "run_id"],
+        _crates(spark, sf_dir),
+        R.overview(_counts(spark, sf_dir), logs.statuses(spark, sf_dir), with_counters=True),
+        _evidence(spark, sf_dir),
+        markdown_review(spark, sf_dir),
+        RECORD_ORDER,
+    )
+
+
+def markdown_report_without_scan(spark, sf_dir):
+    """The report of a run that left out the scan: nothing is read of the code."""
+    review = spark.createDataFrame([], "crate string, ordinal int, text string")
+    settings = dataclasses.replace(SETTINGS, phases=("geiger", "miri", "fuzz"))
+    return R.markdown_report(
+        R.markdown_head(settings, TITLE),
+        _crates(spark, sf_dir),
+        _without_scan(spark, sf_dir),
+        _evidence(spark, sf_dir),
+        review,
+        RECORD_ORDER,
+        scan_selected=False,
     )
 
 
 def report_nested(spark, sf_dir):
-    sites, records = _shared(spark, sf_dir)
-    counts = R.summary_counts(_crates(spark, sf_dir), R.pattern_summary(sites))
-    heads = counts.select(
-        "crate",
-        F.concat(F.lit("targets/"), F.col("crate")).alias("path"),
-        F.lit(None).cast("string").alias("cohort"),
-        "n_sites",
+    sites = S.numbered_sites(_scanned(spark, sf_dir), S.CODE_RULES)
+    counters = [*R.CODE_COUNTERS_BY_KIND.values(), *R.CODE_COUNTERS_BY_PATTERN.values(), "other"]
+    heads = _crates(spark, sf_dir).join(_counts(spark, sf_dir), "crate").select(
+        "crate", "crate_ord", "path", "cohort", "n_sites", F.struct(*counters).alias("pattern_summary")
     )
     numbered = sites.withColumn("number", F.substring("site_id", 2, 20).cast("bigint"))
+    records = _records(spark, sf_dir)
     return R.nested_report(
-        SETTINGS, heads, numbered, records, R.review_priority(sites, records), ["kind_ord", "run_id"]
+        SETTINGS, heads, numbered, records, code_review_priority(spark, sf_dir), RECORD_ORDER
     )
 
 
@@ -121,6 +143,7 @@ QUERIES = {
     "markdown_inventory": markdown_inventory,
     "markdown_review": markdown_review,
     "markdown_report": markdown_report,
+    "markdown_report_without_scan": markdown_report_without_scan,
     "report_nested": report_nested,
 }
 
@@ -145,23 +168,23 @@ _STATUSES = ", ".join(
     f"coalesce((SELECT arg_max(status, {SEVERITY_SQL}) FROM records r WHERE r.crate = c.crate AND kind = '{kind}'), '-') AS {kind}"
     for kind in R.EVIDENCE_KINDS
 )
-_OVERVIEW = f"""crates AS (SELECT crate FROM chosen UNION SELECT crate FROM run_logs),
+_OVERVIEW = f"""crates AS (SELECT crate, crate_ord, path, cohort FROM study),
 counts AS (SELECT c.crate, (SELECT count(*) FROM sites s WHERE s.crate = c.crate) AS n_sites FROM crates c),
 overview AS (SELECT c.crate, CAST(n_sites AS VARCHAR) AS sites, {_STATUSES} FROM counts c)"""
 
-_CELL = f"replace(replace({excerpt_sql('excerpt')}, '|', '\\|'), chr(10), ' ')"
+_CELL = f"CASE WHEN excerpt IS NOT NULL THEN replace(replace({excerpt_sql('excerpt')}, '|', '\\|'), chr(10), ' ') END"
 _DETAIL = f"""coalesce(nullif(concat_ws('; ', 'root_unsafe_exprs=' || root_unsafe, 'dependency_unsafe_exprs=' || dependency_unsafe,
   'verdict=' || verdict, 'ub_category=' || ub_category, 'target=' || target, 'budget=' || budget_secs || 's',
   'error_kind=' || error_kind, 'artifact=' || artifact, 'runs=' || runs, 'excerpt=' || {_CELL}), ''), '-')"""
-_EVIDENCE = f"""evidence AS (SELECT crate, run_id, kind, concat('| ', concat_ws(' | ', kind, name, status,
+_EVIDENCE = f"""evidence AS (SELECT crate, record_no, kind, group_ord, stage, concat('| ', concat_ws(' | ', kind, name, status,
     concat(replace(summary, '|', '\\|'), ' (', duration_ms, ' ms)'), {_DETAIL}, coalesce(log_path, '-')), ' |') AS text
   FROM records)"""
 
 _SUMMARY = f"summary AS ({counters_sql(R.CODE_COUNTERS_BY_KIND, R.CODE_COUNTERS_BY_PATTERN)})"
-_LINES = ", ".join(
-    ["concat('- sites: ', n_sites)"]
-    + [f"concat('- {label}: ', coalesce({name}, 0))" for label, name in R.INVENTORY_LINES]
-)
+_LINE_LIST = ["concat('- sites: ', n_sites)"] + [
+    f"concat('- {label}: ', coalesce({name}, 0))" for label, name in R.INVENTORY_LINES
+]
+_LINES = ", ".join(_LINE_LIST)
 _INVENTORY = f"""inventory AS (SELECT crate, CAST(unnest(range({len(R.INVENTORY_LINES) + 1})) AS INTEGER) AS ordinal, unnest([{_LINES}]) AS text
   FROM counts LEFT JOIN summary USING (crate))"""
 _REVIEW_LINES = """review_lines AS (SELECT crate, rank AS ordinal,
@@ -169,8 +192,9 @@ _REVIEW_LINES = """review_lines AS (SELECT crate, rank AS ordinal,
 
 _RECORD_JSON = [
     "kind", "name", "status", "duration_ms", "log_path", "summary", "root_unsafe", "dependency_unsafe", "verdict",
-    "ub_category", "target", "budget_secs", "artifact", "error_kind", "runs", "excerpt",
+    "ub_category", "target", "budget_secs", "artifact", "error_kind", "runs", "excerpt", "group_name", "stage", "command",
 ]
+_COUNTERS = [*R.CODE_COUNTERS_BY_KIND.values(), *R.CODE_COUNTERS_BY_PATTERN.values(), "other"]
 
 
 def _struct(fields: list[str]) -> str:
@@ -185,9 +209,10 @@ _STUDY = (
 _NESTED = f"""SELECT CAST(NULL AS VARCHAR) AS crate, 'study' AS section, CAST(0 AS BIGINT) AS chunk, {literal(_STUDY)} AS document
 UNION ALL
 SELECT crate, 'head' AS section, CAST(0 AS BIGINT) AS chunk,
-  CAST(to_json({{'crate': crate, 'path': 'targets/' || crate, 'cohort': NULL, 'n_sites': n_sites,
-    'review': (SELECT list({_struct(['rank', 'site_id', 'file', 'line', 'reason'])} ORDER BY rank) FROM review r
-      WHERE r.crate = c.crate)}}) AS VARCHAR) AS document FROM counts c
+  CAST(to_json({{'crate': crate, 'crate_ord': crate_ord, 'path': path, 'cohort': cohort, 'n_sites': n_sites,
+    'pattern_summary': {{{', '.join(f"'{c}': coalesce({c}, 0)" for c in _COUNTERS)}}}, 'review': (SELECT list({_struct(['rank', 'site_id', 'file', 'line', 'reason'])} ORDER BY rank) FROM review r
+      WHERE r.crate = c.crate)}}) AS VARCHAR) AS document
+  FROM counts c JOIN crates USING (crate) LEFT JOIN summary USING (crate)
 UNION ALL
 SELECT crate, 'sites', chunk, CAST(to_json({{'crate': crate, 'sites': items}}) AS VARCHAR) FROM (
   SELECT crate, (number - 1) // 500 AS chunk,
@@ -197,14 +222,9 @@ UNION ALL
 SELECT crate, 'phases', chunk, CAST(to_json({{'crate': crate, 'phases': items}}) AS VARCHAR) FROM (
   SELECT crate, (number - 1) // 500 AS chunk, list({_struct(['number', *_RECORD_JSON])} ORDER BY number) AS items
   FROM (SELECT * REPLACE (CAST(runs AS HUGEINT) AS runs), row_number() OVER (PARTITION BY crate
-    ORDER BY list_position(['geiger', 'miri', 'fuzz'], kind), run_id) AS number FROM records)
+    ORDER BY {RECORD_ORDER_SQL}) AS number FROM records)
   GROUP BY crate, (number - 1) // 500)"""
 
-_HEADINGS = """headings(section, ordinal, text) AS (VALUES
-  (1, -5, ''), (1, -4, NULL), (1, -3, ''), (1, -2, '### Unsafe inventory'), (1, -1, ''),
-  (2, -5, ''), (2, -4, '### Dynamic evidence'), (2, -3, ''),
-  (2, -2, '| phase | name | status | summary | detail | log |'), (2, -1, '| --- | --- | --- | --- | --- | --- |'),
-  (3, -3, ''), (3, -2, '### Review priority'), (3, -1, ''))"""
 _HEAD = """# evidence report
 
 Schema version: `1`
@@ -225,26 +245,38 @@ Study: `logs`
 
 | crate | unsafe sites | geiger | miri | fuzz |
 | --- | ---: | --- | --- | --- |"""
-_REPORT = f"""SELECT CAST(0 AS INTEGER) AS part, '' AS crate, CAST(0 AS INTEGER) AS section,
-  CAST(generate_subscripts(string_split({literal(_HEAD)}, chr(10)), 1) - 1 AS BIGINT) AS ordinal,
-  unnest(string_split({literal(_HEAD)}, chr(10))) AS text
-UNION ALL SELECT 1, crate, 0, 0, concat('| ', concat_ws(' | ', crate, sites, geiger, miri, fuzz), ' |') FROM overview
-UNION ALL SELECT 2, crate, section, ordinal, coalesce(text, concat('## Crate `', crate, '`')) FROM crates, headings
-WHERE section < 3 OR crate IN (SELECT crate FROM review)
-UNION ALL SELECT 2, crate, 1, ordinal, text FROM inventory
-UNION ALL SELECT 2, crate, 2, row_number() OVER (PARTITION BY crate
-  ORDER BY list_position(['geiger', 'miri', 'fuzz'], kind), run_id) - 1, text FROM evidence
-UNION ALL SELECT 2, crate, 3, ordinal, text FROM review_lines"""
+def _report_sql(head: str, inventory: list[str], sites: str, review: bool) -> str:
+    """All lines, part by part; ``inventory`` and ``sites`` are expressions over counts and summary."""
+    top = [
+        "''", "concat('## Crate `', crate, '`')", "''", "concat('Path: `', path, '`')", "''", "'### Unsafe inventory'", "''",
+        *inventory, "''", "'### Dynamic evidence'", "''",
+        "'| phase | name | status | summary | detail | log |'", "'| --- | --- | --- | --- | --- | --- |'",
+    ]
+    lines = f"""SELECT CAST(0 AS INTEGER) AS part, CAST(-1 AS BIGINT) AS crate_ord, '' AS crate, CAST(0 AS INTEGER) AS section,
+  CAST(generate_subscripts(string_split({literal(head)}, chr(10)), 1) - 1 AS BIGINT) AS ordinal,
+  unnest(string_split({literal(head)}, chr(10))) AS text
+UNION ALL SELECT 1, crate_ord, crate, 0, 0, concat('| ', concat_ws(' | ', crate, {sites}, geiger, miri, fuzz), ' |')
+  FROM overview JOIN crates USING (crate)
+UNION ALL SELECT 2, crate_ord, crate, 1, unnest(range({len(top)})), unnest([{', '.join(top)}])
+  FROM crates JOIN counts USING (crate) LEFT JOIN summary USING (crate)
+UNION ALL SELECT 2, crate_ord, crate, 2, row_number() OVER (PARTITION BY crate ORDER BY {RECORD_ORDER_SQL}) - 1, text
+  FROM evidence JOIN crates USING (crate)"""
+    if not review:
+        return lines
+    return lines + """
+UNION ALL SELECT 2, crate_ord, crate, 3, ordinal * 4 + CASE ordinal WHEN 1 THEN 3 ELSE 0 END, text FROM review_lines JOIN crates USING (crate)
+UNION ALL SELECT 2, crate_ord, crate, 3, 4 + unnest(range(3)), unnest(['', '### Review priority', ''])
+  FROM review_lines JOIN crates USING (crate) WHERE ordinal = 1"""
 
 
 def _code(body: str, *more: str) -> str:
-    return with_views(["run_logs"], body, *_CODE, *more)
+    return with_views([*RECORD_VIEWS, "study"], body, *_CODE, *more)
 
 
 ORACLES = {
     "review_priority": scan_sql(
         "report_files", S.HTML_RULES, "SELECT * FROM review", NUMBERED, RECORDS_CTE, _REVIEW,
-        views=["report_files", "run_logs"],
+        views=["report_files", *RECORD_VIEWS],
     ),
     "code_review_priority": _code("SELECT * FROM review"),
     "overview_pivot": _code("SELECT * FROM overview", _OVERVIEW),
@@ -254,12 +286,18 @@ ORACLES = {
         _OVERVIEW,
     ),
     "markdown_evidence": with_views(
-        ["run_logs"], "SELECT crate, run_id, text FROM evidence", RECORDS_CTE, _EVIDENCE
+        RECORD_VIEWS, "SELECT crate, kind, record_no, text FROM evidence", RECORDS_CTE, _EVIDENCE
     ),
     "markdown_inventory": _code("SELECT * FROM inventory", _OVERVIEW, _SUMMARY, _INVENTORY),
     "markdown_review": _code("SELECT * FROM review_lines", _REVIEW_LINES),
     "markdown_report": _code(
-        _REPORT, _OVERVIEW, _SUMMARY, _INVENTORY, _EVIDENCE, _REVIEW_LINES, _HEADINGS
+        _report_sql(_HEAD, _LINE_LIST, "sites", True), _OVERVIEW, _SUMMARY, _EVIDENCE, _REVIEW_LINES
+    ),
+    "markdown_report_without_scan": _code(
+        _report_sql(
+            _HEAD.replace("`scan, geiger, miri, fuzz`", "`geiger, miri, fuzz`"), ["'- scan: skipped'", "'- sites: -'"], "'-'", False
+        ),
+        _OVERVIEW, _SUMMARY, _EVIDENCE,
     ),
-    "report_nested": _code(_NESTED, _OVERVIEW),
+    "report_nested": _code(_NESTED, _OVERVIEW, _SUMMARY),
 }

@@ -25,16 +25,32 @@ STUDY_SCHEMA = (
     f"crate array<struct<{STUDY_CRATE_SCHEMA}>>"
 )
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+_LOCATION = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def _root_path(spark: SparkSession, root: str) -> str:
+    """The directory without scheme and host, as Hadoop resolves it, with a slash at the end.
+
+    Names are cut off by the length of this path, so it must be one directory, not a pattern.
+    """
+    if any(sign in root for sign in "*?[{"):
+        raise ValueError(f"a root is one directory, not a pattern: {root}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toUri().getPath().rstrip("/") + "/"
 
 
 def _below(path: Column, root: str) -> Column:
-    """Part of a path below the root directory, whatever scheme either carries."""
-    plain_root = F.concat(
-        F.lit("/"), F.btrim(F.regexp_replace(F.lit(root), _SCHEME, "/"), F.lit("/")), F.lit("/")
-    )
-    plain_path = F.regexp_replace(path, _SCHEME, "/")
-    return F.substring(plain_path, F.length(plain_root) + 1, F.length(plain_path))
+    """Part of a path below the resolved root; a path elsewhere is an error, never a wrong name."""
+    plain = F.regexp_replace(path, _LOCATION, "")
+    outside = F.raise_error(F.concat(F.lit("not below the root: "), path)).cast("string")
+    rest = F.substring(plain, F.lit(len(root) + 1), F.length(plain))
+    return F.when(F.startswith(plain, F.lit(root)), rest).otherwise(outside)
+
+
+def _file_path() -> Column:
+    """``_metadata.file_path`` as a path: it is percent-encoded there."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def _binary_files(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
@@ -51,10 +67,11 @@ def read_corpus(spark: SparkSession, root: str, extension: str = "rs") -> DataFr
     only at the part below the crate: a corpus stored below a directory called ``vendor``
     is read all the same.
     """
-    below = F.split(_below(F.col("_metadata.file_path"), root), "/")
+    top = _root_path(spark, root)
+    below = F.split(_below(_file_path(), top), "/")
     inner = F.slice(below, F.lit(2), F.greatest(F.size(below) - 2, F.lit(0)))
     pruned = F.arrays_overlap(inner, F.array(*[F.lit(d) for d in PRUNED_DIRECTORIES]))
-    relative = _below(F.col("path"), root)
+    relative = _below(F.col("path"), top)
     return (
         _binary_files(spark, root, f"*.{extension}")
         .filter(~pruned)
@@ -71,7 +88,8 @@ def read_corpus(spark: SparkSession, root: str, extension: str = "rs") -> DataFr
 def read_tool_logs(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/crates/<crate>/logs/<phase>.<name>.log`` as one row per log."""
     layout = r"/crates/([^/]+)/logs/([^/.]+)\.([^/]*)\.log$"
-    path = F.col("_metadata.file_path")
+    _root_path(spark, root)
+    path = _file_path()
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.log")
@@ -86,20 +104,26 @@ def read_tool_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+SEED_LAYOUT = r"^([^/]+)/corpus/([^/]+)/(.+)$"
+
+
+def seed_names(relative: Column) -> dict[str, Column]:
+    """crate, target and file of a seed by its path below the root; empty for other files."""
+    return {
+        name: F.regexp_extract(relative, SEED_LAYOUT, k) for k, name in enumerate(["crate", "target", "file"], 1)
+    }
+
+
+def seed_files(files: DataFrame, relative: Column) -> DataFrame:
+    """(crate, target, file, content) of the files that lie where seeds belong."""
+    names = [column.alias(name) for name, column in seed_names(relative).items()]
+    return files.filter(relative.rlike(SEED_LAYOUT)).select(*names, "content")
+
+
 def read_seeds(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/<crate>/corpus/<target>/<file>`` as (crate, target, file, content)."""
-    layout = r"^([^/]+)/corpus/([^/]+)/(.+)$"
-    relative = _below(F.col("path"), root)
-    return (
-        _binary_files(spark, root)
-        .filter(relative.rlike(layout))
-        .select(
-            F.regexp_extract(relative, layout, 1).alias("crate"),
-            F.regexp_extract(relative, layout, 2).alias("target"),
-            F.regexp_extract(relative, layout, 3).alias("file"),
-            F.col("content"),
-        )
-    )
+    top = _root_path(spark, root)
+    return seed_files(_binary_files(spark, root), _below(F.col("path"), top))
 
 
 def read_study(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,9 @@ STUDY_SCHEMA = (
     "fuzz_time:bigint,fuzz_env:map<string,string>>"
 )
 HEAD_SCHEMA = (
-    "crate string, path string, cohort string, n_sites bigint, "
+    "crate string, crate_ord bigint, path string, cohort string, n_sites bigint, "
+    "pattern_summary struct<unsafe_blocks:bigint,unsafe_fns:bigint,unsafe_impls:bigint,extern_blocks:bigint,"
+    "ptr_ops:bigint,transmutes:bigint,unchecked_ops:bigint,inline_asm:bigint,other:bigint>, "
     "review array<struct<rank:int,site_id:string,file:string,line:int,reason:string>>"
 )
 SITES_SCHEMA = (
@@ -25,7 +27,7 @@ PHASES_SCHEMA = (
     "crate string, phases array<struct<number:bigint,kind:string,name:string,status:string,"
     "duration_ms:bigint,log_path:string,summary:string,root_unsafe:bigint,dependency_unsafe:bigint,"
     "verdict:string,ub_category:string,target:string,budget_secs:bigint,artifact:string,"
-    "error_kind:string,runs:decimal(20,0),excerpt:string>>"
+    "error_kind:string,runs:decimal(20,0),excerpt:string,group_name:string,stage:string,command:string>>"
 )
 
 

@@ -89,3 +89,14 @@ def test_artifacts(spark):
     changed = I.artifacts_changed(before, after)
     assert rows(changed, "dir", "path") == [("d", "new"), ("d", "touched"), ("f", "x")]
     assert rows(I.artifact_newest(changed), "dir", "path") == [("d", "touched"), ("f", "x")]
+
+
+def test_null_take_all_means_no(spark):
+    groups, configured, discovered = frames(spark, [("g", None, None)], [("g", "a"), ("g", "b")], [("g", "a")])
+    assert rows(I.targets_available(groups, configured, discovered), "group_id", "target") == [("g", "a")]
+    assert rows(I.group_collapse(groups, configured, discovered), "group_id", "target", "status") == [("g", "b", "skipped")]
+
+
+def test_repeated_missing_targets_are_reported_each(spark):
+    got = I.group_collapse(*frames(spark, [("g", False, None)], [("g", "a"), ("g", "b"), ("g", "b")], [("g", "a")]))
+    assert rows(got, "group_id", "target") == [("g", "b"), ("g", "b")]

@@ -136,8 +136,8 @@ def report(*packages):
 
 
 def counts(evaluate, texts):
-    line = L.last_report_line(C("t"))
-    got = evaluate([(t,) for t in texts], "t string", L.package_counts(line, F.lit("demo"), F.lit("/w/demo")))
+    report = L.last_report(C("t"))["report"]
+    got = evaluate([(t,) for t in texts], "t string", L.package_counts(report, F.lit("demo"), F.lit("/w/demo")))
     return [tuple(r) for r in got]
 
 
@@ -153,10 +153,14 @@ def test_package_counts(evaluate):
         report(own) + "\n" + report(package("demo", 7), dep) + "\nnot json",
         report(own) + '\n{"packages":[{"package":{}}]}',
         report(own) + '\n{"packages": broken',
+        report(own) + '\n{"packages":[]} trailing',
+        report(own) + "\n" + report(dep).replace("}]}", "}],'x':1}"),
+        report(own) + '\n{"packages":5}',
+        report(own) + "\n" + report(package("demo", '"7"')),
         "nothing",
     ]
     assert counts(evaluate, texts) == [
-        (4, 1), (4, 10), (9, 1), (None, None), (None, None), (7, 1), (4, 0), (4, 0), (None, None),
+        (4, 1), (4, 10), (9, 1), (None, None), (None, None), (7, 1), (4, 0), (4, 0), (4, 0), (4, 0), (4, 0), (4, 0), (None, None),
     ]
 
 

@@ -53,7 +53,7 @@ def test_prefixes(evaluate):
 
 
 def test_json_lines_stop_at_first_error(evaluate):
-    texts = {"1\n2\n{": 2, "": 0, "\n\n{}": 1, "\n".join(["1"] * 12): 8, "x\n1": 0}
+    texts = {"1\n2\n{": 2, "": 0, "\n\n{}": 1, "\n".join(["1"] * 12): 12, "x\n1": 0, "\n".join(['{"a": 1}'] * 1000): 1000}
     assert evaluate([(t,) for t in texts], "t string", P.leading_json_lines(C("t"))) == list(texts.values())
 
 
@@ -66,6 +66,14 @@ def test_markup(spark):
     assert got == {"start_tags": 3, "end_tags": 2, "comments": 1, "declarations": 2, "texts": 1}
 
 
+def test_markup_names_and_attributes_of_all_forms(spark):
+    html = """<my-tag data-x1="a" xml:lang="b" c='d' e=f checked><p x="1"\ty="2 > 1"/><q z = '<b>' w></q>"""
+    df = spark.createDataFrame([(html,), ("<a",), ("<b c='d>",), (None,)], "html string")
+    assert {r["tag"]: r["n"] for r in P.tag_counts(df.filter("html like '%my-tag%'"), "html").collect()} == {"my-tag": 1, "p": 1, "q": 1, "b": 1}
+    names = ["data-x1", "xml:lang", "c", "e", "checked", "x", "y", "z", "w"]
+    assert {r["attribute"]: r["n"] for r in P.attribute_counts(df, "html").collect()} == dict.fromkeys(names, 1)
+
+
 def test_rollup(spark):
     rows = [(1, "a", "ok", 2), (2, "a", "error", 3), (3, "b", "skipped", 0), (4, "c", "ok", 1), (5, "c", "skipped", None)]
     df = spark.createDataFrame(rows, "item_id int, probe string, verdict string, n bigint")

@@ -117,10 +117,10 @@ def test_report_can_be_read_back(spark, tmp_path):
     path = str(tmp_path / "report")
     SR.write_report(documents, path)
     tables = SR.read_report(spark, path)
-    records = reports.logs.records(spark, "/root/testdata/sf0.001")
+    records = reports.logs.crate_records(spark, "/root/testdata/sf0.001").drop("group_ord")
     study = tables["study"].first()
     assert study["study_name"] == "logs" and study["execution"]["fuzz_env"] == {"A": "1", "B": "2"}
-    wanted = [c for c in records.columns if c != "run_id"]
+    wanted = [c for c in records.columns if c != "record_no"]
     assert tables["phases"].select(wanted).exceptAll(records.select(wanted)).isEmpty()
     assert tables["phases"].count() == records.count()
     review = reports.code_review_priority(spark, "/root/testdata/sf0.001")
@@ -128,6 +128,10 @@ def test_report_can_be_read_back(spark, tmp_path):
     sites = tables["sites"].groupBy("crate").agg(F.count("*").alias("n"), F.max("number").alias("last"))
     heads = tables["crates"].select("crate", F.col("n_sites").alias("n"), F.col("n_sites").alias("last"))
     assert sites.exceptAll(heads).isEmpty()
+    plan = tables["crates"].orderBy("crate_ord").select("crate", "path", "pattern_summary.*").collect()
+    assert len(plan) == 25 and plan[0]["crate"] == "c0" and all(r["path"].startswith("targets/") for r in plan)
+    assert sum(r["unsafe_blocks"] for r in plan) == tables["sites"].filter("kind = 'unsafe_block'").count()
+    assert tables["phases"].filter("command LIKE 'cargo fuzz run %'").count() > 0
 
 
 def test_markdown_is_written_in_order(spark, tmp_path):
@@ -138,8 +142,77 @@ def test_markdown_is_written_in_order(spark, tmp_path):
     expected = [r["text"] for r in rows.orderBy(*R.REPORT_ORDER).collect()]
     assert lines == expected
     start = lines.index("## Crate `c0`")
-    assert lines[start + 1 : start + 3] == ["", "### Unsafe inventory"] and lines[start + 4].startswith("- sites: ")
-    assert lines[0] == "# evidence report" and lines[start - 2].startswith("| c9 |")
+    assert lines[start + 1 : start + 5] == ["", "Path: `targets/algeria`", "", "### Unsafe inventory"] or lines[start + 2].startswith("Path: `targets/")
+    assert lines[start + 6].startswith("- sites: ")
+    crates = [line.split("`")[1] for line in lines if line.startswith("## Crate ")]
+    assert crates == [r["crate"] for r in reports.V.study(spark, "/root/testdata/sf0.001").orderBy("crate_ord").collect()]
+    assert lines[0] == "# evidence report" and lines[start - 2].startswith(f"| {crates[-1]} |")
+
+
+def test_report_without_scan_reads_no_code(spark):
+    rows = reports.markdown_report_without_scan(spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in rows._jdf.queryExecution().executedPlan().toString()
+    texts = [r["text"] for r in rows.filter("crate = 'c0'").orderBy(*R.REPORT_ORDER).collect()]
+    assert texts[0].startswith("| c0 | - |") and texts[7 + 1 : 7 + 3] == ["- scan: skipped", "- sites: -"]
+
+
+def test_null_logs_stay(spark):
+    strict = spark.createDataFrame([("c", "x", "targeted", True, 5, None), ("c", "y", "targeted", False, 5, None)], RUNS)
+    for triage in (True, False):
+        got = {r["case_name"]: r["verdict"] for r in E.case_records(strict, strict.limit(0), triage).collect()}
+        assert got == {"x": "clean", "y": "failed_no_ub"}
+    runs = spark.createDataFrame(
+        [("c", k, "n", True, 1, None) for k in ("geiger", "miri", "fuzz")],
+        "crate string, kind string, name string, success boolean, duration_ms bigint, combined_output string",
+    )
+    assert {r["kind"]: r["status"] for r in E.phase_records(runs, F.lit("/w/c")).collect()} == dict.fromkeys(["geiger", "miri", "fuzz"], "clean")
+    assert E.run_statuses(runs).count() == 3
+
+
+def test_several_baselines_give_one_record(spark):
+    ub = "undefined behavior"
+    strict = spark.createDataFrame([("c", "x", "targeted", False, 5, ub)], RUNS)
+    baseline = spark.createDataFrame([("c", "x", "targeted", True, ms, t) for ms, t in [(1, "ok"), (9, ub), (7, ub), (2, None)]], RUNS)
+    (row,) = E.case_records(strict, baseline).collect()
+    assert (row["verdict"], row["duration_ms"]) == ("ub_observed", 12)
+
+
+def test_records_of_builds_and_missing_targets(spark):
+    schema = (
+        "crate string, kind string, name string, success boolean, duration_ms bigint, combined_output string, stage string, "
+        "budget bigint, scope string, artifact string, group_name string, group_ord int"
+    )
+    bin_text = "error: can't find bin `t` at path `/x/t.rs`"
+    runs = spark.createDataFrame(
+        [
+            ("c", "fuzz", "t", False, 1, bin_text, "build", 30, None, "a", "g", 0),
+            ("c", "fuzz", "u", False, 1, " ", "build", None, None, "a", "g", 0),
+            ("c", "fuzz", "v", False, 1, "panic occurred", "run", 30, None, "crash-1", "g", 0),
+            ("c", "miri", "m", True, 1, "ok", "run", None, "targeted", None, None, None),
+        ],
+        schema,
+    )
+    got = {r["name"]: r for r in E.phase_records(runs, F.lit("/w/c")).collect()}
+    assert (got["t"]["status"], got["t"]["error_kind"], got["t"]["artifact"]) == ("skipped", None, None)
+    assert got["t"]["summary"] == "target t, budget 30s, declared source missing at /x/t.rs"
+    assert (got["u"]["status"], got["u"]["error_kind"], got["u"]["excerpt"]) == ("error", "tool_error", "cargo fuzz build failed for u")
+    assert (got["v"]["status"], got["v"]["artifact"], got["v"]["budget_secs"]) == ("finding", "crash-1", 30)
+    assert got["m"]["summary"] == "targeted scope, verdict clean" and got["v"]["command"] == "cargo fuzz run v"
+    statuses = {r["status"] for r in E.run_statuses(runs).collect()}
+    assert statuses == {"skipped", "error", "finding", "clean"}
+    skipped = spark.createDataFrame([(1, None, "skipped", "none"), (1, 7, "skipped", "gone")], "group_id bigint, target bigint, status string, summary string")
+    plan = spark.createDataFrame([(1, "c", "g", 3, None)], "group_id bigint, crate string, group_name string, group_ord int, budget bigint")
+    names = {r["name"]: (r["target"], r["budget_secs"], r["stage"]) for r in E.missing_records(skipped, plan).collect()}
+    assert names == {"g": (None, 60, "missing"), "7": ("7", 60, "missing")}
+
+
+def test_root_package_at_any_position(spark):
+    rows = [(1, 2**48 + 5, "demo", None, 4), (1, 2**62, "dep", None, 2), (2, 2**60, "demo", "file:///else", 9), (2, 7, "dep", None, 1), (3, 1, "dep", None, 1)]
+    packages = spark.createDataFrame(rows, "report_id int, pos bigint, name string, source_path string, unsafe_exprs bigint")
+    root = E.package_root(packages, F.lit("demo"), F.lit("/w/demo"))
+    assert sorted(tuple(r) for r in root.collect()) == [(1, 2**48 + 5, 1), (2, 2**60, 2)]
+    metrics = E.package_metrics(packages, F.lit("demo"), F.lit("/w/demo"))
+    assert sorted(tuple(r) for r in metrics.filter("root_unsafe IS NOT NULL").collect()) == [(1, 4, 2), (2, 9, 1)]
 
 
 def test_detail_lists_known_fields_in_order(spark):
@@ -163,7 +236,7 @@ def test_head_states_the_settings():
 
 def test_formats(spark, tmp_path):
     documents = spark.createDataFrame([("head", "{}")], "section string, document string")
-    lines = spark.createDataFrame([(0, "", 0, 0, "x")], "part int, crate string, section int, ordinal int, text string")
+    lines = spark.createDataFrame([(0, -1, "", 0, 0, "x")], "part int, crate_ord int, crate string, section int, ordinal int, text string")
     SR.write_reports(documents, lines, str(tmp_path / "both"))
     assert sorted(p.name for p in (tmp_path / "both").iterdir()) == ["report.json", "report.md"]
     SR.write_reports(documents, lines, str(tmp_path / "one"), ["markdown"])

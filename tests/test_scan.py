@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from evimill.operators import report as R
@@ -177,3 +179,48 @@ def test_corpus_reader_prunes_below_the_crate_only(spark, tmp_path):
     got = SF.read_corpus(spark, str(root)).orderBy("crate", "file").collect()
     assert [(r["crate"], r["file"]) for r in got] == [("one", "src/a b.rs"), ("one", "src/lib.rs"), ("two", "main.rs")]
     assert got[0]["content"] == "unsafe fn f() {}�\n"
+
+
+@pytest.mark.parametrize("root", ["plain", "my corpus +1%20é"])
+def test_readers_name_files_however_the_root_is_written(spark, tmp_path, root):
+    top = tmp_path / root
+    for path in ["my crate/src/a%b +.rs", "two/main.rs", "crates/my crate/logs/fuzz.a b.log", "one/corpus/t 1/x/y"]:
+        (top / path).parent.mkdir(parents=True, exist_ok=True)
+        (top / path).write_bytes(b"x")
+    for written in [str(top), str(top) + "/", "file:" + str(top), "file://" + str(top)] if root == "plain" else [str(top)]:
+        got = {(r["crate"], r["file"]) for r in SF.read_corpus(spark, written).collect()}
+        assert got == {("my crate", "src/a%b +.rs"), ("two", "main.rs")}
+        assert [(r["crate"], r["name"]) for r in SF.read_tool_logs(spark, written).collect()] == [("my crate", "a b")]
+        assert [(r["crate"], r["target"], r["file"]) for r in SF.read_seeds(spark, written).collect()] == [("one", "t 1", "x/y")]
+
+def test_readers_refuse_patterns(spark, tmp_path):
+    for read in (SF.read_corpus, SF.read_tool_logs, SF.read_seeds):
+        with pytest.raises(ValueError):
+            read(spark, str(tmp_path / "*"))
+
+
+@pytest.mark.parametrize("depth", [1, 5, 6, 20])
+def test_block_patterns_at_any_depth(spark, depth):
+    nested = "if a { " * depth + "} " * depth
+    call = "f(" * depth + ")" * depth
+    index = "g[" * depth + "0" + "]" * depth
+    blocks = [f"{nested}*p;", f"{call};", f"{index};", f"{nested}", f"x({nested})"]
+    text = "\n".join(f"fn a() {{ unsafe {{ {b} }} }}" for b in blocks)
+    got = scan(spark, text)
+    assert [p for _, _, k, p in got if k == "unsafe_block"] == ["ptr_op", None, "unchecked_op", None, None]
+
+
+def test_functions_a_trait_declares_are_no_sites(spark):
+    text = (
+        "unsafe trait Q { unsafe fn m(&self); unsafe fn d(&self) { unsafe { *p } unsafe fn inner() {} } }\n"
+        "unsafe fn x() {}\nimpl T for Y { unsafe fn z() {} }\n"
+        "mod m { trait R {\n unsafe extern \"C\" fn q(); } unsafe fn w() {} }"
+    )
+    assert [line for _, line, k, _ in scan(spark, text) if k == "unsafe_fn"] == [1, 2, 3, 5]
+
+
+def test_rejected_files_have_no_sites(spark):
+    rows = [("c", "good.rs", "unsafe fn a() {}"), ("c", "bad.rs", "unsafe fn broken([) {}\n"), ("c", "text.rs", "unsafe fn b() { \"}\" }")]
+    df = spark.createDataFrame(rows, "crate string, file string, content string")
+    assert [(r["file"], r["reason"]) for r in S.code_rejects(df).collect()] == [("bad.rs", "unbalanced brackets")]
+    assert {r["file"] for r in S.site_rows(S.scan_code(df), S.CODE_RULES).collect()} == {"good.rs", "text.rs"}
