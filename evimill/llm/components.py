@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evimill.llm.storage import kept
+from evimill.llm.storage import kept, shuffled
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (
             both.where("b > a")
-            .join(_lowest(both), "a")
+            .join(shuffled(_lowest(both)), "a")
             .select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
             .distinct()
         )
         low = _lowest(large)
-        small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = large.join(shuffled(low), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = kept(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimill.llm.components import components
-from evimill.llm.storage import kept
+from evimill.llm.storage import kept, shuffled
 from evimill.llm.texts import per_text
 
 SEED = 42
@@ -210,7 +210,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, crowd: int = 4096) -> Da
     )
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     placed = (
-        visits.join(met, "anchor")
+        visits.join(shuffled(met), "anchor")
         .select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", own.alias("own"), "fp")
         .select(
             (F.shiftleft("anchor", 31) + F.col("part")).alias("place"),  # 32 bits of anchor, 31 of part
@@ -232,12 +232,12 @@ def near_copies(files: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     marked = kept(files.select("file_id", fingerprints(F.col("content")).alias("fp")))
     classes = kept(marked.groupBy("fp").agg(F.min("file_id").alias("first")))
     roots = kept(
-        classes.join(components(links(classes, max_bits)), F.col("fp") == F.col("node"), "left").select(
+        classes.join(shuffled(components(links(classes, max_bits))), F.col("fp") == F.col("node"), "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root")
         )
     )
     lowest = roots.groupBy("root").agg(F.min("first").alias("component_id")).repartition(F.xxhash64("root"))
-    named = kept(roots.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select(
+    named = kept(roots.join(shuffled(lowest), "root").select("fp", "component_id"))
+    return marked.join(shuffled(named), "fp").select(
         "file_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
