@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimill.llm.storage import kept
+from evimill.llm.storage import kept, shuffled
 
 
 @dataclass(frozen=True)
@@ -270,7 +270,7 @@ def nearest(
     )
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return (
-        asked.join(found, "query")
+        asked.join(shuffled(found), "query")
         .select("query_id", F.posexplode(others).alias("at", "x"))
         .select(
             "query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.away")).alias("score")
