@@ -19,10 +19,16 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of either case; they become lower case later.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Texts without any of these name no license by any rule.
+#: The gate of all rules: beginnings of words, or words in a row with any gap between them.
+SIGNALS = [
+    "licence", "license", "licensing", "relicens", "unlicense", "creativecommons", "gpl", "lgpl", "agpl", "spdx", "copyright", "cc0", "cc by", "creative commons", "public domain", "rights reserved",
+    "proprietary", "hereby", "wtfpl", "redistribut", "permission", "neither", "advertising", "as is", "you want",
+    "unencumbered", "bsd", "ncsa", "w3c", "w3 org", "mozilla org", "eclipse org", "python software", "mariadb com", "jclark com",
+    "joinup ec", "scripts sil", "aws mit",
+]
+#: Texts in which none occurs are passed over.
 SIGNAL = (
-    rf"(?i)licen[cs]|spdx|copyright|cc0|cc{GAP}by|creative{GAP}commons|public{GAP}domain|rights{GAP}reserved"
-    rf"|proprietary|hereby|\bgpl|\blgpl|\bagpl|wtfpl|as{GAP}is|redistribut|permission"
+    r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(words.replace(" ", GAP) for words in SIGNALS) + ")"
 )
 DETECTION = "struct<start: int, end: int, priority: int, rule: int, label: string, confidence: double, base: boolean>"
 PRIORITIES = 5

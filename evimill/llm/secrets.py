@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimill.llm.storage import kept
+from evimill.llm.storage import kept, shuffled
 from evimill.llm.texts import per_text
 
 # What counts as a credential. Name, pattern, least length of the secret; the secret
-# is the last group, or else the whole match.
+# is the last group, or else the whole match, and ends where the match does.
 BASE = [
     (
         "assign",
@@ -39,7 +39,7 @@ FURTHER = [
     ("forge", re.compile(r"\bgh[oprsu]_[A-Za-z0-9]{20,}"), 24),
     ("chat", re.compile(r"\bxox[abeprs]-[A-Za-z0-9-]{10,}"), 15),
     ("signed", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 30),
-    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:([^\s:/@]{8,80})@"), 8),
+    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:([^\s:/@]{8,80})(?=@)"), 8),
     ("private", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}"), 40),
     ("opaque", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}={0,2}"), 32),
 ]
@@ -124,7 +124,7 @@ def judged(found: DataFrame, max_owners: int = 2, max_repositories: int = 8) ->
     each = found.select("row", "crate", "cohort", F.inline("candidates"))
     spread = ownership(each).repartition(F.xxhash64("secret"))
     live = F.col("looks_live") & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
-    return each.join(spread, "secret").withColumn("live", live)
+    return each.join(shuffled(spread), "secret").withColumn("live", live)
 
 
 def scan_secrets(files: DataFrame, max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
@@ -159,7 +159,7 @@ def scan_secrets(files: DataFrame, max_owners: int = 2, max_repositories: int =
             F.size("alive").cast("bigint").alias("n_live"),
         )
     )
-    return found.join(spans, "row", "left").select(
+    return found.join(shuffled(spans), "row", "left").select(
         "file_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("live_spans", F.lit("")).alias("live_spans"),
@@ -205,7 +205,7 @@ def without_live_secrets(files: DataFrame, max_owners: int = 2, max_repositories
         .agg(F.collect_list(F.struct(F.col("value").alias("start"), "end")).alias("_secret_live"))
     )
     repaired = (
-        suspect.join(live, "_secret_row", "left")
+        suspect.join(shuffled(live), "_secret_row", "left")
         .withColumn("content", masked(F.col("content"), F.col("_secret_live")))
         .select(*own)
     )

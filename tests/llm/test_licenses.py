@@ -14,6 +14,8 @@ def slow(text, rules=RULES):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     joined = " " + " ".join(words) + " "
     found = []
+    if not any(" " + signal in joined for signal in licenses.SIGNALS):
+        return len(words), []
     for k, rule in enumerate(rules):
         if " " + rule.keyword not in joined and rule.keyword not in joined:
             continue
@@ -33,7 +35,8 @@ TEXTS = [
     "This work is licensed under the GNU General Public License, version 3.", "see www.apache.org/licenses/LICENSE-2.0",
     "under the mit license under the MIT license", "All rights reserved.", "Apache License, Version 2.0",
     "distributed under the terms of the Mozilla Public License 2.0 or the zlib license",
-    "BSD 3-Clause License", "LGPLv3 license", "creative commons attribution noncommercial 4.0", "cc by nc", "CC0 1.0",
+    "BSD 3-Clause License", "uses BSD-3-Clause", "www.mozilla.org/MPL/2.0", "GPL v2 or later", "unlicense.org", "as is", "gplx",
+    "LGPLv3 license", "creative commons attribution noncommercial 4.0", "cc by nc", "CC0 1.0",
 ]
 
 
@@ -43,6 +46,14 @@ def test_hundreds_of_rules():
         re.compile(rule.pattern)
 
 
+@pytest.mark.parametrize("text, label", [
+    ("uses BSD-3-Clause here", "bsd-3-clause"), ("www.mozilla.org/MPL/2.0", "mpl-2.0"), ("the GNU LGPLv3", "lgpl-3"), ("GPL v2 or later", "gpl-2"),
+])
+def test_names_without_the_word_license(spark, text, label):
+    (row,) = licenses.scan_licenses(files(spark, [(1, "a", text)])).collect()
+    assert row["labels"] == label and row["base_labels"] == ""
+
+
 def test_detections_match_brute_force(spark):
     draw = random.Random(4)
     pieces = [*TEXTS, "some words", "license", "the", "é", "\n", "--", "MIT", "gpl", "version 2"]

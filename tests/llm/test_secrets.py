@@ -51,12 +51,14 @@ def test_counts_of_owners_and_repositories(spark):
 
 
 def test_masking_keeps_rows_and_columns(spark):
-    table = files(spark, [*EDGES, (20, "one", f"a {KEY} b {KEY}"), (21, "one", None)])
+    url = "git clone https://user:s3cr3tPa55w0rd@host/x"
+    table = files(spark, [*EDGES, (20, "one", f"a {KEY} b {KEY}"), (21, "one", None), (22, "one", url)])
     masked = secrets.without_live_secrets(table)
     assert masked.columns == table.columns
     texts = {r["file_id"]: r["content"] for r in masked.collect()}
     assert texts[20] == "a [credential] b [credential]" and texts[21] is None and texts[1] == EDGES[0][2]
-    assert masked.count() == len(EDGES) + 2
+    assert texts[22] == "git clone https://user:[credential]@host/x"
+    assert masked.count() == len(EDGES) + 3
 
 
 def test_edges(spark):
