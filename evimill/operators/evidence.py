@@ -12,6 +12,9 @@ from evimill.operators.numbering import with_offset
 
 CASE_KEY = ["crate", "case_name"]
 
+# Kinds of records that give evidence, in report order.
+EVIDENCE_KINDS = ["geiger", "miri", "fuzz"]
+
 # Columns of a phase record; which of the evidence fields are set depends on its kind.
 RECORD_COLUMNS = [
     "crate", "kind", "name", "status", "duration_ms", "log_path", "summary",
@@ -195,21 +198,26 @@ def run_statuses(runs: DataFrame) -> DataFrame:
 GROUP_STAGES = ["missing", "build", "run"]
 
 
-def record_positions(records: DataFrame, target_order: str) -> DataFrame:
-    """Records with their 1-based position in the report of their crate.
-
-    Kinds come in report order, then groups by ``group_ord``, their place in the plan, then the
-    stages of a group, then ``target_order``, which must be unique within all that.
-    """
+def _ordered(records: DataFrame) -> DataFrame:
     kinds, stages = (F.array(*[F.lit(v) for v in values]) for values in (PHASE_KINDS, GROUP_STAGES))
-    keyed = records.withColumns(
+    return records.withColumns(
         {
             "_kind": F.array_position(kinds, F.col("kind")),
             "_stage": F.array_position(stages, F.col("stage")),
         }
     )
+
+
+def record_positions(records: DataFrame, target_order: str, drawn_from: DataFrame | None = None) -> DataFrame:
+    """Records with their 1-based position in the report of their crate.
+
+    Kinds come in report order, then groups by ``group_ord``, their place in the plan, then the
+    stages of a group, then ``target_order``, which must be unique within all that. For
+    ``drawn_from`` see :func:`with_offset`.
+    """
+    keys = None if drawn_from is None else _ordered(drawn_from)
     order = ["_kind", "group_ord", "_stage", target_order]
-    placed = with_offset(keyed, "crate", order, F.lit(1), "position")
+    placed = with_offset(_ordered(records), "crate", order, F.lit(1), "position", drawn_from=keys)
     return placed.withColumn("position", F.col("position") + 1).drop("_kind", "_stage")
 
 
@@ -240,9 +248,14 @@ def status_columns(records: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def finding_flags(records: DataFrame) -> DataFrame:
-    """(crate, dynamic_finding): some record of the crate is a finding or an error."""
-    return records.groupBy("crate").agg(
-        F.bool_or(L.is_dynamic_finding(F.col("status"))).alias("dynamic_finding")
+    """(crate, dynamic_finding): some record of the crate is a finding or an error.
+
+    Only these two are the worst of a kind, so the flag follows from the roll-up, which a report
+    needs anyway: both come from one shuffle.
+    """
+    worst = status_columns(records, EVIDENCE_KINDS)
+    return worst.select(
+        "crate", F.greatest(*[L.is_dynamic_finding(F.col(kind)) for kind in EVIDENCE_KINDS]).alias("dynamic_finding")
     )
 
 

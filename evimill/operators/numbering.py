@@ -51,17 +51,21 @@ def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
 
 
 def with_offset(
-    df: DataFrame, group: str, order: list[str], weight: Column, name: str, ranges: int | None = None
+    df: DataFrame, group: str, order: list[str], weight: Column, name: str, ranges: int | None = None,
+    drawn_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add the sum of ``weight`` over the rows of the same group that come earlier in order.
 
     ``group`` and ``order`` together must be unique. The range sums read the same shuffle
     as the rows themselves (a reused exchange), so the input is computed once. That holds if
     no column of ``df`` is dropped afterwards; leave out before what is not needed.
+
+    The cuts are drawn from the keys of ``df``, or from ``drawn_from`` where keys spread alike
+    come cheaper than those of ``df`` itself; numbers do not depend on them.
     """
     keys = [group, *order]
     ranges = ranges or range_count(df)
-    cuts = _cut_points(df.select(*keys), ranges)
+    cuts = _cut_points((drawn_from or df).select(*keys), ranges)
     range_no = _range_of(F.struct(*keys), F.col("_cuts"), ranges)
     # One struct as the key of shuffle and join: a struct is never null, so the optimizer
     # adds no null test to either side, and the two sides read the same exchange.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evimill.functions.text import escape_bars, excerpt, table_cell
 from evimill.functions.vocabulary import REVIEW_ROWS, REVIEW_SUFFIX, REVIEW_WORDS
-from evimill.operators.evidence import finding_flags, status_columns
+from evimill.operators.evidence import EVIDENCE_KINDS, finding_flags, status_columns
 from evimill.operators.numbering import with_offset
 from evimill.operators.study_plan import RunSettings, phase_label
 
@@ -31,8 +31,6 @@ CODE_COUNTERS_BY_PATTERN = {
 HTML_COUNTERS_BY_KIND = {"block": "blocks", "comment": "comments", "element": "elements"}
 HTML_COUNTERS_BY_PATTERN = {"link": "links", "entity": "entities"}
 
-EVIDENCE_KINDS = ["geiger", "miri", "fuzz"]
-
 # Labels of the inventory lines of a crate, with the counters they show.
 INVENTORY_LINES = [
     ("unsafe blocks", "unsafe_blocks"),
@@ -219,7 +217,7 @@ REPORT_COLUMNS = [*REPORT_ORDER[:2], "crate", *REPORT_ORDER[2:], "text"]
 
 def markdown_report(
     head: list[str], crates: DataFrame, overview_rows: DataFrame, evidence: DataFrame,
-    review: DataFrame, order: list[str], scan_selected: bool = True,
+    review: DataFrame, order: list[str], scan_selected: bool = True, drawn_from: DataFrame | None = None,
 ) -> DataFrame:
     """All lines of a report with the columns that order them, unsorted.
 
@@ -254,7 +252,7 @@ def markdown_report(
             ordinal.cast("bigint").alias("ordinal"), "text",
         )
 
-    numbered = with_offset(evidence, "crate", order, F.lit(1), "number")
+    numbered = with_offset(evidence, "crate", order, F.lit(1), "number", drawn_from=drawn_from)
     heading = F.when(F.col("ordinal") == 1, F.array(blank, F.lit("### Review priority"), blank))
     reviewed = review.select(
         "crate", "ordinal", F.posexplode(F.concat(F.coalesce(heading, F.array()), F.array("text"))).alias("n", "text")
@@ -276,7 +274,7 @@ def markdown_report(
 
 def nested_report(
     settings: RunSettings, crates: DataFrame, sites: DataFrame, records: DataFrame, review: DataFrame,
-    record_order: list[str], chunk_rows: int = 500,
+    record_order: list[str], chunk_rows: int = 500, drawn_from: DataFrame | None = None,
 ) -> DataFrame:
     """(crate, section, chunk, document): the report as JSON documents of bounded size.
 
@@ -302,7 +300,7 @@ def nested_report(
             F.to_json(F.struct("crate", F.col("items").alias(section)), keep_nulls).alias("document"),
         )
 
-    numbered = with_offset(records, "crate", record_order, F.lit(1), "_offset")
+    numbered = with_offset(records, "crate", record_order, F.lit(1), "_offset", drawn_from=drawn_from)
     rows = review.groupBy("crate").agg(
         F.array_sort(F.collect_list(F.struct("rank", "site_id", "file", "line", "reason"))).alias("review")
     )

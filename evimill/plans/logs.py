@@ -73,7 +73,7 @@ def records(spark, sf_dir):
     return E.phase_records(V.run_logs(spark, sf_dir), _crate_path())
 
 
-def crate_records(spark, sf_dir):
+def crate_records(spark, sf_dir, with_artifacts=True):
     """All records of a study: targets that are missing, builds, runs, cases; ``record_no`` orders them.
 
     The plan says what there is to run. What is not there becomes a record at once, what ran is
@@ -87,8 +87,11 @@ def crate_records(spark, sf_dir):
     missing = E.missing_records(skipped, planned).withColumn(
         "record_no", F.coalesce(F.col("target").cast("bigint"), F.lit(0))
     )
-    artifacts = inventory.artifact_newest(spark, sf_dir).withColumnRenamed("path", "artifact")
-    runs = V.run_logs(spark, sf_dir).join(artifacts, "dir", "left").drop("dir")
+    runs = V.run_logs(spark, sf_dir)
+    if with_artifacts:
+        artifacts = inventory.artifact_newest(spark, sf_dir).withColumnRenamed("path", "artifact")
+        runs = runs.join(artifacts, "dir", "left")
+    runs = runs.drop("dir")
     ran = E.phase_records(runs, _crate_path()).withColumnRenamed("run_id", "record_no")
     cases = strict_baseline_verdict(spark, sf_dir).select(
         "crate", F.lit("miri").alias("kind"), F.col("case_name").alias("name"), "status", "duration_ms",
@@ -105,7 +108,18 @@ _CASE_LOG_PATH = "concat('crates/', crate, '/logs/miri.', case_name, '.log')"
 
 def statuses(spark, sf_dir):
     """(crate, kind, status) of all records of the study."""
-    return crate_records(spark, sf_dir).select("crate", "kind", "status")
+    return crate_records(spark, sf_dir, with_artifacts=False).select("crate", "kind", "status")
+
+
+def record_keys(spark, sf_dir):
+    """What orders the records, of all runs and of all targets that may be missing."""
+    keys = ["crate", "kind", "group_ord", "stage", "record_no"]
+    runs = V.run_logs(spark, sf_dir).withColumnRenamed("run_id", "record_no")
+    planned = V.planned_groups(spark, sf_dir).select("group_id", "crate", "group_ord")
+    targets = V.configured(spark, sf_dir).join(planned, "group_id").select(
+        "crate", F.lit("fuzz").alias("kind"), "group_ord", F.lit("missing").alias("stage"), F.col("target").alias("record_no")
+    )
+    return runs.select(*keys).unionByName(targets)
 
 
 def argv_display(spark, sf_dir):
@@ -117,8 +131,8 @@ def argv_display(spark, sf_dir):
 
 def record_order(spark, sf_dir):
     """Positions of all records of the study; of fuzz groups missing targets, then builds, then runs."""
-    records = crate_records(spark, sf_dir).select("crate", "kind", "group_ord", "stage", "record_no")
-    return E.record_positions(records, "record_no")
+    records = crate_records(spark, sf_dir, with_artifacts=False).select("crate", "kind", "group_ord", "stage", "record_no")
+    return E.record_positions(records, "record_no", record_keys(spark, sf_dir))
 
 
 def phase_totals(spark, sf_dir):

@@ -36,11 +36,14 @@ def _crates(spark, sf_dir):
     return V.study(spark, sf_dir)
 
 
-def _records(spark, sf_dir):
-    records = logs.crate_records(spark, sf_dir)
+def _ordered(records):
     return records.withColumns({"kind_ord": F.expr(_KIND_ORD), "stage_ord": F.expr(_STAGE_ORD)})
 
 
+def _records(spark, sf_dir):
+    return _ordered(logs.crate_records(spark, sf_dir))
+
+
 def review_priority(spark, sf_dir):
     """Sites of the pages, the ten to look at first per crate, with the findings of its logs."""
     scanned = S.scan_files(V.report_files(spark, sf_dir), S.HTML_RULES)
@@ -102,6 +105,7 @@ def markdown_report(spark, sf_dir):
         _evidence(spark, sf_dir),
         markdown_review(spark, sf_dir),
         RECORD_ORDER,
+        drawn_from=_ordered(logs.record_keys(spark, sf_dir)),
     )
 
 
@@ -117,6 +121,7 @@ def markdown_report_without_scan(spark, sf_dir):
         review,
         RECORD_ORDER,
         scan_selected=False,
+        drawn_from=_ordered(logs.record_keys(spark, sf_dir)),
     )
 
 
@@ -129,7 +134,8 @@ def report_nested(spark, sf_dir):
     numbered = sites.withColumn("number", F.substring("site_id", 2, 20).cast("bigint"))
     records = _records(spark, sf_dir)
     return R.nested_report(
-        SETTINGS, heads, numbered, records, code_review_priority(spark, sf_dir), RECORD_ORDER
+        SETTINGS, heads, numbered, records, code_review_priority(spark, sf_dir), RECORD_ORDER,
+        drawn_from=_ordered(logs.record_keys(spark, sf_dir)),
     )
 
 
