@@ -24,10 +24,9 @@ from typing import NamedTuple
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from evimill.llm.texts import per_text
-from evimill.llm.tokens import UNUSUAL, byte_symbols
+from evimill.llm.tokens import UNUSUAL, byte_symbols, defining
 
 #: Code points that white space patterns of the vocabulary's library take.
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -171,7 +170,7 @@ class Counter:
         model = vocabulary["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.words = _Counted(Transducer(merges, model["end_of_word_suffix"]))
-        self.defining = Tokenizer.from_file(path)
+        self.path = path
         special = sorted((token["content"] for token in vocabulary["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)))
         self.bytes_of = byte_symbols()
@@ -189,7 +188,8 @@ class Counter:
             text = unicodedata.normalize("NFC", text)
             # the library lowers letter by letter, without the form of sigma at the end of words
             return sum(map(counted, WORDS.findall(text.replace("Σ", "σ").lower())))
-        words = self.defining.pre_tokenizer.pre_tokenize_str(self.defining.normalizer.normalize_str(text))
+        library = defining(self.path)
+        words = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
         count = self.words.transducer.count
         return sum(count(bytes(self.bytes_of[c] for c in word)) for word, _ in words)
 

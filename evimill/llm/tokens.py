@@ -24,8 +24,14 @@ def byte_symbols() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _libraries(path: str) -> tuple[tiktoken.Encoding, Tokenizer]:
-    """The same vocabulary in the faster library, merges ranked by id, and in the defining one."""
+def defining(path: str) -> Tokenizer:
+    """The vocabulary in the library whose counts and ids it stands for; loaded where a text needs it."""
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _fast(path: str) -> tiktoken.Encoding:
+    """The same vocabulary in the faster library, merges ranked by id."""
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)
     symbols = byte_symbols()
@@ -35,13 +41,11 @@ def _libraries(path: str) -> tuple[tiktoken.Encoding, Tokenizer]:
         for token, number in vocabulary["model"]["vocab"].items()
         if token not in special
     }
-    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return fast, Tokenizer.from_file(path)
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(path: str, text: str) -> np.ndarray:
     """Ids as the tokenizers library gives them without added special tokens."""
-    fast, defining = _libraries(path)
     if text.isascii() or not UNUSUAL.search(text):
-        return fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
-    return np.array(defining.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return _fast(path).encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+    return np.array(defining(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
