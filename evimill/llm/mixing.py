@@ -166,7 +166,7 @@ class Mix:
         per_task = spark.range(shards, numPartitions=max(1, min(shards, spark.sparkContext.defaultParallelism * 4)))
         self.drawn = per_task.mapInArrow(draw, "shard bigint, slot bigint, source_no bigint, block bigint")
 
-    def _placed(self, sized: DataFrame, rows: int, per_bucket: int = 8192) -> DataFrame:
+    def _placed(self, sized: DataFrame, rows: int, per_bucket: int = 2048) -> DataFrame:
         """Files with ``start``, the words of their crate before them; crates are cut by hash into buckets."""
         buckets = max(1, math.ceil(rows / per_bucket))
         dealt = sized.join(self.sources, sized["crate"].eqNullSafe(self.sources["crate"])).select(
