@@ -144,6 +144,7 @@ class Mix:
         sized = kept(
             files.select(
                 F.monotonically_increasing_id().alias("row"), "file_id", "crate",
+                F.xxhash64("file_id", "crate", "content").alias("place"),
                 per_text(word_count, "bigint", F.col("content")).alias("size"),
             )
         )
@@ -167,11 +168,15 @@ class Mix:
         self.drawn = per_task.mapInArrow(draw, "shard bigint, slot bigint, source_no bigint, block bigint")
 
     def _placed(self, sized: DataFrame, rows: int, per_bucket: int = 2048) -> DataFrame:
-        """Files with ``start``, the words of their crate before them; crates are cut by hash into buckets."""
+        """Files with ``start``, the words of their crate before them; crates are cut by hash into buckets.
+
+        The order is that of a hash of the whole row, so it is the same however the table is split;
+        rows that are alike in everything may change places, which shows nowhere.
+        """
         buckets = max(1, math.ceil(rows / per_bucket))
         dealt = sized.join(self.sources, sized["crate"].eqNullSafe(self.sources["crate"])).select(
-            "row", "file_id", "size", "source_no", "source_size", "target",
-            F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket"),
+            "row", "file_id", "place", "size", "source_no", "source_size", "target",
+            F.pmod("place", F.lit(buckets)).alias("bucket"),
         )
         earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         bases = (
@@ -179,7 +184,8 @@ class Mix:
             .agg(F.sum("size").alias("words"))
             .select("source_no", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
         )
-        inside = Window.partitionBy("source_no", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+        order = ["place", "file_id", "size", "row"]
+        inside = Window.partitionBy("source_no", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return (
             dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .join(shuffled(bases), ["source_no", "bucket"])

@@ -72,6 +72,15 @@ def test_mix(spark):
     assert sorted(map(str, again)) == sorted(map(str, taken))
 
 
+def test_the_mix_does_not_depend_on_the_layout(spark):
+    rows = [(k, *r[1:]) for k, r in enumerate(corpus(3))]
+    draws = []
+    for n in (1, 7):
+        taken = mixing.Mix(files(spark, rows[:: 1 if n == 1 else -1]).repartition(n), block_words=16).taken()
+        draws.append(sorted((r["file_id"], r["size"], r["taken"]) for r in taken.collect()))
+    assert draws[0] == draws[1]
+
+
 def test_copies_come_near_the_target(spark):
     rows = corpus(2)
     taken = mixing.Mix(files(spark, [(k, *r[1:]) for k, r in enumerate(rows)]), block_words=16).taken()

@@ -1,9 +1,16 @@
+import math
+from collections import Counter
+
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from cases import LONG, documents
-from evimill.llm import mixing, queries, secrets, simhash, storage, toxicity
-from pyspark.sql import functions as F
+from evimill.llm import mixing, queries, secrets, storage, toxicity
+from test_simhash import slow_components, slow_fingerprint
 from test_toxicity import corpus
+from tokenizers import Tokenizer
+
+packing_vocabulary = public_tokenizers.path("byte_bpe_50k.json")
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,23 +65,46 @@ def test_empty_documents(spark, sf_dir):
         assert not docs.collect()
 
 
-def test_run_is_the_stages_in_turn(spark, sf_dir):
-    """Against a version that decides row by row on the driver."""
-    found = corpus_pipeline.run(spark, sf_dir)
+def test_run_matches_brute_force(spark, sf_dir):
+    """Against a version that decides document by document on the driver."""
+    found = corpus_pipeline.run(spark, sf_dir).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     model = queries.toxicity_model(spark, sf_dir)
-    table = spark.createDataFrame(list(docs.values()))
-    scores = {r["file_id"]: r["score"] for r in toxicity.score_files(queries.files_of(table), model).collect()}
-    left = {k for k in docs if scores[k] < 0.7}
-    grouped = simhash.near_copies(queries.files_of(table.where(F.col("doc_id").isin(sorted(left)))))
-    left = {r["component_id"] for r in grouped.collect()}
-    kept = table.where(F.col("doc_id").isin(sorted(left)))
-    safe = secrets.without_live_secrets(queries.owned(queries.files_of(kept)).withColumn("x", F.lit(1)))
-    assert safe.count() == len(left)
-    times = {r["file_id"]: r["copies"] for r in mixing.copies(mixing.Mix(queries.files_of(kept)).taken()).collect()}
-    pieces = found.where("piece = 0").groupBy("doc_id").count().collect()
-    assert sum(r["count"] for r in pieces) == pytest.approx(sum(times.values()), rel=0.2)
-    assert {r["doc_id"] for r in pieces} <= left
+
+    def score(text):
+        none = 1 - model.leak
+        for _, _, terms in toxicity.sentence_terms(text or "", model.weights):
+            none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights[t] for t in terms))))
+        return 1 - none
+
+    clean = {k: r for k, r in docs.items() if score(r["text"]) < 0.7}
+    assert 0 < len(docs) - len(clean) < len(docs) / 2
+    prints = {k: slow_fingerprint(r["text"]) for k, r in clean.items()}
+    roots, firsts = slow_components(set(prints.values())), {}
+    for k in sorted(clean):
+        firsts.setdefault(roots[prints[k]], k)
+    left = {k: clean[k] for k in firsts.values()}
+    assert not any(secrets.candidates(r["text"] or "") for r in left.values())  # so no text changes
+    sizes = {k: len((r["text"] or "").split()) for k, r in left.items()}
+    crates = sorted({r["source"] for r in left.values()})
+    of = [sum(sizes[k] for k, r in left.items() if r["source"] == c) for c in crates]
+    wanted = dict(zip(crates, mixing.targets(of, [[5, 2, 1][k % 3] for k in range(len(crates))], 3), strict=True))
+    times = Counter(r["doc_id"] for r in found if r["piece"] == 0)
+    assert set(times) <= set(left) and max(times.values()) <= 3
+    for crate in crates:
+        got = sum(n * sizes[k] for k, n in times.items() if left[k]["source"] == crate)
+        assert got == pytest.approx(wanted[crate], rel=0.1)
+    library = Tokenizer.from_file(packing_vocabulary)
+    lengths = Counter()
+    for r in found:
+        lengths[r["doc_id"]] += r["length"]
+    for k, n in times.items():
+        assert lengths[k] == n * (len(library.encode(left[k]["text"] or "", add_special_tokens=False).ids) + 1)
+    full = Counter()
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == full[r["sequence_id"]]
+        full[r["sequence_id"]] += r["length"]
+    assert max(full.values()) <= 2048 and len(full) <= sum(full.values()) / 2048 * 1.02 + 1
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
