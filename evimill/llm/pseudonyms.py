@@ -120,10 +120,12 @@ def address(text: str, key: bytes, back: bool) -> str | None:
 def date(text: str, key: bytes, back: bool) -> str | None:
     """Days from 1900 to 2099: 2024-01-31, or day or month first with dots or slashes.
 
-    Where either order is possible the day comes first; the order stays.
+    Where either order is possible the day comes first; the order stays. A day or month of one
+    digit keeps one digit.
     """
-    a, b, c = (int(part) for part in re.split("[-./]", text))
-    mark = text[4] if text[:4].isdigit() else text[2]
+    parts = re.split("[-./]", text)
+    a, b, c = map(int, parts)
+    mark = re.search("[-./]", text)[0]
     orders = [(a, b, c)] if text[:4].isdigit() else [(c, b, a), (c, a, b)]
     for swapped, (year, month, day) in enumerate(orders):
         try:
@@ -135,14 +137,18 @@ def date(text: str, key: bytes, back: bool) -> str | None:
     else:
         return None
 
-    def written(n: int) -> str:
+    def fields(n: int) -> list[int]:
         fresh = FIRST_DAY + datetime.timedelta(n)
         if text[:4].isdigit():
-            return fresh.strftime(f"%Y{mark}%m{mark}%d")
-        return fresh.strftime(f"%m{mark}%d{mark}%Y" if swapped else f"%d{mark}%m{mark}%Y")
+            return [fresh.year, fresh.month, fresh.day]
+        return [fresh.month, fresh.day, fresh.year] if swapped else [fresh.day, fresh.month, fresh.year]
+
+    def written(n: int) -> str:
+        return mark.join(f"{x:0{len(part)}d}" for x, part in zip(fields(n), parts, strict=True))
 
     def valid(n: int) -> bool:  # month first only while the day shows it
-        return not swapped or (FIRST_DAY + datetime.timedelta(n)).day > 12
+        fits = all(x < 10 for x, part in zip(fields(n), parts, strict=True) if len(part) == 1)
+        return fits and (not swapped or (FIRST_DAY + datetime.timedelta(n)).day > 12)
 
     return written(walk((found - FIRST_DAY).days, DAYS, key, valid, back))
 
@@ -186,7 +192,7 @@ PATTERNS = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"), email),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), iban),
     "address": (re.compile(EDGE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + END), address),
-    "date": (re.compile(EDGE + r"(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-./])[0-9]{2}\2[0-9]{4})" + END), date),
+    "date": (re.compile(EDGE + r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})" + END), date),
     "ssn": (re.compile(EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END), ssn),
     "phone": (
         re.compile(
@@ -199,6 +205,30 @@ PATTERNS = {
     "card": (re.compile(EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + END), card),
 }
 DIGIT = re.compile("[0-9]")
+SEPARATOR = re.compile("[ -]")
+#: Kinds whose patterns may run on into what follows, and the least characters of a value.
+RUNNING = {"iban": 15, "card": 13}
+#: Characters of an account number by country; others may have any length.
+IBAN_LENGTHS = {
+    length: countries.split()
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+IBAN_LENGTH = {country: length for length, countries in IBAN_LENGTHS.items() for country in countries}
+
+
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value that begins at ``start`` may end, the furthest first: ``end``, or a separator before it."""
+    if kind not in RUNNING:
+        return [end]
+    ends = [end, *(m.start() for m in SEPARATOR.finditer(text, start, end))]
+    sizes = {at: len(SEPARATOR.sub("", text[start:at])) for at in ends}
+    wanted = IBAN_LENGTH.get(text[start : start + 2]) if kind == "iban" else None
+    return sorted((at for at in ends if sizes[at] >= RUNNING[kind] and wanted in (None, sizes[at])), reverse=True)
 
 
 def replacements(text: str, key: str, back: bool = False) -> list[tuple[int, int, str, str]]:
@@ -212,13 +242,21 @@ def replacements(text: str, key: str, back: bool = False) -> list[tuple[int, int
             continue
         secret = hashlib.blake2b(kind.encode(), key=key.encode()[:64], digest_size=32).digest()
         fresh = []
-        for match in pattern.finditer(text):
+        match = pattern.search(text)
+        while match:
             start, end = match.span()
-            if _taken(found, start, end):
-                continue
-            pseudonym = change(match.group(), secret, back)
-            if pseudonym is not None:
-                fresh.append((start, end, kind, pseudonym))
+            after = end
+            if kind in RUNNING and (apart := SEPARATOR.search(text, start, end)):
+                after = apart.end()  # what follows may be a value of its own
+            for stop in _ends(kind, text, start, end):
+                if _taken(found, start, stop):
+                    continue
+                pseudonym = change(text[start:stop], secret, back)
+                if pseudonym is not None:
+                    fresh.append((start, stop, kind, pseudonym))
+                    after = stop
+                    break
+            match = pattern.search(text, after)
         found = sorted([*found, *fresh])
     return found
 

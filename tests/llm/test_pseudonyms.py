@@ -72,3 +72,26 @@ def test_edges(spark):
     assert len(rows) == len(EDGES) + 1 and by_id[3]["content"] == "" and by_id[6]["content"] == EDGES[5][2]
     assert by_id[40]["content"] == P.pseudonymised("call 386-555-3733", KEY)["content"] and by_id[40]["n_phone"] == 1
     assert not P.pseudonymise_files(files(spark, []), KEY).collect()
+
+
+@pytest.mark.parametrize("kind, value, text", [
+    ("iban", "DE89370400440532013000", "DE89370400440532013000 BIC COBADEFFXXX"),
+    ("iban", "DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX"),
+    ("iban", "DE89370400440532013000", "AB12 DE89370400440532013000"),
+    ("card", "4111 1111 1111 1111", "4111 1111 1111 1111 123"),
+    ("card", "4111 1111 1111 1111", "123 4111 1111 1111 1111"),
+])
+def test_a_value_is_found_in_a_longer_run(kind, value, text):
+    (span,) = P.pseudonymised(text, KEY)["spans"]
+    assert (span["kind"], text[span["start"] : span["end"]]) == (kind, value)
+    assert span["pseudonym"] == P.pseudonymised(value, KEY)["content"] != value
+
+
+def test_two_values_in_one_run():
+    out = P.pseudonymised("DE89370400440532013000 GB82WEST12345698765432", KEY)
+    assert out["n_iban"] == 2 and P.pseudonymised(out["content"], KEY, back=True)["content"] == "DE89370400440532013000 GB82WEST12345698765432"
+
+
+@pytest.mark.parametrize("value", ["3/14/2021", "14.3.2021", "3.4.2021", "2021-3-4", "2021-3-14", "1/02/2021"])
+def test_dates_of_one_digit_keep_their_form(value):
+    test_keeps_format_links_and_reverses("date", value)
