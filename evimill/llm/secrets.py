@@ -46,6 +46,9 @@ FURTHER = [
 KINDS = [name for name, _, _ in (*BASE, *FURTHER)]
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|redacted|xxxx|your[_-]|\.\.\.", re.IGNORECASE)
 
+#: Owners up to which a credential is theirs, however often they repeat it.
+FEW_OWNERS = 2
+
 FOUND = (
     "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
     "candidates array<struct<kind: int, start: int, end: int, value: int, secret: string, looks_live: boolean>>"
@@ -118,12 +121,14 @@ def ownership(found: DataFrame) -> DataFrame:
 def judged(found: DataFrame, max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
     """Candidates, one row each, with owners, repositories and ``live``.
 
-    Live: it looks random and neither more than ``max_owners`` cohorts nor more than
-    ``max_repositories`` crates hold it. ``found``: row, crate, cohort, candidates.
+    Live: it looks random and no more than ``max_owners`` cohorts hold it. One or two owners may
+    hold it in any number of their crates; where more owners are allowed, a string of more than two
+    is live in ``max_repositories`` crates at most. ``found``: row, crate, cohort, candidates.
     """
     each = found.select("row", "crate", "cohort", F.inline("candidates"))
     spread = ownership(each).repartition(F.xxhash64("secret"))
-    live = F.col("looks_live") & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    spare = (F.col("owners") <= FEW_OWNERS) | (F.col("repositories") <= max_repositories)
+    live = F.col("looks_live") & (F.col("owners") <= max_owners) & spare
     return each.join(shuffled(spread), "secret").withColumn("live", live)
 
 

@@ -66,3 +66,12 @@ def test_edges(spark):
     assert len(rows) == len(EDGES) and all(r["spans"] == "" and r["n_live"] == 0 for r in rows)
     assert not secrets.scan_secrets(files(spark, [])).collect()
     assert not secrets.without_live_secrets(files(spark, [])).collect()
+
+
+def test_a_key_in_many_documents_of_one_source_is_live(spark):
+    rows = [(f"c{k}", "one", f"key {KEY} {k}") for k in range(3000)] + [("d", "two", f"key {TOKEN}")]
+    schema = "crate string, cohort string, content string"
+    table = spark.createDataFrame(rows, schema).selectExpr("monotonically_increasing_id() as file_id", "*")
+    found = secrets.scan_secrets(table).where("crate <> 'd'").collect()
+    assert len(found) == 3000 and all(r["live_spans"] == "access:4:24" for r in found)
+    assert not secrets.without_live_secrets(table).where(f"contains(content, '{KEY}')").count()
