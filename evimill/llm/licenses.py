@@ -1,6 +1,6 @@
 """Licenses named in files, by ordered signature rules.
 
-A text is reduced to its words. Only where it holds one of the signal words are the rules looked
+A text is reduced to its words. Only where it holds the keyword of some rule are the rules looked
 at, and of these only those whose keyword occurs. What they match are intervals of words; an
 interval inside another one that ranks the same or higher is suppressed, which leaves "CC BY-NC-SA"
 and drops the "CC BY" in it. All of it is built-in column functions within the row.
@@ -9,6 +9,7 @@ and drops the "CC BY" in it. All of it is built-in column functions within the r
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +20,17 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of either case; they become lower case later.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The gate of all rules: beginnings of words, or words in a row with any gap between them.
-SIGNALS = [
-    "licence", "license", "licensing", "relicens", "unlicense", "creativecommons", "gpl", "lgpl", "agpl", "spdx", "copyright", "cc0", "cc by", "creative commons", "public domain", "rights reserved",
-    "proprietary", "hereby", "wtfpl", "redistribut", "permission", "neither", "advertising", "as is", "you want",
-    "unencumbered", "bsd", "ncsa", "w3c", "w3 org", "mozilla org", "eclipse org", "python software", "mariadb com", "jclark com",
-    "joinup ec", "scripts sil", "aws mit",
-]
-#: Texts in which none occurs are passed over.
-SIGNAL = (
-    r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(words.replace(" ", GAP) for words in SIGNALS) + ")"
-)
+#: Keywords of all rules.
+SIGNALS = sorted({rule.keyword for rule in signature_rules()})
 DETECTION = "struct<start: int, end: int, priority: int, rule: int, label: string, confidence: double, base: boolean>"
 PRIORITIES = 5
 
 
+def signal(rules: list[SignatureRule]) -> str:
+    """The gate of ``rules``: any of their keywords anywhere, so whatever a rule can match passes."""
+    return "(?i)(?:" + "|".join(re.escape(k).replace(r"\ ", GAP) for k in sorted({rule.keyword for rule in rules})) + ")"
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -87,7 +84,7 @@ def _unsuppressed(detections: Column) -> Column:
 
 
 def detections(content: Column, rules: list[SignatureRule]) -> Column:
-    """array of DETECTION by start; null where no signal word occurs. Places are numbers of words, end exclusive."""
+    """array of DETECTION by start; null where no keyword occurs. Places are numbers of words, end exclusive."""
     table = json.dumps([{"rule": k, **rule._asdict()} for k, rule in enumerate(rules)])
     kind = "array<struct<rule: int, label: string, keyword: string, pattern: string, priority: int, confidence: double, base: boolean>>"
     all_rules = F.from_json(F.lit(table), kind)
@@ -100,7 +97,7 @@ def detections(content: Column, rules: list[SignatureRule]) -> Column:
 
     # an array of one text, so that the words are put together once and named in the functions above
     found = F.element_at(F.transform(F.array(words), tried), 1)
-    return F.when(content.rlike(SIGNAL), found)
+    return F.when(content.rlike(signal(rules)), found)
 
 
 def scan_licenses(files: DataFrame, rules: list[SignatureRule] | None = None) -> DataFrame:

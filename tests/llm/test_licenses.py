@@ -95,3 +95,18 @@ def test_edges(spark):
 def test_plan_is_native(spark):
     plan = licenses.scan_licenses(files(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Released under MIT.", "mit"), ("Distributed under the Apache 2.0 terms", "apache-2"), ("available under Apache-2.0", "apache-2"),
+    ("released under the ISC", "isc"), ("published under zlib", "zlib"), ("shared under openssl", "openssl"),
+    ("released under 0BSD", "0bsd"),
+])
+def test_grants_without_other_signals(spark, text, label):
+    (row,) = licenses.scan_licenses(files(spark, [(1, "a", text)])).collect()
+    assert label in row["labels"].split(",") and row["score"] >= 0.7
+
+
+def test_gate_passes_whatever_has_a_keyword():
+    gate = re.compile(licenses.signal(RULES))
+    assert all(gate.search(f"x {rule.keyword.upper()} y") for rule in RULES) and not gate.search("a b")
