@@ -15,6 +15,7 @@ from evimill.llm import (
     mixing,
     near_profiles,
     neighbours,
+    oracles,
     packing,
     pseudonyms,
     secrets,
@@ -26,7 +27,7 @@ from evimill.llm import (
 from evimill.llm.storage import shuffled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_near_profiles": oracles.NEAR_PROFILES, "op12_log_trie": oracles.LOG_TRIE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
