@@ -59,6 +59,17 @@ def test_stages(spark, sf_dir):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    """Repeated and null ids, different texts under one id, and columns that clash."""
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [
+        (1, one, "en", "a"), (1, two, "en", "a"), (1, two, "en", "b"), (2, one, "en", "a"), (3, f"{two} tail", "en", "a"),
+        (None, three, "en", "a"), (None, three, "en", "b"), (None, f"{one} tail", "en", "a"), (None, None, "en", "a"), (4, "", "en", "a"),
+    ]
+    left = corpus_pipeline.near_copies_out(spark, documents(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in left) == [(0, "gamm"), (1, "alph"), (1, "beta"), (4, "")]
+
+
 def test_empty_documents(spark, sf_dir):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
