@@ -19,7 +19,14 @@ class SignatureRule(NamedTuple):
     confidence: float
     base: bool
 
+    def starts(self) -> list[str]:
+        """What a word begins with wherever the keyword stands in a match."""
+        return [self.keyword, *INSIDE.get(self.keyword, [])]
 
+
+
+#: Words that hold a keyword further in.
+INSIDE = {"bsd": ["0bsd"]}
 #: Phrases that always count.
 PHRASES = [
     ("mit", "mit", "under the mit license"),
@@ -107,9 +114,9 @@ NOTICES = [
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("apache-2", "compliance", "you may not use this file except in compliance with the license"),
-    ("gpl-2", "redistribute", "either version 2 of the license or at your option any later version"),
-    ("gpl-3", "redistribute", "either version 3 of the license or at your option any later version"),
-    ("lgpl-2.1", "redistribute", "either version 2 1 of the license or at your option any later version"),
+    ("gpl-2", "option", "either version 2 of the license or at your option any later version"),
+    ("gpl-3", "option", "either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "option", "either version 2 1 of the license or at your option any later version"),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("bsl-1.0", "boost", "distributed under the boost software license version 1 0"),

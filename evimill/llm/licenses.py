@@ -20,15 +20,19 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of either case; they become lower case later.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Keywords of all rules.
-SIGNALS = sorted({rule.keyword for rule in signature_rules()})
 DETECTION = "struct<start: int, end: int, priority: int, rule: int, label: string, confidence: double, base: boolean>"
 PRIORITIES = 5
 
 
 def signal(rules: list[SignatureRule]) -> str:
-    """The gate of ``rules``: any of their keywords anywhere, so whatever a rule can match passes."""
-    return "(?i)(?:" + "|".join(re.escape(k).replace(r"\ ", GAP) for k in sorted({rule.keyword for rule in rules})) + ")"
+    """The gate of ``rules``: any of their keywords at the start of a word, so whatever a rule can match passes.
+
+    Most places of a text fall to the word start or the first letter, before a keyword is tried.
+    """
+    keywords = sorted({start for rule in rules for start in rule.starts()})
+    letters = sorted({c for k in keywords for c in (k[0], k[0].upper())})
+    tried = "|".join(re.escape(k).replace(r"\ ", GAP) for k in keywords)
+    return f"(?<!{WORD[:-1]})(?=[{''.join(letters)}])(?i:{tried})"
 
 
 def _spaces(text: Column) -> Column:

@@ -82,7 +82,7 @@ def pack_files(
     files: DataFrame,
     vocabulary: str,
     length: int = 2048,
-    documents: int = 1024,
+    documents: int | None = None,
     attention: int | None = None,
     end_id: int = 0,
     rule: str = "norm",
@@ -92,7 +92,9 @@ def pack_files(
     """One row per piece: file_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``files``: file_id, content; other columns are not read. Sequences hold at most ``length``
-    tokens, ``documents`` pieces and ``attention`` cost (by default that of one full piece).
+    tokens, ``documents`` pieces (by default as many as tokens) and ``attention``, the sum of the
+    squares of their lengths (by default that of one full piece, which tokens alone never exceed: pass
+    less to bound it).
     Only files longer than a sequence are cut. Null and empty texts are one end token; repeated
     rows are packed each.
     """
@@ -104,11 +106,11 @@ def pack_files(
     short = cut.where(F.col("length") < length)
     total = short.agg(F.sum("length").alias("tokens"), F.count("*").alias("rows")).first()
     shards = max(1, math.ceil((total["tokens"] or 0) / shard_tokens), math.ceil(total["rows"] / shard_rows))
-    capacity = attention or length * length
+    capacity, pieces = attention or length * length, documents or length
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
-        sequence, offset = best_fit(table.column("length").to_numpy(), length, documents, capacity, rule=rule)
+        sequence, offset = best_fit(table.column("length").to_numpy(), length, pieces, capacity, rule=rule)
         shard = table.column("shard").to_numpy()
         return table.drop_columns(["row", "shard"]).append_column("sequence_id", [shard << 32 | sequence]).append_column(
             "offset", [offset]

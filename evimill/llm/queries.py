@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,7 +106,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.evimill.pseudonyms.key", "a key for tests")
+    # without a key of the session, one for this run only: equal values stay linked within it
+    key = spark.conf.get("spark.evimill.pseudonyms.key", None) or token_hex(32)
     changed = pseudonyms.pseudonymise_files(files(spark, sf_dir), key)
     return changed.withColumnsRenamed({"file_id": "doc_id", "content": "text"})
 

@@ -1,5 +1,7 @@
 import random
 import re
+from re import _constants as op
+from re import _parser
 
 import pytest
 from cases import EDGES, files
@@ -14,11 +16,7 @@ def slow(text, rules=RULES):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     joined = " " + " ".join(words) + " "
     found = []
-    if not any(" " + signal in joined for signal in licenses.SIGNALS):
-        return len(words), []
     for k, rule in enumerate(rules):
-        if " " + rule.keyword not in joined and rule.keyword not in joined:
-            continue
         for m in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", joined):
             start = joined[: m.start()].count(" ") - 1
             found.append((start, start + m[0].count(" ") + 1, rule.priority, k, rule.label, rule.base))
@@ -107,6 +105,46 @@ def test_grants_without_other_signals(spark, text, label):
     assert label in row["labels"].split(",") and row["score"] >= 0.7
 
 
-def test_gate_passes_whatever_has_a_keyword():
+def written(draw, parsed):
+    """A string that the parsed pattern matches."""
+    out = ""
+    for what, value in parsed:
+        if what is op.LITERAL:
+            out += chr(value)
+        elif what is op.BRANCH:
+            out += written(draw, draw.choice(value[1]))
+        elif what is op.SUBPATTERN:
+            out += written(draw, value[3])
+        elif what in (op.MAX_REPEAT, op.MIN_REPEAT):
+            low, high, inner = value
+            out += "".join(written(draw, inner) for _ in range(draw.randint(low, min(high, low + 2))))
+        elif what is op.IN and value[0][0] is op.NEGATE or what is op.NOT_LITERAL:
+            out += "q"
+        elif what is op.IN:
+            kind, found = draw.choice(value)
+            out += chr(found if kind is op.LITERAL else draw.randint(*found))
+        else:
+            raise ValueError(what)
+    return out
+
+
+def test_every_rule_fires_on_its_own_pattern(spark):
+    """Strings drawn from each pattern pass the keyword and the gate, in any case and between other words."""
+    draw, gate, rows = random.Random(5), re.compile(licenses.signal(RULES)), []
+    for k, rule in enumerate(RULES):
+        for _ in range(12):
+            text = written(draw, _parser.parse(rule.pattern))
+            assert re.fullmatch(rule.pattern, text) and rule.keyword in text, (rule, text)
+            assert gate.search(f"x, {text.upper()}") and gate.search(text), (rule, text)
+        rows.append((k, "a", f"some ({text}) words"))
+    found = {r["file_id"]: r for r in licenses.scan_licenses(files(spark, rows)).collect()}
+    for k, _, text in rows:
+        n, kept = slow(text)
+        got = [(d["start"], d["end"], d["priority"], d["rule"], d["label"], d["base"]) for d in found[k]["detections"]]
+        assert (found[k]["n_words"], got) == (n, kept) and got, text
+
+
+def test_gate_needs_a_word_start():
     gate = re.compile(licenses.signal(RULES))
-    assert all(gate.search(f"x {rule.keyword.upper()} y") for rule in RULES) and not gate.search("a b")
+    assert all(gate.search(f"x {rule.keyword.upper()} y") for rule in RULES)
+    assert not any(gate.search(text) for text in ("a b", "permitted", "limits", "confonts"))

@@ -84,3 +84,14 @@ def test_packed_files(spark, defining):
     assert sorted(want, key=key) == sorted((tuple(r)[:5] for r in found), key=key)
     assert len(by_sequence) <= 1.05 * sum(w[3] for w in want) / 128 + 8
     assert not packing.pack_files(files(spark, []), VOCABULARY).collect()
+
+
+def test_tiny_files_fill_whole_sequences(spark):
+    """4,096 empty texts of one end token are two full sequences; a smaller attention capacity binds."""
+    rows = spark.range(4096).selectExpr("id AS file_id", "'' AS content")
+    packed = packing.pack_files(rows, VOCABULARY)
+    assert packed.select("sequence_id").distinct().count() == 2
+    words = spark.range(40).selectExpr("id AS file_id", "repeat('word ', 100) AS content")
+    free = packing.pack_files(words, VOCABULARY).select("sequence_id").distinct().count()
+    tight = packing.pack_files(words, VOCABULARY, attention=2 * 102 * 102)
+    assert {r["count"] for r in tight.groupBy("sequence_id").count().collect()} == {2} and free == 2
