@@ -133,36 +133,6 @@ def _occurrences(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
-def _passes(text: Column, opening: str, closing: str) -> Column:
-    """A list as long as the brackets of one kind nest deep, counted in one pass over them."""
-    brackets = F.regexp_extract_all(text, F.lit(rf"[\{opening}\{closing}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
-
-    def step(state: Column, bracket: Column) -> Column:
-        opened = state["depth"] + 1
-        closed = F.greatest(state["depth"] - 1, F.lit(0))
-        depth = F.when(bracket == opening, opened).otherwise(closed)
-        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
-
-    return F.aggregate(brackets, start, step, lambda state: F.array_repeat(F.lit(0), state["most"]))
-
-
-def _innermost_first(text: Column, opening: str, closing: str, replace) -> Column:
-    """``replace`` applied as often as brackets nest; it takes away the innermost level."""
-    return F.aggregate(_passes(text, opening, closing), text, lambda rest, _: replace(rest))
-
-
-def _emptied(text: Column, opening: str, closing: str, filler: str) -> Column:
-    """Bracketed groups of any depth replaced by ``filler``; unmatched brackets stay."""
-    group = rf"\{opening}[^\{opening}\{closing}]*+\{closing}"
-    mark = "\ue000"
-    return F.replace(
-        _innermost_first(text, opening, closing, lambda rest: F.regexp_replace(rest, group, mark)),
-        F.lit(mark),
-        F.lit(filler),
-    )
-
-
 _PATH = rf"(?:::)?(?:\w++::(?!<))*+\w++{_GENERICS}"
 _OPERAND = rf"(?:{_PATH}|\(\))(?:\(\)|\[\]|\?|\.\w++{_GENERICS})*+"
 
@@ -183,39 +153,91 @@ def _statement_pattern(statement: Column) -> Column:
     )
 
 
+_BRACKET_OR_TEXT = r"[{}()\[\];]|[^{}()\[\];]++"
+
+
 def block_pattern(after_brace: Column) -> Column:
-    """Pattern of the first statement at the top level of a block that has one, else ''."""
-    body = F.regexp_extract(_emptied(after_brace, "{", "}", ";"), r"^[^{}]*+", 0)
-    flat = _emptied(_emptied(body, "(", ")", "()"), "[", "]", "[]")
-    flat = F.regexp_replace(F.regexp_replace(flat, r"\s++", " "), r" (?=\.)", "")
-    statements = F.transform(F.split(flat, ";"), lambda s: F.trim(s))
-    found = F.filter(F.transform(statements, _statement_pattern), lambda p: p.isNotNull())
-    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
+    """Pattern of the first statement at the top level of a block that has one, else ''.
+
+    One pass over brackets, semicolons and the text between them. Only the depth and the statement
+    being read are kept: what is inside brackets leaves them empty, a block ends its statement.
+    """
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "(", "["), token.isin("}", ")", "]")
+        outside = state["depth"] == 0
+        ends = outside & token.isin(";", "{", "}", ")", "]")
+        found = F.when(ends, _statement_pattern(_flat(state["statement"])))
+        statement = (
+            F.when(ends, F.lit(""))
+            .when(outside, F.concat(state["statement"], token))
+            .when((state["depth"] == 1) & token.isin(")", "]"), F.concat(state["statement"], token))
+            .otherwise(state["statement"])
+        )
+        depth = F.when(opens, state["depth"] + 1).when(closes, state["depth"] - 1).otherwise(state["depth"])
+        # below the top level the block is over, and so it is once a pattern is found
+        return F.when(state["pattern"].isNotNull() | (state["depth"] < 0), state).otherwise(
+            F.struct(depth.alias("depth"), statement.alias("statement"), found.alias("pattern"))
+        )
 
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("statement"), F.lit(None).cast("string").alias("pattern"))
 
-_TRAIT_BLOCK = r"\btrait\b[^{};]*+\{[^{}]*+\}"
-_BLOCK_OR_TEXT = rf"{_TRAIT_BLOCK}|\{{[^{{}}]*+\}}|(?:(?!\btrait\b)[^{{}}])++|[\s\S]"
-_UNSAFE_FN = r"\bunsafe(\s+(?:extern\s+)?fn\b)"
+    def last(state: Column) -> Column:
+        rest = F.when(state["depth"] >= 0, _statement_pattern(_flat(state["statement"])))
+        return F.coalesce(state["pattern"], rest, F.lit(""))
 
+    return F.aggregate(F.regexp_extract_all(after_brace, F.lit(_BRACKET_OR_TEXT), F.lit(0)), start, step, last)
+
+
+def _flat(statement: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(statement, r"\s++", " "), r" (?=\.)", ""))
+
+
+_UNSAFE_FN = r"\bunsafe(?=\s+(?:extern\s+)?fn\b)"
+_BLOCK_OR_FN = rf"\btrait\b[^{{}};]*+\{{|[{{}}]|{_UNSAFE_FN}"
+#: Blocks whose kind fits one number of the stack.
+_LEVELS = 60
 
-def without_trait_functions(blanked: Column) -> Column:
-    """Text in which functions a trait declares itself are no longer marked ``unsafe``.
 
-    Innermost blocks first: in any other block the marks are put out of reach, so that what a
-    trait block still shows when its turn comes belongs to the trait. Places do not move.
+def _declared_by_trait(blanked: Column) -> Column:
+    """A character for each ``unsafe fn``: 1 if the block around it is a trait's.
+
+    One pass over braces with a stack of block kinds, packed as bits: the innermost ``_LEVELS`` in a
+    number, those further out in an array, so that no step copies more than a sixtieth of the depth.
     """
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("top"), F.lit(0).alias("count"), F.array().cast("array<bigint>").alias("rest"), F.lit("").alias("out")
+    )
+
+    def with_(state: Column, **changed: Column) -> Column:
+        return F.struct(*(changed.get(name, state[name]).alias(name) for name in ("top", "count", "rest", "out")))
+
+    def step(state: Column, token: Column) -> Column:
+        kind = F.when(F.startswith(token, F.lit("trait")), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+        filled, opened = F.concat(state["rest"], F.array(state["top"])), F.shiftleft(state["top"], 1) + kind
+        refill = (state["count"] == 1) & (F.size(state["rest"]) > 0)
+        outer = F.slice(state["rest"], F.lit(1), F.size(state["rest"]) - 1)
+        return (
+            F.when(token == "unsafe", with_(state, out=F.concat(state["out"], state["top"].bitwiseAND(F.lit(1)).cast("string"))))
+            .when((token != "}") & (state["count"] == _LEVELS), with_(state, top=kind, count=F.lit(1), rest=filled))
+            .when(token != "}", with_(state, top=opened, count=state["count"] + 1))
+            .when(refill, with_(state, top=F.element_at(state["rest"], -1), count=F.lit(_LEVELS), rest=outer))
+            .when(state["count"] > 0, with_(state, top=F.shiftright(state["top"], 1), count=state["count"] - 1))
+            .otherwise(state)
+        )
 
-    def level(rest: Column) -> Column:
-        def piece(p: Column) -> Column:
-            inside = F.when(p.rlike(r"^trait\b"), F.regexp_replace(p, _UNSAFE_FN, "\ue004     $1")).otherwise(
-                F.regexp_replace(p, _UNSAFE_FN, "\ue003$1")
-            )
-            return F.when(F.endswith(p, F.lit("}")) & (F.length(p) > 1), F.translate(inside, "{}", "\ue001\ue002")).otherwise(p)
+    return F.aggregate(F.regexp_extract_all(blanked, F.lit(_BLOCK_OR_FN), F.lit(0)), start, step, lambda state: state["out"])
+
+
+def without_trait_functions(blanked: Column) -> Column:
+    """Text in which functions a trait declares itself are no longer marked ``unsafe``. Places do not move."""
 
-        return F.array_join(F.transform(F.regexp_extract_all(rest, F.lit(_BLOCK_OR_TEXT), F.lit(0)), piece), "")
+    def rewritten(declared: Column) -> Column:
+        pieces = F.split(blanked, _UNSAFE_FN)
+        mark = lambda i: F.when(F.substring(declared, i, F.lit(1)) == "1", F.lit("      ")).otherwise(F.lit("unsafe"))
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(mark(i), p))), "")
 
-    marked = _innermost_first(blanked, "{", "}", level)
-    plain = F.replace(F.translate(marked, "\ue001\ue002\ue004", "{} "), F.lit("\ue003"), F.lit("unsafe"))
+    plain = F.element_at(F.transform(F.array(_declared_by_trait(blanked)), rewritten), 1)
     return F.when(blanked.rlike(r"\btrait\b"), plain).otherwise(blanked)
 
 

@@ -1,5 +1,7 @@
 """Corpus scan: source code, rule sets, site numbers."""
 
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -224,3 +226,57 @@ def test_rejected_files_have_no_sites(spark):
     df = spark.createDataFrame(rows, "crate string, file string, content string")
     assert [(r["file"], r["reason"]) for r in S.code_rejects(df).collect()] == [("bad.rs", "unbalanced brackets")]
     assert {r["file"] for r in S.site_rows(S.scan_code(df), S.CODE_RULES).collect()} == {"good.rs", "text.rs"}
+
+
+def _marks_in_traits(text):
+    """For each ``unsafe fn``, whether the block around it is a trait's, with a plain stack."""
+    out, stack, header = [], [], False
+    for token in re.findall(r"trait\b|unsafe fn|[{};]", text):
+        if token == "trait":
+            header = True
+        elif token == "{":
+            stack.append(header)
+            header = False
+        elif token == "}":
+            stack[-1:] = []
+        elif token == ";":
+            header = False
+        else:
+            out.append(bool(stack) and stack[-1])
+    return out
+
+
+def test_trait_blocks_at_any_depth(spark):
+    """Deeper than one number of the stack holds, back and forth over its edge."""
+    draw, texts = random.Random(3), []
+    for _ in range(30):
+        depth, parts = 0, []
+        for _ in range(draw.choice([5, 200, 900])):
+            grow = draw.random() < (0.7 if depth < 130 else 0.3)
+            if grow or not depth:
+                parts.append(draw.choice(["{ ", "trait T { ", "trait T<A> where A: B { "]))
+                depth += 1
+            else:
+                parts.append("} ")
+                depth -= 1
+            parts.append(draw.choice(["", "", "unsafe fn a(); ", "trait X; ", "unsafe extern fn b() "]))
+        texts.append("".join(parts) + "}" * depth)
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(4)
+    got = {r["k"]: r["t"] for r in frame.select("k", S.without_trait_functions(F.col("t")).alias("t")).collect()}
+    for k, text in enumerate(texts):
+        wanted = iter(_marks_in_traits(text.replace("unsafe extern fn", "unsafe fn")))
+        assert got[k] == re.sub(r"unsafe(?=\s+(?:extern\s+)?fn\b)", lambda m: "      " if next(wanted) else "unsafe", text)
+
+
+def test_blocks_are_read_in_one_pass(spark):
+    """Nesting far beyond what a pass for each level could take; the plan names each text once."""
+    levels = 20_000
+    deep = "fn a() { unsafe { " + "{" * levels + "}" * levels + "; *p } }"
+    trait = "trait T { unsafe fn a(); fn b() { " + "{" * levels + " unsafe fn c() {}" + "}" * levels + " } }"
+    parens = "fn a() { unsafe { f(" + "(" * levels + ")" * levels + "); transmute(x) } }"
+    assert kinds(spark, deep)[0] == (1, "unsafe_block", "ptr_op")
+    assert kinds(spark, trait) == [(1, "unsafe_fn", None)]
+    assert kinds(spark, parens)[0] == (1, "unsafe_block", "transmute")
+    frame = spark.createDataFrame([("c", "f", deep)], "crate string, file string, content string")
+    plan = S.scan_code(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan
