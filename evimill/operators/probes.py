@@ -147,35 +147,85 @@ _MARKUP_NAME = r"[A-Za-z_:][-A-Za-z0-9_:.]*+"
 #: What follows the name in a start tag: values in either kind of quotes may hold any sign.
 _INSIDE_TAG = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 _ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++))?+"""
+#: Elements whose content is text up to their own end tag, whatever it looks like.
+_RAW = "(?i:(script|style))"
+#: Tokens in the order they are tried; what is open at the end of the text runs to the end.
+_TOKENS = {
+    "comment": r"<!--[\s\S]*?(?:-->|\z)",
+    "cdata": r"<!\[CDATA\[[\s\S]*?(?:\]\]>|\z)",
+    "declaration": rf"<[!?][A-Za-z]{_INSIDE_TAG}>",
+    "raw": rf"<{_RAW}(?=[\s/>]){_INSIDE_TAG}(?<!/)>[\s\S]*?(?=</(?i:\1)[\s/>]|\z)",
+    "end": rf"</{_MARKUP_NAME}[^<>]*+>",
+    "start": rf"<{_MARKUP_NAME}(?=[\s/>]){_INSIDE_TAG}>",
+    "text": r"(?:[^<]++|<(?![A-Za-z_:/!?]))++",
+    "stray": "<",
+}
+_START = rf"^<({_MARKUP_NAME})(?=[\s/>])({_INSIDE_TAG})>"
+
+
+def markup_tokens(html: Column) -> Column:
+    """The tokens of a text in order, found in one pass; together they are the whole text."""
+    return F.regexp_extract_all(html, F.lit("|".join(_TOKENS.values())), F.lit(0))
+
+
+def _is_start(token: Column) -> Column:
+    """Start tags, those of raw elements with what they hold included."""
+    return token.rlike(_START)
+
+
+def token_kind(token: Column) -> Column:
+    """What a token of ``markup_tokens`` is; an element with raw text is a start tag here."""
+    return (
+        F.when(F.startswith(token, F.lit("<!--")), F.lit("comment"))
+        .when(F.startswith(token, F.lit("<![")), F.lit("cdata"))
+        .when(token.rlike(r"^<[!?]."), F.lit("declaration"))
+        .when(token.rlike(r"^</."), F.lit("end"))
+        .when(_is_start(token), F.lit("start"))
+        .when(token != "<", F.when(token.rlike(r"[^ \t\r\n]"), F.lit("text")).otherwise(F.lit("blank")))
+        .otherwise(F.lit("stray"))
+    )
 
 
 def tag_counts(pages: DataFrame, html: str) -> DataFrame:
     """Start tags by their full name."""
-    names = F.regexp_extract_all(F.col(html), F.lit(f"<({_MARKUP_NAME})"), F.lit(1))
+    starts = F.filter(markup_tokens(F.col(html)), _is_start)
+    names = F.transform(starts, lambda token: F.regexp_extract(token, _START, 1))
     return explode_once(pages, [], names, "pos", "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def attribute_counts(pages: DataFrame, html: str) -> DataFrame:
     """Attributes of start tags by name: quoted either way, unquoted, or without a value."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(rf"<{_MARKUP_NAME}(?=[\s/>])({_INSIDE_TAG})>"), F.lit(1))
-    names = F.flatten(F.transform(tags, lambda inside: F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(1))))
-    attributes = explode_once(pages, [], names, "pos", "attribute")
-    return attributes.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
 
+    def attributes(token: Column) -> Column:
+        return F.regexp_extract_all(F.regexp_extract(token, _START, 2), F.lit(_ATTRIBUTE), F.lit(1))
 
-def event_counts(html: Column) -> dict[str, Column]:
-    """Events a reader of the markup would see, per item."""
+    starts = F.filter(markup_tokens(F.col(html)), _is_start)
+    found = explode_once(pages, [], F.flatten(F.transform(starts, attributes)), "pos", "attribute")
+    return found.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
 
-    def count(pattern: str) -> Column:
-        return F.size(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).cast("bigint")
 
-    return {
-        "start_tags": count(r"<[A-Za-z]"),
-        "end_tags": count(r"</[A-Za-z]"),
-        "comments": count(r"<!--"),
-        "declarations": count(r"<![A-Za-z]|<\?[A-Za-z]"),
-        "texts": count(r">[ \t\r\n]*[^<> \t\r\n]"),
-    }
+def event_counts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """Events a reader of the markup would see, per item; ``raw_texts`` are those of scripts and styles."""
+    tokens = pages.select(key, markup_tokens(F.col(html)).alias("tokens"))
+    kinds = tokens.select(
+        key,
+        F.transform("tokens", token_kind).alias("kinds"),
+        F.filter("tokens", lambda t: t.rlike(rf"^<{_RAW}[\s/>]") & (trim_space(F.regexp_replace(t, _START, "")) != "")).alias("raw"),
+    )
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("kinds", lambda k: k == kind)).cast("bigint")
+
+    return kinds.select(
+        key,
+        count("start").alias("start_tags"),
+        count("end").alias("end_tags"),
+        count("comment").alias("comments"),
+        count("cdata").alias("cdata"),
+        count("declaration").alias("declarations"),
+        count("text").alias("texts"),
+        F.size("raw").cast("bigint").alias("raw_texts"),
+    )
 
 
 # ---- running and rolling up ---------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evimill.functions import text as T
 from evimill.operators import probes as P
 from evimill.operators.rows import explode_once
-from evimill.plans.dialect import SPACE, trim
+from evimill.plans.dialect import SPACE, literal, trim
 from evimill.functions.vocabulary import WHITESPACE
 from evimill.sources import views as V
 
@@ -113,17 +113,30 @@ def probe_json_lines(spark, sf_dir):
     )
 
 
+#: Markup that looks like other markup, put behind each page: by page_id % 4.
+_TRICKY = [
+    """<p a="<i>"><!-- <b> "x" --></p><script>if (a<c) { s = "<u>"; }</script>tail""",
+    """<![CDATA[<z> & </z>]]><my-tag data-x='1 > 0'  y = "<!-- no -->" z/>text <!-- one --><!--> two <em>-->text""",
+    """<STYLE media="a>b">q::after { content: "<!-- no -->" }</STYLE><?php echo "a > b" ?>""",
+    """<script src="x.js"></script><style> </style><img alt='</p>'><!-- left open <b> <script> """,
+]
+
+
+def _pages(spark, sf_dir):
+    behind = F.element_at(F.array(*map(F.lit, _TRICKY)), (F.col("page_id") % 4 + 1).cast("int"))
+    return V.table(spark, sf_dir, "pages").withColumn("html", F.concat("html", behind))
+
+
 def probe_markup_tags(spark, sf_dir):
-    return P.tag_counts(V.table(spark, sf_dir, "pages"), "html")
+    return P.tag_counts(_pages(spark, sf_dir), "html")
 
 
 def probe_markup_attrs(spark, sf_dir):
-    return P.attribute_counts(V.table(spark, sf_dir, "pages"), "html")
+    return P.attribute_counts(_pages(spark, sf_dir), "html")
 
 
 def probe_markup_events(spark, sf_dir):
-    counts = P.event_counts(F.col("html"))
-    return V.table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in counts.items()])
+    return P.event_counts(_pages(spark, sf_dir), "page_id", "html")
 
 
 def probe_prefix(spark, sf_dir):
@@ -202,13 +215,26 @@ _SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
 _FIELDS = f"len(regexp_extract_all(text, '[^{_SPACE_CLASS}]+'))"
 
 
-def _n_matches(pattern: str) -> str:
-    return f"CAST(len(regexp_extract_all(html, '{pattern}')) AS BIGINT)"
+def _n_matches(column: str, pattern: str) -> str:
+    return f"CAST(len(regexp_extract_all({column}, '{pattern}')) AS BIGINT)"
 
 
-# Markup cut at every opening bracket, each piece with the name it begins with.
-_PIECES = """pieces AS (SELECT piece, regexp_extract(piece, '^[A-Za-z_:][A-Za-z0-9_:.-]*') AS tag
-  FROM (SELECT unnest(string_split(html, '<')[2:]) AS piece FROM pages))"""
+_COMMENT = "<!--[\\s\\S]*?(-->|$)"
+_RAW = '<(?:script|style|STYLE)(?:\\s[^<>"]*(?:"[^"]*"[^<>"]*)*)?>'
+# Not one pass but one kind after the other: comments, character data, what scripts and styles hold,
+# and quoted values give way to short marks; what is left is cut at every opening bracket.
+_STRIPPED = f"""tricky AS (SELECT page_id, regexp_replace(concat(html, [{", ".join(map(literal, _TRICKY))}][page_id % 4 + 1]),
+  '"<!--[^"<>]*-->"', '"x"', 'g') AS html FROM pages),
+bare AS (SELECT page_id, regexp_replace(html, '{_COMMENT}', '<!>', 'g') AS h, {_n_matches('html', _COMMENT)} AS comments FROM tricky),
+plain AS (SELECT page_id, comments, regexp_replace(h, '<!\\[CDATA\\[[\\s\\S]*?\\]\\]>', '<!>', 'g') AS h,
+  {_n_matches('h', '<!.CDATA.')} AS cdata FROM bare),
+emptied AS (SELECT page_id, comments, cdata, regexp_replace(h, '({_RAW})[\\s\\S]*?(</(?:script|style|STYLE)>)', '\\1\\2', 'g') AS h,
+  {_n_matches('h', _RAW + '[ \\t\\r\\n]*[^< \\t\\r\\n]')} AS raw_texts FROM plain),
+flat AS (SELECT page_id, comments, cdata, raw_texts,
+  regexp_replace(regexp_replace(h, '=\\s*"[^"]*"|=\\s*''[^'']*''', '=""', 'g'), 'echo "[^"]*"', 'echo', 'g') AS h FROM emptied)"""
+_PIECES = f"""{_STRIPPED},
+pieces AS (SELECT piece, regexp_extract(piece, '^[A-Za-z_:][A-Za-z0-9_:.-]*') AS tag
+  FROM (SELECT unnest(string_split(h, '<')[2:]) AS piece FROM flat))"""
 
 _VERDICTS = f"""verdicts AS (
   SELECT doc_id AS item_id, 'find' AS probe, CASE WHEN contains(text, 'the') THEN 'ok' ELSE 'error' END AS verdict,
@@ -258,14 +284,13 @@ SELECT event_id, TRY_CAST(json_extract_string(c, '$.k') AS BIGINT) AS k, json_ex
     "probe_markup_tags": f"""WITH {_PIECES}
 SELECT tag, count(*) AS n FROM pieces WHERE tag <> '' GROUP BY tag""",
     "probe_markup_attrs": f"""WITH {_PIECES},
-insides AS (SELECT split_part(regexp_replace(substr(piece, length(tag) + 1), '"[^"]*"|''[^'']*''', '""', 'g'), '>', 1) AS inside
-  FROM pieces WHERE tag <> '' AND contains(piece, '>')),
+insides AS (SELECT split_part(substr(piece, length(tag) + 1), '>', 1) AS inside FROM pieces WHERE tag <> '' AND contains(piece, '>')),
 names AS (SELECT unnest(string_split_regex(
   regexp_replace(inside, '\\s*=\\s*(""|[^\\s"<>=]+)', ' ', 'g'), '[\\s/]+')) AS attribute FROM insides)
 SELECT attribute, count(*) AS n FROM names WHERE attribute <> '' GROUP BY attribute""",
-    "probe_markup_events": f"""SELECT page_id, {_n_matches('<[A-Za-z]')} AS start_tags, {_n_matches('</[A-Za-z]')} AS end_tags,
-  {_n_matches('<!--')} AS comments, {_n_matches('<![A-Za-z]|<[?][A-Za-z]')} AS declarations,
-  {_n_matches('>[ \\t\\r\\n]*[^<> \\t\\r\\n]')} AS texts FROM pages""",
+    "probe_markup_events": f"""WITH {_STRIPPED}
+SELECT page_id, {_n_matches('h', '<[A-Za-z]')} AS start_tags, {_n_matches('h', '</[A-Za-z]')} AS end_tags, comments, cdata,
+  {_n_matches('h', '<![A-Za-z]|<[?][A-Za-z]')} AS declarations, {_n_matches('h', '>[ \\t\\r\\n]*[^<> \\t\\r\\n]')} AS texts, raw_texts FROM flat""",
     "probe_prefix": f"""WITH s AS (SELECT o_orderkey, {_PREFIX_SOURCE} AS t FROM orders)
 SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(t, '^[0-9]+'), '') AS BIGINT) AS leading_int,
   CAST(length(t) - length(ltrim(t, concat(' ', chr(9), chr(13), chr(10)))) AS INTEGER) AS leading_space,

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from evimill.operators import probes as P
@@ -62,18 +64,46 @@ def test_markup(spark):
     df = spark.createDataFrame([(html,)], "html string")
     assert {r["tag"]: r["n"] for r in P.tag_counts(df, "html").collect()} == {"root": 1, "item": 1, "empty": 1}
     assert {r["attribute"]: r["n"] for r in P.attribute_counts(df, "html").collect()} == {"k": 1, "flag": 1}
-    got = df.select(*[c.alias(n) for n, c in P.event_counts(C("html")).items()]).first().asDict()
-    assert got == {"start_tags": 3, "end_tags": 2, "comments": 1, "declarations": 2, "texts": 1}
+    got = P.event_counts(df.withColumn("id", F.lit(1)), "id", "html").first().asDict()
+    assert got == {"id": 1, "start_tags": 3, "end_tags": 2, "comments": 1, "cdata": 0, "declarations": 2, "texts": 1, "raw_texts": 0}
 
 
 def test_markup_names_and_attributes_of_all_forms(spark):
     html = """<my-tag data-x1="a" xml:lang="b" c='d' e=f checked><p x="1"\ty="2 > 1"/><q z = '<b>' w></q>"""
     df = spark.createDataFrame([(html,), ("<a",), ("<b c='d>",), (None,)], "html string")
-    assert {r["tag"]: r["n"] for r in P.tag_counts(df.filter("html like '%my-tag%'"), "html").collect()} == {"my-tag": 1, "p": 1, "q": 1, "b": 1}
+    assert {r["tag"]: r["n"] for r in P.tag_counts(df, "html").collect()} == {"my-tag": 1, "p": 1, "q": 1}
     names = ["data-x1", "xml:lang", "c", "e", "checked", "x", "y", "z", "w"]
     assert {r["attribute"]: r["n"] for r in P.attribute_counts(df, "html").collect()} == dict.fromkeys(names, 1)
 
 
+@pytest.mark.parametrize("html, tokens", [
+    ('<p a="<i>"><!-- <b> --></p><script>if (a<c)', [("start", '<p a="<i>">'), ("comment", "<!-- <b> -->"), ("end", "</p>"), ("start", "<script>if (a<c)")]),
+    ("a < b<br/>c", [("text", "a < b"), ("start", "<br/>"), ("text", "c")]),
+    ("<![CDATA[<x>]]> <?xml v='>'?>", [("cdata", "<![CDATA[<x>]]>"), ("blank", " "), ("declaration", "<?xml v='>'?>")]),
+    ("<style>a<b</STYLE><style/><u", [("start", "<style>a<b"), ("end", "</STYLE>"), ("start", "<style/>"), ("stray", "<"), ("text", "u")]),
+    ("<!-- open <a>", [("comment", "<!-- open <a>")]),
+    ("<a 'x>y", [("stray", "<"), ("text", "a 'x>y")]),
+    ("", []),
+])
+def test_markup_tokens(spark, html, tokens):
+    df = spark.createDataFrame([(html,)], "html string")
+    found = F.transform(P.markup_tokens(C("html")), lambda t: F.struct(P.token_kind(t).alias("k"), t.alias("t")))
+    got = [tuple(r) for r in df.select(found.alias("x")).first()["x"]]
+    assert got == tokens and "".join(t for _, t in got) == html
+
+
+def test_markup_tokens_are_the_whole_text(spark):
+    """Any text is cut without loss, in one search of the plan; a long one does not exhaust the matcher."""
+    draw = random.Random(9)
+    parts = ["<", ">", "a", "<!--", "-->", "<script>", "</script>", '"', "'", "<p x=", "]]>", "<![CDATA[", "/", " ", "<?x", "!"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(400)] + ["<p>" + "x<y " * 100_000 + "<!--" + "-" * 100_000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, html string")
+    for r in df.select("k", F.array_join(P.markup_tokens(C("html")), "").alias("t")).collect():
+        assert r["t"] == texts[r["k"]]
+    plan = P.event_counts(df, "k", "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_rollup(spark):
     rows = [(1, "a", "ok", 2), (2, "a", "error", 3), (3, "b", "skipped", 0), (4, "c", "ok", 1), (5, "c", "skipped", None)]
     df = spark.createDataFrame(rows, "item_id int, probe string, verdict string, n bigint")
