@@ -1,14 +1,19 @@
-"""Classification of tool logs."""
+"""Classification of tool logs.
+
+A log is searched once: ``marks`` finds everything any classifier looks for, in one alternation, and
+the classifiers work on that short array. What they call ``marks`` below is its result.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evimill.functions.text import (
     STRICT_JSON,
-    contains_all,
-    contains_any,
+    ascii_lower,
     file_url_path,
     json_valid,
     trim_space,
@@ -35,6 +40,46 @@ PACKAGE_REPORT_SCHEMA = (
 )
 
 
+# ---- the search -------------------------------------------------------------------------
+
+_FOLDED = list(
+    dict.fromkeys([*UB_MARKERS, *(m for _, words in UB_CATEGORIES for m in words), *FUZZ_FINDING_MARKERS, *LSAN_PTRACE_MARKERS])
+)
+_FIELD = "0-9A-Za-z:"
+_INDENT = WHITESPACE.replace("\n", "")
+#: What marks can be: a word of any case, a word of this case, a line that reads ``Done`` or holds an
+#: object, a field of runs with the token behind it, a message about a missing source. No alternative
+#: begins like another one, so at most one fits any place.
+_ALTERNATIVES = [
+    "(?i:" + "|".join(map(re.escape, _FOLDED)) + ")",
+    *map(re.escape, COUNTER_PANIC_MARKERS),
+    rf"(?:^|(?<=\n))[{_INDENT}]*+(?:Done |\{{)[^\n]*+",
+    rf"(?<![{_FIELD}])runs:[{_FIELD}]*+(?:[^{_FIELD}][{_FIELD}]*+)?+",
+    r"error: can't find bin `[^`]*+`[\s\S]*? at path `[^`]*+`",
+]
+_FIRST = "".join(sorted({c for m in _FOLDED for c in (m[0], m[0].upper())} | {m[0] for m in COUNTER_PANIC_MARKERS} | set("D{re")))
+#: Matches are empty, so one may lie within another; what was seen is the group.
+_MARKS = rf"(?=[{_FIRST}{_INDENT}])(?=({'|'.join(_ALTERNATIVES)}))"
+_LONGEST = max(map(len, _FOLDED))
+
+
+def marks(text: Column) -> Column:
+    """What the classifiers look for, in text order, found in one search of the text."""
+    return F.regexp_extract_all(text, F.lit(_MARKS), F.lit(1))
+
+
+def _any_of(marks: Column, words: list[str]) -> Column:
+    """Whether one of the words is among the marks, ignoring the case of ASCII letters only."""
+    return F.exists(marks, lambda m: (F.octet_length(m) <= _LONGEST) & ascii_lower(m).isin(words))
+
+
+def _all_of(marks: Column, words: list[str]) -> Column:
+    test = F.lit(True)
+    for word in words:
+        test = test & _any_of(marks, [word])
+    return test
+
+
 # ---- statuses ---------------------------------------------------------------------------
 
 
@@ -60,15 +105,15 @@ def is_dynamic_finding(status: Column) -> Column:
 # ---- interpreter ------------------------------------------------------------------------
 
 
-def has_ub(text: Column) -> Column:
-    return contains_any(text, UB_MARKERS)
+def has_ub(marks: Column) -> Column:
+    return _any_of(marks, UB_MARKERS)
 
 
-def ub_category(text: Column) -> Column:
-    ladder = F.when(contains_any(text, UB_CATEGORIES[0][1]), F.lit(UB_CATEGORIES[0][0]))
-    for label, markers in UB_CATEGORIES[1:]:
-        ladder = ladder.when(contains_any(text, markers), F.lit(label))
-    return ladder.when(has_ub(text), F.lit(UB_OTHER))
+def ub_category(marks: Column) -> Column:
+    ladder = F.when(_any_of(marks, UB_CATEGORIES[0][1]), F.lit(UB_CATEGORIES[0][0]))
+    for label, words in UB_CATEGORIES[1:]:
+        ladder = ladder.when(_any_of(marks, words), F.lit(label))
+    return ladder.when(has_ub(marks), F.lit(UB_OTHER))
 
 
 def interpreter_verdict(success: Column, strict_ub: Column, baseline_ub: Column) -> Column:
@@ -96,15 +141,15 @@ def combined_log(strict: Column, baseline: Column) -> Column:
 # ---- fuzzer -----------------------------------------------------------------------------
 
 
-def is_environment_failure(text: Column) -> Column:
-    return contains_all(text, LSAN_PTRACE_MARKERS)
+def is_environment_failure(marks: Column) -> Column:
+    return _all_of(marks, LSAN_PTRACE_MARKERS)
 
 
-def budget_reached(text: Column) -> Column:
+def budget_reached(marks: Column) -> Column:
     """Some line, trimmed, reads ``Done ... runs in ... second(s)``."""
 
-    def closing_line(line: Column) -> Column:
-        line = trim_space(line)
+    def closing_line(mark: Column) -> Column:
+        line = trim_space(mark)
         rest = F.substring(line, F.lit(6), F.length(line))
         return (
             F.startswith(line, F.lit("Done "))
@@ -112,23 +157,23 @@ def budget_reached(text: Column) -> Column:
             & F.contains(rest, F.lit(" second(s)"))
         )
 
-    return F.contains(text, F.lit("Done ")) & F.exists(F.split(text, "\n"), closing_line)
+    return F.exists(marks, closing_line)
 
 
-def fuzz_status(success: Column, text: Column) -> Column:
+def fuzz_status(success: Column, marks: Column) -> Column:
     return (
-        F.when(success & budget_reached(text), F.lit("pass"))
+        F.when(success & budget_reached(marks), F.lit("pass"))
         .when(success, F.lit("clean"))
-        .when(is_environment_failure(text), F.lit("error"))
-        .when(contains_any(text, FUZZ_FINDING_MARKERS), F.lit("finding"))
+        .when(is_environment_failure(marks), F.lit("error"))
+        .when(_any_of(marks, FUZZ_FINDING_MARKERS), F.lit("finding"))
         .otherwise(F.lit("error"))
     )
 
 
-def fuzz_error_kind(status: Column, text: Column) -> Column:
+def fuzz_error_kind(status: Column, marks: Column) -> Column:
     return (
         F.when(status == "finding", F.lit("finding"))
-        .when((status == "error") & is_environment_failure(text), F.lit("environment_error"))
+        .when((status == "error") & is_environment_failure(marks), F.lit("environment_error"))
         .when(status == "error", F.lit("tool_error"))
     )
 
@@ -139,48 +184,40 @@ def _run_count(digits: Column) -> Column:
     return F.when(number <= F.lit(LARGEST_RUNS).cast(RUNS_TYPE), number)
 
 
-def fuzz_runs(text: Column) -> Column:
+def fuzz_runs(marks: Column) -> Column:
     """Number of executed runs: the first readable ``runs:`` field, else a ``Done`` line.
 
     The number may be glued to ``runs:`` or be the token right after it. A token looked at
     as that number is used up, also when it is none.
     """
-    start = F.struct(
-        F.lit(None).cast(RUNS_TYPE).alias("found"), F.lit(False).alias("expecting")
-    )
+    start = F.struct(F.lit(None).cast(RUNS_TYPE).alias("found"), F.lit(False).alias("used"))
 
-    def step(state: Column, token: Column) -> Column:
-        digits = F.when(state["expecting"], token).when(
-            F.startswith(token, F.lit("runs:")), F.substring(token, F.lit(6), F.length(token))
-        )
+    def step(state: Column, field: Column) -> Column:
+        glued = F.regexp_extract(field, rf"^runs:([{_FIELD}]*)", 1)
+        behind = F.regexp_extract(field, rf"^runs:[^{_FIELD}]([{_FIELD}]*)$", 1)
+        digits = F.when(~state["used"], F.when(glued != "", glued).otherwise(behind))
         return F.struct(
             F.coalesce(state["found"], _run_count(digits)).alias("found"),
-            (~state["expecting"] & (token == "runs:")).alias("expecting"),
+            (~state["used"] & (glued == "") & F.startswith(behind, F.lit("runs:"))).alias("used"),
         )
 
-    in_fields = F.when(
-        F.contains(text, F.lit("runs:")),
-        F.aggregate(F.split(text, r"[^0-9A-Za-z:]"), start, step, lambda s: s["found"]),
-    )
-    done_lines = F.filter(F.split(text, "\n"), lambda line: F.startswith(line, F.lit("Done ")))
+    fields = F.filter(marks, lambda m: F.startswith(m, F.lit("runs:")))
+    done_lines = F.filter(marks, lambda m: F.startswith(m, F.lit("Done ")))
     numbers = F.transform(
         done_lines,
         lambda line: _run_count(
             F.regexp_extract(line, rf"^Done [{WHITESPACE}]*\+?([0-9]+)(?=[{WHITESPACE}]|$)", 1)
         ),
     )
-    in_done_line = F.when(
-        F.contains(text, F.lit("Done ")),
-        F.try_element_at(F.filter(numbers, lambda n: n.isNotNull()), F.lit(1)),
-    )
-    return F.coalesce(in_fields, in_done_line)
+    in_done_line = F.try_element_at(F.filter(numbers, lambda n: n.isNotNull()), F.lit(1))
+    return F.coalesce(F.aggregate(fields, start, step, lambda s: s["found"]), in_done_line)
 
 
-def fuzz_summary(target: Column, budget: Column, status: Column, runs: Column, text: Column) -> Column:
+def fuzz_summary(target: Column, budget: Column, status: Column, runs: Column, marks: Column) -> Column:
     outcome = (
         F.when(status == "pass", F.lit("pass (reached budget limit without findings)"))
         .when(
-            (status == "error") & is_environment_failure(text),
+            (status == "error") & is_environment_failure(marks),
             F.lit("environment error: LeakSanitizer unsupported under ptrace"),
         )
         .otherwise(status)
@@ -191,15 +228,15 @@ def fuzz_summary(target: Column, budget: Column, status: Column, runs: Column, t
     )
 
 
-def missing_source(text: Column) -> Column:
+def missing_source(marks: Column) -> Column:
     """Path in a ``can't find bin`` message, null without one."""
-    message = r"error: can't find bin `[^`]*`[\s\S]*? at path `([^`]*)`"
-    return F.when(text.rlike(message), F.regexp_extract(text, message, 1))
+    messages = F.filter(marks, lambda m: F.startswith(m, F.lit("error: can't find bin ")))
+    return F.regexp_extract(F.try_element_at(messages, F.lit(1)), r" at path `([^`]*)`$", 1)
 
 
-def build_failure(target: Column, budget: Column, detail: Column) -> Column:
+def build_failure(target: Column, budget: Column, detail: Column, marks: Column) -> Column:
     """Record of a target that did not build: ``struct(status, error_kind, summary, detail)``."""
-    missing = missing_source(detail)
+    missing = missing_source(marks)
     prefix = F.concat(F.lit("target "), target, F.lit(", budget "), budget.cast("string"), F.lit("s, "))
     return F.struct(
         F.when(missing.isNull(), F.lit("error")).otherwise(F.lit("skipped")).alias("status"),
@@ -216,10 +253,10 @@ def build_failure(target: Column, budget: Column, detail: Column) -> Column:
 # ---- package counter --------------------------------------------------------------------
 
 
-def counter_status(success: Column, text: Column) -> Column:
+def counter_status(success: Column, marks: Column) -> Column:
     panicked = F.lit(True)
     for marker in COUNTER_PANIC_MARKERS:
-        panicked = panicked & F.contains(text, F.lit(marker))
+        panicked = panicked & F.array_contains(marks, F.lit(marker))
     return (
         F.when(success, F.lit("clean")).when(panicked, F.lit("skipped")).otherwise(F.lit("error"))
     )
@@ -247,23 +284,22 @@ def _package_report(line: Column) -> Column:
     return F.when(F.coalesce(complete, F.lit(False)) & json_valid(line), report)
 
 
-def last_report(text: Column) -> Column:
+def last_report(marks: Column) -> Column:
     """``struct(line, report)`` of the last line that is a readable package report, else null.
 
     Each line is parsed once; what follows works on the parsed report.
     """
     lines = F.filter(
-        F.transform(F.split(text, "\n"), trim_space),
+        F.transform(marks, trim_space),
         lambda line: F.startswith(line, F.lit("{")) & F.contains(line, F.lit('"packages"')),
     )
     parsed = F.transform(lines, lambda line: F.struct(line.alias("line"), _package_report(line).alias("report")))
-    readable = F.filter(parsed, lambda x: x["report"].isNotNull())
-    return F.when(F.contains(text, F.lit('"packages"')), F.try_element_at(readable, F.lit(-1)))
+    return F.try_element_at(F.filter(parsed, lambda x: x["report"].isNotNull()), F.lit(-1))
 
 
-def last_report_line(text: Column) -> Column:
+def last_report_line(marks: Column) -> Column:
     """Last line that is a readable package report, null without one."""
-    return last_report(text)["line"]
+    return last_report(marks)["line"]
 
 
 def package_tier(name: Column, source_path: Column, crate: Column, crate_path: Column) -> Column:
@@ -294,12 +330,12 @@ def package_counts(report: Column, crate: Column, crate_path: Column) -> Column:
 # ---- any tool ---------------------------------------------------------------------------
 
 
-def run_status(kind: Column, success: Column, text: Column, failed_build: Column) -> Column:
+def run_status(kind: Column, success: Column, marks: Column, failed_build: Column) -> Column:
     """Status of one run of any tool; an interpreter run counts as strict, without baseline."""
-    verdict = interpreter_verdict(success, has_ub(text), F.lit(None).cast("boolean"))
+    verdict = interpreter_verdict(success, has_ub(marks), F.lit(None).cast("boolean"))
     return (
-        F.when(failed_build, F.when(missing_source(text).isNull(), F.lit("error")).otherwise(F.lit("skipped")))
-        .when(kind == "geiger", counter_status(success, text))
+        F.when(failed_build, F.when(missing_source(marks).isNull(), F.lit("error")).otherwise(F.lit("skipped")))
+        .when(kind == "geiger", counter_status(success, marks))
         .when(kind == "miri", verdict_status(verdict))
-        .when(kind == "fuzz", fuzz_status(success, text))
+        .when(kind == "fuzz", fuzz_status(success, marks))
     )

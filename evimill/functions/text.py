@@ -24,6 +24,11 @@ def _all_but(characters: str) -> str:
 NON_SPACE = _all_but(WHITESPACE)
 
 
+def ascii_lower(text: Column) -> Column:
+    """A to Z in lower case, every other letter as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def contains_any(text: Column, markers: list[str]) -> Column:
     """True if one of the markers occurs, ignoring the case of ASCII letters only.
 

@@ -33,7 +33,7 @@ def case_records(strict: DataFrame, baseline: DataFrame, triage: bool = True) ->
     runs of a case one that shows undefined behaviour is taken before one that does not,
     then the shortest, then the first by its log.
     """
-    shows_ub = F.coalesce(L.has_ub(F.col("combined_output")), F.lit(False))
+    shows_ub = F.coalesce(L.has_ub(L.marks(F.col("combined_output"))), F.lit(False))
     none = {
         "baseline_output": F.lit(None).cast("string"),
         "baseline_ms": F.lit(None).cast("bigint"),
@@ -69,7 +69,7 @@ def case_records(strict: DataFrame, baseline: DataFrame, triage: bool = True) ->
             *CASE_KEY,
             "status",
             "verdict",
-            F.when(F.col("status") == "finding", L.ub_category(F.col("log"))).alias("ub_category"),
+            F.when(F.col("status") == "finding", L.ub_category(L.marks(F.col("log")))).alias("ub_category"),
             (F.col("duration_ms") + F.coalesce(F.col("baseline_ms"), F.lit(0))).alias("duration_ms"),
             F.concat(F.col("scope"), F.lit(" scope, verdict "), F.col("verdict")).alias("summary"),
             excerpt(F.col("log")).alias("excerpt"),
@@ -120,15 +120,16 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
     extra = [c for c in runs.columns if c not in {*RECORD_COLUMNS, *RUN_DEFAULTS, "success", "combined_output"}]
 
     no_baseline = F.lit(None).cast("boolean")
-    counted = runs.withColumns(
+    marks = F.col("_marks")
+    counted = runs.withColumn("_marks", L.marks(text)).withColumns(
         {
-            "_report": F.when(is_counter, L.last_report(text)["report"]),
+            "_report": F.when(is_counter, L.last_report(marks)["report"]),
             "verdict": F.when(
-                is_interpreter, L.interpreter_verdict(success, L.has_ub(text), no_baseline)
+                is_interpreter, L.interpreter_verdict(success, L.has_ub(marks), no_baseline)
             ),
-            "runs": F.when(is_fuzzer & ~failed_build, L.fuzz_runs(text)),
-            "status": L.run_status(kind, success, text, failed_build),
-            "_build": F.when(failed_build, L.build_failure(F.col("name"), budget, text)),
+            "runs": F.when(is_fuzzer & ~failed_build, L.fuzz_runs(marks)),
+            "status": L.run_status(kind, success, marks, failed_build),
+            "_build": F.when(failed_build, L.build_failure(F.col("name"), budget, text, marks)),
         }
     ).withColumn("_counts", L.package_counts(F.col("_report"), F.col("crate"), crate_path))
     status = F.col("status")
@@ -139,19 +140,19 @@ def phase_records(runs: DataFrame, crate_path: Column, budget: Column | None = N
             L.counter_summary(status, success, F.col("_counts.root_unsafe"), F.col("_counts.dependency_unsafe")),
         )
         .when(is_interpreter, F.concat(_given(runs, "scope"), F.lit(" scope, verdict "), F.col("verdict")))
-        .when(is_fuzzer, L.fuzz_summary(F.col("name"), budget, status, F.col("runs"), text))
+        .when(is_fuzzer, L.fuzz_summary(F.col("name"), budget, status, F.col("runs"), marks))
     )
     columns = {
         "log_path": log_path(F.col("crate"), kind, F.col("name")),
         "summary": summary,
         "root_unsafe": F.col("_counts.root_unsafe"),
         "dependency_unsafe": F.col("_counts.dependency_unsafe"),
-        "ub_category": F.when(is_interpreter & (status == "finding"), L.ub_category(text)),
+        "ub_category": F.when(is_interpreter & (status == "finding"), L.ub_category(marks)),
         "target": F.when(is_fuzzer, F.col("name")),
         "budget_secs": F.when(is_fuzzer, budget),
         "artifact": F.when(is_fuzzer & ~failed_build, _given(runs, "artifact")),
         "error_kind": F.when(failed_build, F.col("_build.error_kind")).when(
-            is_fuzzer, L.fuzz_error_kind(status, text)
+            is_fuzzer, L.fuzz_error_kind(status, marks)
         ),
         "excerpt": excerpt(F.coalesce("_build.detail", text)),
         "group_name": _given(runs, "group_name"),
@@ -189,9 +190,9 @@ def missing_records(skipped: DataFrame, plan: DataFrame) -> DataFrame:
 
 def run_statuses(runs: DataFrame) -> DataFrame:
     """(crate, kind, status) alone, for the roll-ups that need no more of a record."""
-    text = F.coalesce("combined_output", F.lit(""))
-    status = L.run_status(F.col("kind"), F.col("success"), text, _failed_build(runs))
-    return runs.select("crate", "kind", status.alias("status"))
+    marked = runs.withColumn("_marks", L.marks(F.coalesce("combined_output", F.lit(""))))
+    status = L.run_status(F.col("kind"), F.col("success"), F.col("_marks"), _failed_build(runs))
+    return marked.select("crate", "kind", status.alias("status"))
 
 
 # Stages of the records of a fuzz group, in report order.

@@ -14,8 +14,8 @@ from evimill.plans.dialect import SPACE, VIEWS, contains_all, contains_any, lite
 from evimill.sources import views as V
 
 
-def _text():
-    return F.col("combined_output")
+def _marks():
+    return F.col("marks")
 
 
 def _runs(kind=None):
@@ -27,20 +27,21 @@ def _runs(kind=None):
 
 
 def _per_log(load, name, function):
-    """Query of one column: a function of the log text, named ``name``."""
+    """Query of one column: a function of the marks of the log, named ``name``."""
 
     def query(spark, sf_dir):
-        return load(spark, sf_dir).select("run_id", function(_text()).alias(name))
+        marked = load(spark, sf_dir).withColumn("marks", L.marks(F.col("combined_output")))
+        return marked.select("run_id", function(_marks()).alias(name))
 
     return query
 
 
-def _fuzz_status(text):
-    return L.fuzz_status(F.col("success"), text)
+def _fuzz_status(marks):
+    return L.fuzz_status(F.col("success"), marks)
 
 
-def _fuzz_summary(text):
-    return L.fuzz_summary(F.col("name"), _budget(), _fuzz_status(text), L.fuzz_runs(text), text)
+def _fuzz_summary(marks):
+    return L.fuzz_summary(F.col("name"), _budget(), _fuzz_status(marks), L.fuzz_runs(marks), marks)
 
 
 def _budget():
@@ -55,7 +56,7 @@ def build_outcome(spark, sf_dir):
     failed = V.run_logs(spark, sf_dir).filter("kind = 'fuzz' AND stage = 'build' AND NOT success")
     budget = F.coalesce("budget", _budget())
     return failed.select(
-        "run_id", L.build_failure(F.col("name"), budget, _text()).alias("r")
+        "run_id", L.build_failure(F.col("name"), budget, F.col("combined_output"), L.marks(F.col("combined_output"))).alias("r")
     ).select("run_id", "r.*")
 
 
@@ -194,7 +195,7 @@ QUERIES = {
     "strict_baseline_verdict": strict_baseline_verdict,
     "fuzz_status": _per_log(_runs("fuzz"), "status", _fuzz_status),
     "fuzz_error_kind": _per_log(
-        _runs("fuzz"), "error_kind", lambda text: L.fuzz_error_kind(_fuzz_status(text), text)
+        _runs("fuzz"), "error_kind", lambda marks: L.fuzz_error_kind(_fuzz_status(marks), marks)
     ),
     "budget_reached": _per_log(_runs("fuzz"), "reached", L.budget_reached),
     "fuzz_runs": _per_log(_runs("fuzz"), "runs", L.fuzz_runs),

@@ -6,13 +6,14 @@ import re
 from pyspark.sql import functions as F
 
 from evimill.functions import logs as L
+from evimill.operators import evidence as E
 
 C = F.col
 PTRACE = "LeakSanitizer has encountered a fatal error. does not work under ptrace"
 
 
 def status_of(evaluate, rows):
-    return evaluate(rows, "ok boolean, t string", L.fuzz_status(C("ok"), C("t")))
+    return evaluate(rows, "ok boolean, t string", L.fuzz_status(C("ok"), L.marks(C("t"))))
 
 
 def test_interpreter_verdicts(evaluate):
@@ -20,7 +21,7 @@ def test_interpreter_verdicts(evaluate):
     cases = [
         (False, ub, none), (False, ub, ub), (False, ub, None), (True, ub, None), (True, none, None), (False, none, None),
     ]
-    verdict = L.interpreter_verdict(C("ok"), L.has_ub(C("s")), L.has_ub(C("b")))
+    verdict = L.interpreter_verdict(C("ok"), L.has_ub(L.marks(C("s"))), L.has_ub(L.marks(C("b"))))
     got = evaluate(cases, "ok boolean, s string, b string", verdict)
     assert got == ["strict_only_ub", "ub_observed", "ub_observed", "ub_observed", "clean", "failed_no_ub"]
     assert evaluate([(v,) for v in got], "v string", L.verdict_status(C("v"))) == [
@@ -38,7 +39,7 @@ def test_ub_categories_first_match_wins(evaluate):
         "stub: nothing": "other_ub",
         "fine": None,
     }
-    assert evaluate([(t,) for t in rows], "t string", L.ub_category(C("t"))) == list(rows.values())
+    assert evaluate([(t,) for t in rows], "t string", L.ub_category(L.marks(C("t")))) == list(rows.values())
 
 
 def test_fuzz_status_golden(evaluate):
@@ -49,7 +50,7 @@ def test_fuzz_status_golden(evaluate):
     ]
     got = status_of(evaluate, rows)
     assert got == ["finding", "pass", "clean", "error", "error", "finding", "pass", "clean", "clean"]
-    kinds = evaluate([(s, t) for s, (_, t) in zip(got, rows)], "s string, t string", L.fuzz_error_kind(C("s"), C("t")))
+    kinds = evaluate([(s, t) for s, (_, t) in zip(got, rows)], "s string, t string", L.fuzz_error_kind(C("s"), L.marks(C("t"))))
     assert kinds[:6] == ["finding", None, None, "environment_error", "tool_error", "finding"]
 
 
@@ -70,7 +71,7 @@ def test_fuzz_runs_golden(evaluate):
         "Done 6x runs": None,
         "": None,
     }
-    got = evaluate([(t,) for t in rows], "t string", L.fuzz_runs(C("t")))
+    got = evaluate([(t,) for t in rows], "t string", L.fuzz_runs(L.marks(C("t"))))
     assert [None if v is None else int(v) for v in got] == list(rows.values())
 
 
@@ -97,7 +98,7 @@ def test_fuzz_runs_random(evaluate):
     rng = random.Random(7)
     parts = ["runs:", "runs:12", " ", " ", "5", "x", "\n", "Done ", "Done 3 ", ":", "runs", ",", "99999999999999999999"]
     texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)]
-    got = evaluate([(t,) for t in texts], "t string", L.fuzz_runs(C("t")))
+    got = evaluate([(t,) for t in texts], "t string", L.fuzz_runs(L.marks(C("t"))))
     wrong = [(t, g) for t, g in zip(texts, got) if (None if g is None else int(g)) != model_runs(t)]
     assert not wrong
 
@@ -105,7 +106,7 @@ def test_fuzz_runs_random(evaluate):
 def test_fuzz_summary(evaluate):
     rows = [("error", 19313761, PTRACE), ("pass", 5, "Done 5 runs"), ("clean", None, "")]
     runs = C("r").cast("decimal(20,0)")
-    got = evaluate(rows, "s string, r bigint, t string", L.fuzz_summary(F.lit("parse"), F.lit(30), C("s"), runs, C("t")))
+    got = evaluate(rows, "s string, r bigint, t string", L.fuzz_summary(F.lit("parse"), F.lit(30), C("s"), runs, L.marks(C("t"))))
     assert got == [
         "target parse, budget 30s, 19313761 runs, environment error: LeakSanitizer unsupported under ptrace",
         "target parse, budget 30s, 5 runs, pass (reached budget limit without findings)",
@@ -115,7 +116,7 @@ def test_fuzz_summary(evaluate):
 
 def test_build_failure(evaluate):
     missing = "error: can't find bin `t` at path `/tmp/x/fuzz_targets/t.rs`"
-    got = evaluate([(missing,), ("boom",), (" \n",)], "t string", L.build_failure(F.lit("t"), F.lit(60), C("t")))
+    got = evaluate([(missing,), ("boom",), (" \n",)], "t string", L.build_failure(F.lit("t"), F.lit(60), C("t"), L.marks(C("t"))))
     assert [tuple(r) for r in got] == [
         ("skipped", None, "target t, budget 60s, declared source missing at /tmp/x/fuzz_targets/t.rs", missing),
         ("error", "tool_error", "target t, budget 60s, build error", "boom"),
@@ -136,7 +137,7 @@ def report(*packages):
 
 
 def counts(evaluate, texts):
-    report = L.last_report(C("t"))["report"]
+    report = L.last_report(L.marks(C("t")))["report"]
     got = evaluate([(t,) for t in texts], "t string", L.package_counts(report, F.lit("demo"), F.lit("/w/demo")))
     return [tuple(r) for r in got]
 
@@ -166,7 +167,7 @@ def test_package_counts(evaluate):
 
 def test_counter_status_and_summary(evaluate):
     panic = "thread 'main' panicked at x\nassertion failed: self.pending_ids.insert(id)"
-    got = evaluate([(False, panic), (True, panic), (False, "x")], "ok boolean, t string", L.counter_status(C("ok"), C("t")))
+    got = evaluate([(False, panic), (True, panic), (False, "x")], "ok boolean, t string", L.counter_status(C("ok"), L.marks(C("t"))))
     assert got == ["skipped", "clean", "error"]
     rows = [("clean", True, 4, 1), ("clean", True, 4, None), ("skipped", False, None, None), ("clean", True, None, None), ("error", False, None, None)]
     got = evaluate(rows, "s string, ok boolean, r bigint, d bigint", L.counter_summary(C("s"), C("ok"), C("r"), C("d")))
@@ -174,3 +175,34 @@ def test_counter_status_and_summary(evaluate):
         "root unsafe exprs 4, dependency unsafe exprs 1", "root unsafe exprs 4", "geiger tool failure, skipped",
         "geiger completed", "geiger failed",
     ]
+
+
+def test_marks_are_all_that_occur(evaluate):
+    """Overlapping words, any case, lines and fields, against one search for each of them."""
+    draw = random.Random(12)
+    words = [*L._FOLDED, "OOM", "Panic", "\u212aUB:", "thread 'main'", "Thread 'main'", "room", "unBounds", "leaksanitizer has", " ", "\n", "x"]
+    texts = ["".join(draw.choices(words, k=draw.randrange(12))) for _ in range(300)]
+    got = evaluate([(t,) for t in texts], "t string", L.marks(C("t")))
+    for text, found in zip(texts, got, strict=True):
+        lower = text.translate({c: c + 32 for c in range(65, 91)})
+        assert {m.lower() for m in found if len(m) <= L._LONGEST and m.lower() in L._FOLDED} == {w for w in L._FOLDED if w in lower}
+        assert ("thread 'main'" in found) == ("thread 'main'" in text)
+    assert evaluate([(None,)], "t string", L.marks(C("t"))) == [None]
+
+
+def test_marks_of_lines_and_fields(evaluate):
+    text = "Done 1\n\tDone 2 runs in 3 second(s)\nnot Done 4\n {\"a\": 1}\nruns: runs: 7 xruns:8 runs:9"
+    (found,) = evaluate([(text,)], "t string", L.marks(C("t")))
+
+    assert [m for m in found if m.startswith("runs:")] == ["runs: runs:", "runs: 7", "runs:9"]
+    assert found[:3] == ["Done 1", "\tDone 2 runs in 3 second(s)", ' {"a": 1}']
+
+
+def test_records_search_a_log_once(spark):
+    """Neither the records nor their statuses look into the text again for any classifier."""
+    runs = spark.createDataFrame(
+        [("c", "fuzz", "t", False, 5, "panic")], "crate string, kind string, name string, success boolean, duration_ms bigint, combined_output string"
+    )
+    for frame in (E.phase_records(runs, F.lit("/w/c")), E.run_statuses(runs)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and not re.search(r"combined_output#\d+[^,]*RLIKE", plan)
