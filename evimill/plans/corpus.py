@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evimill.operators import report as R
+from evimill.operators import rule_table as RT
 from evimill.operators import site_scan as S
 from evimill.plans.dialect import literal, with_views
 from evimill.sources import views as V
@@ -28,6 +29,30 @@ def text_site_scan(spark, sf_dir):
     return _site_columns(S.site_rows(S.scan_files(files, S.TEXT_RULES), S.TEXT_RULES))
 
 
+def _rule_table(spark, sf_dir):
+    """A rule for each longer word of the benchmark passages, some with an ending, and two without an anchor."""
+    items = V.table(spark, sf_dir, "benchmark")
+    words = items.select("item_id", F.posexplode(F.split("text", "[^A-Za-z]+")).alias("pos", "word")).filter(F.length("word") >= 9)
+    ending = F.length("anchor") % 3 == 0
+    named = words.groupBy(F.lower("word").alias("anchor")).agg(
+        F.min(F.col("item_id") * 1000 + F.col("pos") + 10).cast("int").alias("rule_id")
+    ).select(
+        "rule_id", F.lit("word").alias("kind"), F.when(ending, F.lit("ending")).alias("pattern"),
+        F.concat("anchor", F.when(ending, F.lit("[a-z]+")).otherwise(F.lit(""))).alias("rx"), "anchor",
+    )
+    fixed = spark.range(2).select(
+        (F.col("id") + 1).cast("int").alias("rule_id"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("pattern"),
+        F.when(F.col("id") == 0, F.lit("[0-9]{6,}")).otherwise(F.lit("[0-9]+%")).alias("rx"), F.lit(None).cast("string").alias("anchor"),
+    )
+    return named.unionByName(fixed)
+
+
+def table_site_scan(spark, sf_dir):
+    rules = _rule_table(spark, sf_dir)
+    sites = RT.table_site_rows(RT.scan_with_table(V.text_files(spark, sf_dir), rules), rules)
+    return sites.select("crate", "file", "line", "seq", "rule_id", "kind", "pattern")
+
+
 def _site_columns(sites):
     return sites.select("crate", "file", "line", "seq", "kind", "pattern")
 
@@ -163,6 +188,7 @@ QUERIES = {
     "corpus_files": corpus_files,
     "site_scan": site_scan,
     "text_site_scan": text_site_scan,
+    "table_site_scan": table_site_scan,
     "code_site_scan": code_site_scan,
     "code_rejects": code_rejects,
     "block_pattern": block_pattern,
@@ -176,6 +202,26 @@ QUERIES = {
 NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY crate ORDER BY file, line, seq) AS number
   FROM sites)"""
 
+# All rules at all places: one alternation of the whole table, then every rule against every match.
+_TABLE_SCAN = with_views(
+    ["text_files"],
+    """SELECT m.crate, m.file, m.line, m.seq, r.rule_id, r.kind, r.pattern FROM named m JOIN rules r USING (rule_id)""",
+    """words AS (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS word,
+  generate_subscripts(string_split_regex(text, '[^A-Za-z]+'), 1) - 1 AS pos FROM benchmark)""",
+    """rules AS (SELECT CAST(min(item_id * 1000 + pos + 10) AS INTEGER) AS rule_id, 'word' AS kind,
+  CASE WHEN length(lower(word)) % 3 = 0 THEN 'ending' END AS pattern,
+  concat(lower(word), CASE WHEN length(lower(word)) % 3 = 0 THEN '[a-z]+' ELSE '' END) AS rx
+  FROM words WHERE length(word) >= 9 GROUP BY lower(word)
+  UNION ALL SELECT 1, 'number', NULL, '[0-9]{6,}' UNION ALL SELECT 2, 'number', NULL, '[0-9]+%')""",
+    "joined AS (SELECT string_agg(concat('(?:', rx, ')'), '|' ORDER BY rule_id) AS rx FROM rules)",
+    """text_lines AS (SELECT crate, file, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line,
+  unnest(string_split(content, chr(10))) AS content FROM text_files)""",
+    """matches AS (SELECT crate, file, line, unnest(regexp_extract_all(content, joined.rx)) AS match,
+  CAST(generate_subscripts(regexp_extract_all(content, joined.rx), 1) AS INTEGER) AS seq FROM text_lines, joined)""",
+    """named AS (SELECT crate, file, line, seq, min(rule_id) AS rule_id FROM matches JOIN rules ON regexp_full_match(match, rules.rx)
+  GROUP BY ALL)""",
+)
+
 ORACLES = {
     "corpus_files": with_views(
         ["corpus_files"],
@@ -187,6 +233,7 @@ ORACLES = {
     "text_site_scan": scan_sql(
         "text_files", S.TEXT_RULES, "SELECT crate, file, line, seq, kind, pattern FROM sites"
     ),
+    "table_site_scan": _TABLE_SCAN,
     "code_rejects": f"WITH {code_sites_cte()}\nSELECT crate, file, 'unbalanced brackets' AS reason FROM chosen WHERE broken",
     "code_site_scan": f"WITH {code_sites_cte()}\nSELECT crate, file, line, kind, pattern FROM sites",
     "block_pattern": f"""WITH {code_sites_cte()}
