@@ -78,23 +78,30 @@ def summary_counts(crates: DataFrame, summary: DataFrame) -> DataFrame:
     return joined.withColumn("n_sites", sum((F.col(c) for c in counters), F.lit(0).cast("bigint")))
 
 
+#: Parts of a crate that are ranked on their own first.
+REVIEW_PARTS = 64
+
+
+def _first_ten(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= REVIEW_ROWS)
+
+
 def review_priority(sites: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """The ten sites per crate to look at first.
 
     A finding anywhere in the crate changes the wording of a reason, never its rank. So the
-    ten are chosen first, each task keeping ten per crate before the shuffle, and the flag
-    is joined to those alone.
+    ten are chosen first and the flag is joined to those alone. A crate is dealt into parts by
+    hash, each task keeps ten per crate and part before the shuffle, and ten of each part meet:
+    however many tasks hold a crate, the last one sees ``REVIEW_PARTS`` times ten of its rows.
     """
     base = F.coalesce("pattern", "kind")
     score = F.lit(len(REVIEW_WORDS))
     for rank, word in reversed(list(enumerate(REVIEW_WORDS))):
         score = F.when(F.contains(base, F.lit(word)), F.lit(rank)).otherwise(score)
-    order = Window.partitionBy("crate").orderBy("score", "file", "line", "seq")
-    top = (
-        sites.withColumn("score", score)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= REVIEW_ROWS)
-    )
+    order = ["score", "file", "line", "seq"]
+    dealt = sites.withColumn("score", score).withColumn("_part", F.pmod(F.xxhash64("file", "line", "seq"), F.lit(REVIEW_PARTS)))
+    top = _first_ten(_first_ten(dealt, ["crate", "_part"], order), ["crate"], order)
     if records is None:
         flagged = top.withColumn("dynamic_finding", F.lit(False))
     else:

@@ -46,6 +46,23 @@ def test_review_order_and_reasons(spark):
     ]
 
 
+def test_review_meets_ten_rows_of_each_part(spark):
+    """Two levels of ranking; what the last one reads of a crate is bounded by the parts, not by the sites."""
+    sites = spark.range(50_000).selectExpr(
+        "concat('hot', id * 0) AS crate", "concat('f', id % 97) AS file", "CAST(id AS int) AS line", "1 AS seq", "'operation' AS kind",
+        "CASE WHEN id % 5000 = 7 THEN 'transmute' ELSE 'link' END AS pattern", "concat('U', id) AS site_id",
+    )
+    got = R.review_priority(sites.repartition(40))
+    rows = [(r["rank"], r["line"]) for r in got.orderBy("rank").collect()]
+    wanted = sorted((f"f{k % 97}", k) for k in range(7, 50_000, 5000))
+    assert rows == [(n + 1, line) for n, (_, line) in enumerate(wanted)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(crate" in plan and "_part" in plan and plan.count("WindowGroupLimit") >= 3
+    order, parts = ["file", "line", "seq"], F.pmod(F.xxhash64("file", "line", "seq"), F.lit(R.REVIEW_PARTS))
+    first = R._first_ten(sites.withColumn("_part", parts), ["crate", "_part"], order)
+    assert first.count() == R.REVIEW_PARTS * 10
+
+
 def test_review_of_a_hot_crate(spark):
     rng = random.Random(5)
     rows = [
