@@ -49,7 +49,7 @@ def test_review_order_and_reasons(spark):
 def test_review_meets_ten_rows_of_each_part(spark):
     """Two levels of ranking; what the last one reads of a crate is bounded by the parts, not by the sites."""
     sites = spark.range(50_000).selectExpr(
-        "concat('hot', id * 0) AS crate", "concat('f', id % 97) AS file", "CAST(id AS int) AS line", "1 AS seq", "'operation' AS kind",
+        "concat('hot', id div 50000) AS crate", "concat('f', id % 97) AS file", "CAST(id AS int) AS line", "1 AS seq", "'operation' AS kind",
         "CASE WHEN id % 5000 = 7 THEN 'transmute' ELSE 'link' END AS pattern", "concat('U', id) AS site_id",
     )
     got = R.review_priority(sites.repartition(40))
