@@ -81,7 +81,7 @@ def labelled_sample(files: DataFrame, labels: DataFrame, max_per_class: int) ->
     return sample, totals
 
 
-def associated_terms(sample: DataFrame, totals: list[int], min_files: int, min_g: float, max_terms: int) -> list[str]:
+def associated_terms(sample: DataFrame, totals: list[int], min_files: int, min_g: float) -> list[str]:
     """Terms that toxic files of the sample hold more often, by the likelihood ratio statistic."""
     words = per_text(lambda text: sorted(terms_of(text)), "array<string>", F.col("content"))
     counts = (
@@ -99,14 +99,13 @@ def associated_terms(sample: DataFrame, totals: list[int], min_files: int, min_g
         + F.when(miss > 0, miss * F.log(miss * (toxic + clean) / (n * clean))).otherwise(0.0)
     )
     chosen = counts.where(hit / toxic > 2 * miss / clean).select("word", g.alias("g")).where(F.col("g") >= min_g)
-    return [row["word"] for row in chosen.orderBy(F.desc("g"), "word").limit(max_terms).collect()]
+    return [row["word"] for row in chosen.orderBy(F.desc("g"), "word").collect()]
 
 
 def fit(
     files: DataFrame,
     labels: DataFrame,
     max_per_class: int = 4096,
-    max_terms: int = 256,
     min_files: int = 3,
     min_g: float = 20.0,
     rounds: int = 400,
@@ -114,7 +113,7 @@ def fit(
     """A model from ``files`` (file_id, content) and ``labels`` (file_id, toxic 0/1).
 
     Fitted on a bounded sample: ``max_per_class`` files of either label, which also bounds what
-    reaches the driver (the terms of their sentences); the classes are weighted back to their share
+    reaches the driver (all terms with a statistic of ``min_g``, and those of each sentence); the classes are weighted back to their share
     of all labels. Without toxic labels the model knows no term and its leak is 0.
     """
     sample, totals = labelled_sample(files, labels, max_per_class)
@@ -123,7 +122,7 @@ def fit(
         drawn = {row["toxic"]: row["n"] for row in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not drawn.get(1):
             return ToxicityModel({}, 0.0, 0.0)
-        terms = associated_terms(sample, [drawn.get(0, 0), drawn[1]], min_files, min_g, max_terms)
+        terms = associated_terms(sample, [drawn.get(0, 0), drawn[1]], min_files, min_g)
         places = {term: k for k, term in enumerate(terms)}
 
         def sentences(text: str) -> list[list[int]]:

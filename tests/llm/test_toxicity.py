@@ -64,3 +64,13 @@ def test_sample_is_bounded_and_labels_may_conflict(spark):
     labels = spark.createDataFrame([*labels, (0, 0), (None, 1)], "file_id bigint, toxic int")
     sample, totals = toxicity.labelled_sample(files(spark, rows + rows), labels, 10)
     assert sorted(r["toxic"] for r in sample.collect()) == [0] * 10 + [1] * 10 and totals == {0: 160, 1: 40}
+
+
+def test_every_associated_term_is_kept(spark):
+    """However many there are: 400 words that only toxic files hold, none that all hold."""
+    words = [f"slur{chr(97 + k // 26)}{chr(97 + k % 26)}q" for k in range(400)]
+    toxic = [(k, 1, "you are " + " ".join(words) + ".") for k in range(30)]
+    clean = [(100 + k, 0, "you are reading a parser.") for k in range(60)]
+    sample = spark.createDataFrame([*toxic, *clean], "file_id bigint, toxic int, content string")
+    found = toxicity.associated_terms(sample, [60, 30], 3, 20.0)
+    assert set(words) <= set(found) and "you" not in found
