@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evimill.functions import text as T
+from evimill.functions.json_place import json_error_place
 from evimill.operators import probes as P
 from evimill.operators.rows import explode_once
 from evimill.plans.dialect import SPACE, literal, trim
@@ -93,6 +94,13 @@ def probe_json_mutations(spark, sf_dir):
     )
 
 
+def probe_json_error_place(spark, sf_dir):
+    """Place of the first error of whole, half and extended texts, most of them broken already."""
+    texts = _events(spark, sf_dir).select("event_id", _broken_json().alias("text"))
+    places = P.json_mutations(texts, "event_id", "text").withColumn("place", json_error_place(F.col("candidate")))
+    return places.select("event_id", "variant", "place.*")
+
+
 def probe_json_fields(spark, sf_dir):
     text = _broken_json()
     return _events(spark, sf_dir).select(
@@ -179,6 +187,7 @@ QUERIES = {
     "probe_graphemes": probe_graphemes,
     "probe_json": probe_json,
     "probe_json_mutations": probe_json_mutations,
+    "probe_json_error_place": probe_json_error_place,
     "probe_json_fields": probe_json_fields,
     "probe_json_lines": probe_json_lines,
     "probe_markup_tags": probe_markup_tags,
@@ -255,6 +264,45 @@ _PREFIX_SOURCE = """CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority
   WHEN 2 THEN concat('[', o_orderpriority, '] ', o_orderstatus)
   ELSE concat('status:', o_orderstatus, chr(10), o_orderpriority) END"""
 
+# A pushdown automaton over single signs. States: v value, a value or end of array, o key or end of object,
+# k key, c colon, n after a value, q and Q inside a string or key (then b: escape, 1-4: digits to come),
+# l and the rest of a word, and m z d . f e + x inside numbers. ``open`` holds the open brackets.
+_PLACES = f"""texts AS (SELECT event_id, {_BROKEN} AS t FROM events),
+variants AS (SELECT event_id, 'whole' AS variant, t AS c FROM texts
+  UNION ALL SELECT event_id, 'half', t[:length(t) // 2] FROM texts
+  UNION ALL SELECT event_id, 'trailing', concat(t, chr(10), '{{') FROM texts),
+run AS (
+  SELECT DISTINCT c, 0 AS i, 'v' AS s, '' AS open FROM variants
+  UNION ALL
+  SELECT c, i + 1, CASE
+    WHEN s[1] IN ('q', 'Q') THEN CASE
+      WHEN s[2] = '' THEN CASE WHEN ch = '"' THEN CASE s WHEN 'q' THEN 'n' ELSE 'c' END WHEN ch = chr(92) THEN s || 'b'
+        WHEN unicode(ch) < 32 THEN 'bad' ELSE s END
+      WHEN s[2] = 'b' THEN CASE WHEN contains('"/bfnrt', ch) OR ch = chr(92) THEN s[1] WHEN ch = 'u' THEN s[1] || '4' ELSE 'bad' END
+      WHEN NOT contains('0123456789abcdefABCDEF', ch) THEN 'bad'
+      WHEN s[2] = '1' THEN s[1] ELSE s[1] || (CAST(s[2] AS INTEGER) - 1) END
+    WHEN s[1] = 'l' THEN CASE WHEN ch <> s[2] THEN 'bad' WHEN length(s) = 2 THEN 'n' ELSE 'l' || s[3:] END
+    WHEN s IN ('m', 'z', 'd', '.', 'f', 'e', '+', 'x') THEN CASE
+      WHEN ch = '0' AND s = 'm' THEN 'z' WHEN digit AND s IN ('m', 'd') THEN 'd' WHEN digit AND s IN ('.', 'f') THEN 'f'
+      WHEN digit AND s IN ('e', '+', 'x') THEN 'x' WHEN ch = '.' AND s IN ('z', 'd') THEN '.'
+      WHEN ch IN ('e', 'E') AND s IN ('z', 'd', 'f') THEN 'e' WHEN ch IN ('+', '-') AND s = 'e' THEN '+' ELSE 'bad' END
+    WHEN ch IN (' ', chr(9), chr(10), chr(13)) THEN s
+    WHEN s IN ('v', 'a') THEN CASE WHEN ch = '"' THEN 'q' WHEN ch = '{{' THEN 'o' WHEN ch = '[' THEN 'a' WHEN ch = '-' THEN 'm'
+      WHEN ch = '0' THEN 'z' WHEN digit THEN 'd' WHEN ch = 't' THEN 'lrue' WHEN ch = 'f' THEN 'lalse' WHEN ch = 'n' THEN 'lull'
+      WHEN ch = ']' AND s = 'a' THEN 'n' ELSE 'bad' END
+    WHEN s IN ('o', 'k') THEN CASE WHEN ch = '"' THEN 'Q' WHEN ch = '}}' AND s = 'o' THEN 'n' ELSE 'bad' END
+    WHEN s = 'c' THEN CASE WHEN ch = ':' THEN 'v' ELSE 'bad' END
+    WHEN ch = ',' THEN CASE open[-1] WHEN '{{' THEN 'k' WHEN '[' THEN 'v' ELSE 'bad' END
+    WHEN ch = '}}' AND open[-1] = '{{' OR ch = ']' AND open[-1] = '[' THEN 'n' ELSE 'bad' END,
+    CASE WHEN s[1] IN ('q', 'Q') THEN open WHEN ch IN ('{{', '[') THEN open || ch WHEN ch IN ('}}', ']') THEN open[:-2] ELSE open END
+  FROM (SELECT c, i, ch, open, contains('0123456789', ch) AS digit,
+      -- a number ends where the next sign does not go on with it
+      CASE WHEN s IN ('z', 'd', 'f', 'x') AND NOT (contains('0123456789', ch) AND s <> 'z' OR ch = '.' AND s IN ('z', 'd')
+        OR ch IN ('e', 'E') AND s <> 'x') THEN 'n' ELSE s END AS s
+    FROM (SELECT *, substr(c, i + 1, 1) AS ch FROM run WHERE s <> 'bad' AND i < length(c)))),
+ends AS (SELECT c, max(i) AS i, arg_max(s, i) AS s, arg_max(open, i) AS open FROM run GROUP BY c),
+places AS (SELECT *, s IN ('n', 'z', 'd', 'f', 'x') AND open = '' AS valid, c[:i] AS taken FROM ends)"""
+
 ORACLES = {
     "probe_utf8": "SELECT doc_id AS item_id, doc_id % 3 <> 0 AS valid FROM documents",
     "probe_find": f"""SELECT doc_id, CAST({_first('the')} AS INTEGER) AS first_at, CAST({_last('the')} AS INTEGER) AS last_at,
@@ -277,6 +325,11 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, {trim('p')} AS "both", CAST(length(l
   UNION ALL SELECT 'half', props[:length(props) // 2] FROM events
   UNION ALL SELECT 'trailing', concat(props, chr(10), '{') FROM events)
 SELECT variant, count(*) AS n, count(*) FILTER (json_valid(c)) AS n_valid FROM variants GROUP BY variant""",
+    "probe_json_error_place": f"""WITH RECURSIVE {_PLACES}
+SELECT event_id, variant, valid, CASE WHEN NOT valid THEN CAST(length(taken) - length(replace(taken, chr(10), '')) + 1 AS INTEGER) END AS line_no,
+  CASE WHEN valid THEN NULL WHEN s = 'bad' AND taken[-1] = chr(10) THEN 0
+    ELSE CAST(strlen(string_split(CASE s WHEN 'bad' THEN taken[:-2] ELSE taken END, chr(10))[-1]) + CAST(s = 'bad' AS INTEGER) AS INTEGER) END AS column_no
+FROM variants JOIN places USING (c)""",
     "probe_json_fields": f"""WITH b AS (SELECT event_id, CASE WHEN json_valid({_BROKEN}) THEN {_BROKEN} ELSE 'null' END AS c FROM events)
 SELECT event_id, TRY_CAST(json_extract_string(c, '$.k') AS BIGINT) AS k, json_extract_string(c, '$.absent') AS absent FROM b""",
     "probe_json_lines": """SELECT event_id,
