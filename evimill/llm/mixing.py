@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from evimill.llm.storage import kept, shuffled
 from evimill.llm.texts import per_text
 
-#: Draws are exact up to so many slots of a range; larger ranges are halved in proportion.
-EXACT_DRAW = 1 << 29
+#: Up to so many slots numpy draws; it takes no more than a billion.
+_NUMPY_DRAWS = 1 << 29
 
 
 def word_count(text: str) -> int:
@@ -69,6 +69,68 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return value.astype(np.int64)
 
 
+def _log_ratio(above: int, below: int) -> float:
+    """log(above! / below!) less (above - below) * log(below + 1), without loss where both are large."""
+    if min(above, below) < 1000:
+        return math.lgamma(above + 1) - math.lgamma(below + 1) - (above - below) * math.log(below + 1)
+    step = above - below
+    grown = math.log1p(step / below)
+    shift = step * math.log1p(1 / below)
+    return (above + 0.5) * grown - step + (1 / above - 1 / below) / 12 - shift
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, share: int) -> int:
+    """Number of good ones among ``share`` drawn of ``good + bad`` without putting back, of any size.
+
+    Beyond numpy's limit by rejection under an envelope that holds for every log-concave distribution:
+    flat around the most likely number, exponential beyond. Takes about four tries whatever the sizes.
+    """
+    if good + bad < _NUMPY_DRAWS:
+        return int(rng.hypergeometric(good, bad, share))
+    low, high = max(0, share - bad), min(good, share)
+    mode = min(high, max(low, (share + 1) * (good + 1) // (good + bad + 2)))
+    # the four factorials of the probability at the most likely number
+    at_mode = (mode, good - mode, share - mode, bad - share + mode)
+    logs = [math.log(x + 1) for x in at_mode]
+
+    def log_relative(x: int) -> float:
+        """log of the probability of x over that of the most likely number."""
+        step = x - mode
+        moved = (x, good - x, share - x, bad - share + x)
+        signs = (step, -step, -step, step)
+        exact = math.fsum(_log_ratio(a, b) for a, b in zip(moved, at_mode, strict=True))
+        return -exact - math.fsum(s * v for s, v in zip(signs, logs, strict=True))
+
+    # A lower bound of the largest probability: a unimodal one whose deviation is sd has at least
+    # 1 / (1 + sd * sqrt(12)) there. A lower one only makes the envelope wider.
+    total = good + bad
+    variance = share * (good / total) * (bad / total) * ((total - share) / max(1, total - 1))
+    peak = 0.99 / (1 + math.sqrt(12 * variance + 1))
+    flat = 1 + peak / 2
+    while True:
+        if rng.random() * (1 + flat) <= flat:
+            away, height = rng.random() * flat / peak, 0.0
+        else:
+            beyond = rng.standard_exponential()
+            away, height = (flat + beyond) / peak, -beyond
+        x = mode + (1 if rng.random() < 0.5 else -1) * math.floor(away + 0.5)
+        if low <= x <= high and height - rng.standard_exponential() <= log_relative(x):
+            return x
+
+
+def multivariate(rng: np.random.Generator, counts: np.ndarray, share: int) -> np.ndarray:
+    """How many of each crate are among ``share`` slots drawn of ``counts`` without putting back."""
+    total = int(counts.sum())
+    if total < _NUMPY_DRAWS:
+        return rng.multivariate_hypergeometric(counts, share, method="marginals")
+    out = np.zeros_like(counts)
+    for k, count in enumerate(counts.tolist()):
+        total -= count
+        out[k] = hypergeometric(rng, count, total, share)
+        share -= int(out[k])
+    return out
+
+
 def shard_counts(shard: int, shards: int, slots: np.ndarray, shard_slots: int, seed: int):
     """(first number, count) per crate of the slots that ``shard`` holds."""
     first, counts = np.zeros_like(slots), slots.copy()
@@ -77,14 +139,7 @@ def shard_counts(shard: int, shards: int, slots: np.ndarray, shard_slots: int, s
         middle = (low + high) // 2
         total = int(counts.sum())
         share = min(total, (middle - low) * shard_slots)
-        if total < EXACT_DRAW:
-            draw = np.random.Generator(np.random.PCG64([seed, low, high]))
-            left = draw.multivariate_hypergeometric(counts, share, method="marginals")
-        else:
-            exact = [int(c) * share for c in counts]
-            left = np.array([e // total for e in exact], dtype=np.int64)
-            rest = sorted(range(len(exact)), key=lambda k: -(exact[k] % total))[: share - int(left.sum())]
-            left[rest] += 1
+        left = multivariate(np.random.Generator(np.random.PCG64([seed, low, high])), counts, share)
         if shard < middle:
             counts, high = left, middle
         else:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -44,6 +45,42 @@ def test_shards_add_up():
     assert (before == slots).all()
 
 
+def test_draws_of_any_size(monkeypatch):
+    """The sampler for large ranges against exact probabilities, then moments beyond numpy's limit."""
+    monkeypatch.setattr(mixing, "_NUMPY_DRAWS", 0)
+    rng = np.random.default_rng(4)
+    for good, bad, share in [(5, 7, 6), (300, 20, 40), (50, 5000, 700), (0, 9, 4), (9, 0, 4), (6, 3, 0), (6, 3, 9), (2000, 3000, 2500)]:
+        n = 6000
+        seen = np.bincount([mixing.hypergeometric(rng, good, bad, share) for _ in range(n)], minlength=min(good, share) + 1)
+        whole = math.comb(good + bad, share)
+        want = np.array([math.comb(good, x) * math.comb(bad, share - x) * n / whole if share >= x else 0 for x in range(len(seen))])
+        assert (seen[want == 0] == 0).all()
+        often = want >= 5
+        chi = ((seen - want)[often] ** 2 / want[often]).sum()
+        assert chi < often.sum() + 5 * np.sqrt(2 * often.sum()) + 5
+    monkeypatch.undo()
+    for good, bad, share in [(10**12, 3 * 10**12, 10**12), (5, 10**11, 10**10), (10**15, 10**15, 10**15), (10**10, 10**4, 5 * 10**9)]:
+        total = good + bad
+        drawn = np.array([mixing.hypergeometric(rng, good, bad, share) for _ in range(3000)], dtype=float)
+        mean = share * good / total
+        sd = np.sqrt(share * (good / total) * (bad / total) * ((total - share) / (total - 1)))
+        assert abs(drawn.mean() - mean) < 5 * sd / np.sqrt(3000) + 1e-3
+        assert drawn.std() == pytest.approx(sd, rel=0.1)
+
+
+def test_shards_beyond_a_billion_slots_are_drawn():
+    slots, shards, shard_slots = np.array([3 * 10**11, 10**11, 7]), 1 << 17, 4 * 10**11 // (1 << 17) + 1
+    found = [mixing.shard_counts(s, shards, slots, shard_slots, 5) for s in range(64)]
+    before = np.zeros(3, dtype=np.int64)
+    for first, counts in found:
+        assert (first == before).all() and (counts >= 0).all() and counts.sum() == shard_slots
+        before += counts
+    shares = np.array([c[0] / c.sum() for _, c in found])
+    assert shares.mean() == pytest.approx(0.75, abs=1e-3)
+    # drawn, not dealt in proportion: the shares differ as draws do
+    assert shares.std() == pytest.approx(np.sqrt(0.75 * 0.25 / shard_slots), rel=0.4)
+
+
 def test_mix(spark):
     rows = corpus()
     mix = mixing.Mix(files(spark, rows), block_words=16, shard_slots=128)
