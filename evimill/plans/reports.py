@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evimill.functions import vocabulary as W
 from evimill.operators import evidence as E
 from evimill.operators import report as R
+from evimill.operators import report_update as RU
 from evimill.operators import site_scan as S
 from evimill.operators.study_plan import RunSettings
 from evimill.plans import logs
@@ -139,7 +140,23 @@ def report_nested(spark, sf_dir):
     )
 
 
+def report_stale_crates(spark, sf_dir):
+    """Crates to make again since the last report: one lacked a run, one had another log, one two equal runs more."""
+    now = V.run_logs(spark, sf_dir)
+    then = now.filter(~F.expr(_NEW_RUN)).withColumn("combined_output", F.expr(_OLD_OUTPUT))
+    then = then.unionByName(now.filter(_TWICE))
+    # the count of all runs of a crate beside its name
+    runs = now.groupBy("crate").agg(F.count(F.lit(1)).alias("n_runs"))
+    return RU.stale_crates(RU.input_digests({"runs": then}), RU.input_digests({"runs": now})).join(runs, "crate")
+
+
+_NEW_RUN = "crate = 'c3' AND run_id % 5 = 0"
+_OLD_OUTPUT = "CASE WHEN crate = 'c8' AND run_id % 7 = 0 THEN concat(combined_output, ' older') ELSE combined_output END"
+_TWICE = "crate = 'c1' AND run_id % 3 = 0"
+
+
 QUERIES = {
+    "report_stale_crates": report_stale_crates,
     "review_priority": review_priority,
     "code_review_priority": code_review_priority,
     "overview_pivot": _overview,
@@ -280,6 +297,14 @@ def _code(body: str, *more: str) -> str:
 
 
 ORACLES = {
+    "report_stale_crates": with_views(
+        ["run_logs"],
+        """SELECT crate, count(*) AS n_runs FROM run_logs
+WHERE crate IN (SELECT crate FROM (FROM now EXCEPT ALL FROM past) UNION SELECT crate FROM (FROM past EXCEPT ALL FROM now)) GROUP BY crate""",
+        "now AS (SELECT run_id, crate, kind, name, success, duration_ms, combined_output FROM run_logs)",
+        f"""past AS (SELECT * REPLACE ({_OLD_OUTPUT} AS combined_output) FROM now WHERE NOT ({_NEW_RUN})
+  UNION ALL SELECT * FROM now WHERE {_TWICE})""",
+    ),
     "review_priority": scan_sql(
         "report_files", S.HTML_RULES, "SELECT * FROM review", NUMBERED, RECORDS_CTE, _REVIEW,
         views=["report_files", *RECORD_VIEWS],

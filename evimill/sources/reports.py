@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimill.operators.report import REPORT_ORDER
+from evimill.operators.report_update import DIGEST_SCHEMA, INPUTS, digest_documents, input_digests, stale_crates, updated_report
 from evimill.operators.study_plan import FORMATS
 
 STUDY_SCHEMA = (
@@ -49,6 +52,35 @@ def write_report(documents: DataFrame, path: str) -> None:
     documents.select("section", F.col("document").alias("value")).write.partitionBy("section").text(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(crate, section, document) as they were written."""
+    lines = spark.read.text(path).withColumnRenamed("value", "document")
+    return lines.select(F.get_json_object("document", "$.crate").alias("crate"), "section", "document")
+
+
+def update_report(
+    spark: SparkSession, path: str | None, out: str, inputs: dict[str, DataFrame], make: Callable[[DataFrame | None], DataFrame]
+) -> None:
+    """Write to ``out`` the report of ``inputs``, with what still holds of the finished one at ``path``.
+
+    ``make`` gives the documents of a report: of the crates in the table it gets, joined to its inputs
+    before anything else, or of all for None. Where ``path`` is None everything is made. Inputs laid out by
+    crate are then read for these crates only; ``inputs`` may be listings of files. Which crates are stale is
+    computed again by each branch that needs it, from one row per crate and input, and never collected.
+    """
+    digests = input_digests(inputs)
+    if path is None:
+        fresh = make(None)
+        documents = fresh.select("crate", "section", "document")
+    else:
+        finished = read_documents(spark, path)
+        then = finished.filter(F.col("section") == INPUTS).select(F.from_json("document", DIGEST_SCHEMA).alias("d")).select("d.*")
+        stale = stale_crates(then, digests)
+        documents = updated_report(finished.filter(F.col("section") != INPUTS), make(stale), stale)
+    stated = digest_documents(digests).select("crate", "section", "document")
+    write_report(documents.unionByName(stated), out)
+
+
 def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a written report: study, crates, review, sites, phases."""
 
